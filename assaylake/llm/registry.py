@@ -1,6 +1,6 @@
 """Queries of this subpackage, and their SQL where SQL can express them."""
 
-from assaylake.llm import decontamination, language_id, progressive_jpeg, sharding, token_files, toxicity
+from assaylake.llm import decontamination, language_id, progressive_jpeg, sharding, simhash, token_files, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_token_files": token_files.op3_token_files,
     "op7_decontamination": decontamination.op7_decontamination,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op5_simhash": simhash.op5_simhash,
     "op10_sharding": sharding.op10_sharding,
 }
 ORACLE_SQL = {"op10_sharding": sharding.op10_sql()}
