@@ -219,12 +219,39 @@ def judge(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str
         sums = [hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256")]
         out = found.select(key, "n_words", *sums)
     else:
-        rows = saved(docs.select(key, "text").withColumn("row_", F.monotonically_increasing_id()), "decontamination-rows")
-        found = hits(rows.select("row_", "text"), items, "row_", item_key, limit)
-        found = found.groupBy("row_").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
-        out = found.withColumn("m", F.udf(_merged, "n_hit long, n_items long, items_sha256 string")("spans", "items")).join(rows.select("row_", key), "row_").select(key, "n_words", "m.*")
+        rows = saved(docs.select(key, "text").withColumn("judged_row_", F.monotonically_increasing_id()), "decontamination-rows")
+        found = hits(rows.select("judged_row_", "text"), items, "judged_row_", item_key, limit)
+        found = found.groupBy("judged_row_").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+        out = found.withColumn("m", F.udf(_merged, "n_hit long, n_items long, items_sha256 string")("spans", "items")).join(rows.select("judged_row_", key), "judged_row_").select(key, "n_words", "m.*")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
 
+def filtered(docs: DataFrame, items: DataFrame, share: int = SHARE, limit: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of docs that aren't contaminated, with all columns. With one block of items it is decided where the row is."""
+    spark = docs.sparkSession
+    arrow(spark)
+    words_there = items.agg(F.sum(F.octet_length("text").cast("long") / 2 + 1).alias("n")).first().n or 0
+    if words_there >= limit:
+        rows = saved(docs.withColumn("row_", F.monotonically_increasing_id()), "decontamination-docs")
+        bad = judge(rows.select("row_", "text"), items, "row_", share=share, limit=limit).where("contaminated").select("row_")
+        return rows.join(bad, "row_", "left_anti").select(*docs.columns)
+    shared = spark.sparkContext.broadcast(next(_blocks(items, "item_id", limit)))
+    at = docs.columns.index("text")
+
+    def keep(batches):
+        tests = shared.value
+        for b in batches:
+            bad = np.zeros(b.num_rows, bool)
+            for first, counts, offsets, _, where, length, _ in _occurrences(b.column(at).cast(pa.binary()).to_pylist(), tests):
+                mask = np.zeros(offsets[-1] + 1, np.int64)
+                np.add.at(mask, where, 1)
+                np.add.at(mask, where + length, -1)
+                hit = np.add.reduceat((np.cumsum(mask) > 0).astype(np.int64), offsets[:-1]) if len(counts) else np.zeros(0, np.int64)
+                bad[first : first + len(counts)] = (hit > 0) & (share * hit >= np.array(counts))
+            yield b.filter(pa.array(~bad))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op7_decontamination(spark, sf_dir):
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

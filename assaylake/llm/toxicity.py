@@ -178,6 +178,20 @@ def score(docs: DataFrame, index: Index, key: str = "doc_id", cut: float = CUT)
     return docs.select(key, "text").mapInArrow(judge, f"{key} {kind}, score double, predicted int, evidence array<struct<example:long,cosine:double,label:int>>")
 
 
+def filtered(docs: DataFrame, index: Index, cut: float = CUT) -> DataFrame:
+    """The rows of docs that score below the cut, with all columns; decided where the row is, without a join."""
+    arrow(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+    at = docs.columns.index("text")
+
+    def keep(batches):
+        index = shared.value
+        for b in batches:
+            yield b.filter(pa.array([index.score(t)[0] < cut for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op8_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     index = fit(docs, table(spark, sf_dir, "labels").where(crc_of_id() % 3 != 1))

@@ -60,3 +60,13 @@ def test_empty_tables(spark):
     d, b = frames(spark, [(1, "a b")], [(1, "a b")])
     assert D.judge(d.limit(0), b).count() == 0
     assert [tuple(r)[1:4] for r in D.judge(d, b.limit(0)).collect()] == [(2, 0, 0)]
+
+
+def test_filtered_keeps_what_judge_clears(spark):
+    docs, items = cases()
+    d, b = frames(spark, docs, items)
+    bad = {r.doc_id for r in D.judge(d, b).where("contaminated").collect()}
+    for limit in (60, 10**6):
+        got = D.filtered(d, b, limit=limit)
+        assert got.columns == d.columns
+        assert sorted(r.doc_id for r in got.collect()) == sorted(i for i, _ in docs if i not in bad)
