@@ -69,7 +69,7 @@ class Encoder:
             some = parts[i : i + SLICE]
             if len(self.known) > REMEMBERED:
                 self.known.clear()
-            missing = list(set(some) - self.known.keys())
+            missing = [s for s in set(some) if s not in self.known]
             if missing:
                 self.known.update(zip(missing, self._ids(missing)))
             out += map(self.known.__getitem__, some)
