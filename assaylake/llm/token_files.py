@@ -7,9 +7,10 @@ one block: shard, number, position in the shard, plane sizes (the block index),
 documents have how many ids in it. read() gives the ids back; digests() one row a document from the
 blocks alone.
 
-Encoding remembers the ids of each stretch between white spaces: the tokenizer's first step always
-splits there, so the ids are those of the whole text. Texts with the separators 0x1C-0x1F, which
-engines class differently, are encoded whole.
+Encoding remembers the ids of each stretch between spaces, and of each word (pre-token) in it: the
+tokenizer's first step always splits there, so the ids are those of the whole text. Texts with the
+separators 0x1C-0x1F, which engines class differently, or with a special token's beginning are encoded
+whole; stretches with characters beyond U+024F are encoded as they are.
 
 Null texts are empty: the end id only. Rows that repeat a doc_id keep a row each. A null doc_id sorts first.
 """
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import deque
 from functools import lru_cache
 
@@ -30,9 +32,14 @@ from pyspark.sql import functions as F
 
 from assaylake.llm.common import arrow, saved, table
 
-BLOCK, LEVEL, END, REMEMBERED, SLICE = 1 << 16, 3, 2, 400_000, 1 << 16
+BLOCK, LEVEL, END, REMEMBERED = 1 << 16, 3, 2, 1_000_000
 STRETCH = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 ODD = re.compile("[\x1c-\x1f]")
+EDGE = re.compile(r"\s | \s|\A | \Z")
+# The byte-level tokenizer's own split, for characters up to U+024F, whose classes are the same in all engines.
+_L, _N = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
+PRE_TOKEN = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
+SIMPLE = re.compile("[\x00-\u024f]*\\Z")
 SCHEMA = "shard int, block int, first long, n int, width int, bits boolean, sizes array<int>, planes binary, seqs array<long>, doc_ids array<bigint>, counts array<int>"
 
 
@@ -50,30 +57,47 @@ def _tokenizer(path: str):
 
 
 class Encoder:
-    """ids of whole texts as little-endian bytes; `known` maps a stretch of text to its ids."""
+    """ids of whole texts as little-endian bytes; remembers those of stretches and of the words in them."""
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        self.stretches: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _ids(self, text: str) -> bytes:
+        return array("H" if self.width == 2 else "I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if (ids := self.words.get(word)) is None:
+            if len(self.words) > REMEMBERED:
+                self.words.clear()
+            ids = self.words[word] = self._ids(word)
+        return ids
+
+    def _learn(self, stretch: str) -> bytes:
+        if len(self.stretches) > REMEMBERED // 2:
+            self.stretches.clear()
+        plain = SIMPLE.match(stretch)
+        ids = self.stretches[stretch] = b"".join(map(self._word, PRE_TOKEN.findall(stretch))) if plain else self._ids(stretch)
+        return ids
 
     def encode(self, text: str) -> bytes:
         if ODD.search(text) or "<|" in text:  # special tokens are found before the split
-            return self._ids([text])[0]
-        parts = STRETCH.findall(text)
-        out = []
-        for i in range(0, len(parts), SLICE):
-            some = parts[i : i + SLICE]
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            missing = [s for s in set(some) if s not in self.known]
-            if missing:
-                self.known.update(zip(missing, self._ids(missing)))
-            out += map(self.known.__getitem__, some)
-        return b"".join(out)
+            return self._ids(text)
+        if EDGE.search(text):
+            parts = STRETCH.findall(text)
+        else:
+            first, *others = text.split(" ")
+            parts = [first, *[" " + p for p in others]]
+        known, learn = self.stretches.get, self._learn
+        return b"".join([known(p) or (learn(p) if p else b"") for p in parts])
+
+
+@lru_cache(2)
+def encoder(path: str) -> Encoder:
+    """One a Python worker, so that tasks share what it remembers."""
+    return Encoder(path)
 
 
 def shuffle(ids: np.ndarray, bits: bool = True) -> list[bytes]:
@@ -106,8 +130,8 @@ def blocks(docs: DataFrame, path: str | None = None, end: int = END, size: int =
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def write(batches):
-        encoder = Encoder(path)
-        width, shard = encoder.width, TaskContext.get().partitionId()
+        own = encoder(path)
+        width, shard = own.width, TaskContext.get().partitionId()
         tail = np.array([end], f"<u{width}").tobytes()
         held, owners, number, first, seq = bytearray(), deque(), 0, 0, 0
 
@@ -131,7 +155,7 @@ def blocks(docs: DataFrame, path: str | None = None, end: int = END, size: int =
 
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = encoder.encode(text or "") + tail
+                ids = own.encode(text or "") + tail
                 held += ids
                 owners.append((seq, doc, len(ids) // width))
                 seq += 1

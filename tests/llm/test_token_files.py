@@ -5,7 +5,7 @@ import pytest
 
 from assaylake.llm import token_files as T
 
-TEXTS = [None, "", "plain words here", "  two  spaces \n\n and\tlines \n", "a\x1cb \x1f c", "it's <|endoftext|> 12 34,é€  x", "word " * 3000, "plain words here", "   x　y", "\r\n tail "]
+TEXTS = [None, "", "plain words here", "  two  spaces \n\n and\tlines \n", "a\x1cb \x1f c", "it's <|endoftext|> 12 34,é€  x", "word " * 3000, "plain words here", "   x　y", "\r\n tail ", "don't 's we'll x''d 5½², naïve—ok 日本 語\u00a0z\x85y", "a\n\n\nb \n c", "…", " "]
 
 
 @pytest.mark.parametrize("bits", [True, False])
@@ -29,7 +29,7 @@ def test_concatenated():
 
 @pytest.mark.parametrize("size", [64, 1 << 16])
 def test_digests_against_brute_force(spark, tmp_path, size):
-    ids = [5, 3, 9, 0, 7, 1, 2, 8, 4, 6]
+    ids = [5, 3, 9, 0, 7, 1, 2, 8, 4, 6, 12, 11, 14, 13]
     df = spark.createDataFrame([(i, t, "x") for i, t in zip(ids, TEXTS)], "doc_id long, text string, block string").repartition(3)
     T.blocks(df, size=size).write.parquet(str(tmp_path / "b"))
     written = spark.read.parquet(str(tmp_path / "b"))
