@@ -1,6 +1,6 @@
 """Queries of this subpackage, and their SQL where SQL can express them."""
 
-from assaylake.llm import decontamination, language_id, mixing, progressive_jpeg, sharding, simhash, substring_dedup, token_files, toxicity
+from assaylake.llm import bwt_dedup, decontamination, language_id, mixing, progressive_jpeg, sharding, simhash, substring_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_simhash": simhash.op5_simhash,
     "op6_mixing": mixing.op6_mixing,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
+    "op4_bwt_dedup": bwt_dedup.op4_bwt_dedup,
     "op10_sharding": sharding.op10_sharding,
 }
 ORACLE_SQL = {"op6_mixing": mixing.op6_sql(), "op10_sharding": sharding.op10_sql()}
