@@ -1,6 +1,6 @@
 """All queries over the driver tables, by name."""
 
-from assaylake.plans import ids, shape  # noqa: F401
+from assaylake.plans import association, ids, shape  # noqa: F401
 from assaylake.plans.binding import ORACLE_SQL, QUERIES  # noqa: F401
 
 FLAGSHIP = "assoc_ranked_sets"
