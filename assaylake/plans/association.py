@@ -238,7 +238,7 @@ def ranked(t):
 
 @query("gst02_rbo", f"""WITH {RANKED}, h AS (SELECT d, sum(CASE WHEN d = 0 THEN 0 ELSE 0.02 * pow(0.98, d - 1) / d END) OVER (ORDER BY d) AS h FROM (SELECT unnest(range(61)) AS d)), sz AS (SELECT name, max(rank) AS n FROM rk GROUP BY 1),
 pr AS (SELECT a.name AS a, b.name AS b, greatest(a.n, b.n) AS d FROM sz a JOIN sz b ON a.name < b.name), mt AS (SELECT x.name AS a, y.name AS b, greatest(x.rank, y.rank) AS m FROM rk x JOIN rk y ON x.member = y.member AND x.name < y.name)
-SELECT a, b, round(coalesce(sum(h1.h - h2.h + pow(0.98, d) / d), 0), 6) AS rbo FROM pr LEFT JOIN mt USING (a, b) LEFT JOIN h h1 ON h1.d = pr.d LEFT JOIN h h2 ON h2.d = mt.m - 1 GROUP BY ALL""")
+SELECT a, b, round(coalesce(sum(h1.h - h2.h + pow(0.98, pr.d) / pr.d), 0), 6) AS rbo FROM pr LEFT JOIN mt USING (a, b) LEFT JOIN h h1 ON h1.d = pr.d LEFT JOIN h h2 ON h2.d = mt.m - 1 GROUP BY ALL""")
 def _(t):
     return G.rank_biased_overlap(ranked(t), ["all"], "name", "member", 0.98, 60).select("a", "b", F.round("rbo", 6).alias("rbo"))
 
