@@ -17,6 +17,7 @@ Null texts are empty: the end id only. Rows that repeat a doc_id keep a row each
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -56,42 +57,65 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _byte_letters() -> dict[int, int]:
+    """The byte-level alphabet: printable Latin-1 stands for itself, the other bytes for U+0100 on, in order."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: b if b in own else next(others) for b in range(256)}
+
+
+class _Memo(dict):
+    """Computes what it doesn't have; forgets all beyond a number of entries."""
+
+    def __init__(self, compute, most: int):
+        self.compute, self.most = compute, most
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        value = self[key] = self.compute(key)
+        return value
+
+
 class Encoder:
-    """ids of whole texts as little-endian bytes; remembers those of stretches and of the words in them."""
+    """ids of whole texts as little-endian bytes; remembers those of stretches and of the words in them.
+
+    A new word goes straight to the tokenizer's model, where the tokenizer does nothing to it but to spell it in the byte-level
+    alphabet; for any other tokenizer whole texts are encoded.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        setup = json.loads(self.tokenizer.to_str())
+        first = setup["pre_tokenizer"] or {}
+        self.plain = setup["normalizer"] is None and first.get("type") == "ByteLevel" and first.get("use_regex") and not first.get("add_prefix_space") and not setup["model"].get("dropout")
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.stretches: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.code = "H" if self.width == 2 else "I"
+        self.words = _Memo(self._word, REMEMBERED)
+        self.stretches = _Memo(self._stretch, REMEMBERED // 2)
 
     def _ids(self, text: str) -> bytes:
-        return array("H" if self.width == 2 else "I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _word(self, word: str) -> bytes:
-        if (ids := self.words.get(word)) is None:
-            if len(self.words) > REMEMBERED:
-                self.words.clear()
-            ids = self.words[word] = self._ids(word)
-        return ids
-
-    def _learn(self, stretch: str) -> bytes:
-        if len(self.stretches) > REMEMBERED // 2:
-            self.stretches.clear()
-        plain = SIMPLE.match(stretch)
-        ids = self.stretches[stretch] = b"".join(map(self._word, PRE_TOKEN.findall(stretch))) if plain else self._ids(stretch)
-        return ids
+        spelled = word.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.model.tokenize(spelled)]).tobytes()
+
+    def _stretch(self, stretch: str) -> bytes:
+        if not SIMPLE.match(stretch):
+            return self._ids(stretch)
+        return b"".join(map(self.words.__getitem__, PRE_TOKEN.findall(stretch)))
 
     def encode(self, text: str) -> bytes:
-        if ODD.search(text) or "<|" in text:  # special tokens are found before the split
+        if not self.plain or ODD.search(text) or "<|" in text:  # special tokens are found before the split
             return self._ids(text)
         if EDGE.search(text):
             parts = STRETCH.findall(text)
         else:
             first, *others = text.split(" ")
             parts = [first, *[" " + p for p in others]]
-        known, learn = self.stretches.get, self._learn
-        return b"".join([known(p) or (learn(p) if p else b"") for p in parts])
+        return b"".join(map(self.stretches.__getitem__, parts))
 
 
 @lru_cache(2)
