@@ -34,7 +34,7 @@ def rank_biased_overlap(ranked: DataFrame, within: list[str], name: str, member:
     met = left.join(right, [*within, member]).where("a < b").select(*within, "a", "b", F.greatest("ra", "rb").alias("m_"))
     both = pairs.join(met, [*within, "a", "b"], "left").withColumn("h_", h)
     share = F.element_at("h_", F.col("d_") + 1) - F.element_at("h_", F.col("m_")) + F.pow(F.lit(p), F.col("d_").cast("double")) / F.col("d_")
-    return both.groupBy(*within, "a", "b").agg(F.coalesce(F.sum(share), F.lit(0.0)).alias("rbo"))
+    return both.groupBy(*within, "a", "b").agg(F.coalesce(F.sum(F.when(F.col("m_").isNotNull(), share)), F.lit(0.0)).alias("rbo"))
 
 
 def weighted_jaccard(rows: DataFrame, within: list[str], name: str, token: str, weight: str) -> DataFrame:
