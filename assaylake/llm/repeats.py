@@ -5,10 +5,13 @@ whose hash is the least, leftmost of equals. Equal windows have equal anchors at
 need comparing within an anchor's group only. Windows in a row with one anchor are a run; its context
 is the symbols they cover.
 
-1. anchors(): the anchors of all runs of all documents; those that occur once in the whole table go.
-2. runs(): the runs of the others, with their contexts. Equal contexts form a class, counted before
-   any group meets; a class whose anchor has no other class is settled: all its windows repeat.
-3. Groups with several classes are compared by content, one representative a class, in buckets of
+1. The runs of all documents, as hashes; those whose anchor occurs once in the whole table go. Equal
+   contexts form a class, counted before any group meets; a class whose anchor has no other class is
+   settled: all its windows repeat.
+2. Of the groups with several classes one representative a class is cut from its text, in pieces of at
+   most `step` windows that have the same distance to the anchor up to the step, keyed by what all windows
+   of the piece cover. Pieces form classes and groups in the same way, and most are settled by that.
+3. Piece groups with several classes are compared by content, one representative a class, in buckets of
    bounded size, by the operator's own method. A group of more than HOT classes is split into its single
    windows, each a group of its own, so that no task gets an unbounded group.
 4. The repeated windows of each document are brought together and its text is read once more.
@@ -28,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaylake.llm.common import arrow, release, saved
+from assaylake.llm.common import arrow, discard, release, saved
 
 STEP = 1 << 20  # window starts handled at once
 HOT = 512  # classes of an anchor from which its windows are split up
@@ -63,6 +66,7 @@ class Kind:
     length: int
     gram: int
     words: bool
+    step: int = 8
 
     def symbols(self, text: bytes) -> tuple[np.ndarray, object]:
         if self.words:
@@ -76,10 +80,10 @@ class Kind:
         return b" ".join(pieces[start:end]) if self.words else pieces[start:end]
 
 
-def find_runs(symbols: np.ndarray, kind: Kind) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor key, class key, first window and number of windows of each run."""
+def find_runs(symbols: np.ndarray, kind: Kind) -> tuple[np.ndarray, ...]:
+    """Anchor key, class key, first window, number of windows and place of the anchor in the context, of each run."""
     length, gram = kind.length, kind.gram
-    out: list[list[np.ndarray]] = [[], [], [], []]
+    out: list[list[np.ndarray]] = [[], [], [], [], []]
     old = np.seterr(over="ignore")
     for begin in range(0, len(symbols) - length + 1, STEP):
         s = symbols[begin : begin + STEP + length - 1]
@@ -100,7 +104,7 @@ def find_runs(symbols: np.ndarray, kind: Kind) -> tuple[np.ndarray, np.ndarray,
         anchor = at[first]
         whole = (sums[first + n - 1 + length] - sums[first]) * q[first]
         key = _mixed(whole ^ _mixed((anchor - first).astype(np.uint64) << np.uint64(32) | n.astype(np.uint64)))
-        for o, x in zip(out, (grams[anchor].view(np.int64), key.view(np.int64), first + begin, n)):
+        for o, x in zip(out, (grams[anchor].view(np.int64), key.view(np.int64), first + begin, n, anchor - first)):
             o.append(x)
     np.seterr(**old)
     return tuple(np.concatenate(o) if o else np.zeros(0, np.int64) for o in out)
@@ -116,66 +120,86 @@ def numbered(docs: DataFrame, key: str) -> DataFrame:
     return saved(ordered.withColumn("id_", F.monotonically_increasing_id()).select("id_", key, "text_"), "repeats-numbered")
 
 
-def _recurring(rows: DataFrame, kind: Kind) -> DataFrame:
-    """id_, akeys: for each document those of its anchors that occur more than once in the table."""
+def _runs(rows: DataFrame, kind: Kind) -> DataFrame:
+    """akey, ckey, id_, first, shape (the anchor's place and the number of windows) of the runs whose anchor recurs in the table."""
 
-    def anchors(batches):
+    def find(batches):
         for b in batches:
-            found = [find_runs(kind.symbols(t or b"")[0], kind)[0] for t in b.column(1).to_pylist()]
-            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int64), *found]))], ["id_", "akeys"])
-
-    held = saved(rows.select("id_", "text_").mapInArrow(anchors, "id_ long, akeys array<long>"), "repeats-anchors")
-    flat = held.select("id_", F.explode("akeys").alias("akey"))
-    often = flat.groupBy("akey").agg(F.count("*").alias("n")).where("n > 1").select("akey")
-    out = saved(flat.join(often, "akey", "left_semi").groupBy("id_").agg(F.collect_set("akey").alias("akeys")), "repeats-recurring")
+            found = [find_runs(kind.symbols(t or b"")[0], kind) for t in b.column(1).to_pylist()]
+            ends = pa.array(np.cumsum([0, *[len(f[0]) for f in found]]).astype(np.int32))
+            join = lambda k, t: np.concatenate([np.zeros(0, t), *[f[k].astype(t) for f in found]])
+            shape = join(4, np.int32) << 16 | join(3, np.int32)
+            lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (join(0, np.int64), join(1, np.int64), join(2, np.int64), shape)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *lists], ["id_", "akey", "ckey", "first", "shape"])
+
+    schema = "id_ long, akey array<long>, ckey array<long>, first array<long>, shape array<int>"
+    held = saved(rows.select("id_", "text_").mapInArrow(find, schema), "repeats-anchors")
+    often = saved(held.select(F.explode("akey").alias("akey")).groupBy("akey").agg(F.count("*").alias("n")).where("n > 1").select("akey"), "repeats-often")
+    release(rows.sparkSession)
+    flat = held.select("id_", F.explode(F.arrays_zip("akey", "ckey", "first", "shape")).alias("r")).select("id_", "r.*")
+    out = saved(flat.join(often, "akey", "left_semi").select("akey", "ckey", "id_", "first", "shape"), "repeats-runs")
+    discard(held)
+    discard(often)
     release(rows.sparkSession)
     return out
 
 
-def _runs(rows: DataFrame, recurring: DataFrame, kind: Kind) -> DataFrame:
+def _classes(runs: DataFrame, key: str, members) -> tuple[DataFrame, DataFrame]:
+    """Classes (key, ckey, members, head_id, head_first, shape), and those of groups with several, with their number."""
+    classes = runs.groupBy(key, "ckey").agg(members.alias("members"), F.min(F.struct("id_", "first")).alias("head"), F.max("shape").alias("shape"))
+    classes = saved(classes.select(key, "ckey", "members", F.col("head.id_").alias("head_id"), F.col("head.first").alias("head_first"), "shape"), "repeats-classes")
+    several = classes.groupBy(key).agg(F.count("*").alias("classes")).where("classes > 1")
+    return classes, saved(classes.join(several, key), "repeats-several")
+
+
+def _pieces(rows: DataFrame, heads: DataFrame, kind: Kind) -> DataFrame:
+    """key, ckey, members, id_, first, shape (the number of windows), context of the pieces of the given classes' heads."""
+    step, length = kind.step, kind.length
+
     def cut(batches):
         for b in batches:
-            for i, t, keys in zip(*(c.to_pylist() for c in b.columns)):
-                symbols, pieces = kind.symbols(t)
-                akey, ckey, first, n = find_runs(symbols, kind)
-                some = np.flatnonzero(np.isin(akey, np.array(keys, np.int64)))
-                if not len(some):
-                    continue
-                texts = [kind.piece(pieces, a, a + k + kind.length - 1) for a, k in zip(first[some].tolist(), n[some].tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(akey[some]), pa.array(ckey[some]), pa.array(np.full(len(some), i, np.int64)), pa.array(first[some]), pa.array(n[some].astype(np.int32)), pa.array(texts, pa.binary())],
-                    ["akey", "ckey", "id_", "first", "n", "context"],
-                )
-
-    joined = rows.join(recurring, "id_").select("id_", "text_", "akeys")
-    return joined.mapInArrow(cut, "akey long, ckey long, id_ long, first long, n int, context binary")
+            for i, text, wanted in zip(*(c.to_pylist() for c in b.columns)):
+                _, pieces = kind.symbols(text)
+                out = []
+                for r in wanted:
+                    place, n = r["shape"] >> 16, r["shape"] & 0xFFFF
+                    anchor = r["head_first"] + place
+                    for k in range((place - n + 1) // step, place // step + 1):
+                        near, far = max(k * step, place - n + 1), min(k * step + step - 1, place)  # distances to the anchor
+                        core = kind.piece(pieces, anchor - k * step, anchor - k * step - step + 1 + length)
+                        context = kind.piece(pieces, anchor - far, anchor - near + length)
+                        key = xxhash.xxh64_intdigest(core, (r["akey"] ^ k) & 0xFFFFFFFFFFFFFFFF)
+                        out.append((key - (1 << 63), xxhash.xxh64_intdigest(context, far << 16 | near) - (1 << 63), r["members"], i, anchor - far, far - near + 1, context))
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["key", "ckey", "members", "id_", "first", "shape", "context"])
+
+    wanted = heads.groupBy(F.col("head_id").alias("id_")).agg(F.collect_list(F.struct("akey", "members", "head_first", "shape")).alias("wanted"))
+    joined = rows.join(wanted, "id_").select("id_", "text_", "wanted")
+    return joined.mapInArrow(cut, "key long, ckey long, members long, id_ long, first long, shape int, context binary")
 
 
 def repeated(rows: DataFrame, kind: Kind, keep_first: bool, compare: Callable, hot: int = HOT, bucket: int = BUCKET) -> DataFrame:
     """id_, spans (first window, past the last): the windows of each document to be removed.
 
     keep_first: all but the first occurrence in the order of (id_, place); else all that occur twice.
-    compare(list of (class, members, id_, first, context), kind) gives (class, window in the run) to remove, for the
+    compare(list of (class, members, id_, first, context), kind) gives (class, window in the piece) to remove, for the
     classes of one bucket; only the representative of each class is judged.
     """
     spark = rows.sparkSession
     arrow(spark)
-    recurring = _recurring(rows, kind)
-    runs = saved(_runs(rows, recurring, kind), "repeats-runs")
+    runs = _runs(rows, kind)
+    classes, several = _classes(runs, "akey", F.count("*"))
+    pieces = saved(_pieces(rows, several, kind), "repeats-pieces")
     release(spark)
-    classes = runs.groupBy("akey", "ckey").agg(F.count("*").alias("members"), F.min(F.struct("id_", "first")).alias("head"))
-    classes = saved(classes.select("akey", "ckey", "members", F.col("head.id_").alias("head_id"), F.col("head.first").alias("head_first")), "repeats-classes")
-    several = saved(classes.groupBy("akey").agg(F.count("*").alias("classes")).where("classes > 1"), "repeats-several")
-    heads = runs.join(several, "akey").join(classes, ["akey", "ckey"]).where("id_ = head_id and first = head_first")
-    heads = saved(heads.select("akey", "ckey", "members", "id_", "first", "n", "classes", "context"), "repeats-heads")
+    fine, unsettled = _classes(pieces.drop("context"), "key", F.sum("members"))
+    heads = pieces.select("key", "ckey", "id_", "first", "context").join(unsettled.drop("shape"), ["key", "ckey"]).where("id_ = head_id and first = head_first")
+    heads = saved(heads.select("key", "ckey", "members", "id_", "first", "classes", "context"), "repeats-heads")
     release(spark)
 
     # Cold groups: whole groups share a bucket.
     cold = heads.where(F.col("classes") <= hot)
     total = cold.agg(F.sum(F.length("context")).alias("b")).first().b or 0
     buckets = int(total // bucket) + 1
-    schema = "akey long, ckey long, starts array<long>"
 
     def judge(table: pa.Table) -> pa.Table:
         found: dict[int, list[int]] = {}
@@ -184,43 +208,44 @@ def repeated(rows: DataFrame, kind: Kind, keep_first: bool, compare: Callable, h
             found.setdefault(i, []).append(w)
         rows_ = sorted(found)
         pick = pa.array(rows_, pa.int64())
-        return pa.table({"akey": table.column("akey").take(pick), "ckey": table.column("ckey").take(pick), "starts": pa.array([sorted(found[i]) for i in rows_], pa.list_(pa.int64()))})
+        return pa.table({"id_": table.column("id_").take(pick), "first": table.column("first").take(pick), "starts": pa.array([sorted(found[i]) for i in rows_], pa.list_(pa.int64()))})
 
-    dealt = cold.withColumn("bucket", F.pmod(F.xxhash64("akey"), F.lit(buckets)))
-    verdicts = saved(dealt.groupBy("bucket").applyInArrow(judge, schema), "repeats-verdicts")
+    dealt = cold.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    verdicts = saved(dealt.groupBy("bucket").applyInArrow(judge, "id_ long, first long, starts array<long>"), "repeats-verdicts")
 
     # Hot groups: every window by itself.
     def split(batches):
         for b in batches:
-            for members, i, first, n, context in zip(*(b.column(c).to_pylist() for c in ("members", "id_", "first", "n", "context"))):
-                symbols, pieces = kind.symbols(context)
-                whole = [kind.piece(pieces, w, w + kind.length) for w in range(n)]
+            for members, i, first, context in zip(*(b.column(c).to_pylist() for c in ("members", "id_", "first", "context"))):
+                symbols, parts = kind.symbols(context)
+                n = len(symbols) - kind.length + 1
+                whole = [kind.piece(parts, w, w + kind.length) for w in range(n)]
                 h = np.array([(xxhash.xxh64_intdigest(x, 1) >> 1, xxhash.xxh64_intdigest(x, 2) >> 1) for x in whole], np.int64)
                 same = lambda v: pa.array(np.full(n, v, np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), same(members), same(i), pa.array(first + np.arange(n))], ["h1", "h2", "members", "id_", "at"])
 
-    windows = heads.where(F.col("classes") > hot).select("members", "id_", "first", "n", "context").mapInArrow(split, "h1 long, h2 long, members long, id_ long, at long")
+    windows = heads.where(F.col("classes") > hot).select("members", "id_", "first", "context").mapInArrow(split, "h1 long, h2 long, members long, id_ long, at long")
     if heads.where(F.col("classes") > hot).limit(1).count():
         windows = saved(windows, "repeats-windows")
         counted = windows.groupBy("h1", "h2").agg(F.sum("members").alias("m"), F.count("*").alias("c"), F.min(F.struct("id_", "at")).alias("head"))
-        often = counted.where("c > 1" if keep_first else "m > 1")
-        hit = windows.join(often, ["h1", "h2"])
+        hit = windows.join(counted.where("c > 1" if keep_first else "m > 1"), ["h1", "h2"])
         if keep_first:
             hit = hit.where("id_ <> head.id_ or at <> head.at")
         singles = saved(hit.select("id_", F.col("at").alias("from"), (F.col("at") + 1).alias("to")), "repeats-singles")
     else:
         singles = spark.createDataFrame([], "id_ long, from long, to long")
 
-    plain = runs.select("akey", "ckey", "id_", "first", "n").join(classes, ["akey", "ckey"])
-    others = ~((F.col("id_") == F.col("head_id")) & (F.col("first") == F.col("head_first"))) if keep_first else F.col("members") > 1
-    whole = plain.where(others).select("id_", F.col("first").alias("from"), (F.col("first") + F.col("n")).alias("to"))
-    head = classes.join(verdicts, ["akey", "ckey"])
-    if not keep_first:
-        head = head.where("members = 1")
-    single = head.select(F.col("head_id").alias("id_"), "head_first", F.explode("starts").alias("w"))
-    single = single.select("id_", (F.col("head_first") + F.col("w")).alias("from"), (F.col("head_first") + F.col("w") + 1).alias("to"))
-    spans = whole.unionAll(single).unionAll(singles)
+    def whole(df: DataFrame, of: DataFrame, key: str) -> DataFrame:
+        """Runs or pieces all of whose windows go."""
+        met = df.select(key, "ckey", "id_", "first", F.col("shape").bitwiseAND(0xFFFF).alias("n")).join(of.select(key, "ckey", F.col("members").alias("all_"), "head_id", "head_first"), [key, "ckey"])
+        others = ~((F.col("id_") == F.col("head_id")) & (F.col("first") == F.col("head_first"))) if keep_first else F.col("all_") > 1
+        return met.where(others).select("id_", F.col("first").alias("from"), (F.col("first") + F.col("n")).alias("to"))
+
+    judged = verdicts.select("id_", "first", F.explode("starts").alias("w")).select("id_", (F.col("first") + F.col("w")).alias("from"), (F.col("first") + F.col("w") + 1).alias("to"))
+    spans = whole(runs, classes, "akey").unionAll(whole(pieces, fine, "key")).unionAll(judged).unionAll(singles)
     out = saved(spans.groupBy("id_").agg(F.collect_list(F.struct("from", "to")).alias("spans")), "repeats-spans")
+    for df in (runs, classes, several, pieces, fine, unsettled, heads, verdicts):
+        discard(df)
     release(spark)
     return out
 

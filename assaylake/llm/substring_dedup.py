@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from assaylake.llm.common import arrow, table
 from assaylake.llm.repeats import Kind, covered, numbered, repeated
 
-KIND = Kind(length=35, gram=16, words=True)
+KIND = Kind(length=35, gram=16, words=True, step=4)
 SHARD_WORDS = 200_000
 
 
