@@ -105,7 +105,6 @@ def _(t):
     return pairs(t).withColumn("rho", F.round("rho", 6))
 
 
-BAL = "rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_nationkey, c_acctbal) - 1) / 2.0"
 PARTIAL = f"""WITH {DENSE}, cov AS (SELECT n_name AS cohort, c_custkey AS sample, c_acctbal AS a, CAST(c_custkey % 17 AS DOUBLE) AS b FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey IN (SELECT sample FROM fam)),
 rz AS (SELECT cohort, sample, rank() OVER (PARTITION BY cohort ORDER BY a) + (count(*) OVER (PARTITION BY cohort, a) - 1) / 2.0 AS za, rank() OVER (PARTITION BY cohort ORDER BY b) + (count(*) OVER (PARTITION BY cohort, b) - 1) / 2.0 AS zb FROM cov),
 c AS (SELECT cohort, entity, target, count(*) AS n, corr(rx, ry) AS xy, corr(rx, za) AS xa, corr(rx, zb) AS xb, corr(ry, za) AS ya, corr(ry, zb) AS yb, corr(za, zb) AS ab FROM rx JOIN ry USING (cohort, sample) JOIN rz USING (cohort, sample) GROUP BY ALL),
