@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from assaylake.llm.common import saved, table
 
 SWEEPS, RATE, SOURCE_POWER, LANG_POWER, TOPIC_POWER = 12, 1.0, 0.7, 0.7, 0.8
+CELLS_A_FILE = 50_000
 DIMENSIONS = ("source_", "lang_", "topic_")
 
 
@@ -64,10 +65,12 @@ def fit(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS) -
     now = cells.join(F.broadcast(total)).withColumn("w", F.col("tokens").cast("double"))
     for d, t in targets.items():
         now = now.join(t.select(d, (F.col("target")).alias(f"t{d}")), d, "left")
+    files = cells.count() // CELLS_A_FILE + 1
     for _ in range(sweeps):
         for d in targets:
             have = F.sum("w").over(Window.partitionBy(d))
             now = now.withColumn("w", F.when((have > 0) & F.col(f"t{d}").isNotNull(), F.col("w") * (F.col(f"t{d}") * F.col("total") / have)).otherwise(F.col("w")))
+        now = saved(now.coalesce(files), "mixing-sweep")  # each sweep is a written table: plans stay small
     return now.withColumn("multiplier", F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(1.0)).select(*targets, "tokens", "w", "multiplier")
 
 
