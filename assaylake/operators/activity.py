@@ -32,7 +32,7 @@ def ucell(values: DataFrame, members: DataFrame, by: list[str], max_rank: int) -
     got = ranks.join(members.select("target", "entity"), "entity").groupBy(*by, "target").agg(F.sum("r").alias("s"), F.count("*").alias("seen"))
     low = F.col("m") * (F.col("m") + 1) / 2
     u = F.col("s") + (F.col("m") - F.col("seen")) * max_rank - low
-    return got.join(F.broadcast(sizes), "target").withColumn("score", 1 - u / (F.col("m") * max_rank - low)).select(*by, "target", "score")
+    return got.join(sizes, "target").withColumn("score", 1 - u / (F.col("m") * max_rank - low)).select(*by, "target", "score")
 
 
 def zscore(df: DataFrame, by: list[str], value: str, train: Column, out: str = "z") -> DataFrame:

@@ -51,7 +51,7 @@ def role_contract(edges: DataFrame, roles: DataFrame, key: list[str]) -> DataFra
 def isolation(external: DataFrame, used: DataFrame, study: str, pair: tuple[str, str]) -> DataFrame:
     """Flags and reasons: which external rows share a study, a pair or an entity with anything used."""
     a, b = pair
-    mark = lambda cols, name: F.broadcast(used.select(*cols).distinct().withColumn(name, F.lit(True)))
+    mark = lambda cols, name: used.select(*cols).distinct().withColumn(name, F.lit(True))
     out = external.join(mark([study], "study_used"), study, "left").join(mark([a, b], "pair_used"), [a, b], "left").join(mark([a], "entity_used"), a, "left").fillna(False, ["study_used", "pair_used", "entity_used"])
     reasons = F.array_compact(F.array(*[F.when(F.col(c), c) for c in ("study_used", "pair_used", "entity_used")]))
     return out.withColumns({"provenance_ok": ~F.col("study_used"), "pair_held_out": ~F.col("study_used") & ~F.col("pair_used"), "entity_held_out": ~F.col("study_used") & ~F.col("entity_used"), "reasons": F.array_join(reasons, ";")})

@@ -35,7 +35,7 @@ def coalesced(df: DataFrame, aliases: list[str]) -> Column:
 
 def resolve(rows: DataFrame, drugs: DataFrame, genes: DataFrame) -> DataFrame:
     """rows: drug, gene. Adds drug_id, gene_id and status mapped, drug_only, gene_only or unmapped."""
-    out = rows.join(F.broadcast(drugs), "drug", "left").join(F.broadcast(genes), "gene", "left")
+    out = rows.join(drugs, "drug", "left").join(genes, "gene", "left")
     d, g = F.col("drug_id").isNotNull(), F.col("gene_id").isNotNull()
     return out.withColumn("status", F.when(d & g, "mapped").when(d, "drug_only").when(g, "gene_only").otherwise("unmapped"))
 

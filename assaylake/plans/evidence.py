@@ -33,7 +33,7 @@ def _(t):
     return E.cell_support(rows, ["l_suppkey", "k"], "e", "q", "l_quantity", "l_returnflag", "sg", {"R": 1.0, "A": 0.6}).withColumn("support", F.round("support", 9))
 
 
-@query("agg04_interaction_support", "SELECT l_suppkey, p_brand, count(DISTINCT l_orderkey) AS events, max(CASE WHEN regexp_matches(lower(p_type), 'promo|standard') THEN 1.0 WHEN lower(p_type) LIKE '%small%' THEN 0.6 ELSE 0.3 END) AS level, round(least(1, ln(1 + count(DISTINCT l_orderkey)) / ln(11)) * max(CASE WHEN regexp_matches(lower(p_type), 'promo|standard') THEN 1.0 WHEN lower(p_type) LIKE '%small%' THEN 0.6 ELSE 0.3 END), 6) AS support FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL")
+@query("agg04_interaction_support", "SELECT l_suppkey, p_brand, count(DISTINCT l_orderkey) AS events, 1e0 * max(CASE WHEN regexp_matches(lower(p_type), 'promo|standard') THEN 1.0 WHEN lower(p_type) LIKE '%small%' THEN 0.6 ELSE 0.3 END) AS level, round(least(1, ln(1 + count(DISTINCT l_orderkey)) / ln(11)) * max(CASE WHEN regexp_matches(lower(p_type), 'promo|standard') THEN 1.0 WHEN lower(p_type) LIKE '%small%' THEN 0.6 ELSE 0.3 END), 6) AS support FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL")
 def _(t):
     rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     return E.interaction_support(rows, ["l_suppkey", "p_brand"], "l_orderkey", "p_type", [("promo|standard", 1.0), ("small", 0.6)], 0.3).withColumns(R6("support"))
@@ -276,5 +276,5 @@ def _(t):
 da AS (SELECT a, count(*) AS da FROM tn GROUP BY 1), db AS (SELECT b, count(*) AS db FROM tn GROUP BY 1), c AS (SELECT s_suppkey AS a, p_partkey AS b FROM supplier, part WHERE p_size = 1 EXCEPT SELECT a, b FROM tn) SELECT a, b, coalesce(da, 0) * coalesce(db, 0) AS score FROM c LEFT JOIN da USING (a) LEFT JOIN db USING (b)""")
 def _(t):
     e = G.split_known(t.lineitem.where("l_tax = 0").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")).distinct(), "a", "b", 0.8)
-    c = t.part.where("p_size = 1").select(F.col("p_partkey").alias("b")).join(F.broadcast(t.supplier.select(F.col("s_suppkey").alias("a"))))
+    c = t.part.where("p_size = 1").select(F.col("p_partkey").alias("b")).crossJoin(t.supplier.select(F.col("s_suppkey").alias("a")))
     return G.degree_prior(e.where("split = 'train'"), c, "a", "b").select("a", "b", "score")

@@ -47,7 +47,7 @@ def _(t):
     return long.groupBy("state").agg(F.count("v").alias("n"), there("k").alias("samples"), there("cohort").alias("cohorts"), F.round(F.avg("v"), 5).alias("mean"), F.round(F.stddev_samp("v"), 5).alias("sd"), F.min("v").alias("least"), F.max("v").alias("most"), F.when(F.col("state").rlike("^balance"), "account").otherwise("other").alias("grp"))
 
 
-@query("id25_assertions", "SELECT 'ev:' || substr(sha256(CAST(l_suppkey AS VARCHAR) || '|' || CAST(l_partkey AS VARCHAR) || '|' || l_returnflag), 1, 20) AS event_id, l_suppkey AS entity, l_partkey AS target, count(*) AS records FROM lineitem GROUP BY ALL, l_returnflag".replace("GROUP BY ALL, l_returnflag", "GROUP BY l_suppkey, l_partkey, l_returnflag"))
+@query("id25_assertions", "SELECT 'ev:' || substr(sha256(CAST(l_suppkey AS VARCHAR) || '|' || CAST(l_partkey AS VARCHAR) || '|' || l_returnflag), 1, 20) AS event_id, l_suppkey AS entity, l_partkey AS target, count(*) AS records FROM lineitem GROUP BY l_suppkey, l_partkey, l_returnflag")
 def _(t):
     return t.lineitem.groupBy("l_suppkey", "l_partkey", "l_returnflag").agg(F.count("*").alias("records")).select(stable_id("ev", F.col("l_suppkey"), F.col("l_partkey"), F.col("l_returnflag")).alias("event_id"), F.col("l_suppkey").alias("entity"), F.col("l_partkey").alias("target"), "records")
 

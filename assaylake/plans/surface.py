@@ -24,7 +24,7 @@ def _(t):
     return out.groupBy(F.regexp_extract("_source_path", r"/(\w+\.parquet)", 1).alias("src")).agg(F.count("*").alias("n"), F.count("c_acctbal").alias("balances"), F.count("s_acctbal").alias("supplied"))
 
 
-@query("src09_long", "SELECT l_suppkey, sample, value FROM (SELECT l_suppkey, sum(CAST(l_quantity AS BIGINT)) FILTER (WHERE l_returnflag = 'R') AS R, sum(CAST(l_quantity AS BIGINT)) FILTER (WHERE l_returnflag = 'A' AND l_tax > 0.079) AS A FROM lineitem GROUP BY 1) UNPIVOT (value FOR sample IN (R, A))")
+@query("src09_long", "SELECT l_suppkey, sample, CAST(value AS BIGINT) AS value FROM (SELECT l_suppkey, sum(CAST(l_quantity AS BIGINT)) FILTER (WHERE l_returnflag = 'R') AS R, sum(CAST(l_quantity AS BIGINT)) FILTER (WHERE l_returnflag = 'A' AND l_tax > 0.079) AS A FROM lineitem GROUP BY 1) UNPIVOT (value FOR sample IN (R, A))")
 def _(t):
     pick = lambda c: F.sum(F.when(c, F.col("l_quantity").cast("long")))
     wide = t.lineitem.groupBy("l_suppkey").agg(pick(F.col("l_returnflag") == "R").alias("R"), pick((F.col("l_returnflag") == "A") & (F.col("l_tax") > 0.079)).alias("A"))
@@ -37,7 +37,7 @@ def _(t):
     return stage("R").unionByName(stage("A"))
 
 
-@query("sc01_type_summary", "WITH b AS (SELECT p_brand, l_shipmode AS kind, 1 FROM lineitem, part WHERE false), g AS (SELECT p_brand, l_returnflag || l_linestatus AS kind, avg(CASE WHEN l_discount > 0 THEN 1.0 ELSE 0.0 END) AS detection, avg(l_discount) AS mean, count(DISTINCT l_suppkey) AS donors FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL), t AS (SELECT p_brand, max(mean) AS top, count(*) AS k, sum(mean) AS s FROM g GROUP BY 1) SELECT p_brand, kind, round(detection, 6) AS detection, round(mean, 9) AS mean, donors, round((k - s / top) / (k - 1), 6) AS tau FROM g JOIN t USING (p_brand)".replace("b AS (SELECT p_brand, l_shipmode AS kind, 1 FROM lineitem, part WHERE false), ", ""))
+@query("sc01_type_summary", "WITH g AS (SELECT p_brand, l_returnflag || l_linestatus AS kind, avg(CASE WHEN l_discount > 0 THEN 1.0 ELSE 0.0 END) AS detection, avg(l_discount) AS mean, count(DISTINCT l_suppkey) AS donors FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL), t AS (SELECT p_brand, max(mean) AS top, count(*) AS k, sum(mean) AS s FROM g GROUP BY 1) SELECT p_brand, kind, round(detection, 6) AS detection, round(mean, 9) AS mean, donors, round((k - s / top) / (k - 1), 6) AS tau FROM g JOIN t USING (p_brand)")
 def _(t):
     rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).withColumn("kind", F.concat("l_returnflag", "l_linestatus"))
     return C.type_summary(rows, "p_brand", "kind", "l_suppkey", "l_discount").withColumns({"detection": F.round("detection", 6), "mean": F.round("mean", 9), "tau": F.round("tau", 6)})
@@ -127,7 +127,7 @@ def _(t):
 
 
 @query("ml07_blend", """WITH r AS (SELECT CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS y, l_discount * 5 + 0.1 AS b, l_tax - 0.04 AS d, unnest([0.0, 0.5, 1.0, 2.0]) AS w FROM lineitem), s AS (SELECT w, y, least(greatest(b + w * d, 0), 1) AS s FROM r), g AS (SELECT w, s, sum(y) AS p, sum(1 - y) AS n FROM s GROUP BY ALL), c AS (SELECT *, sum(n) OVER (PARTITION BY w ORDER BY s) - n AS below FROM g), a AS (SELECT w, sum(p * (below + n / 2)) / (sum(p) * sum(n)) AS auroc FROM c GROUP BY 1), b AS (SELECT w, avg((s - y) * (s - y)) AS brier FROM s GROUP BY 1)
-SELECT w AS weight, round(auroc, 6) AS auroc, round(brier, 6) AS brier FROM a JOIN b USING (w) WHERE brier <= (SELECT brier FROM b WHERE w = 0) + 0.01 ORDER BY round(auroc, 9) DESC, w LIMIT 1""")
+SELECT CAST(w AS DOUBLE) AS weight, round(auroc, 6) AS auroc, round(brier, 6) AS brier FROM a JOIN b USING (w) WHERE brier <= (SELECT brier FROM b WHERE w = 0) + 0.01 ORDER BY round(auroc, 9) DESC, w LIMIT 1""")
 def _(t):
     rows = t.lineitem.select((F.col("l_returnflag") == "R").cast("double").alias("y"), (F.col("l_discount") * 5 + 0.1).alias("b"), (F.col("l_tax") - 0.04).alias("d"))
     return M.blend_weight(rows, "b", "d", "y", (0.5, 1.0, 2.0), 0.01).withColumns({"auroc": F.round("auroc", 6), "brier": F.round("brier", 6)})
@@ -158,9 +158,9 @@ def _(t):
 
 
 @query("qry08_sparse_key", """WITH k AS (SELECT s_suppkey AS s, p_partkey AS p FROM supplier, part WHERE p_partkey % 20 = 1), h AS (SELECT DISTINCT l_suppkey AS s FROM lineitem WHERE l_tax = 0.08 AND l_quantity = 50), x AS (SELECT DISTINCT l_partkey AS p FROM lineitem WHERE l_tax = 0), v AS (SELECT l_suppkey AS s, l_partkey AS p, max(l_discount) AS v FROM lineitem GROUP BY ALL)
-SELECT s, p, v, CASE WHEN h.s IS NULL THEN 'no_held_out_assay' WHEN x.p IS NULL THEN 'no_expression' WHEN v IS NULL THEN 'no_value' END AS reason FROM (SELECT k.s, k.p, v.v FROM k LEFT JOIN v USING (s, p)) q LEFT JOIN h USING (s) LEFT JOIN x USING (p)""".replace("SELECT s, p, v, CASE", "SELECT q.s AS s, q.p AS p, q.v AS v, CASE").replace("LEFT JOIN h USING (s) LEFT JOIN x USING (p)", "LEFT JOIN h ON q.s = h.s LEFT JOIN x ON q.p = x.p"))
+SELECT q.s AS s, q.p AS p, q.v AS v, CASE WHEN h.s IS NULL THEN 'no_held_out_assay' WHEN x.p IS NULL THEN 'no_expression' WHEN v IS NULL THEN 'no_value' END AS reason FROM (SELECT k.s, k.p, v.v FROM k LEFT JOIN v USING (s, p)) q LEFT JOIN h ON q.s = h.s LEFT JOIN x ON q.p = x.p""")
 def _(t):
-    k = t.part.where("p_partkey % 20 = 1").select(F.col("p_partkey").alias("p")).join(F.broadcast(t.supplier.select(F.col("s_suppkey").alias("s"))))
+    k = t.part.where("p_partkey % 20 = 1").select(F.col("p_partkey").alias("p")).crossJoin(t.supplier.select(F.col("s_suppkey").alias("s")))
     h = t.lineitem.where("l_tax = 0.08 and l_quantity = 50").select(F.col("l_suppkey").alias("s"), F.lit(1).alias("h")).distinct()
     x = t.lineitem.where("l_tax = 0").select(F.col("l_partkey").alias("p"), F.lit(1).alias("x")).distinct()
     v = t.lineitem.groupBy(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).agg(F.max("l_discount").alias("v"))

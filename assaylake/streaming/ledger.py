@@ -16,7 +16,7 @@ def segment_stream(spark: SparkSession, incoming: str, schema: str, entities: Da
 
     def work(batch: DataFrame, _: int) -> None:
         patients = batch.select("patient").distinct()
-        points = entities.join(F.broadcast(patients))
+        points = entities.crossJoin(patients)
         mapped = as_of(points, batch, ["patient", "chrom"], "mid", "start", "end", ["value"])
         calls = segment_calls(mapped, ["patient", "entity"], "value", 0.3, -0.3)
         calls.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("patient").parquet(out)
