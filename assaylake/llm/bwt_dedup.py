@@ -27,14 +27,18 @@ SHARDS = 2
 
 
 class Transform:
-    """Multi-string transform: per row the symbol before its suffix (0: the string's end mark) and where the suffix is."""
+    """Multi-string transform: per row the symbol before its suffix (0: the string's end mark), the two symbols before it as one
+    number where the alphabet allows, and where the suffix is."""
 
-    def __init__(self, bwt: np.ndarray, at: np.ndarray):
-        self.bwt, self.at = bwt, at
+    def __init__(self, bwt: np.ndarray, at: np.ndarray, pair: np.ndarray | None = None):
+        self.bwt, self.at, self.pair = bwt, at, pair
 
 
-def build(texts: list[bytes], base: int = 0) -> Transform:
-    """Of one shard, by prefix doubling over the rotations of each text and its end mark. at: base + place in the texts with their marks."""
+def build(texts: list[bytes], base: int = 0, codes: np.ndarray | None = None) -> Transform:
+    """Of one shard, by prefix doubling over the rotations of each text and its end mark. at: base + place in the texts with their
+    marks. codes: rank of each byte among those of all shards, from 1."""
+    codes = np.arange(1, 257) if codes is None else codes
+    wide_alphabet = int(codes.max()) + 1
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
     ends = np.cumsum(sizes)
     begin = np.repeat(ends - sizes, sizes)
@@ -43,7 +47,7 @@ def build(texts: list[bytes], base: int = 0) -> Transform:
     s = np.zeros(n, np.int64)
     inside = np.ones(n, bool)
     inside[ends - 1] = False
-    s[inside] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 1
+    s[inside] = codes[np.frombuffer(b"".join(texts), np.uint8)]
     own = np.arange(n) - begin
     jump = lambda k: begin + (own + k) % wide
     key, done = s.copy(), 1
@@ -59,11 +63,16 @@ def build(texts: list[bytes], base: int = 0) -> Transform:
         key = rank * n + rank[jump(done)]
         done *= 2
     before = s[begin + (own - 1) % wide]
-    return Transform(before[order].astype(np.uint16), order + base)
+    pair = None
+    if wide_alphabet**2 <= 1 << 16:
+        pair = (s[begin + (own - 2) % wide] * wide_alphabet + before)[order].astype(np.uint16)
+    return Transform(before[order].astype(np.uint16), order + base, pair)
 
 
-def merge(a: Transform, b: Transform, depth: int) -> tuple[Transform, np.ndarray]:
-    """The transform of both, and the common prefix of each row with the one above, up to `depth`."""
+def merge(a: Transform, b: Transform, depth: int, stride: int = 1) -> tuple[Transform, np.ndarray]:
+    """The transform of both, and the common prefix of each row with the one above, up to `depth`, in whole strides.
+
+    stride 2 takes two symbols a pass; it needs an even depth and the pairs of both."""
     n = len(a.bwt) + len(b.bwt)
     turn = np.zeros(n, bool)
     turn[len(a.bwt) :] = True
@@ -71,37 +80,47 @@ def merge(a: Transform, b: Transform, depth: int) -> tuple[Transform, np.ndarray
     prefix = np.full(n, depth, np.int32)
     prefix[:1] = 0
     symbols = np.empty(n, np.uint16)
-    for h in range(1, depth + 1):
-        symbols[~turn], symbols[turn] = a.bwt, b.bwt
+    left, right = (a.pair, b.pair) if stride == 2 else (a.bwt, b.bwt)
+    for h in range(stride, depth + 1, stride):
+        symbols[~turn], symbols[turn] = left, right
         order = np.argsort(symbols, kind="stable")  # a counting pass: the symbols are 16-bit
         turn, group, symbols = turn[order], group[order], symbols[order]
         part = np.zeros(n, bool)
         part[1:] = (symbols[1:] != symbols[:-1]) | (group[1:] != group[:-1])
-        prefix[part & (prefix == depth)] = h - 1
+        prefix[part & (prefix == depth)] = h - stride
         group = np.cumsum(part, dtype=np.int32)
-    bwt, at = np.empty(n, np.uint16), np.empty(n, np.int64)
-    bwt[~turn], bwt[turn] = a.bwt, b.bwt
-    at[~turn], at[turn] = a.at, b.at
-    return Transform(bwt, at), prefix
+
+    def woven(x, y, kind):
+        out = np.empty(n, kind)
+        out[~turn], out[turn] = x, y
+        return out
+
+    pair = None if a.pair is None or b.pair is None else woven(a.pair, b.pair, np.uint16)
+    return Transform(woven(a.bwt, b.bwt, np.uint16), woven(a.at, b.at, np.int64), pair), prefix
 
 
 def intervals(texts: list[bytes], depth: int, shards: int = SHARDS) -> tuple[np.ndarray, np.ndarray]:
     """Places (in the texts joined with one mark after each) in the order of the merged transform, and the number of the repeated interval of each."""
     shards = max(1, min(shards, len(texts)))
     cuts = np.linspace(0, len(texts), shards + 1).astype(int)
+    there = np.zeros(256, bool)
+    there[np.frombuffer(b"".join(texts), np.uint8)] = True
+    codes = np.where(there, np.cumsum(there), 0)
+    stride = 2 if (int(there.sum()) + 1) ** 2 <= 1 << 16 and depth % 2 == 0 else 1
     parts, base = [], 0
     for i, j in zip(cuts[:-1], cuts[1:]):
-        parts.append(build(texts[i:j], base))
+        parts.append(build(texts[i:j], base, codes))
         base += sum(len(t) + 1 for t in texts[i:j])
     prefix = None
     while len(parts) > 1:
         merged = []
         for i in range(0, len(parts) - 1, 2):
-            whole, prefix = merge(parts[i], parts[i + 1], depth)
+            whole, prefix = merge(parts[i], parts[i + 1], depth, stride)
             merged.append(whole)
         parts = merged + parts[len(parts) - len(parts) % 2 :]
     if prefix is None or len(prefix) != len(parts[0].at):
-        whole, prefix = merge(parts[0], Transform(np.zeros(0, np.uint16), np.zeros(0, np.int64)), depth)
+        empty = np.zeros(0, np.uint16)
+        whole, prefix = merge(parts[0], Transform(empty, np.zeros(0, np.int64), empty), depth, stride)
         parts = [whole]
     return parts[0].at, np.cumsum(prefix < depth)
 
