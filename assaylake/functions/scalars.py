@@ -50,6 +50,11 @@ def direction(c: Column) -> Column:
     return F.when(low.rlike("^(up|pos|positive|increase|activat|a$)"), "positive").when(low.rlike("^(down|neg|negative|decrease|inhibit|repress|r$)"), "negative").otherwise("unknown")
 
 
+def safe_corr(x, y) -> Column:
+    """Pearson's correlation; null without variance, where the built-in raises under ANSI rules."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def minus_log10(p: Column, floor: float = 1e-300) -> Column:
     return -F.log10(F.greatest(p, F.lit(floor)))
 

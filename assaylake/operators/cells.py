@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assaylake.functions.scalars import safe_corr
+
 
 def type_summary(df: DataFrame, entity: str, kind: str, donor: str, value: str) -> DataFrame:
     """entity, kind, detection, mean, donors and the entity's tau over kinds."""
@@ -50,7 +52,7 @@ def coverage_counts(df: DataFrame, cohort: str, entity: str) -> DataFrame:
 
 def donor_effects(df: DataFrame, by: list[str], donor: str, x: str, y: str, least: int) -> DataFrame:
     """Correlation within each donor, then the unweighted Fisher-z mean, its t and direction consistency over donors."""
-    per = df.groupBy(*by, donor).agg(F.corr(x, y).alias("r"), F.count("*").alias("n")).where((F.col("n") >= least) & F.col("r").isNotNull() & ~F.isnan("r"))
+    per = df.groupBy(*by, donor).agg(safe_corr(x, y).alias("r"), F.count("*").alias("n")).where((F.col("n") >= least) & F.col("r").isNotNull() & ~F.isnan("r"))
     z = F.atanh(F.least(F.greatest(F.col("r"), F.lit(-0.999999)), F.lit(0.999999)))
     out = per.withColumn("z_", z).groupBy(*by).agg(F.count("*").alias("donors"), F.avg("z_").alias("m_"), F.stddev_samp("z_").alias("s_"), F.avg((F.col("z_") > 0).cast("double")).alias("up_"))
     return out.select(*by, "donors", F.tanh("m_").alias("effect"), F.when(F.col("s_") > 1e-12, F.col("m_") / (F.col("s_") / F.sqrt("donors"))).alias("t"), F.greatest("up_", 1 - F.col("up_")).alias("consistency"))

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assaylake.functions.scalars import safe_corr
 from assaylake.operators.genesets import rank_biased_overlap, weighted_jaccard
 from assaylake.operators.stats import rank_pairs
 
@@ -108,8 +109,8 @@ def cross_screen(df: DataFrame, screen: str, model: str, item: str, value: str)
 
 def conditions(df: DataFrame, by: list[str], condition: list[str], fold: str, x: str, y: str, least: int) -> DataFrame:
     """Correlation per key and condition over all rows, and the share of folds whose own sign agrees with it."""
-    whole = df.groupBy(*by, *condition).agg(F.corr(x, y).alias("rho"), F.count("*").alias("n")).where(F.col("n") >= least)
-    folds = df.groupBy(*by, *condition, fold).agg(F.corr(x, y).alias("r_"))
+    whole = df.groupBy(*by, *condition).agg(safe_corr(x, y).alias("rho"), F.count("*").alias("n")).where(F.col("n") >= least)
+    folds = df.groupBy(*by, *condition, fold).agg(safe_corr(x, y).alias("r_"))
     met = folds.join(whole, [*by, *condition]).where("r_ is not null and not isnan(r_)")
     return met.groupBy(*by, *condition).agg(F.first("n").alias("n"), F.first("rho").alias("rho"), F.avg((F.signum("r_") == F.signum("rho")).cast("double")).alias("agreement"))
 
@@ -130,7 +131,7 @@ def masked_pairs(x: DataFrame, y: DataFrame, by: list[str], sample: str, xs: tup
     def rho(df):
         k = [*by, xs[0], ys[0]]
         rank = lambda v: F.rank().over(Window.partitionBy(*k).orderBy(v)) + (F.count("*").over(Window.partitionBy(*k, v)) - 1) / 2
-        return df.select(*k, rank(xs[1]).alias("rx_"), rank(ys[1]).alias("ry_")).groupBy(*k).agg(F.count("*").alias("n"), F.corr("rx_", "ry_").alias("rho"))
+        return df.select(*k, rank(xs[1]).alias("rx_"), rank(ys[1]).alias("ry_")).groupBy(*k).agg(F.count("*").alias("n"), safe_corr("rx_", "ry_").alias("rho"))
 
     return rho(even).unionAll(rho(odd))
 

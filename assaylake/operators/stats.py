@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assaylake.functions.scalars import safe_corr
 from assaylake.operators.windows import average_rank
 
 
@@ -15,7 +16,7 @@ def rank_pairs(x: DataFrame, y: DataFrame, by: list[str], sample: str, xs: tuple
     rx = x.select(*by, sample, xs[0], average_rank(xs[1], [*by, xs[0]]).alias("rx_"))
     ry = y.select(*by, sample, ys[0], average_rank(ys[1], [*by, ys[0]]).alias("ry_"))
     pairs = rx.join(ry, [*by, sample]).groupBy(*by, xs[0], ys[0])
-    return pairs.agg(F.count("*").alias("n"), F.corr("rx_", "ry_").alias("rho"))
+    return pairs.agg(F.count("*").alias("n"), safe_corr("rx_", "ry_").alias("rho"))
 
 
 def t_of(rho: Column, n: Column, covariates: int = 0) -> Column:
@@ -29,7 +30,7 @@ def partial(r, x: str, y: str, given: list[str]) -> Column:
         return r(x, y)
     z, rest = given[0], given[1:]
     xy, xz, yz = partial(r, x, y, rest), partial(r, x, z, rest), partial(r, y, z, rest)
-    return (xy - xz * yz) / F.sqrt((1 - xz * xz) * (1 - yz * yz))
+    return F.try_divide(xy - xz * yz, F.sqrt(F.greatest((1 - xz * xz) * (1 - yz * yz), F.lit(0.0))))
 
 
 def partial_rank_pairs(x: DataFrame, y: DataFrame, z: DataFrame, by: list[str], sample: str, xs: tuple[str, str], ys: tuple[str, str], covariates: list[str]) -> DataFrame:
@@ -39,7 +40,7 @@ def partial_rank_pairs(x: DataFrame, y: DataFrame, z: DataFrame, by: list[str],
     ry = y.select(*by, sample, ys[0], average_rank(ys[1], [*by, ys[0]]).alias("ry_"))
     names = {"x": "rx_", "y": "ry_", **{c: f"z_{c}" for c in covariates}}
     order = list(names)
-    sums = [F.corr(names[a], names[b]).alias(f"c_{a}_{b}") for i, a in enumerate(order) for b in order[i + 1 :]]
+    sums = [safe_corr(names[a], names[b]).alias(f"c_{a}_{b}") for i, a in enumerate(order) for b in order[i + 1 :]]
     stats = rx.join(ry, [*by, sample]).groupBy(*by, xs[0], ys[0]).agg(F.count("*").alias("n"), *sums)
     r = lambda a, b: F.col(f"c_{a}_{b}" if order.index(a) < order.index(b) else f"c_{b}_{a}")
     return stats.select(*by, xs[0], ys[0], "n", r("x", "y").alias("rho"), partial(r, "x", "y", covariates).alias("rho_adjusted"))

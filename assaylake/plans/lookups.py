@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from assaylake.functions.scalars import stable_id
+from assaylake.functions.scalars import safe_corr, stable_id
 from assaylake.operators import graph as G
 from assaylake.operators import joins as J
 from assaylake.operators import stats as S
@@ -56,7 +56,7 @@ def _(t):
 def _(t):
     rows = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     d = rows.groupBy("p_brand", "o_custkey").agg(F.avg("l_extendedprice").alias("x"), F.avg("l_tax").alias("y"))
-    return d.groupBy("p_brand").agg(F.count("*").alias("donors"), F.round(F.corr("x", "y"), 6).alias("r")).where("donors >= 10")
+    return d.groupBy("p_brand").agg(F.count("*").alias("donors"), F.round(safe_corr("x", "y"), 6).alias("r")).where("donors >= 10")
 
 
 @query("sta21_state_edges", "SELECT p_type AS family, l_returnflag AS state, round(sum(p_size * (l_discount - 0.0431)) / sum(p_size), 6) AS effect, min(l_tax) AS min_fdr, count(*) AS edges FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL")
