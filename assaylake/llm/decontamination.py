@@ -227,8 +227,11 @@ def judge(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str
 
 
 def filtered(docs: DataFrame, items: DataFrame, share: int = SHARE, limit: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of docs that aren't contaminated, with all columns. With one block of items it is decided where the row is."""
+    """The rows of docs that aren't contaminated, with all columns. With one block of items it is decided where the row is.
+
+    Items without an id are searched like the others; only judge() leaves them out, as its items_sha256 names items."""
     spark = docs.sparkSession
+    items = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
     arrow(spark)
     words_there = items.agg(F.sum(F.octet_length("text").cast("long") / 2 + 1).alias("n")).first().n or 0
     if words_there >= limit:

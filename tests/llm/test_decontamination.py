@@ -70,3 +70,10 @@ def test_filtered_keeps_what_judge_clears(spark):
         got = D.filtered(d, b, limit=limit)
         assert got.columns == d.columns
         assert sorted(r.doc_id for r in got.collect()) == sorted(i for i, _ in docs if i not in bad)
+
+
+def test_filtered_searches_items_without_an_id(spark):
+    passage = " ".join(f"p{i}" for i in range(20))
+    d, b = frames(spark, [(1, passage), (2, "other words")], [(None, passage), (None, passage + " more"), (5, "z " * 13)])
+    for limit in (20, 10**6):
+        assert [r.doc_id for r in D.filtered(d, b, limit=limit).collect()] == [2]

@@ -65,3 +65,10 @@ def test_stage_finds_copies_three_bits_miss(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     assert sorted(r.doc_id for r in corpus_pipeline.simhash_stage(spark, df, "").collect()) == want
     assert corpus_pipeline.simhash_stage(spark, df.limit(0), "").count() == 0
+
+
+def test_stage_keeps_one_row_a_group_where_ids_repeat(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(20))
+    docs = [(1, text("a")), (2, text("a")), (2, text("b")), (3, text("c")), (3, text("c")), (None, text("a")), (None, text("a"))]
+    got = corpus_pipeline.simhash_stage(spark, spark.createDataFrame(docs, "doc_id long, text string"), "").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([docs[0], docs[2], docs[3], docs[5], docs[6]], key=str)
