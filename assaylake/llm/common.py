@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,19 +28,34 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """df as a written table in the shared folder: cuts the lineage and outlives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    """df as a written table in the shared folder: cuts the lineage and outlives lost executors.
+
+    Shuffle files of the job go as soon as the table is written; nothing reads them any more."""
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes a table that saved() wrote and that nothing reads any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df._saved_at)
-    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A session setting for the time of the block."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that saved() wrote and that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._saved_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def arrow(spark: SparkSession) -> None:
@@ -50,12 +66,10 @@ def arrow(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def numbered_rows(rows: DataFrame, key: str, text: str, name: str) -> DataFrame:
+    """rows with a unique number in the order of key and text, also where a key repeats; equal rows are alike, so the numbers don't depend on how rows lie."""
+    own = rows.withColumn("by_", F.xxhash64(text)).repartitionByRange(F.col(key), F.col("by_")).sortWithinPartitions(key, "by_", text)
+    return own.withColumn(name, F.monotonically_increasing_id()).drop("by_")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaylake.llm.common import release, saved
+from assaylake.llm.common import saved
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -36,4 +36,3 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
         before = digest
         now = saved(_small(_large(now)), "edges")
-        release(spark)

@@ -4,17 +4,19 @@ Every run of 35 words that also occurs elsewhere goes, all its occurrences. The
 itself, so a broadcast of every shard's automaton to every document would take work in the square of the
 corpus; instead the shards are routed: repeats.py brings the contexts that can share a window to one
 bucket, the bucket's contexts are a reference shard, its suffix automaton over words is built with
-occurrence counts, and the same contexts are streamed through it for matching statistics. Where the
-statistics reach the window length, the state of that length tells how often the window occurs.
+weighted occurrence counts, and the same contexts are streamed through it for matching statistics. Where
+the statistics reach the window length, the state of that length tells how often the window occurs.
 
 Words are runs of bytes other than 0x20 and 0x09-0x0D, unchanged. Null texts have no words.
-broadcast_matches() is the form with a given, bounded reference: automata of its shards are broadcast
-one by one and documents streamed through them.
+Rows that repeat an id are judged one by one; null and empty texts have no words; keys may be null or text.
+Other columns are left out. broadcast_matches() is the form with a given, bounded reference: automata of its
+shards are broadcast and documents streamed through them.
 """
 
 from __future__ import annotations
 
 import hashlib
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assaylake.llm.common import arrow, table
-from assaylake.llm.repeats import Kind, covered, numbered, repeated
+from assaylake.llm.repeats import Kind, covered, numbered, repeated, spans_of
 
-KIND = Kind(length=35, gram=16, words=True, step=4)
+KIND = Kind(length=35, gram=10, words=True)
 SHARD_WORDS = 200_000
 
 
@@ -42,27 +44,23 @@ class Automaton:
         self.count.append(0)
         return len(self.link) - 1
 
-    def add(self, words: list, weight: int = 1) -> None:
+    def add(self, words: list, weights: list | None = None) -> None:
+        """One more text; weights: how often what ends at each word occurs (once by default)."""
         last, nxt, link, length, count = 0, self.next, self.link, self.length, self.count
-        for w in words:
+        for w, weight in zip(words, weights or [1] * len(words)):
             p = last
             if w in nxt[p]:
                 q = nxt[p][w]
-                if length[q] == length[p] + 1:
-                    last = q
-                else:
-                    last = self._split(p, q, w)
-                count[last] += weight
-                continue
-            cur = self._state(length[p] + 1, 0, {})
-            while p >= 0 and w not in nxt[p]:
-                nxt[p][w] = cur
-                p = link[p]
-            if p >= 0:
-                q = nxt[p][w]
-                link[cur] = q if length[q] == length[p] + 1 else self._split(p, q, w)
-            count[cur] += weight
-            last = cur
+                last = q if length[q] == length[p] + 1 else self._split(p, q, w)
+            else:
+                last = self._state(length[p] + 1, 0, {})
+                while p >= 0 and w not in nxt[p]:
+                    nxt[p][w] = last
+                    p = link[p]
+                if p >= 0:
+                    q = nxt[p][w]
+                    link[last] = q if length[q] == length[p] + 1 else self._split(p, q, w)
+            count[last] += weight
 
     def _split(self, p: int, q: int, w) -> int:
         clone = self._state(self.length[p] + 1, self.link[q], dict(self.next[q]))
@@ -95,34 +93,41 @@ class Automaton:
             yield have, v
 
 
-def compare(classes: list, kind: Kind):
-    """(class, window) of all windows that occur more than once among the classes' contexts, members counted."""
-    texts = [(c, c_words, members) for c, members, _, _, context in classes for c_words in (context.split(),)]
-    shard = Automaton()
-    for _, words, members in texts:
-        shard.add(words, members)
+def compare(texts: list[bytes], sizes: np.ndarray, weights: np.ndarray, kind: Kind) -> tuple[np.ndarray, np.ndarray]:
+    """Windows that occur more than once among the contexts, by their weights: to go everywhere, at heads and other members."""
+    shard, split, known = Automaton(), [], {}
+    for t, n, past in zip(texts, sizes.tolist(), np.cumsum(sizes).tolist()):
+        words = [known.setdefault(w, len(known)) for w in t.split()]
+        split.append(words)
+        shard.add(words, [0] * (kind.length - 1) + weights[past - n : past].tolist())
     shard.close()
-    for c, words, _ in texts:
-        for end, (have, state) in enumerate(shard.statistics(words, kind.length)):
-            if have >= kind.length and shard.count[state] > 1:
-                yield c, end - kind.length + 1
+    count, gone = shard.count, []
+    for words in split:
+        found = list(shard.statistics(words, kind.length))[kind.length - 1 :]
+        gone += [have >= kind.length and count[state] > 1 for have, state in found]
+    mask = np.array(gone, bool)
+    return mask, mask
 
 
 def strip(docs: DataFrame, key: str = "doc_id", kind: Kind = KIND, texts: bool = False, **sizes) -> DataFrame:
     """key, n_words, n_removed, kept_sha256 of every row; with texts: the kept text as well."""
     rows = numbered(docs, key)
-    spans = repeated(rows, kind, False, compare, **sizes)
+    spans = repeated(rows, kind, compare, **sizes)
     arrow(docs.sparkSession)
     as_key = docs.schema[key].dataType.simpleString()
 
     def apply(batches):
         for b in batches:
             out = []
-            for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                words = (t or b"").split()
-                gone = covered(s or [], len(words), kind.length)
-                kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g]) if s else b" ".join(words)
-                out.append((len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode() if texts else None))
+            for t, s in zip(b.column(1).to_pylist(), spans_of(b.column(2))):
+                words, removed = (t or b"").split(), 0
+                kept = words
+                if s is not None:
+                    gone = covered(s, len(words), kind.length)
+                    removed = int(np.count_nonzero(gone))
+                    kept = list(compress(words, (~gone).tolist()))
+                kept = b" ".join(kept)
+                out.append((len(words), removed, hashlib.sha256(kept).hexdigest(), kept.decode() if texts else None))
             cols = [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], [key, "n_words", "n_removed", "kept_sha256", "kept"])
 
