@@ -7,12 +7,14 @@ one block: shard, number, position in the shard, plane sizes (the block index),
 documents have how many ids in it. read() gives the ids back; digests() one row a document from the
 blocks alone.
 
-Encoding remembers the ids of each stretch between spaces, and of each word (pre-token) in it: the
-tokenizer's first step always splits there, so the ids are those of the whole text. Texts with the
-separators 0x1C-0x1F, which engines class differently, or with a special token's beginning are encoded
-whole; stretches with characters beyond U+024F are encoded as they are.
-
-Null texts are empty: the end id only. Rows that repeat a doc_id keep a row each. A null doc_id sorts first.
+A batch of texts is split at its spaces at once, the different words are encoded together (a word with the
+space before it; the tokenizer's first step always splits there, so the ids are those of the whole text)
+and every word's ids are gathered from that table. Texts with spaces next to other white space or at an end are cut
+by the same rule one by one; texts with the separators 0x1C-0x1F, which engines class differently, or with a
+special token's beginning are encoded whole.
+
+Null texts are empty: the end id only. Rows that repeat a doc_id keep a row each, in the order of a hash of their
+texts, then of the texts. A null doc_id sorts first. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -20,12 +22,13 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from array import array
 from collections import deque
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -33,14 +36,13 @@ from pyspark.sql import functions as F
 
 from assaylake.llm.common import arrow, saved, table
 
-BLOCK, LEVEL, END, REMEMBERED = 1 << 16, 3, 2, 1_000_000
+BLOCK, LEVEL, END, REMEMBERED = 1 << 16, 3, 2, 500_000
 STRETCH = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-ODD = re.compile("[\x1c-\x1f]")
-EDGE = re.compile(r"\s | \s|\A | \Z")
-# The byte-level tokenizer's own split, for characters up to U+024F, whose classes are the same in all engines.
-_L, _N = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
-PRE_TOKEN = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
-SIMPLE = re.compile("[\x00-\u024f]*\\Z")
+WHOLE = re.compile(r"[\x1c-\x1f]|<\|")
+#: White space of Unicode, for engines whose \s is ASCII.
+_SPACE = r"\t-\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+ODD = rf"^ | $|[{_SPACE}] | [{_SPACE}]|[\x1c-\x1f]|<\|"
+JOINED = 1 << 15  # words encoded in one call
 SCHEMA = "shard int, block int, first long, n int, width int, bits boolean, sizes array<int>, planes binary, seqs array<long>, doc_ids array<bigint>, counts array<int>"
 
 
@@ -57,20 +59,13 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def _byte_letters() -> dict[int, int]:
-    """The byte-level alphabet: printable Latin-1 stands for itself, the other bytes for U+0100 on, in order."""
-    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    others = iter(range(256, 512))
-    return {b: b if b in own else next(others) for b in range(256)}
-
-
 class _Memo(dict):
     """Computes what it doesn't have; forgets all beyond a number of entries."""
 
     def __init__(self, compute, most: int):
         self.compute, self.most = compute, most
 
-    def __missing__(self, key: str) -> bytes:
+    def __missing__(self, key: str) -> np.ndarray:
         if len(self) >= self.most:
             self.clear()
         value = self[key] = self.compute(key)
@@ -78,44 +73,89 @@ class _Memo(dict):
 
 
 class Encoder:
-    """ids of whole texts as little-endian bytes; remembers those of stretches and of the words in them.
-
-    A new word goes straight to the tokenizer's model, where the tokenizer does nothing to it but to spell it in the byte-level
-    alphabet; for any other tokenizer whole texts are encoded.
-    """
+    """ids of whole texts. Batches share the work on equal words where the tokenizer is byte-level, splits before spaces and does
+    nothing else to a text; for any other tokenizer whole texts are encoded."""
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
-        self.model, self.letters = self.tokenizer.model, _byte_letters()
         setup = json.loads(self.tokenizer.to_str())
         first = setup["pre_tokenizer"] or {}
         self.plain = setup["normalizer"] is None and first.get("type") == "ByteLevel" and first.get("use_regex") and not first.get("add_prefix_space") and not setup["model"].get("dropout")
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.code = "H" if self.width == 2 else "I"
-        self.words = _Memo(self._word, REMEMBERED)
-        self.stretches = _Memo(self._stretch, REMEMBERED // 2)
-
-    def _ids(self, text: str) -> bytes:
-        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def _word(self, word: str) -> bytes:
-        spelled = word.encode().decode("latin-1").translate(self.letters)
-        return array(self.code, [t.id for t in self.model.tokenize(spelled)]).tobytes()
-
-    def _stretch(self, stretch: str) -> bytes:
-        if not SIMPLE.match(stretch):
-            return self._ids(stretch)
-        return b"".join(map(self.words.__getitem__, PRE_TOKEN.findall(stretch)))
-
-    def encode(self, text: str) -> bytes:
-        if not self.plain or ODD.search(text) or "<|" in text:  # special tokens are found before the split
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.width = 2 if max(vocabulary.values(), default=0) < 1 << 16 else 4
+        self.type = np.dtype(f"<u{self.width}")
+        self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids of tokens that begin with a space
+        self.spaced[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
+        self.parts = _Memo(self._ids, REMEMBERED // 4)
+        self._forget()
+
+    def _forget(self) -> None:
+        """Words met so far, by number; the ids of word k are table[places[k] : places[k] + sizes[k]]."""
+        self.known: dict[str, int] = {}
+        self.table, self.places, self.sizes = np.zeros(0, self.type), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.type)
+
+    def encode(self, text: str) -> np.ndarray:
+        """One text by itself."""
+        if not self.plain or WHOLE.search(text):
             return self._ids(text)
-        if EDGE.search(text):
-            parts = STRETCH.findall(text)
-        else:
-            first, *others = text.split(" ")
-            parts = [first, *[" " + p for p in others]]
-        return b"".join(map(self.stretches.__getitem__, parts))
+        return np.concatenate([np.zeros(0, self.type), *map(self.parts.__getitem__, STRETCH.findall(text))])
+
+    def _words(self, words: list[str]) -> np.ndarray:
+        """Numbers of different words, each meant with a space before it."""
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        codes = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = [words[i] for i in np.flatnonzero(codes < 0).tolist()]
+        tables, sizes = [self.table], [self.sizes]
+        for i in range(0, len(new), JOINED):
+            some = new[i : i + JOINED]
+            got = self._ids(" " + " ".join(some))
+            starts = np.flatnonzero(self.spaced[got])
+            if len(starts) != len(some) or starts[0]:
+                each = [self._ids(" " + w) for w in some]
+                got, starts = np.concatenate(each), np.cumsum([0, *map(len, each[:-1])])
+            tables.append(got)
+            sizes.append(np.diff(np.append(starts, len(got))))
+        codes[codes < 0] = np.arange(len(self.known), len(self.known) + len(new))
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+        self.table, self.sizes = np.concatenate(tables), np.concatenate(sizes)
+        self.places = np.cumsum(self.sizes) - self.sizes
+        return codes
+
+    def batch(self, texts: pa.Array) -> list[np.ndarray]:
+        """ids of each text of a batch."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False) if self.plain else np.ones(len(texts), bool)
+        split = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+        offsets, flat = split.offsets.to_numpy() - (split.offsets[0].as_py() if len(split) else 0), split.flatten()
+        first = np.zeros(len(flat), bool)
+        first[offsets[:-1]] = True
+        later = pc.dictionary_encode(flat.filter(pa.array(~first)))
+        numbers = self._words(later.dictionary.to_pylist())
+        begin = pc.dictionary_encode(flat.filter(pa.array(first)))
+        heads = [self.parts[w] if w else np.zeros(0, self.type) for w in begin.dictionary.to_pylist()]
+        code = np.empty(len(flat), np.int64)
+        code[~first], code[first] = numbers[later.indices.to_numpy()], begin.indices.to_numpy() + len(self.sizes)
+        own = np.array([len(h) for h in heads], np.int64)
+        sizes = np.concatenate([self.sizes, own])
+        places = np.concatenate([self.places, np.cumsum(own) - own + len(self.table)])
+        table = np.concatenate([self.table, *heads])
+        n = sizes[code]
+        ends = np.cumsum(n)
+        ids = table[np.repeat(places[code] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        cuts = np.append(0, ends)[offsets]
+        plain = iter(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+        out = []
+        for i, o in enumerate(odd.tolist()):
+            if o:
+                out.append(self.encode(texts[i].as_py()))
+            else:
+                a, z = next(plain)
+                out.append(ids[a:z])
+        return out
 
 
 @lru_cache(2)
@@ -178,18 +218,19 @@ def blocks(docs: DataFrame, path: str | None = None, end: int = END, size: int =
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names)
 
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = own.encode(text or "") + tail
-                held += ids
-                owners.append((seq, doc, len(ids) // width))
+            for doc, ids in zip(b.column(0).to_pylist(), own.batch(b.column(1))):
+                held += ids.tobytes()
+                held += tail
+                owners.append((seq, doc, len(ids) + 1))
                 seq += 1
                 while len(held) >= size * width:
                     yield cut(size)
         if held:
             yield cut(len(held) // width)
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return ordered.mapInArrow(write, SCHEMA)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("by_", F.xxhash64("text"))
+    ordered = rows.repartitionByRange("doc_id", "by_").sortWithinPartitions("doc_id", "by_", "text")
+    return ordered.select("doc_id", "text").mapInArrow(write, SCHEMA)
 
 
 def _open(b, i: int) -> np.ndarray:
@@ -245,9 +286,9 @@ def digests(written: DataFrame) -> DataFrame:
         F.first("doc_id").alias("doc_id"), F.min("at").alias("at"), F.sum("n").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("block", "crc", "n"))).alias("p")
     )
 
-    @F.udf("long")
+    @F.udf("long", useArrow=True)
     def joined(p):
-        return concatenated([(x.crc, 4 * x.n) for x in p])
+        return concatenated([(x["crc"], 4 * x["n"]) for x in p])
 
     one = F.col("p")[0]["crc"]
     single, several = whole.where(F.size("p") == 1).withColumn("ids_crc32", one), whole.where(F.size("p") > 1).withColumn("ids_crc32", joined("p"))

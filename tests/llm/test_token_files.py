@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from assaylake.llm import token_files as T
@@ -19,7 +20,21 @@ def test_remembered_stretches_give_the_tokenizer_s_ids():
     encoder = T.Encoder(T.tokenizer_path())
     for t in TEXTS:
         want = encoder.tokenizer.encode(t or "", add_special_tokens=False).ids
-        assert np.frombuffer(encoder.encode(t or ""), "<u2").tolist() == want
+        assert encoder.encode(t or "").tolist() == want
+    want = [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in TEXTS]
+    assert [x.tolist() for x in encoder.batch(pa.array(TEXTS))] == want
+    assert [x.tolist() for x in encoder.batch(pa.array(TEXTS)[3:])] == want[3:]
+    assert encoder.batch(pa.array([], pa.string())) == []
+    encoder.plain = False
+    assert [x.tolist() for x in encoder.batch(pa.array(TEXTS))] == want
+
+
+def test_random_texts_in_batches():
+    encoder, rng = T.Encoder(T.tokenizer_path()), np.random.default_rng(5)
+    signs = list("ab  eé'sSt1½\n\t.,-日\u00a0\u3000\x1c<|\u0120\u200b\U0001f600")
+    texts = ["".join(rng.choice(signs, rng.integers(0, 40))) for _ in range(4000)]
+    texts += [" ".join(rng.choice(signs[:12], rng.integers(1, 9))) for _ in range(2000)]
+    assert [x.tolist() for x in encoder.batch(pa.array(texts))] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_concatenated():
@@ -49,3 +64,12 @@ def test_empty_and_repeated_rows(spark, tmp_path):
     twice = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c")], "doc_id long, text string")
     T.blocks(twice).write.parquet(str(tmp_path / "t"))
     assert T.digests(spark.read.parquet(str(tmp_path / "t"))).count() == 3
+
+
+def test_repeated_ids_with_different_texts_do_not_depend_on_the_order_of_rows(spark, tmp_path):
+    rows = [(1, f"text {i} " * (i % 7)) for i in range(40)] + [(None, "x"), (2, "long " * 90_000)]
+    got = []
+    for n, some in ((1, rows), (3, rows[::-1])):
+        T.blocks(spark.createDataFrame(some, "doc_id long, text string").repartition(n)).write.parquet(str(tmp_path / str(n)))
+        got.append(sorted(map(tuple, T.digests(spark.read.parquet(str(tmp_path / str(n)))).collect()), key=str))
+    assert got[0] == got[1]
