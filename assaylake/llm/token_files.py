@@ -36,13 +36,14 @@ from pyspark.sql import functions as F
 
 from assaylake.llm.common import arrow, saved, table
 
-BLOCK, LEVEL, END, REMEMBERED = 1 << 16, 3, 2, 500_000
+BLOCK, LEVEL, END, REMEMBERED = 1 << 16, 3, 2, 1_000_000
 STRETCH = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 WHOLE = re.compile(r"[\x1c-\x1f]|<\|")
 #: White space of Unicode, for engines whose \s is ASCII.
 _SPACE = r"\t-\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 ODD = rf"^ | $|[{_SPACE}] | [{_SPACE}]|[\x1c-\x1f]|<\|"
 JOINED = 1 << 15  # words encoded in one call
+GATHERED = 1 << 14  # words whose ids are gathered at once
 SCHEMA = "shard int, block int, first long, n int, width int, bits boolean, sizes array<int>, planes binary, seqs array<long>, doc_ids array<bigint>, counts array<int>"
 
 
@@ -86,7 +87,7 @@ class Encoder:
         self.type = np.dtype(f"<u{self.width}")
         self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids of tokens that begin with a space
         self.spaced[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
-        self.parts = _Memo(self._ids, REMEMBERED // 4)
+        self.parts = _Memo(self._ids, REMEMBERED // 8)
         self._forget()
 
     def _forget(self) -> None:
@@ -145,7 +146,12 @@ class Encoder:
         table = np.concatenate([self.table, *heads])
         n = sizes[code]
         ends = np.cumsum(n)
-        ids = table[np.repeat(places[code] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        ids = np.empty(int(ends[-1]) if len(ends) else 0, self.type)
+        for i in range(0, len(code), GATHERED):  # in pieces that stay in the processor's cache
+            size, end = n[i : i + GATHERED], ends[i : i + GATHERED]
+            begin_at = int(end[0] - size[0])
+            shift = places[code[i : i + GATHERED]] - (end - size) + begin_at
+            ids[begin_at : int(end[-1])] = table[np.repeat(shift, size) + np.arange(int(end[-1]) - begin_at)]
         cuts = np.append(0, ends)[offsets]
         plain = iter(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
         out = []
