@@ -36,7 +36,7 @@ from assaylake.llm.common import arrow, discard, numbered_rows, saved
 
 STEP = 1 << 20  # window starts handled at once
 HOT = 2048  # classes of an anchor from which its windows are split up
-BUCKET = 1 << 19  # bytes of contexts a bucket
+BUCKET = 1 << 16  # bytes of contexts a bucket, few enough to stay in a cache
 STRETCH = 1 << 16  # windows a stretch
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _Q = np.uint64(pow(int(_P), -1, 1 << 64))
