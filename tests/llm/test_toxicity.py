@@ -24,11 +24,14 @@ def test_nearest_is_exact():
     rng = random.Random(2)
     names = [f"t{i}" for i in range(60)]
     vocabulary = {t: 1 + rng.random() * 4 for t in names}
-    examples = [(i, i % 2, sorted((t, rng.randrange(1, 4)) for t in rng.sample(names, rng.randrange(1, 12)))) for i in range(700)]
+    examples = []
+    for i in range(700):
+        own = sorted(rng.sample(names, rng.randrange(1, 12)))
+        examples.append((i, i % 2, i, own, [rng.randrange(1, 4) for _ in own]))
     index = T.Index(vocabulary, examples, 0.1)
     dense = np.zeros((700, 60))
-    for r, (_, _, found) in enumerate(examples):
-        ids, w = index.vector(dict(found))
+    for r, (*_, own, counts) in enumerate(examples):
+        ids, w = index.vector(dict(zip(own, counts)))
         dense[r, ids] = w
     for _ in range(200):
         ids, w = index.vector({t: rng.randrange(1, 4) for t in rng.sample(names, rng.randrange(1, 15))})
@@ -61,3 +64,51 @@ def test_odd_rows(spark):
     empty = T.fit(d, lab.limit(0))
     assert {r.score for r in T.score(d, empty).collect()} == {0.0}
     assert T.score(d.limit(0), index).count() == 0
+
+
+def test_scores_against_a_plain_search(spark):
+    """Every text's neighbours and score from dense vectors over all terms, and the calibration's order."""
+    docs, labels = make(300, 7)
+    docs.append((999, docs[3][1] + " " + docs[4][1], "x"))
+    d = spark.createDataFrame(docs, "doc_id long, text string, toxic string")
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int, text string")
+    index = T.fit(d, lab.where("doc_id % 3 != 1"))
+    known = {i: t for i, t, _ in labels if i % 3 != 1}
+    rows = [(i, t) for i, t, _ in docs if i in known]
+    different = {(t, known[i]) for i, t in rows}
+    held, bad = T.Counter(), T.Counter()
+    for t, y in different:
+        held.update(set(T.terms(t)))
+        bad.update(set(T.terms(t)) if y else ())
+    base = np.mean(list(known.values()))
+
+    def weight(t):
+        n, q = held[t], bad[t] / held[t]
+        low = (q + 1.96**2 / 2 / n - 1.96 * np.sqrt(q * (1 - q) / n + 1.96**2 / 4 / n / n)) / (1 + 1.96**2 / n)
+        return np.log((1 + len(different)) / n) * (T.FLOOR + max(0.0, (low - base) / (1 - base)))
+
+    names = sorted(held)
+    weights = np.array([weight(t) for t in names])
+
+    def unit(text):
+        v = np.array([1 + np.log(c) if (c := T.terms(text)[t]) else 0.0 for t in names]) * weights
+        return v / (np.linalg.norm(v) or 1)
+
+    dense = np.stack([unit(t) for _, t in sorted(rows)])
+    got = {r.doc_id: r for r in T.score(d, index).collect()}
+    for i, text, _ in docs[::9]:
+        cosines = dense @ unit(text)
+        best = np.sort(cosines[cosines > 1e-12])[::-1][: T.K]
+        assert np.allclose([e.cosine for e in got[i].evidence], best)
+    assert index.knots[1] == sorted(index.knots[1]) and 0 <= index.knots[1][0] and index.knots[1][-1] <= 1
+    shares = sorted((index.votes(t)[0], got[i].score) for i, t, _ in docs)
+    assert all(a[1] <= b[1] + 1e-12 for a, b in zip(shares, shares[1:]))
+
+
+def test_text_keys_and_one_label_only(spark):
+    docs, labels = make(60)
+    d = spark.createDataFrame([(f"d{i}", t) for i, t, _ in docs], "doc_id string, text string")
+    lab = spark.createDataFrame([(f"d{i}", y) for i, y, _ in labels], "doc_id string, toxic int")
+    assert T.score(d, T.fit(d, lab)).count() == 60
+    assert {r.score for r in T.score(d, T.fit(d, lab.where("toxic = 0"))).collect()} == {0.0}
+    assert T.score(d, T.fit(d.limit(0), lab)).count() == 60 and T.score(d.limit(0), T.fit(d, lab)).count() == 0
