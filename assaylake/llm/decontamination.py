@@ -2,17 +2,23 @@
 
 Each shard of documents (a stretch of an Arrow batch) becomes one array of word ids, where words that
 no benchmark item has are separators. Suffixes that are long enough to hold a window are sorted by
-their first WINDOW words: the shard's suffix array. Every test suffix, i.e. each position of each item,
-is binary-searched in it; the common prefixes with its two neighbours give its longest verbatim match
-there and where that is, and the range of equal prefixes gives every occurrence of a window.
+their first WINDOW words: the shard's suffix array. Every different test suffix that holds a window is
+binary-searched in it, and the range of equal prefixes gives every occurrence. longest_matches() also takes
+the common prefixes with the two neighbours, for matches shorter than WINDOW, and follows longer ones from
+window to window, so that every test suffix gets its longest verbatim match and its place.
 
 Words: A-Z lower-cased, runs of bytes other than 0x00-0x2F, 0x3A-0x60 and 0x7B-0x7F. A window is WINDOW
 words in a row; an item with fewer words, but not none, is one window. A document is contaminated if
 SHARE or more of its words lie in occurrences of windows, one at least.
 
-The test side is a stated query set: it is taken in blocks of at most BLOCK_WORDS words, each broadcast
-by itself, so a broadcast is bounded whatever the benchmark's size. Null texts have no words. Rows that
-repeat an id are judged one by one; a repeated item id counts once.
+The test side is a stated query set: it is taken in blocks of at most BLOCK_WORDS words. A block is broadcast,
+all documents are searched for it, what was found goes with their rows to the next block, and the broadcast is
+dropped; so what is broadcast at a time is bounded whatever the benchmark's size.
+
+Null texts have no words. Rows that repeat an id are judged one by one. A repeated item id counts once. Items
+without an id are searched like the others and their windows count as hits; as they can't be named, n_items and
+items_sha256 leave them out. Keys may be numbers or texts, and null. Extra columns are left out by judge() and
+kept by filtered().
 """
 
 from __future__ import annotations
@@ -21,6 +27,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,9 +45,10 @@ def words(text: bytes | None) -> list[bytes]:
 class Tests:
     """Test suffixes of one block of items: word ids, their windows and owners."""
 
-    def __init__(self, items: list[tuple[str, bytes | None]]):
+    def __init__(self, items: list[tuple[str | None, bytes | None]]):
         self.vocabulary: dict[bytes, int] = {}
-        self.names, rows, sizes, owners, starts = [], [], [], [], []
+        self.names: list[str | None] = []
+        rows, sizes, owners, starts = [], [], [], []
         for name, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
             if not ids:
@@ -57,6 +65,17 @@ class Tests:
         self.lengths = (self.rows > 0).sum(1)
         self.sizes, self.owners, self.starts = (np.array(x, np.int64) for x in (sizes, owners, starts))
         self.shortest = int(self.sizes[self.sizes > 0].min()) if len(rows) else WINDOW
+        # Equal windows are searched once; who owns them is looked up for documents that hold them.
+        holds = np.flatnonzero(self.sizes)
+        _, first, same = np.unique(self.keys(self.rows[holds]), return_index=True, return_inverse=True)
+        self.windows = holds[first]
+        pairs = np.unique(np.stack([same, self.owners[holds]], 1), axis=0)
+        self.owned, self.owned_at = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(first) + 1))
+
+    def named(self, windows: np.ndarray) -> list[str]:
+        """Ids of the items that have one of these (numbers of different windows)."""
+        owners = {o for w in np.unique(windows).tolist() for o in self.owned[self.owned_at[w] : self.owned_at[w + 1]].tolist()}
+        return sorted({n for o in owners if (n := self.names[o]) is not None})
 
     def keys(self, rows: np.ndarray) -> np.ndarray:
         return np.ascontiguousarray(rows, ">u4").view(f"S{4 * WINDOW}").reshape(-1)
@@ -83,6 +102,23 @@ class SuffixArray:
         low, high = np.where(inside, rows, 0), np.where(inside, rows, 0xFFFFFFFF)
         return np.searchsorted(self.keys, tests.keys(low), "left"), np.searchsorted(self.keys, tests.keys(high), "right")
 
+    def spread(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of all suffixes in the ranges: number of the range, position."""
+        n = hi - lo
+        which = np.repeat(np.arange(len(n)), n)
+        return which, self.at[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)] if n.sum() else np.zeros(0, int)
+
+    def followed(self, tests: Tests, suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of test suffixes that match here with WINDOW words: all matches, as suffix, position and full length in words."""
+        lo, hi = self.range(tests.rows[suffixes], np.full(len(suffixes), WINDOW), tests)
+        which, at = self.spread(lo, hi)
+        suffix = suffixes[which]
+        order = np.lexsort((suffix, at - suffix))  # a longer match is a row of windows with the same distance
+        suffix, at = suffix[order], at[order]
+        last = np.append((np.diff(suffix) != 1) | (np.diff(at - suffix) != 0), True) if len(at) else np.zeros(0, bool)
+        ends = np.flatnonzero(last)
+        return suffix, at, ends[np.searchsorted(ends, np.arange(len(at)))] - np.arange(len(at)) + WINDOW
+
     def longest(self, tests: Tests) -> tuple[np.ndarray, np.ndarray]:
         """Of each test suffix: words of its longest match here, up to WINDOW, and its place (-1: none)."""
         n = np.zeros(len(tests.rows), np.int64)
@@ -113,22 +149,44 @@ def _shards(texts: list[bytes | None], tests: Tests):
 
 
 def _occurrences(texts, tests: Tests):
-    """(documents from, word counts, offsets of documents, per occurrence: position, words, item)."""
-    windows = np.flatnonzero(tests.sizes)
+    """(first document, word counts, offsets of documents, suffix array, per occurrence: position, number of the window)."""
     for first, sizes, ids in _shards(texts, tests):
         array = SuffixArray(ids, tests)
-        lo, hi = array.range(tests.rows[windows], tests.sizes[windows], tests) if len(windows) else (np.zeros(0, int), np.zeros(0, int))
-        n = hi - lo
-        which = np.repeat(np.arange(len(n)), n)
-        at = array.at[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)] if n.sum() else np.zeros(0, int)
-        offsets = np.concatenate([[0], np.cumsum(np.array(sizes) + 1)])
-        yield first, sizes, offsets, array, at, tests.sizes[windows][which], tests.owners[windows][which]
+        lo, hi = array.range(tests.rows[tests.windows], tests.sizes[tests.windows], tests) if len(tests.windows) else (np.zeros(0, int), np.zeros(0, int))
+        which, at = array.spread(lo, hi)
+        yield first, sizes, np.concatenate([[0], np.cumsum(np.array(sizes) + 1)]), array, at, which
+
+
+def _hits(texts, tests: Tests) -> tuple[list, list, list]:
+    """Of each text: number of words, hit stretches (from, past the last), ids of items."""
+    counts, spans, names = [0] * len(texts), [np.zeros((0, 2), np.int64)] * len(texts), [[] for _ in texts]
+    for first, sizes, offsets, _, at, which in _occurrences(texts, tests):
+        counts[first : first + len(sizes)] = sizes
+        length = tests.sizes[tests.windows][which]
+        doc = np.searchsorted(offsets, at, "right") - 1
+        order = np.argsort(doc, kind="stable")
+        for of in np.split(order, np.flatnonzero(np.diff(doc[order])) + 1) if len(order) else ():
+            d = int(doc[of[0]])
+            spans[first + d] = merged(np.stack([at[of], at[of] + length[of]], 1) - offsets[d])
+            names[first + d] = tests.named(which[of])
+    return counts, spans, names
+
+
+def merged(spans: np.ndarray) -> np.ndarray:
+    """Stretches of what the spans cover."""
+    if len(spans) < 2:
+        return spans
+    spans = spans[np.lexsort((spans[:, 1], spans[:, 0]))]
+    ends = np.maximum.accumulate(spans[:, 1])
+    new = np.concatenate([[True], spans[1:, 0] > ends[:-1]])
+    return np.stack([spans[new, 0], ends[np.append(np.flatnonzero(new)[1:] - 1, len(spans) - 1)]], 1)
 
 
 def _blocks(items: DataFrame, key: str, limit: int):
     """Items in key order as Tests of about `limit` words each; they come to the driver block by block."""
     held, size = [], 0
-    for r in items.select(F.col(key).cast("string").alias("k"), F.col("text").cast("binary").alias("t")).where("k is not null").dropDuplicates().orderBy("k", "t").toLocalIterator():
+    rows = items.select(F.col(key).cast("string").alias("k"), F.col("text").cast("binary").alias("t")).dropDuplicates().orderBy("k", "t")
+    for r in rows.toLocalIterator():
         held.append((r.k, bytes(r.t) if r.t is not None else None))
         size += len(r.t or b"") // 2 + 1
         if size >= limit:
@@ -137,43 +195,46 @@ def _blocks(items: DataFrame, key: str, limit: int):
     yield Tests(held)
 
 
-def hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id", limit: int = BLOCK_WORDS) -> DataFrame:
-    """key, n_words, spans (start, end) of hit words, items whose windows occur: a row for each row of docs and block of items."""
+SPANS = pa.list_(pa.list_(pa.int64()))
+
+
+def _searched(docs: DataFrame, items: DataFrame, item_key: str, limit: int, finish, schema: str) -> DataFrame:
+    """All rows of docs searched for all items, block by block. finish(batch, words, spans, items) makes the last block's batches."""
     spark = docs.sparkSession
     arrow(spark)
-    kind = docs.schema[key].dataType.simpleString()
-    out = None
-    schema = f"{key} {kind}, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
-    spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    for tests in _blocks(items, item_key, limit):
+    at, wide = docs.columns.index("text"), len(docs.columns)
+    names = [*(f"c{i}" for i in range(wide)), "spans", "items"]
+    now = docs.toDF(*names[:wide])
+    between = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields)) + ", spans array<array<long>>, items array<string>"
+    blocks = _blocks(items, item_key, limit)
+    tests, begun = next(blocks), False
+    while True:
+        following = next(blocks, None)
         shared = spark.sparkContext.broadcast(tests)
 
-        def find(batches, shared=shared):
+        def find(batches, shared=shared, begun=begun, last=following is None):
             tests = shared.value
             for b in batches:
-                sizes, spans, names = [0] * b.num_rows, [[] for _ in range(b.num_rows)], [[] for _ in range(b.num_rows)]
-                for first, counts, offsets, _, at, length, owner in _occurrences(b.column(1).to_pylist(), tests):
-                    sizes[first : first + len(counts)] = counts
-                    doc = np.searchsorted(offsets, at, "right") - 1
-                    order = np.argsort(doc, kind="stable")
-                    cuts = np.flatnonzero(np.diff(doc[order])) + 1
-                    for of in np.split(order, cuts) if len(order) else ():
-                        d = int(doc[of[0]])
-                        mask = np.zeros(counts[d] + 1, np.int64)
-                        np.add.at(mask, at[of] - offsets[d], 1)
-                        np.add.at(mask, at[of] - offsets[d] + length[of], -1)
-                        edge = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(mask) > 0, [0]]).astype(np.int8)))
-                        spans[first + d] = [{"start": s, "end": e} for s, e in edge.reshape(-1, 2).tolist()]
-                        names[first + d] = sorted({tests.names[k] for k in np.unique(owner[of]).tolist()})
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(spans, spans_type), pa.array(names, pa.list_(pa.string()))], [key, "n_words", "spans", "items"])
-
-        found = docs.select(key, F.col("text").cast("binary").alias("t")).mapInArrow(find, schema)
-        out = found if out is None else out.unionAll(found)
-    return out
+                words_, spans, found = _hits(b.column(at).cast(pa.binary()).to_pylist(), tests)
+                if begun:
+                    before = [np.array(x, np.int64).reshape(-1, 2) for x in b.column(wide).to_pylist()]
+                    spans = [merged(np.concatenate(x)) for x in zip(before, spans)]
+                    found = [sorted({*x, *y}) for x, y in zip(b.column(wide + 1).to_pylist(), found)]
+                own = b.select(names[:wide])
+                if last:
+                    yield finish(own, words_, spans, found)
+                else:
+                    yield pa.RecordBatch.from_arrays([*own.columns, pa.array([x.tolist() for x in spans], SPANS), pa.array(found, pa.list_(pa.string()))], names)
+
+        now = now.mapInArrow(find, schema if following is None else between)
+        if following is None:
+            return now
+        now, tests, begun = saved(now, "decontamination-block"), following, True
+        shared.unpersist()
 
 
 def longest_matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id", least: int = 5, limit: int = BLOCK_WORDS) -> DataFrame:
-    """item, item_start, n_words, key, doc_start: each test suffix with the longest match (up to WINDOW words, `least` or more) in all shards; ties go to the smallest key."""
+    """item, item_start, n_words, key, doc_start: each test suffix with the longest match (`least` words or more) in all shards; ties go to the smallest key, then place."""
     spark = docs.sparkSession
     arrow(spark)
     kind = docs.schema[key].dataType.simpleString()
@@ -186,75 +247,60 @@ def longest_matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", item
         def find(batches, shared=shared):
             tests = shared.value
             for b in batches:
+                rank = pc.rank(b.column(0), sort_keys="ascending", null_placement="at_start", tiebreaker="first").to_numpy()
                 for first, _, offsets, array, *_ in _occurrences(b.column(1).to_pylist(), tests):
-                    n, at = array.longest(tests)
-                    keep = np.flatnonzero(n >= least)
-                    doc = np.searchsorted(offsets, at[keep], "right") - 1
+                    n, _ = array.longest(tests)
+                    short = np.flatnonzero((n >= least) & (n < WINDOW))
+                    suffix, where, size = array.followed(tests, np.flatnonzero(n == WINDOW))
+                    which, at = array.spread(*array.range(tests.rows[short], n[short], tests))
+                    suffix, where, size = np.append(suffix, short[which]), np.append(where, at), np.append(size, n[short][which])
+                    doc = np.searchsorted(offsets, where, "right") - 1
+                    order = np.lexsort((where, rank[first + doc], -size, suffix))
+                    order = order[np.concatenate([[True], np.diff(suffix[order]) > 0])] if len(order) else order
+                    order = order[size[order] >= least]
+                    suffix, where, size, doc = suffix[order], where[order], size[order], doc[order]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([tests.names[o] for o in tests.owners[keep]], pa.string()), pa.array(tests.starts[keep]), pa.array(n[keep]), b.column(0).take(pa.array(first + doc)), pa.array(at[keep] - offsets[doc])],
+                        [pa.array([tests.names[o] for o in tests.owners[suffix]], pa.string()), pa.array(tests.starts[suffix]), pa.array(size), b.column(0).take(pa.array(first + doc)), pa.array(where - offsets[doc])],
                         ["item", "item_start", "n_words", key, "doc_start"],
                     )
 
         found = docs.select(key, F.col("text").cast("binary").alias("t")).mapInArrow(find, schema)
         out = found if out is None else out.unionAll(found)
-    best = F.max_by(F.struct(key, "doc_start"), F.struct("n_words", (-F.col(key)) if kind in ("bigint", "int") else F.col(key)))
-    return out.groupBy("item", "item_start").agg(F.max("n_words").alias("n_words"), best.alias("b")).select("item", "item_start", "n_words", f"b.{key}", "b.doc_start")
+    best = F.min_by(F.struct("n_words", key, "doc_start"), F.struct(-F.col("n_words"), key, "doc_start"))
+    return out.groupBy("item", "item_start").agg(best.alias("b")).select("item", "item_start", "b.n_words", f"b.{key}", "b.doc_start")
 
 
-def _merged(spans, items):
-    hit, end = 0, 0
-    for s, e in sorted(spans):
-        hit += max(0, e - max(s, end))
-        end = max(end, e)
-    names = sorted(set(items))
-    return hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest()
+def _contaminated(words_: int, spans: np.ndarray, share: int) -> tuple[int, bool]:
+    hit = int((spans[:, 1] - spans[:, 0]).sum())
+    return hit, hit > 0 and share * hit >= words_
 
 
 def judge(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id", share: int = SHARE, limit: int = BLOCK_WORDS) -> DataFrame:
-    """key, n_words, n_hit, n_items, items_sha256, contaminated for every row of docs."""
-    words_there = items.agg(F.sum(F.octet_length("text").cast("long") / 2 + 1).alias("n")).first().n or 0
-    if words_there < limit:  # one block: its spans are apart already
-        found = hits(docs.select(key, "text"), items, key, item_key, limit)
-        hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
-        sums = [hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256")]
-        out = found.select(key, "n_words", *sums)
-    else:
-        rows = saved(docs.select(key, "text").withColumn("judged_row_", F.monotonically_increasing_id()), "decontamination-rows")
-        found = hits(rows.select("judged_row_", "text"), items, "judged_row_", item_key, limit)
-        found = found.groupBy("judged_row_").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
-        out = found.withColumn("m", F.udf(_merged, "n_hit long, n_items long, items_sha256 string")("spans", "items")).join(rows.select("judged_row_", key), "judged_row_").select(key, "n_words", "m.*")
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
+    """key, n_words, n_hit, n_items, items_sha256, contaminated and the hit stretches (spans: from, past the last) for every row of docs."""
+    kind = docs.schema[key].dataType.simpleString()
+    names = [key, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"]
+
+    def finish(b, words_, spans, found):
+        hits = [_contaminated(n, s, share) for n, s in zip(words_, spans)]
+        cols = [pa.array(words_, pa.int64()), pa.array([h[0] for h in hits], pa.int64()), pa.array([len(f) for f in found], pa.int64())]
+        cols += [pa.array([hashlib.sha256(",".join(f).encode()).hexdigest() for f in found], pa.string()), pa.array([h[1] for h in hits], pa.bool_()), pa.array([s.tolist() for s in spans], SPANS)]
+        return pa.RecordBatch.from_arrays([b.column(0), *cols], names)
+
+    schema = f"{key} {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<array<long>>"
+    return _searched(docs.select(key, "text"), items, item_key, limit, finish, schema)
 
 
 def filtered(docs: DataFrame, items: DataFrame, share: int = SHARE, limit: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of docs that aren't contaminated, with all columns. With one block of items it is decided where the row is.
+    """The rows of docs that aren't contaminated, with all columns; decided where the row is."""
+    columns = docs.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
-    Items without an id are searched like the others; only judge() leaves them out, as its items_sha256 names items."""
-    spark = docs.sparkSession
-    items = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
-    arrow(spark)
-    words_there = items.agg(F.sum(F.octet_length("text").cast("long") / 2 + 1).alias("n")).first().n or 0
-    if words_there >= limit:
-        rows = saved(docs.withColumn("row_", F.monotonically_increasing_id()), "decontamination-docs")
-        bad = judge(rows.select("row_", "text"), items, "row_", share=share, limit=limit).where("contaminated").select("row_")
-        return rows.join(bad, "row_", "left_anti").select(*docs.columns)
-    shared = spark.sparkContext.broadcast(next(_blocks(items, "item_id", limit)))
-    at = docs.columns.index("text")
-
-    def keep(batches):
-        tests = shared.value
-        for b in batches:
-            bad = np.zeros(b.num_rows, bool)
-            for first, counts, offsets, _, where, length, _ in _occurrences(b.column(at).cast(pa.binary()).to_pylist(), tests):
-                mask = np.zeros(offsets[-1] + 1, np.int64)
-                np.add.at(mask, where, 1)
-                np.add.at(mask, where + length, -1)
-                hit = np.add.reduceat((np.cumsum(mask) > 0).astype(np.int64), offsets[:-1]) if len(counts) else np.zeros(0, np.int64)
-                bad[first : first + len(counts)] = (hit > 0) & (share * hit >= np.array(counts))
-            yield b.filter(pa.array(~bad))
-
-    return docs.mapInArrow(keep, docs.schema)
+    def finish(b, words_, spans, _):
+        good = [not _contaminated(n, s, share)[1] for n, s in zip(words_, spans)]
+        return pa.RecordBatch.from_arrays(b.columns, columns).filter(pa.array(good, pa.bool_()))
+
+    return _searched(docs, items, "item_id", limit, finish, schema)
 
 
 def op7_decontamination(spark, sf_dir):
-    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")

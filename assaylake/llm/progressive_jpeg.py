@@ -11,7 +11,8 @@ byte plus 256, so that all have the same magnitude class), in a 4:2:0 image of t
 in thirteen scans (DC and AC bands without their lowest bit, then that bit). unpack() gives them
 back from the coefficients. The number of payload bytes is in a comment segment.
 
-Null media or null text: a null text is the empty payload; a null media value gives null results.
+A null text is the empty payload; a null media value gives null results. Rows with null or repeated ids keep a
+row each, in no particular order; equal texts give equal media. Columns other than the key and the text are left out.
 Bytes that aren't such a JPEG raise ValueError naming the fault.
 """
 
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaylake.llm.common import arrow, table
+from assaylake.llm.common import arrow, saved, table
 
 BLOCKS = 4096  # blocks handled at once; a multiple of 8, so that bits end on a byte
 TALL = 4000  # rows of MCUs before an image gets another column
@@ -473,4 +474,4 @@ def describe(df: DataFrame, key: str = "doc_id", media: str = "media") -> DataFr
 
 
 def op2_progressive_jpeg(spark, sf_dir):
-    return describe(to_media(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return describe(saved(to_media(table(spark, sf_dir, "documents").select("doc_id", "text")), "media"))

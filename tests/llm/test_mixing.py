@@ -36,10 +36,36 @@ def test_brute_force_fit(spark):
     assert all(abs(got[k] - w[k]) < 1e-9 * w[k] for k in w)
 
 
-def test_odd_rows(spark):
+def test_odd_rows_and_clashing_names(spark):
     docs = [(1, "a b c", "en", "s", 5), (1, "a b c", "en", "s", 5), (None, "x | y", None, None, 5), (3, None, "en", "s", None), (4, "", "de", "t", 0), (5, "word " * 100_000, "en", "s", 9)]
-    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, multiplier_ long").drop("multiplier_")
-    got = M.weighted(df).collect()
-    assert len(got) == 6 and all(0 <= r.probability_ <= 1 and r.weight_ >= 0 for r in got)
-    assert M.sample(df).columns == df.columns
-    assert M.weighted(df.limit(0)).count() == 0
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    for names in (("mix", "tokens", "multiplier"), ("MIX_cell", "source_", "copies")):
+        own = df.withColumns({name: df.n_chars + 1 for name in names})
+        out = M.own_name(own)
+        got = M.weighted(own, sweeps=2).collect()
+        assert len(got) == 6 and all(r[out].copies >= 0 and r[out].expected >= 0 for r in got)
+        assert {(r.doc_id, *(r[n] for n in names)) for r in got} == {(d[0], *[d[4] if d[4] is None else d[4] + 1] * 3) for d in docs}
+        assert M.sample(own, sweeps=2).columns == own.columns
+    assert M.sample(df.limit(0), sweeps=2).count() == 0
+
+
+def test_the_mix_meets_its_targets(spark):
+    rng = np.random.default_rng(4)
+    docs = [(i, "w " * int(rng.integers(5, 60)), "en" if rng.random() < 0.8 else "de", "s" if rng.random() < 0.9 else "t", 0) for i in range(6000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    want = {"source_": {"s": 0.6, "t": 0.4}, "lang_": {"en": 0.5, "de": 0.5}}
+    targets = {d: spark.createDataFrame(list(t.items()), f"{d} string, target double") for d, t in want.items()} | {"topic_": spark.createDataFrame([("prose", 1.0)], "topic_ string, target double")}
+    got = M.sample(df, targets=targets).select("source", "lang", M.tokens().alias("n")).toPandas()
+    total = sum(len(d[1].split()) + 1 for d in docs)
+    assert abs(got.n.sum() / total - 1) < 0.02
+    for d, t in want.items():
+        assert np.allclose((got.groupby(d[:-1]).n.sum() / got.n.sum()).loc[list(t)], list(t.values()), atol=0.02)
+
+
+def test_contradicting_targets_are_told(spark):
+    import pytest
+
+    cells = spark.createDataFrame([("p", "x", "u", 5), ("q", "y", "u", 5)], "source_ string, lang_ string, topic_ string, tokens long")
+    frame = lambda d, t: spark.createDataFrame(list(t.items()), f"{d} string, target double")
+    with pytest.warns(UserWarning, match="off its target"):
+        M.fit(cells, {"source_": frame("source_", {"p": 0.9, "q": 0.1}), "lang_": frame("lang_", {"x": 0.1, "y": 0.9}), "topic_": frame("topic_", {"u": 1.0})}, 3)
