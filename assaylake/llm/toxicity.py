@@ -39,7 +39,7 @@ from assaylake.llm.common import arrow, crc_of_id, discard, sampled, saved, tabl
 EXAMPLES, INDEXED, REMEMBERED = 24_000, 3_000, 300_000
 K, BLOCK, SOFT, PRIOR, CUT, FLOOR = 16, 64, 0.05, 1.0, 0.7, 0.02
 WORD = re.compile(r"[^\W\d_]+")
-BEGINNINGS = (4, 6, 8)
+BEGINNINGS = (5,)
 
 
 def terms_of(word: str) -> list[str]:
