@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaylake.llm.common import saved
+from assaylake.llm.common import discard, saved
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -35,4 +35,5 @@ def components(edges: DataFrame) -> DataFrame:
         if digest == before or not digest[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
         before = digest
-        now = saved(_small(_large(now)), "edges")
+        now, old = saved(_small(_large(now)), "edges"), now
+        discard(old)
