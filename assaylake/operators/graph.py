@@ -34,9 +34,9 @@ def layered_paths(first: DataFrame, middle: DataFrame, last: DataFrame, per_quer
     return short.unionAll(long).distinct().withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_query)
 
 
-def best_paths(edges: DataFrame, start: DataFrame, hops: int, beam: int) -> DataFrame:
-    """start(node). Simple paths of up to `hops` directed edges (a, b, weight) by product of |weight| clipped to [0, 1]; of each
-    start the `beam` best frontiers go on at each hop (a stated search width)."""
+def best_paths(edges: DataFrame, start: DataFrame, hops: int, beam: int | None = None) -> DataFrame:
+    """start(node). Simple paths of up to `hops` directed edges (a, b, weight) by product of |weight| clipped to [0, 1]; all paths,
+    or with a `beam` those that follow from the best so many of each start at each hop (a stated search width)."""
     w = F.least(F.greatest(F.abs("weight"), F.lit(0.0)), F.lit(1.0))
     e = edges.select("a", "b", w.alias("w")).groupBy("a", "b").agg(F.max("w").alias("w"))
     front = start.select(F.col("node").alias("start"), F.array("node").alias("path"), F.lit(1.0).alias("score"), F.col("node").alias("at"))
@@ -45,17 +45,17 @@ def best_paths(edges: DataFrame, start: DataFrame, hops: int, beam: int) -> Data
         step = front.join(e, front["at"] == e["a"]).where(~F.array_contains("path", F.col("b")))
         step = step.select("start", F.concat("path", F.array("b")).alias("path"), (F.col("score") * F.col("w")).alias("score"), F.col("b").alias("at"))
         rank = F.row_number().over(Window.partitionBy("start").orderBy(F.desc(F.round("score", 12)), "path"))
-        front = step.withColumn("r_", rank).where(F.col("r_") <= beam).drop("r_")
+        front = step if beam is None else step.withColumn("r_", rank).where(F.col("r_") <= beam).drop("r_")
         found = front if found is None else found.unionAll(front)
     return found.select("start", F.col("at").alias("end"), "path", "score")
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """edges(u, v): node, component = the least node it can reach; min labels with pointer jumping until nothing changes."""
     both = _written(edges.select("u", "v").unionAll(edges.select("v", "u")).distinct(), "component-edges")
     now = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("component"))
     now = _written(now, "components")
-    for _ in range(rounds):
+    while True:
         near = both.join(now, both.v == now.node).groupBy(F.col("u").alias("node")).agg(F.min("component").alias("near"))
         step = now.join(near, "node").select("node", F.least("component", "near").alias("component"))
         up = step.select(F.col("node").alias("p"), F.col("component").alias("pc"))
@@ -63,8 +63,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         changed = new.join(now.withColumnRenamed("component", "old"), "node").where("old <> component").limit(1).count()
         now = new
         if not changed:
-            break
-    return now
+            return now
 
 
 def communities(edges: DataFrame, rounds: int) -> DataFrame:

@@ -71,20 +71,36 @@ def random_effects(df: DataFrame, by: list[str], effect: str, se: str) -> DataFr
 
 
 def log_factorials(spark, n: int) -> Column:
-    """Array column of ln(i!) for 0..n, a running sum."""
+    """Array column of ln(i!) for 0..n, a running sum; for small n (each step copies the array), log_factorial takes any."""
     start = F.struct(F.lit(0.0).alias("s"), F.array(F.lit(0.0)).alias("a"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(n)), start, lambda acc, i: F.struct((acc["s"] + F.ln(i)).alias("s"), F.concat(acc["a"], F.array(acc["s"] + F.ln(i))).alias("a")), lambda acc: acc["a"])
 
 
-def hypergeometric_tail(lf: Column, hit: Column, drawn: Column, size: Column, total: Column) -> Column:
-    """P[X >= hit] for `drawn` of `total` with `size` marked; lf: array of log factorials."""
-    ln = lambda n: F.element_at(lf, (n + 1).cast("int"))
+def log_factorial(n: Column) -> Column:
+    """ln(n!) in closed form: Stirling's series at n + 9, less the eight factors stepped over."""
+    x = n.cast("double") + 9
+    y = 1 / (x * x)
+    series = (x - 0.5) * F.ln(x) - x + 0.5 * math.log(2 * math.pi) + (1 / 12 - y * (1 / 360 - y * (1 / 1260 - y / 1680))) / x
+    return series - sum((F.ln(x - k) for k in range(2, 9)), F.ln(x - 1))
+
+
+def _upper_tail(ln, hit: Column, drawn: Column, size: Column, total: Column) -> Column:
     choose = lambda a, b: ln(a) - ln(b) - ln(a - b)
     top = F.least(drawn, size)
     low = F.greatest(hit, drawn + size - total, F.lit(0))
     return F.when(low > top, 0.0).otherwise(F.aggregate(F.sequence(low, top), F.lit(0.0), lambda s, i: s + F.exp(choose(size, i) + choose(total - size, drawn - i) - choose(total, drawn)))).cast("double")
 
 
+def hypergeometric_tail(lf: Column, hit: Column, drawn: Column, size: Column, total: Column) -> Column:
+    """P[X >= hit] for `drawn` of `total` with `size` marked; lf: array of log factorials."""
+    return _upper_tail(lambda n: F.element_at(lf, (n + 1).cast("int")), hit, drawn, size, total)
+
+
+def enrichment_p(hit: Column, drawn: Column, size: Column, total: Column) -> Column:
+    """As hypergeometric_tail for a universe of any size: nothing is built or broadcast that grows with it."""
+    return _upper_tail(log_factorial, hit, drawn, size, total)
+
+
 def simes(df: DataFrame, by: list[str], p: str, tie: list[str]) -> DataFrame:
     r = F.row_number().over(Window.partitionBy(*by).orderBy(p, *tie))
     n = F.count(p).over(Window.partitionBy(*by))

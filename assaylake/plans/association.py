@@ -184,9 +184,7 @@ SELECT target, hit, size, round(sum(exp(lgamma(size + 1.0) - lgamma(i + 1.0) - l
 def _(t):
     sets = t.part.groupBy(F.col("p_type").alias("target")).agg(F.count("*").alias("size"), F.count_if(F.col("p_size") > 47).alias("hit"))
     n = t.part.agg(F.count("*").alias("total"), F.count_if(F.col("p_size") > 47).alias("drawn"))
-    top = n.first().total
-    lf = F.broadcast(n.withColumn("lf", S.log_factorials(t.spark, top)))
-    return sets.join(lf).select("target", "hit", "size", F.round(S.hypergeometric_tail(F.col("lf"), F.col("hit"), F.col("drawn"), F.col("size"), F.col("total")), 6).alias("p"))
+    return sets.join(F.broadcast(n)).select("target", "hit", "size", F.round(S.enrichment_p(F.col("hit"), F.col("drawn"), F.col("size"), F.col("total")), 6).alias("p"))
 
 
 @query("sta12_simes", "WITH r AS (SELECT l_partkey, l_extendedprice / 210001.0 * count(*) OVER (PARTITION BY l_partkey) / row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice, l_orderkey, l_linenumber) AS s FROM lineitem) SELECT l_partkey, round(least(1.0, min(s)), 6) AS p_simes, count(*) AS tests FROM r GROUP BY 1")

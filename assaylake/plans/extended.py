@@ -125,8 +125,7 @@ def _(t):
     sets = t.part.groupBy(F.col("p_type").alias("target")).agg(F.count("*").alias("size"), F.count_if(F.col("p_size") > 47).alias("hit"))
     drawn = query_members(t).count()
     n = t.part.agg(F.count("*").alias("total")).withColumn("drawn", F.lit(drawn))
-    lf = F.broadcast(n.withColumn("lf", S.log_factorials(t.spark, n.first().total)))
-    genes = sets.join(lf).select("target", S.hypergeometric_tail(F.col("lf"), F.col("hit"), F.col("drawn"), F.col("size"), F.col("total")).alias("p"))
+    genes = sets.join(F.broadcast(n)).select("target", S.enrichment_p(F.col("hit"), F.col("drawn"), F.col("size"), F.col("total")).alias("p"))
     entities = t.lineitem.where("l_suppkey < 20").join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_type").alias("target"), F.col("l_discount").alias("association"))
     return X.mixed_channels(genes, entities, "target", 100).withColumns({c: F.round(c, 6) for c in ("gene_score", "entity_score", "score")})
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -194,3 +195,26 @@ def test_table_hash_ignores_order(spark):
 def test_forbidden_columns(spark):
     df = spark.createDataFrame([(1, 2, 3)], "a int, y int, z int")
     assert Q.forbidden_columns(df, {"a": "feature", "y": "outcome"}, {"outcome"}) == ["y", "z"]
+
+
+def test_closed_form_of_enrichment(spark):
+    rows = [(k, d, s, n) for n in (1, 9, 60, 20_000) for s in (0, n // 3, n) for d in (0, n // 20, n) for k in (0, d // 3, d)]
+    choose = lambda a, b: math.comb(a, b) if 0 <= b <= a else 0
+    got = spark.createDataFrame(rows, "k int, d int, s int, n int").withColumn("p", S.enrichment_p(F.col("k"), F.col("d"), F.col("s"), F.col("n"))).collect()
+    for r in got:
+        want = Fraction(sum(choose(r.s, i) * choose(r.n - r.s, r.d - i) for i in range(r.k, min(r.d, r.s) + 1)), choose(r.n, r.d)) if r.n < 100 or r.d <= 1000 and r.k == r.d else None
+        assert want is None or abs(r.p - float(want)) < 1e-8
+        assert -1e-12 <= r.p <= 1 + 1e-7
+
+
+def test_all_weighted_paths_without_a_beam(spark):
+    edges = spark.createDataFrame([(f"n{a}", f"n{b}", 0.9 - 0.1 * b) for a in range(6) for b in range(6) if a != b], "a string, b string, weight double")
+    start = spark.createDataFrame([("n0",)], "node string")
+    assert G.best_paths(edges, start, 3).count() == 5 + 5 * 4 + 5 * 4 * 3
+    assert G.best_paths(edges, start, 3, 2).count() == 6
+
+
+def test_components_of_a_long_path(spark):
+    rows = [(i, i + 1) for i in range(300)] + [(1000, 1001)]
+    got = {r.node: r.component for r in G.components(spark.createDataFrame(rows, "u long, v long")).collect()}
+    assert got == {i: 0 for i in range(301)} | {1000: 1000, 1001: 1000}
