@@ -260,7 +260,7 @@ def _(t):
 @query("gr07_communities")
 def _(t):
     w = t.sales().groupBy(F.col("p_brand").alias("b"), "c_custkey").agg(F.lit(1).alias("one"))
-    ids = w.select("b").distinct().withColumn("i", F.xxhash64("b") % 1_000_000)
+    ids = w.select("b").distinct().withColumn("i", F.shiftrightunsigned(F.xxhash64("b"), 1))
     x = w.join(F.broadcast(ids), "b")
     sim = x.select(F.col("i").alias("u"), "c_custkey").join(x.select(F.col("i").alias("v"), "c_custkey"), "c_custkey").where("u < v").groupBy("u", "v").agg(F.count("*").cast("double").alias("weight"))
     return G.communities(sim, 3)
