@@ -70,10 +70,10 @@ def _(t):
     return A.robust_z(t.customer, ["c_nationkey"], "c_acctbal").select("c_custkey", F.round("robust_z", 6).alias("robust_z"))
 
 
-@query("act10_sites", """WITH o AS (SELECT l_partkey, min(l_suppkey) AS owner FROM lineitem WHERE l_tax = 0 GROUP BY 1 HAVING count(DISTINCT l_suppkey) = 1), x AS (SELECT l_partkey, owner, l_returnflag, avg(l_discount) AS v FROM lineitem JOIN o USING (l_partkey) WHERE l_tax = 0 GROUP BY ALL), md AS (SELECT l_partkey, median(v) AS med FROM x GROUP BY 1)
-SELECT l_partkey, owner AS l_suppkey, l_returnflag, round(v - med, 6) AS centred FROM x JOIN md USING (l_partkey)""")
+@query("act10_sites", """WITH li AS (SELECT *, l_partkey * 100 + CAST(l_quantity AS BIGINT) AS site FROM lineitem), o AS (SELECT site, min(l_suppkey) AS owner FROM li GROUP BY 1 HAVING count(DISTINCT l_suppkey) = 1), x AS (SELECT site, owner, l_returnflag, avg(l_discount) AS v FROM li JOIN o USING (site) GROUP BY ALL), md AS (SELECT site, median(v) AS med FROM x GROUP BY 1)
+SELECT site, owner AS l_suppkey, l_returnflag, round(v - med, 6) AS centred FROM x JOIN md USING (site)""")
 def _(t):
-    return A.centred_sites(t.lineitem.where("l_tax = 0"), "l_partkey", "l_suppkey", "l_returnflag", "l_discount").withColumn("centred", F.round("centred", 6))
+    return A.centred_sites(t.lineitem.withColumn("site", F.col("l_partkey") * 100 + F.col("l_quantity").cast("long")), "site", "l_suppkey", "l_returnflag", "l_discount").withColumn("centred", F.round("centred", 6))
 
 
 FAMILY = "p_type"
@@ -198,9 +198,9 @@ def _(t):
     return S.interaction_hc3(rows, ["p_brand"], "y", "x", "g").select("p_brand", *[F.round(c, 5).alias(c) for c in ("slope_0", "slope_1", "difference", "se", "z")])
 
 
-@query("sta16_set_jaccard", "WITH m AS (SELECT DISTINCT p_type AS g, p_brand AS i FROM part WHERE p_size < 12), n AS (SELECT g, count(*) AS c FROM m GROUP BY 1), s AS (SELECT a.g AS a, b.g AS b, count(*) AS shared FROM m a JOIN m b ON a.i = b.i AND a.g < b.g GROUP BY ALL) SELECT a, b, shared, round(shared / (x.c + y.c - shared), 6) AS jaccard FROM s JOIN n x ON a = x.g JOIN n y ON b = y.g")
+@query("sta16_set_jaccard", "WITH m AS (SELECT DISTINCT p_type AS g, p_brand AS i FROM part), n AS (SELECT g, count(*) AS c FROM m GROUP BY 1), s AS (SELECT a.g AS a, b.g AS b, count(*) AS shared FROM m a JOIN m b ON a.i = b.i AND a.g < b.g GROUP BY ALL) SELECT a, b, shared, round(shared / (x.c + y.c - shared), 6) AS jaccard FROM s JOIN n x ON a = x.g JOIN n y ON b = y.g")
 def _(t):
-    return S.jaccard_pairs(t.part.where("p_size < 12"), "p_type", "p_brand").withColumn("jaccard", F.round("jaccard", 6))
+    return S.jaccard_pairs(t.part, "p_type", "p_brand").withColumn("jaccard", F.round("jaccard", 6))
 
 
 @query("sta18_bootstrap")
@@ -224,34 +224,34 @@ def _(t):
     return S.binary_metrics(rows, ["l_suppkey"], "y", "s").select("l_suppkey", "n", *[F.round(c, 6).alias(c) for c in ("auroc", "average_precision", "brier", "log_loss")])
 
 
-RANKED = "rk AS (SELECT n_name AS name, l_partkey AS member, row_number() OVER (PARTITION BY n_name ORDER BY sum(CAST(l_quantity AS BIGINT)) DESC, l_partkey) AS rank FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name, l_partkey QUALIFY rank <= 60)"
+RANKED = "rk AS (SELECT n_name AS name, l_partkey AS member, row_number() OVER (PARTITION BY n_name ORDER BY sum(CAST(l_quantity AS BIGINT)) DESC, l_partkey) AS rank FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name, l_partkey QUALIFY rank <= 200)"
 
 
 def ranked(t):
     s = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(F.broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey"))
     s = s.groupBy(F.col("n_name").alias("name"), F.col("l_partkey").alias("member")).agg(F.sum(F.col("l_quantity").cast("long")).alias("q"))
-    return W.top_k(s, ["name"], [F.desc("q"), F.col("member")], 60).withColumn("all", F.lit(1))
+    return W.top_k(s, ["name"], [F.desc("q"), F.col("member")], 200).withColumn("all", F.lit(1))
 
 
-@query("gst02_rbo", f"""WITH {RANKED}, h AS (SELECT d, sum(CASE WHEN d = 0 THEN 0 ELSE 0.02 * pow(0.98, d - 1) / d END) OVER (ORDER BY d) AS h FROM (SELECT unnest(range(61)) AS d)), sz AS (SELECT name, max(rank) AS n FROM rk GROUP BY 1),
+@query("gst02_rbo", f"""WITH {RANKED}, h AS (SELECT d, sum(CASE WHEN d = 0 THEN 0 ELSE 0.02 * pow(0.98, d - 1) / d END) OVER (ORDER BY d) AS h FROM (SELECT unnest(range(201)) AS d)), sz AS (SELECT name, max(rank) AS n FROM rk GROUP BY 1),
 pr AS (SELECT a.name AS a, b.name AS b, greatest(a.n, b.n) AS d FROM sz a JOIN sz b ON a.name < b.name), mt AS (SELECT x.name AS a, y.name AS b, greatest(x.rank, y.rank) AS m FROM rk x JOIN rk y ON x.member = y.member AND x.name < y.name)
 SELECT a, b, round(coalesce(sum(h1.h - h2.h + pow(0.98, pr.d) / pr.d), 0), 6) AS rbo FROM pr LEFT JOIN mt USING (a, b) LEFT JOIN h h1 ON h1.d = pr.d LEFT JOIN h h2 ON h2.d = mt.m - 1 GROUP BY ALL""")
 def _(t):
-    return G.rank_biased_overlap(ranked(t), ["all"], "name", "member", 0.98, 60).select("a", "b", F.round("rbo", 6).alias("rbo"))
+    return G.rank_biased_overlap(ranked(t), ["all"], "name", "member", 0.98, 200).select("a", "b", F.round("rbo", 6).alias("rbo"))
 
 
-@query("gst03_weighted_jaccard", """WITH w AS (SELECT n_name AS name, p_brand AS token, CAST(count(*) AS DOUBLE) AS w FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey WHERE l_tax = 0 GROUP BY ALL), t AS (SELECT name, sum(w) AS t FROM w GROUP BY 1),
+@query("gst03_weighted_jaccard", """WITH w AS (SELECT n_name AS name, p_brand AS token, CAST(count(*) AS DOUBLE) AS w FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey GROUP BY ALL), t AS (SELECT name, sum(w) AS t FROM w GROUP BY 1),
 l AS (SELECT x.name AS a, y.name AS b, sum(least(x.w, y.w)) AS low FROM w x JOIN w y ON x.token = y.token AND x.name < y.name GROUP BY ALL) SELECT a.name AS a, b.name AS b, round(coalesce(low, 0) / (a.t + b.t - coalesce(low, 0)), 6) AS similarity FROM t a JOIN t b ON a.name < b.name LEFT JOIN l ON l.a = a.name AND l.b = b.name""")
 def _(t):
-    w = t.lineitem.where("l_tax = 0").join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(F.broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey")).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    w = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(F.broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey")).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     w = w.groupBy(F.col("n_name").alias("name"), F.col("p_brand").alias("token")).agg(F.count("*").cast("double").alias("w")).withColumn("all", F.lit(1))
     return G.weighted_jaccard(w, ["all"], "name", "token", "w").select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query("gst06_custom_set", "WITH q AS (SELECT p_brand AS m FROM part WHERE p_size = 7 GROUP BY 1), s AS (SELECT DISTINCT p_type AS name, p_brand AS m FROM part WHERE p_size < 20), h AS (SELECT name, count(q.m) AS shared, count(*) AS size FROM s LEFT JOIN q USING (m) GROUP BY 1) SELECT name, shared, size, round(shared / (size + (SELECT count(*) FROM q) - shared), 6) AS jaccard FROM h ORDER BY shared / (size + (SELECT count(*) FROM q) - shared) DESC, name LIMIT 20")
+@query("gst06_custom_set", "WITH q AS (SELECT p_brand AS m FROM part WHERE p_size = 7 GROUP BY 1), s AS (SELECT DISTINCT p_type AS name, p_brand AS m FROM part), h AS (SELECT name, count(q.m) AS shared, count(*) AS size FROM s LEFT JOIN q USING (m) GROUP BY 1) SELECT name, shared, size, round(shared / (size + (SELECT count(*) FROM q) - shared), 6) AS jaccard FROM h ORDER BY shared / (size + (SELECT count(*) FROM q) - shared) DESC, name LIMIT 20")
 def _(t):
     q = t.part.where("p_size = 7").select(F.col("p_brand").alias("m"))
-    return G.match_custom(q, t.part.where("p_size < 20").select(F.col("p_type").alias("name"), F.col("p_brand").alias("m")), "name", "m", 20).withColumn("jaccard", F.round("jaccard", 6))
+    return G.match_custom(q, t.part.select(F.col("p_type").alias("name"), F.col("p_brand").alias("m")), "name", "m", 20).withColumn("jaccard", F.round("jaccard", 6))
 
 
 @query("gst07_consensus", "WITH g AS (SELECT l_suppkey, l_returnflag, count(DISTINCT l_linenumber) AS folds, sum(sign(round(l_discount - 0.0483, 4))) AS net, count(*) AS n, avg(round(l_discount - 0.0483, 4)) AS e FROM lineitem GROUP BY ALL) SELECT l_suppkey, l_returnflag, folds, CASE WHEN net > 0 THEN 'positive' WHEN net < 0 THEN 'negative' ELSE 'mixed' END AS direction, round(abs(net) / n, 6) AS consistency, round(e, 6) AS mean_effect FROM g WHERE folds >= 4")

@@ -230,13 +230,13 @@ def _(t):
     return G.neighbourhood(edges(t), "s7", 40, 10, ["R", "A"])
 
 
-@query("gr03_paths", """WITH f AS (SELECT DISTINCT s_suppkey AS source, l_partkey AS m1 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_suppkey <= 5 AND l_tax = 0), mid AS (SELECT p_partkey AS m1, p_partkey + 1 AS m2 FROM part), l AS (SELECT p_partkey AS m2, p_brand AS target FROM part WHERE p_size < 10),
+@query("gr03_paths", """WITH f AS (SELECT DISTINCT s_suppkey AS source, l_partkey AS m1 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey), mid AS (SELECT p_partkey AS m1, p_partkey + 1 AS m2 FROM part), l AS (SELECT p_partkey AS m2, p_brand AS target FROM part),
 u AS (SELECT source, target, f.m1 AS m1, CAST(NULL AS BIGINT) AS m2, 2 AS length FROM f JOIN l ON f.m1 = l.m2 UNION SELECT source, target, f.m1, mid.m2, 3 FROM f JOIN mid ON f.m1 = mid.m1 JOIN l ON mid.m2 = l.m2)
 SELECT source, target, m1, m2, length, row_number() OVER (PARTITION BY source, target ORDER BY length, m1, m2 NULLS FIRST) AS rank FROM u QUALIFY rank <= 3""")
 def _(t):
-    f = t.lineitem.where("l_suppkey <= 5 and l_tax = 0").select(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("m1")).distinct()
+    f = t.lineitem.select(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("m1")).distinct()
     mid = t.part.select(F.col("p_partkey").alias("m1"), (F.col("p_partkey") + 1).alias("m2"))
-    return G.layered_paths(f, mid, t.part.where("p_size < 10").select(F.col("p_partkey").alias("m2"), F.col("p_brand").alias("target")), 3)
+    return G.layered_paths(f, mid, t.part.select(F.col("p_partkey").alias("m2"), F.col("p_brand").alias("target")), 3)
 
 
 @query("gr04_best_paths")
@@ -252,9 +252,9 @@ def _(t):
     return g.select("l_suppkey", "l_partkey", F.when(F.col("e") > 0, "up").otherwise("down").alias("direction"), "fdr")
 
 
-@query("gr06_components", """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS u, -l_partkey AS v FROM lineitem WHERE l_quantity = 50 AND l_tax = 0), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r AS (SELECT u AS node, u AS c FROM b UNION SELECT b.v, r.c FROM r JOIN b ON r.node = b.u) SELECT node, min(c) AS component FROM r GROUP BY 1""")
+@query("gr06_components", """WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT l_orderkey AS u, -l_partkey AS v FROM lineitem), b AS MATERIALIZED (SELECT u, v FROM e UNION SELECT v, u FROM e), r(node, c) USING KEY (node) AS (SELECT DISTINCT u, u FROM b UNION (SELECT b.v, min(r.c) FROM r JOIN b ON r.node = b.u JOIN recurring.r AS now ON now.node = b.v WHERE r.c < now.c GROUP BY b.v)) SELECT node, c AS component FROM r""")
 def _(t):
-    return G.components(t.lineitem.where("l_quantity = 50 and l_tax = 0").select(F.col("l_orderkey").alias("u"), (-F.col("l_partkey")).alias("v")).distinct())
+    return G.components(t.lineitem.select(F.col("l_orderkey").alias("u"), (-F.col("l_partkey")).alias("v")).distinct())
 
 
 @query("gr07_communities")
@@ -272,9 +272,8 @@ def _(t):
     return G.rewired(e, "l_suppkey", "l_partkey", "l_returnflag", 5)
 
 
-@query("gr09_link_candidates", """WITH e AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem WHERE l_tax = 0), sp AS (SELECT *, CAST(CAST('0x' || substr(sha256('links|' || CAST(a AS VARCHAR) || '|' || CAST(b AS VARCHAR)), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 < 0.8 AS tr FROM e), tn AS (SELECT a, b FROM sp WHERE tr),
-da AS (SELECT a, count(*) AS da FROM tn GROUP BY 1), db AS (SELECT b, count(*) AS db FROM tn GROUP BY 1), c AS (SELECT s_suppkey AS a, p_partkey AS b FROM supplier, part WHERE p_size = 1 EXCEPT SELECT a, b FROM tn) SELECT a, b, coalesce(da, 0) * coalesce(db, 0) AS score FROM c LEFT JOIN da USING (a) LEFT JOIN db USING (b)""")
+@query("gr09_link_candidates", """WITH e AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem), sp AS (SELECT *, CAST(CAST('0x' || substr(sha256('links|' || CAST(a AS VARCHAR) || '|' || CAST(b AS VARCHAR)), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 < 0.8 AS tr FROM e), tn AS (SELECT a, b FROM sp WHERE tr),
+da AS (SELECT a, count(*) AS da FROM tn GROUP BY 1), db AS (SELECT b, count(*) AS db FROM tn GROUP BY 1), c AS (SELECT a, b FROM e EXCEPT SELECT a, b FROM tn) SELECT a, b, coalesce(da, 0) * coalesce(db, 0) AS score FROM c LEFT JOIN da USING (a) LEFT JOIN db USING (b)""")
 def _(t):
-    e = G.split_known(t.lineitem.where("l_tax = 0").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")).distinct(), "a", "b", 0.8)
-    c = t.part.where("p_size = 1").select(F.col("p_partkey").alias("b")).crossJoin(t.supplier.select(F.col("s_suppkey").alias("a")))
-    return G.degree_prior(e.where("split = 'train'"), c, "a", "b").select("a", "b", "score")
+    e = G.split_known(t.lineitem.select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")).distinct(), "a", "b", 0.8)
+    return G.degree_prior(e.where("split = 'train'"), e.select("a", "b"), "a", "b").select("a", "b", "score")

@@ -1,5 +1,6 @@
 """The composed operators over the driver tables."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from assaylake.operators import extended as X
@@ -8,11 +9,11 @@ from assaylake.plans.association import DENSE, dense, query_members, ranked
 from assaylake.plans.binding import MEASUREMENTS, query
 
 
-@query("agg21_typed_binding", """WITH f AS (SELECT l_suppkey AS entity, l_partkey AS gene, l_linenumber AS accession, l_linestatus AS cohort, l_returnflag AS assay, l_tax < 0.04 AS exact FROM lineitem WHERE l_orderkey % 10 = 1), g AS (SELECT p_partkey AS lookup, p_brand AS protein, p_size / 50.0 AS weight FROM part), a AS (SELECT DISTINCT p_size AS lookup, p_brand AS protein, 0.5 AS weight FROM part WHERE p_size < 4),
+@query("agg21_typed_binding", """WITH f AS (SELECT l_suppkey AS entity, l_partkey AS gene, l_linenumber AS accession, l_linestatus AS cohort, l_returnflag AS assay, l_tax < 0.04 AS exact FROM lineitem), g AS (SELECT p_partkey AS lookup, p_brand AS protein, p_size / 50.0 AS weight FROM part), a AS (SELECT DISTINCT p_size AS lookup, p_brand AS protein, 0.5 AS weight FROM part WHERE p_size < 4),
 u AS (SELECT entity, protein, cohort, assay, CASE WHEN exact THEN 1.0 ELSE 0.4 END * weight AS w, 'gene' AS route FROM f JOIN g ON gene = lookup UNION ALL SELECT entity, protein, cohort, assay, CASE WHEN exact THEN 1.0 ELSE 0.4 END * weight, 'accession' FROM f JOIN a ON accession = lookup)
 SELECT entity, protein, cohort, assay, round(max(w), 6) AS weight, string_agg(DISTINCT route, ';' ORDER BY route) AS routes FROM u GROUP BY ALL""")
 def _(t):
-    f = t.lineitem.where("l_orderkey % 10 = 1").select(F.col("l_suppkey").alias("entity"), F.col("l_partkey").alias("gene"), F.col("l_linenumber").alias("accession"), F.col("l_linestatus").alias("cohort"), F.col("l_returnflag").alias("assay"), (F.col("l_tax") < 0.04).alias("exact"))
+    f = t.lineitem.select(F.col("l_suppkey").alias("entity"), F.col("l_partkey").alias("gene"), F.col("l_linenumber").alias("accession"), F.col("l_linestatus").alias("cohort"), F.col("l_returnflag").alias("assay"), (F.col("l_tax") < 0.04).alias("exact"))
     g = t.part.select(F.col("p_partkey").alias("lookup"), F.col("p_brand").alias("protein"), (F.col("p_size") / 50.0).alias("weight"))
     a = t.part.where("p_size < 4").select(F.col("p_size").alias("lookup"), F.col("p_brand").alias("protein"), F.lit(0.5).alias("weight")).distinct()
     return X.typed_binding(f, g, a).withColumn("weight", F.round("weight", 6))
@@ -36,17 +37,17 @@ def _(t):
     return X.absorbed(t.lineitem, t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", ["l_suppkey"])
 
 
-@query("agg29_bridge", "SELECT b.l_suppkey AS entity, p.p_type AS target, count(DISTINCT p.p_brand) AS proteins FROM (SELECT DISTINCT p_brand, p_type FROM part WHERE p_size <= 3) p JOIN (SELECT DISTINCT p_brand, l_suppkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_tax = 0) b ON p.p_brand = b.p_brand GROUP BY ALL")
+@query("agg29_bridge", "SELECT b.l_suppkey AS entity, p.p_type AS target, count(DISTINCT p.p_brand) AS proteins FROM (SELECT DISTINCT p_brand, p_type FROM part WHERE p_size <= 3) p JOIN (SELECT DISTINCT p_brand, l_suppkey FROM lineitem JOIN part ON l_partkey = p_partkey) b ON p.p_brand = b.p_brand GROUP BY ALL")
 def _(t):
-    bind = t.lineitem.where("l_tax = 0").join(t.part, F.col("l_partkey") == F.col("p_partkey")).select("p_brand", F.col("l_suppkey").alias("entity"))
+    bind = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select("p_brand", F.col("l_suppkey").alias("entity"))
     return X.bridge(t.part.withColumnRenamed("p_type", "target"), bind, "p_brand", "target", "entity", "p_size", 3)
 
 
-@query("sta08_dependent_fisher", """WITH pv AS (SELECT l_suppkey, l_returnflag AS r, min(l_extendedprice) / 210001.0 AS p FROM lineitem WHERE l_quantity > 30 GROUP BY ALL), s AS (SELECT l_suppkey, sum(-2 * ln(p)) AS x, count(*) AS k, min(p) AS m FROM pv GROUP BY 1), dep AS (SELECT 'A' AS a, 'N' AS b, 0.5 AS rho UNION ALL SELECT 'A', 'R', -0.2),
+@query("sta08_dependent_fisher", """WITH pv AS (SELECT l_suppkey, l_returnflag AS r, min(l_extendedprice) / 210001.0 AS p FROM lineitem GROUP BY ALL), s AS (SELECT l_suppkey, sum(-2 * ln(p)) AS x, count(*) AS k, min(p) AS m FROM pv GROUP BY 1), dep AS (SELECT 'A' AS a, 'N' AS b, 0.5 AS rho UNION ALL SELECT 'A', 'R', -0.2),
 c AS (SELECT x.l_suppkey, sum(CASE WHEN rho >= 0 THEN rho * (3.25 + 0.75 * rho) ELSE rho * (3.27 + 0.71 * rho) END) AS cov, count(*) FILTER (WHERE rho IS NULL) AS un FROM pv x JOIN pv y ON x.l_suppkey = y.l_suppkey AND x.r < y.r LEFT JOIN dep ON a = x.r AND b = y.r GROUP BY 1)
 SELECT l_suppkey, k, round(x / ((4 * k + 2 * coalesce(cov, 0)) / (4 * k)), 5) AS chi2, round(8 * k * k / (4 * k + 2 * coalesce(cov, 0)), 6) AS df, coalesce(un, 0) AS unknown, round(least(1, k * m), 6) AS bonferroni FROM s LEFT JOIN c USING (l_suppkey)""")
 def _(t):
-    pv = t.lineitem.where("l_quantity > 30").groupBy("l_suppkey", F.col("l_returnflag").alias("r")).agg((F.min("l_extendedprice") / 210001.0).alias("p"))
+    pv = t.lineitem.groupBy("l_suppkey", F.col("l_returnflag").alias("r")).agg((F.min("l_extendedprice") / 210001.0).alias("p"))
     dep = t.spark.createDataFrame([("A", "N", 0.5), ("A", "R", -0.2)], "a string, b string, rho double")
     return X.dependent_fisher(pv, dep, "l_suppkey", "r", "p").withColumns({"chi2": F.round("chi2", 5), "df": F.round("df", 6), "bonferroni": F.round("bonferroni", 6)})
 
@@ -70,14 +71,14 @@ def _(t):
     return X.masked_pairs(t.measurements(), y, ["cohort"], "sample", ("entity", "value"), ("target", "score"), 12).withColumn("rho", F.round("rho", 6))
 
 
-@query("sta16_fusion", """WITH a AS (SELECT x.p_brand AS a, y.p_brand AS b, count(DISTINCT x.p_type) / 6.0 AS s FROM part x JOIN part y ON x.p_type = y.p_type AND x.p_brand < y.p_brand WHERE x.p_size < 6 AND y.p_size < 6 GROUP BY ALL), b AS (SELECT x.p_brand AS a, y.p_brand AS b, count(DISTINCT x.p_size) / 50.0 AS s FROM part x JOIN part y ON x.p_size = y.p_size AND x.p_brand < y.p_brand WHERE x.p_size > 30 GROUP BY ALL)
+@query("sta16_fusion", """WITH a AS (SELECT x.p_brand AS a, y.p_brand AS b, count(DISTINCT x.p_type) / 150.0 AS s FROM part x JOIN part y ON x.p_type = y.p_type AND x.p_brand < y.p_brand  GROUP BY ALL), b AS (SELECT x.p_brand AS a, y.p_brand AS b, count(DISTINCT x.p_size) / 50.0 AS s FROM part x JOIN part y ON x.p_size = y.p_size AND x.p_brand < y.p_brand GROUP BY ALL)
 SELECT a, b, round(sum(s * w) / sum(w), 6) AS similarity, count(*) AS views FROM (SELECT *, 0.7 AS w FROM a UNION ALL SELECT *, 0.3 FROM b) GROUP BY ALL""")
 def _(t):
     def view(df, item, size):
         m = df.select("p_brand", item).distinct()
         return m.withColumnRenamed("p_brand", "a").join(m.withColumnRenamed("p_brand", "b"), item).where("a < b").groupBy("a", "b").agg((F.count("*") / size).alias("similarity"))
 
-    return X.similarity_fusion({"types": (view(t.part.where("p_size < 6"), "p_type", 6.0), 0.7), "sizes": (view(t.part.where("p_size > 30"), "p_size", 50.0), 0.3)}).withColumn("similarity", F.round("similarity", 6))
+    return X.similarity_fusion({"types": (view(t.part, "p_type", 150.0), 0.7), "sizes": (view(t.part, "p_size", 50.0), 0.3)}).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("sta22_paired_arms", "WITH r AS (SELECT l_returnflag, pow(l_discount * 9 - y, 2) - pow(l_tax * 11 - y, 2) AS d FROM (SELECT *, CASE WHEN l_linestatus = 'O' THEN 1.0 ELSE 0.0 END AS y FROM lineitem) QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1) SELECT l_returnflag, count(*) AS n, round(avg(d), 6) AS difference, count(*) FILTER (WHERE d < 0) AS a_better, count(*) FILTER (WHERE d > 0) AS b_better FROM r GROUP BY 1")
@@ -96,11 +97,9 @@ def _(t):
 
 @query("gst04_subtypes")
 def _(t):
-    from pyspark.sql import Window
-
     s = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(F.broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey")).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     g = s.groupBy(F.col("p_type").alias("pathway"), F.col("n_name").alias("cohort"), F.col("p_brand").alias("member")).agg(F.count("*").cast("double").alias("weight"))
-    g = g.withColumn("rank", F.row_number().over(Window.partitionBy("pathway", "cohort").orderBy(F.desc("weight"), "member"))).where("rank <= 12")
+    g = g.withColumn("rank", F.row_number().over(Window.partitionBy("pathway", "cohort").orderBy(F.desc("weight"), "member")))
     return X.context_subtypes(g, "pathway", "cohort", "member", "weight")
 
 
@@ -120,13 +119,13 @@ def _(t):
 
 @query("qry01_mixed", """WITH n AS (SELECT (SELECT count(*) FROM part) AS total, (SELECT count(*) FROM part WHERE p_size > 47) AS drawn), s AS (SELECT p_type AS target, count(*) AS size, count(*) FILTER (WHERE p_size > 47) AS hit FROM part GROUP BY 1), k AS (SELECT target, hit, size, total, drawn, unnest(range(greatest(hit, 0), least(size, drawn) + 1)) AS i FROM s, n),
 g AS (SELECT target, least(1, -log10(greatest(sum(exp(lgamma(size + 1.0) - lgamma(i + 1.0) - lgamma(size - i + 1.0) + lgamma(total - size + 1.0) - lgamma(drawn - i + 1.0) - lgamma(total - size - drawn + i + 1.0) - lgamma(total + 1.0) + lgamma(drawn + 1.0) + lgamma(total - drawn + 1.0))), 1e-300)) / 10) AS gs FROM k GROUP BY 1),
-e AS (SELECT p_type AS target, avg(l_discount) AS es, count(*) AS entities FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_suppkey < 20 GROUP BY 1) SELECT target, round(gs, 6) AS gene_score, round(es, 6) AS entity_score, entities, round(sqrt(gs * es), 6) AS score FROM g JOIN e USING (target)""")
+e AS (SELECT p_type AS target, avg(l_discount) AS es, count(*) AS entities FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1) SELECT target, round(gs, 6) AS gene_score, round(es, 6) AS entity_score, entities, round(sqrt(gs * es), 6) AS score FROM g JOIN e USING (target)""")
 def _(t):
     sets = t.part.groupBy(F.col("p_type").alias("target")).agg(F.count("*").alias("size"), F.count_if(F.col("p_size") > 47).alias("hit"))
     drawn = query_members(t).count()
     n = t.part.agg(F.count("*").alias("total")).withColumn("drawn", F.lit(drawn))
     genes = sets.join(F.broadcast(n)).select("target", S.enrichment_p(F.col("hit"), F.col("drawn"), F.col("size"), F.col("total")).alias("p"))
-    entities = t.lineitem.where("l_suppkey < 20").join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_type").alias("target"), F.col("l_discount").alias("association"))
+    entities = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_type").alias("target"), F.col("l_discount").alias("association"))
     return X.mixed_channels(genes, entities, "target", 100).withColumns({c: F.round(c, 6) for c in ("gene_score", "entity_score", "score")})
 
 

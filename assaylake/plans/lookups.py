@@ -17,10 +17,10 @@ from assaylake.plans.shape import NEAR, near
 R6 = lambda *names: {n: F.round(n, 6) for n in names}
 
 
-@query("id19_functional", "SELECT l_orderkey, l_partkey AS gene, 'fold' AS source, CASE WHEN l_linestatus = 'O' THEN -(l_discount - 0.04) ELSE l_discount - 0.04 END AS effect, CASE WHEN l_tax > 0 THEN l_tax END AS q, l_tax > 0 AS available, CASE WHEN l_tax <= 0 THEN 'no_q' END AS reason FROM lineitem WHERE l_returnflag = 'R' UNION ALL SELECT l_orderkey, l_partkey, 'splice', l_discount, NULL, false, 'not_tested' FROM lineitem WHERE l_returnflag = 'A' AND l_quantity < 5")
+@query("id19_functional", "SELECT l_orderkey, l_partkey AS gene, 'fold' AS source, CASE WHEN l_linestatus = 'O' THEN -(l_discount - 0.04) ELSE l_discount - 0.04 END AS effect, CASE WHEN l_tax > 0 THEN l_tax END AS q, l_tax > 0 AS available, CASE WHEN l_tax <= 0 THEN 'no_q' END AS reason FROM lineitem WHERE l_returnflag = 'R' UNION ALL SELECT l_orderkey, l_partkey, 'splice', l_discount, NULL, false, 'not_tested' FROM lineitem WHERE l_returnflag = 'A'")
 def _(t):
     one = t.lineitem.where("l_returnflag = 'R'").select("l_orderkey", F.col("l_partkey").alias("gene"), F.lit("fold").alias("source"), F.when(F.col("l_linestatus") == "O", -(F.col("l_discount") - 0.04)).otherwise(F.col("l_discount") - 0.04).alias("effect"), F.when(F.col("l_tax") > 0, F.col("l_tax")).alias("q"), (F.col("l_tax") > 0).alias("available"), F.when(F.col("l_tax") <= 0, "no_q").alias("reason"))
-    two = t.lineitem.where("l_returnflag = 'A' and l_quantity < 5").select("l_orderkey", F.col("l_partkey").alias("gene"), F.lit("splice").alias("source"), F.col("l_discount").alias("effect"), F.lit(None).cast("double").alias("q"), F.lit(False).alias("available"), F.lit("not_tested").alias("reason"))
+    two = t.lineitem.where("l_returnflag = 'A'").select("l_orderkey", F.col("l_partkey").alias("gene"), F.lit("splice").alias("source"), F.col("l_discount").alias("effect"), F.lit(None).cast("double").alias("q"), F.lit(False).alias("available"), F.lit("not_tested").alias("reason"))
     return one.unionByName(two)
 
 
@@ -31,9 +31,9 @@ def _(t):
     return t.part.select("p_partkey", site.alias("site"), F.when(site.isNotNull(), "phosphosite").when(F.col("p_brand") < "Brand#3", "exact").otherwise("composite").alias("kind"))
 
 
-@query("id22_studies", "WITH RECURSIVE tok AS (SELECT l_orderkey AS r, 'o' || CAST(l_orderkey AS VARCHAR) AS tok FROM lineitem WHERE l_quantity = 50 AND l_tax = 0.01 UNION SELECT l_orderkey, 'p' || CAST(l_partkey AS VARCHAR) FROM lineitem WHERE l_quantity = 50 AND l_tax = 0.01), e AS (SELECT DISTINCT a.r AS u, b.r AS v FROM tok a JOIN tok b USING (tok)), c AS (SELECT u AS node, u AS k FROM e UNION SELECT e.v, c.k FROM c JOIN e ON c.node = e.u) SELECT node AS record, min(k) AS study FROM c GROUP BY 1")
+@query("id22_studies", "WITH RECURSIVE tok AS MATERIALIZED (SELECT DISTINCT l_orderkey AS r, l_partkey AS p FROM lineitem), f AS (SELECT r, min(r) OVER (PARTITION BY p) AS v FROM tok), e AS MATERIALIZED (SELECT r AS u, v FROM f UNION SELECT v, r FROM f), c(node, k) USING KEY (node) AS (SELECT DISTINCT u, u FROM e UNION (SELECT e.v, min(c.k) FROM c JOIN e ON c.node = e.u JOIN recurring.c AS now ON now.node = e.v WHERE c.k < now.k GROUP BY e.v)) SELECT node AS record, k AS study FROM c")
 def _(t):
-    rows = t.lineitem.where("l_quantity = 50 and l_tax = 0.01").select(F.col("l_orderkey").alias("r"), F.array(F.concat(F.lit("o"), "l_orderkey"), F.concat(F.lit("p"), "l_partkey")).alias("tokens"))
+    rows = t.lineitem.select(F.col("l_orderkey").alias("r"), F.array(F.concat(F.lit("o"), "l_orderkey"), F.concat(F.lit("p"), "l_partkey")).alias("tokens"))
     tokens = rows.select("r", F.explode("tokens").alias("token"))
     first = tokens.groupBy("token").agg(F.min("r").alias("v"))  # a token ties its records to the least of them: no pairs within a token
     found = G.components(tokens.join(first, "token").select(F.col("r").alias("u"), "v").distinct())
@@ -88,11 +88,11 @@ def _(t):
     return S.random_effects(scan, ["entity"], "beta", "se").select("entity", "k", F.round("beta", 5).alias("beta"), F.round("se", 5).alias("se"))
 
 
-@query("gen03_accessibility", f"WITH {NEAR}, h AS (SELECT l_orderkey, l_linenumber, count(*) AS peaks, avg(be - bs) AS width FROM a JOIN b USING (chrom) WHERE s < be AND bs < e GROUP BY ALL), k AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_suppkey IN (7, 11)) SELECT k.l_orderkey AS l_orderkey, k.l_linenumber AS l_linenumber, peaks, round(width, 6) AS width, CASE WHEN peaks IS NULL THEN 'not_covered' END AS reason FROM k LEFT JOIN h USING (l_orderkey, l_linenumber)")
+@query("gen03_accessibility", f"WITH {NEAR}, h AS (SELECT l_orderkey, l_linenumber, count(*) AS peaks, avg(be - bs) AS width FROM a JOIN b USING (chrom) WHERE s < be AND bs < e GROUP BY ALL), k AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) SELECT k.l_orderkey AS l_orderkey, k.l_linenumber AS l_linenumber, peaks, round(width, 6) AS width, CASE WHEN peaks IS NULL THEN 'not_covered' END AS reason FROM k LEFT JOIN h USING (l_orderkey, l_linenumber)")
 def _(t):
     a, b = near(t)
     h = J.binned(a, b, ["chrom"], ("s", "e"), ("bs", "be"), 64).groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("peaks"), F.round(F.avg(F.col("be") - F.col("bs")), 6).alias("width"))
-    declared = t.lineitem.where("l_suppkey in (7, 11)").select("l_orderkey", "l_linenumber").distinct()
+    declared = t.lineitem.select("l_orderkey", "l_linenumber").distinct()
     return J.universe(h, declared, ["l_orderkey", "l_linenumber"], "peaks", "not_covered")
 
 

@@ -54,10 +54,10 @@ def _(t):
     return L.role_contract(rows, roles, ["l_returnflag", "l_linestatus"]).groupBy(F.coalesce("reject_reason", F.lit("accepted")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
-@query("flt06_isolation", """WITH u AS (SELECT * FROM lineitem WHERE l_linenumber = 2 AND l_suppkey % 3 = 0), x AS (SELECT l_orderkey, l_linenumber, l_orderkey IN (SELECT l_orderkey FROM u) AS s, (l_suppkey, l_partkey) IN (SELECT (l_suppkey, l_partkey) FROM u) AS p, l_suppkey IN (SELECT l_suppkey FROM u) AS e FROM lineitem WHERE l_linenumber = 1)
+@query("flt06_isolation", """WITH u AS (SELECT * FROM lineitem WHERE l_linenumber = 2), x AS (SELECT l_orderkey, l_linenumber, l_orderkey IN (SELECT l_orderkey FROM u) AS s, (l_suppkey, l_partkey) IN (SELECT (l_suppkey, l_partkey) FROM u) AS p, l_suppkey IN (SELECT l_suppkey FROM u) AS e FROM lineitem WHERE l_linenumber = 1)
 SELECT l_orderkey, NOT s AS provenance_ok, NOT s AND NOT p AS pair_held_out, NOT s AND NOT e AS entity_held_out, concat_ws(';', CASE WHEN s THEN 'study_used' END, CASE WHEN p THEN 'pair_used' END, CASE WHEN e THEN 'entity_used' END) AS reasons FROM x""")
 def _(t):
-    used = t.lineitem.where("l_linenumber = 2 and l_suppkey % 3 = 0")
+    used = t.lineitem.where("l_linenumber = 2")
     out = L.isolation(t.lineitem.where("l_linenumber = 1").select("l_orderkey", "l_suppkey", "l_partkey"), used, "l_orderkey", ("l_suppkey", "l_partkey"))
     return out.select("l_orderkey", "provenance_ok", "pair_held_out", "entity_held_out", "reasons")
 
@@ -147,12 +147,12 @@ def day(c):
     return F.datediff(F.col(c), F.lit("1992-01-01").cast("date")).cast("long")
 
 
-SPANS = f"iv AS (SELECT l_orderkey, l_linenumber, l_returnflag AS chrom, l_suppkey, least({DAY.format('o_orderdate')}, {DAY.format('l_shipdate')}) AS s, greatest({DAY.format('o_orderdate')}, {DAY.format('l_shipdate')}) + 1 AS e FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+SPANS = f"iv AS (SELECT l_orderkey, l_linenumber, l_returnflag AS chrom, l_suppkey, l_partkey, least({DAY.format('o_orderdate')}, {DAY.format('l_shipdate')}) AS s, greatest({DAY.format('o_orderdate')}, {DAY.format('l_shipdate')}) + 1 AS e FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 
 
 def spans(t):
     rows = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    return rows.select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("chrom"), "l_suppkey", F.least(day("o_orderdate"), day("l_shipdate")).alias("s"), (F.greatest(day("o_orderdate"), day("l_shipdate")) + 1).alias("e"))
+    return rows.select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("chrom"), "l_suppkey", "l_partkey", F.least(day("o_orderdate"), day("l_shipdate")).alias("s"), (F.greatest(day("o_orderdate"), day("l_shipdate")) + 1).alias("e"))
 
 
 @query("win11_union_length", f"""WITH {SPANS}, b AS (SELECT *, max(e) OVER (PARTITION BY chrom, l_suppkey ORDER BY s, e, l_orderkey, l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM iv),
@@ -191,9 +191,9 @@ def _(t):
     return J.merge_components([(part("R", "l_discount", "da"), ["s", "p"]), (part("A", "l_tax", "tb"), ["s", "p"]), (coarse, ["s"])], ["s", "p"], {"da": 0, "tb": 0, "qc": 0})
 
 
-@query("joi03_universe", "WITH u AS (SELECT s_suppkey AS s, r_regionkey AS r FROM supplier, region), v AS (SELECT l_suppkey AS s, n_regionkey AS r, sum(CAST(l_quantity AS BIGINT)) AS qty FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE l_quantity = 50 AND l_tax = 0.01 GROUP BY ALL) SELECT s, r, CAST(qty AS BIGINT) AS qty, CASE WHEN qty IS NULL THEN 'not_observed' END AS reason FROM u LEFT JOIN v USING (s, r)")
+@query("joi03_universe", "WITH u AS (SELECT s_suppkey AS s, r_regionkey AS r FROM supplier, region), v AS (SELECT l_suppkey AS s, n_regionkey AS r, sum(CAST(l_quantity AS BIGINT)) AS qty FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL) SELECT s, r, CAST(qty AS BIGINT) AS qty, CASE WHEN qty IS NULL THEN 'not_observed' END AS reason FROM u LEFT JOIN v USING (s, r)")
 def _(t):
-    v = t.sales().where("l_quantity = 50 and l_tax = 0.01").groupBy(F.col("l_suppkey").alias("s"), F.col("n_regionkey").alias("r")).agg(F.sum(F.col("l_quantity").cast("long")).alias("qty"))
+    v = t.sales().groupBy(F.col("l_suppkey").alias("s"), F.col("n_regionkey").alias("r")).agg(F.sum(F.col("l_quantity").cast("long")).alias("qty"))
     return J.universe(v, t.supplier.select(F.col("s_suppkey").alias("s")).join(F.broadcast(t.region.select(F.col("r_regionkey").alias("r")))), ["s", "r"], "qty", "not_observed")
 
 
@@ -214,35 +214,36 @@ def _(t):
     return d.select(F.col("right_only").alias("only_right"), F.col("left_only").alias("only_left"))
 
 
-BLOCKS = "bl AS (SELECT l_returnflag AS chrom, o_orderkey AS b, {d0} - {d0} % 90 AS block_start, {d0} - {d0} % 90 + 60 + o_orderkey % 80 AS block_end, 'T' || l_returnflag AS target_chrom, 1000 * (o_orderkey % 7) AS target_start, 100000 AS target_size, CASE WHEN o_orderkey % 2 = 0 THEN '+' ELSE '-' END AS strand FROM (SELECT DISTINCT l_returnflag, o_orderkey, o_orderdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey % 500 = 3))".format(d0=DAY.format("o_orderdate"))
+BLOCKS = "bl AS (SELECT l_partkey AS chrom, o_orderkey AS b, {d0} - {d0} % 90 AS block_start, {d0} - {d0} % 90 + 60 + o_orderkey % 80 AS block_end, 'T' || l_partkey AS target_chrom, 1000 * (o_orderkey % 7) AS target_start, 100000 AS target_size, CASE WHEN o_orderkey % 2 = 0 THEN '+' ELSE '-' END AS strand FROM (SELECT DISTINCT l_partkey, o_orderkey, o_orderdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey))".format(d0=DAY.format("o_orderdate"))
 
 
-@query("joi07_lift", f"""WITH {SPANS}, {BLOCKS}, h AS (SELECT l_orderkey, l_linenumber, target_chrom, CASE WHEN strand = '+' THEN target_start + s - block_start ELSE target_size - (target_start + s - block_start + e - s) END AS ls, e - s AS w FROM iv JOIN bl USING (chrom) WHERE s >= block_start AND e <= block_end),
+@query("joi07_lift", f"""WITH {SPANS}, {BLOCKS}, h AS (SELECT l_orderkey, l_linenumber, target_chrom, CASE WHEN strand = '+' THEN target_start + s - block_start ELSE target_size - (target_start + s - block_start + e - s) END AS ls, e - s AS w FROM iv JOIN bl ON l_partkey = bl.chrom WHERE s >= block_start AND e <= block_end),
 g AS (SELECT l_orderkey, l_linenumber, count(*) AS n, min(target_chrom) AS tc, min(ls) AS ls, min(w) AS w FROM h GROUP BY ALL)
 SELECT l_orderkey, l_linenumber, CASE WHEN n = 1 THEN tc END AS lifted_chrom, CASE WHEN n = 1 THEN ls + 1 END AS lifted_start, CASE WHEN n = 1 THEN ls + w END AS lifted_end, CASE WHEN n IS NULL THEN 'no_complete_aligned_block' WHEN n > 1 THEN 'ambiguous_complete_block' ELSE 'lifted' END AS status FROM iv LEFT JOIN g USING (l_orderkey, l_linenumber)""")
 def _(t):
-    base = t.lineitem.join(t.orders.where("o_orderkey % 500 = 3"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_returnflag").alias("chrom"), "o_orderkey", day("o_orderdate").alias("d")).distinct()
+    base = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_partkey").alias("chrom"), "o_orderkey", day("o_orderdate").alias("d")).distinct()
     lo = F.col("d") - F.col("d") % 90
     blocks = base.select("chrom", lo.alias("block_start"), (lo + 60 + F.col("o_orderkey") % 80).alias("block_end"), F.concat(F.lit("T"), "chrom").alias("target_chrom"), (1000 * (F.col("o_orderkey") % 7)).alias("target_start"), F.lit(100000).alias("target_size"), F.when(F.col("o_orderkey") % 2 == 0, "+").otherwise("-").alias("strand"))
-    points = spans(t).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), "l_orderkey", "l_linenumber", "chrom", (F.col("s") + 1).alias("start"), F.col("e").alias("end"))
+    points = spans(t).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), "l_orderkey", "l_linenumber", F.col("l_partkey").alias("chrom"), (F.col("s") + 1).alias("start"), F.col("e").alias("end"))
     return J.lift(points, blocks, "k", "chrom", "start", "end", 64).select("l_orderkey", "l_linenumber", "lifted_chrom", "lifted_start", "lifted_end", "status")
 
 
-@query("joi08_as_of", f"""WITH p AS (SELECT event_id, user_id % 10 AS g, {DAY.format('ts')} AS d FROM events), sg AS (SELECT o_custkey % 10 AS g, {DAY.format('o_orderdate')} AS s, max({DAY.format('o_orderdate')} + o_orderkey % 5) AS e FROM orders WHERE o_orderkey % 9 = 0 GROUP BY ALL),
+@query("joi08_as_of", f"""WITH p AS (SELECT event_id, user_id AS g, {DAY.format('ts')} AS d FROM events), sg AS (SELECT o_custkey AS g, {DAY.format('o_orderdate')} AS s, max({DAY.format('o_orderdate')} + o_orderkey % 400) AS e FROM orders GROUP BY ALL),
 j AS (SELECT event_id, d, sg.s, sg.e FROM p ASOF LEFT JOIN sg ON p.g = sg.g AND p.d >= sg.s) SELECT event_id, CASE WHEN e >= d THEN s END AS start FROM j""")
 def _(t):
-    p = t.events.select("event_id", (F.col("user_id") % 10).alias("g"), day("ts").alias("d"))
-    sg = t.orders.where("o_orderkey % 9 = 0").groupBy((F.col("o_custkey") % 10).alias("g"), day("o_orderdate").alias("s")).agg(F.max(day("o_orderdate") + F.col("o_orderkey") % 5).alias("e")).withColumn("start", F.col("s"))
+    p = t.events.select("event_id", F.col("user_id").alias("g"), day("ts").alias("d"))
+    sg = t.orders.groupBy(F.col("o_custkey").alias("g"), day("o_orderdate").alias("s")).agg(F.max(day("o_orderdate") + F.col("o_orderkey") % 400).alias("e")).withColumn("start", F.col("s"))
     return J.as_of(p, sg, ["g"], "d", "s", "e", ["start"]).select("event_id", "start")
 
 
-NEAR = f"""{SPANS}, a AS (SELECT * FROM iv WHERE l_suppkey = 7), b AS (SELECT l_orderkey AS bo, l_linenumber AS bl, chrom, s AS bs, e AS be FROM iv WHERE l_suppkey = 9)"""
+NEAR = f"""{SPANS}, a AS (SELECT l_orderkey, l_linenumber, l_partkey AS chrom, s, e FROM iv WHERE chrom <> 'R'), b AS (SELECT l_orderkey AS bo, l_linenumber AS bl, l_partkey AS chrom, s AS bs, e AS be FROM iv WHERE chrom = 'R')"""
 
 
 def near(t):
-    iv = spans(t)
-    b = iv.where("l_suppkey = 9").select(F.col("l_orderkey").alias("bo"), F.col("l_linenumber").alias("bl"), "chrom", F.col("s").alias("bs"), F.col("e").alias("be"))
-    return iv.where("l_suppkey = 7"), b
+    """Intervals on a part: those of lines that were not returned, and those of the returned ones."""
+    iv = spans(t).withColumn("flag", F.col("chrom")).withColumn("chrom", F.col("l_partkey"))
+    b = iv.where("flag = 'R'").select(F.col("l_orderkey").alias("bo"), F.col("l_linenumber").alias("bl"), "chrom", F.col("s").alias("bs"), F.col("e").alias("be"))
+    return iv.where("flag <> 'R'").select("l_orderkey", "l_linenumber", "chrom", "s", "e"), b
 
 
 @query("joi09_distance", f"WITH {NEAR} SELECT l_orderkey, l_linenumber, bo, bl, greatest(bs - e, s - be, 0) AS distance FROM a JOIN b USING (chrom) WHERE s - 30 < be AND bs < e + 30 AND NOT (s < be AND bs < e)")
@@ -258,24 +259,24 @@ def _(t):
     return J.binned(a, b, ["chrom"], ("s", "e"), ("bs", "be"), 64).groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"), F.sum(F.least("e", "be") - F.greatest("s", "bs")).alias("bp"))
 
 
-@query("joi11_routes", f"""WITH {MEMBERSHIP}, ev AS (SELECT l_orderkey * 10 + l_linenumber AS event, CASE WHEN l_linenumber % 2 = 0 THEN p_type ELSE p_brand END AS partner FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 50 = 1)
+@query("joi11_routes", f"""WITH {MEMBERSHIP}, ev AS (SELECT l_orderkey * 10 + l_linenumber AS event, CASE WHEN l_linenumber % 2 = 0 THEN p_type ELSE p_brand END AS partner FROM lineitem JOIN part ON l_partkey = p_partkey)
 SELECT event, target, min(route) AS route FROM (SELECT event, target, 'direct' AS route FROM ev JOIN (SELECT DISTINCT target FROM mem) ON partner = target UNION ALL SELECT event, target, 'member' FROM ev JOIN mem ON partner = entity) GROUP BY ALL""")
 def _(t):
-    ev = t.lineitem.where("l_orderkey % 50 = 1").join(t.part, F.col("l_partkey") == F.col("p_partkey")).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("event"), F.when(F.col("l_linenumber") % 2 == 0, F.col("p_type")).otherwise(F.col("p_brand")).alias("partner"))
+    ev = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("event"), F.when(F.col("l_linenumber") % 2 == 0, F.col("p_type")).otherwise(F.col("p_brand")).alias("partner"))
     return J.route_events(ev, t.membership(), "event", "partner", "target", "entity")
 
 
-@query("joi12_attach", """WITH c AS (SELECT DISTINCT l_suppkey AS s, l_returnflag AS f, l_linestatus AS cohort FROM lineitem), ev AS (SELECT l_suppkey AS s, l_returnflag AS f, CASE WHEN l_linenumber % 3 > 0 THEN l_linestatus END AS cohort, l_orderkey AS ev FROM lineitem WHERE l_orderkey % 20 = 1)
+@query("joi12_attach", """WITH c AS (SELECT DISTINCT l_suppkey AS s, l_returnflag AS f, l_linestatus AS cohort FROM lineitem), ev AS (SELECT l_suppkey AS s, l_returnflag AS f, CASE WHEN l_linenumber % 3 > 0 THEN l_linestatus END AS cohort, l_orderkey AS ev FROM lineitem)
 SELECT s, f, cohort, ev, 'local' AS scope FROM c JOIN ev USING (s, f, cohort) UNION ALL SELECT c.s, c.f, c.cohort, ev, 'global' FROM c JOIN ev ON c.s = ev.s AND c.f = ev.f WHERE ev.cohort IS NULL""")
 def _(t):
     c = t.lineitem.select(F.col("l_suppkey").alias("s"), F.col("l_returnflag").alias("f"), F.col("l_linestatus").alias("cohort")).distinct()
-    ev = t.lineitem.where("l_orderkey % 20 = 1").select(F.col("l_suppkey").alias("s"), F.col("l_returnflag").alias("f"), F.when(F.col("l_linenumber") % 3 > 0, F.col("l_linestatus")).alias("cohort"), F.col("l_orderkey").alias("ev"))
+    ev = t.lineitem.select(F.col("l_suppkey").alias("s"), F.col("l_returnflag").alias("f"), F.when(F.col("l_linenumber") % 3 > 0, F.col("l_linestatus")).alias("cohort"), F.col("l_orderkey").alias("ev"))
     return J.attach_events(c, ev, ["s", "f"], "cohort")
 
 
-@query("joi13_paths", "SELECT DISTINCT c_nationkey, l_suppkey, p_brand, p_type FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey WHERE l_quantity > 48")
+@query("joi13_paths", "SELECT DISTINCT c_nationkey, l_suppkey, p_brand, p_type FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey")
 def _(t):
-    return t.sales().where("l_quantity > 48").select("c_nationkey", "l_suppkey", "p_brand", "p_type").distinct()
+    return t.sales().select("c_nationkey", "l_suppkey", "p_brand", "p_type").distinct()
 
 
 @query("joi14_mask", "SELECT p_partkey, f.fold AS fold FROM part, (SELECT unnest(range(5)) AS fold) f WHERE (p_size & (1 << f.fold)) <> 0 AND EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = f.fold)")
@@ -307,10 +308,10 @@ def _(t):
     return side("F").intersect(side("O"))
 
 
-@query("set04_arms", "SELECT k, bool_or(a) AS in_bulk, bool_or(NOT a) AS in_cell FROM (SELECT l_suppkey AS k, true AS a FROM lineitem WHERE l_quantity = 1 AND l_tax = 0 UNION ALL SELECT l_suppkey, false FROM lineitem WHERE l_quantity = 2 AND l_tax = 0) GROUP BY 1")
+@query("set04_arms", "SELECT k, bool_or(a) AS in_bulk, bool_or(NOT a) AS in_cell FROM (SELECT l_orderkey AS k, true AS a FROM lineitem WHERE l_linestatus = 'O' UNION ALL SELECT l_orderkey, false FROM lineitem WHERE l_linestatus = 'F') GROUP BY 1")
 def _(t):
-    side = lambda q: t.lineitem.where((F.col("l_quantity") == q) & (F.col("l_tax") == 0)).select(F.col("l_suppkey").alias("k"))
-    return J.two_arms(side(1), side(2), ["k"], ("bulk", "cell"))
+    side = lambda s: t.lineitem.where(F.col("l_linestatus") == s).select(F.col("l_orderkey").alias("k"))
+    return J.two_arms(side("O"), side("F"), ["k"], ("bulk", "cell"))
 
 
 @query("dq01_keys", "WITH g AS (SELECT CASE WHEN l_tax > 0 THEN l_orderkey END AS k, l_linenumber % 3 AS n, count(*) AS c FROM lineitem GROUP BY ALL) SELECT CAST(sum(c) AS BIGINT) AS rows, CAST(sum(c) FILTER (WHERE k IS NULL) AS BIGINT) AS null_keys, count(*) FILTER (WHERE c > 1 AND k IS NOT NULL) AS repeated_keys FROM g")

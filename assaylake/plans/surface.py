@@ -62,11 +62,11 @@ def _(t):
     return out.withColumns({c: F.round(c, 6) for c in out.columns if c.endswith(("_rho", "_abs", "_q"))})
 
 
-@query("sc07_contexts", "WITH k AS (SELECT s_suppkey, f.f AS f FROM supplier, (SELECT DISTINCT l_returnflag AS f FROM lineitem) f), a AS (SELECT l_suppkey AS s_suppkey, l_returnflag AS f, max(l_quantity) AS x FROM lineitem WHERE l_tax = 0 AND l_discount > 0.09 GROUP BY ALL), b AS (SELECT l_suppkey AS s_suppkey, l_returnflag AS f, max(l_linenumber) AS y FROM lineitem WHERE l_tax = 0.01 AND l_discount > 0.09 GROUP BY ALL) SELECT s_suppkey, f, x, y, CASE WHEN x IS NULL AND y IS NULL THEN 'neither' WHEN x IS NULL THEN 'no_expression' WHEN y IS NULL THEN 'no_activity' END AS reason FROM k LEFT JOIN a USING (s_suppkey, f) LEFT JOIN b USING (s_suppkey, f)")
+@query("sc07_contexts", "WITH k AS (SELECT s_suppkey, f.f AS f FROM supplier, (SELECT DISTINCT l_returnflag AS f FROM lineitem) f), a AS (SELECT l_suppkey AS s_suppkey, l_returnflag AS f, max(l_quantity) AS x FROM lineitem WHERE l_linestatus = 'F' GROUP BY ALL), b AS (SELECT l_suppkey AS s_suppkey, l_returnflag AS f, max(l_linenumber) AS y FROM lineitem WHERE l_linestatus = 'O' GROUP BY ALL) SELECT s_suppkey, f, x, y, CASE WHEN x IS NULL AND y IS NULL THEN 'neither' WHEN x IS NULL THEN 'no_expression' WHEN y IS NULL THEN 'no_activity' END AS reason FROM k LEFT JOIN a USING (s_suppkey, f) LEFT JOIN b USING (s_suppkey, f)")
 def _(t):
     keys = t.supplier.select("s_suppkey").join(F.broadcast(t.lineitem.select(F.col("l_returnflag").alias("f")).distinct()))
-    side = lambda tax, c, n: t.lineitem.where((F.col("l_tax") == tax) & (F.col("l_discount") > 0.09)).groupBy(F.col("l_suppkey").alias("s_suppkey"), F.col("l_returnflag").alias("f")).agg(F.max(c).alias(n))
-    return C.paired_contexts(side(0, "l_quantity", "x"), side(0.01, "l_linenumber", "y"), keys, ["s_suppkey", "f"], "x", "y")
+    side = lambda status, c, n: t.lineitem.where(F.col("l_linestatus") == status).groupBy(F.col("l_suppkey").alias("s_suppkey"), F.col("l_returnflag").alias("f")).agg(F.max(c).alias(n))
+    return C.paired_contexts(side("F", "l_quantity", "x"), side("O", "l_linenumber", "y"), keys, ["s_suppkey", "f"], "x", "y")
 
 
 @query("sc08_coverage", f"WITH {MEASUREMENTS}, s AS (SELECT DISTINCT cohort, entity FROM m WHERE value > 10.5), p AS (SELECT cohort, count(*) AS n FROM s GROUP BY 1), e AS (SELECT entity, count(*) AS c FROM s GROUP BY 1) SELECT (SELECT count(*) FROM p) AS cohorts, (SELECT min(n) FROM p) AS least, (SELECT median(n) FROM p) AS median, (SELECT round(avg(n), 6) FROM p) AS mean, (SELECT max(n) FROM p) AS most, (SELECT count(*) FROM e) AS \"union\", (SELECT count(*) FROM e WHERE c = (SELECT count(*) FROM p)) AS intersection")
@@ -74,15 +74,14 @@ def _(t):
     return C.coverage_counts(t.measurements().where("value > 10.5"), "cohort", "entity").withColumn("mean", F.round("mean", 6))
 
 
-SEG = f"sg AS (SELECT o_custkey % 10 AS g, {DAY.format('o_orderdate')} AS s, max({DAY.format('o_orderdate')} + o_orderkey % 5) AS e, max_by(o_totalprice / 100000 - 1.4, {DAY.format('o_orderdate')} + o_orderkey % 5 + o_orderkey / 1e9) AS v FROM orders WHERE o_orderkey % 3 = 0 GROUP BY ALL)"
+SEG = f"sg AS (SELECT o_custkey % 10 AS g, {DAY.format('o_orderdate')} AS s, max({DAY.format('o_orderdate')} + o_orderkey % 5) AS e, max_by(o_totalprice / 100000 - 1.4, {DAY.format('o_orderdate')} + o_orderkey % 5 + o_orderkey / 1e9) AS v FROM orders GROUP BY ALL)"
 
 
 @query("gen01_segments", f"""WITH {SEG}, p AS (SELECT DISTINCT user_id % 10 AS g, {DAY.format('ts')} AS d FROM events), j AS (SELECT p.g, p.d, CASE WHEN sg.e >= p.d THEN v END AS v FROM p ASOF LEFT JOIN sg ON p.g = sg.g AND p.d >= sg.s)
 SELECT g, d % 30 AS entity, round(avg(abs(v)), 6) AS burden, coalesce(bool_or(v >= 0.3 OR v <= -0.3), false) AS event, count(v) > 0 AS callable, round(avg(v), 6) AS signed_mean, coalesce(bool_or(v >= 0.3), false) AS gain, coalesce(bool_or(v <= -0.3), false) AS loss FROM j GROUP BY ALL""")
 def _(t):
-    o = t.orders.where("o_orderkey % 3 = 0")
     end = day("o_orderdate") + F.col("o_orderkey") % 5
-    sg = o.groupBy((F.col("o_custkey") % 10).alias("g"), day("o_orderdate").alias("s")).agg(F.max(end).alias("e"), F.max_by(F.col("o_totalprice") / 100000 - 1.4, end + F.col("o_orderkey") / 1e9).alias("v"))
+    sg = t.orders.groupBy((F.col("o_custkey") % 10).alias("g"), day("o_orderdate").alias("s")).agg(F.max(end).alias("e"), F.max_by(F.col("o_totalprice") / 100000 - 1.4, end + F.col("o_orderkey") / 1e9).alias("v"))
     p = t.events.select((F.col("user_id") % 10).alias("g"), day("ts").alias("d")).distinct()
     m = J.as_of(p, sg, ["g"], "d", "s", "e", ["v"]).withColumn("entity", F.col("d") % 30)
     return N.segment_calls(m, ["g", "entity"], "v", 0.3, -0.3).withColumns({"burden": F.round("burden", 6), "signed_mean": F.round("signed_mean", 6)})
@@ -157,13 +156,13 @@ def _(t):
     return W.top_k(g, ["l_suppkey"], [F.desc("n"), F.col("p_brand")], 5)
 
 
-@query("qry08_sparse_key", """WITH k AS (SELECT s_suppkey AS s, p_partkey AS p FROM supplier, part WHERE p_partkey % 20 = 1), h AS (SELECT DISTINCT l_suppkey AS s FROM lineitem WHERE l_tax = 0.08 AND l_quantity = 50), x AS (SELECT DISTINCT l_partkey AS p FROM lineitem WHERE l_tax = 0), v AS (SELECT l_suppkey AS s, l_partkey AS p, max(l_discount) AS v FROM lineitem GROUP BY ALL)
+@query("qry08_sparse_key", """WITH k AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem), h AS (SELECT DISTINCT l_suppkey AS s FROM lineitem WHERE l_tax = 0.08 AND l_quantity = 50), x AS (SELECT DISTINCT l_partkey AS p FROM lineitem WHERE l_tax = 0), v AS (SELECT l_suppkey AS s, l_partkey AS p, max(l_discount) AS v FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL)
 SELECT q.s AS s, q.p AS p, q.v AS v, CASE WHEN h.s IS NULL THEN 'no_held_out_assay' WHEN x.p IS NULL THEN 'no_expression' WHEN v IS NULL THEN 'no_value' END AS reason FROM (SELECT k.s, k.p, v.v FROM k LEFT JOIN v USING (s, p)) q LEFT JOIN h ON q.s = h.s LEFT JOIN x ON q.p = x.p""")
 def _(t):
-    k = t.part.where("p_partkey % 20 = 1").select(F.col("p_partkey").alias("p")).crossJoin(t.supplier.select(F.col("s_suppkey").alias("s")))
+    k = t.lineitem.select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).distinct()
     h = t.lineitem.where("l_tax = 0.08 and l_quantity = 50").select(F.col("l_suppkey").alias("s"), F.lit(1).alias("h")).distinct()
     x = t.lineitem.where("l_tax = 0").select(F.col("l_partkey").alias("p"), F.lit(1).alias("x")).distinct()
-    v = t.lineitem.groupBy(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).agg(F.max("l_discount").alias("v"))
+    v = t.lineitem.where("l_returnflag = 'R'").groupBy(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).agg(F.max("l_discount").alias("v"))
     out = k.join(v, ["s", "p"], "left").join(h, "s", "left").join(x, "p", "left")
     return out.select("s", "p", "v", F.when(F.col("h").isNull(), "no_held_out_assay").when(F.col("x").isNull(), "no_expression").when(F.col("v").isNull(), "no_value").alias("reason"))
 
@@ -174,11 +173,11 @@ def _(t):
     return p.groupBy("c_nationkey", "ep").agg(F.count_distinct("o_custkey").alias("patients"), F.sum("ev").alias("events"))
 
 
-@query("id07_members", """WITH i AS (SELECT DISTINCT upper(p_brand) AS alias, CASE WHEN p_size < 25 THEN 'lnc' ELSE 'gene' END AS kind, p_type AS id FROM part WHERE p_brand < 'Brand#4' AND p_size IN (3, 30)), m AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS position, CASE l_linenumber % 3 WHEN 0 THEN 'lnc:' || p_brand WHEN 1 THEN 'GENE:' || p_brand ELSE p_brand || CASE WHEN l_tax = 0 THEN 'x' || CAST(l_orderkey AS VARCHAR) ELSE '' END END AS member, CASE l_linenumber % 3 WHEN 0 THEN 'LNC' WHEN 1 THEN 'GENE' ELSE '' END AS forced, upper(p_brand) || CASE WHEN l_linenumber % 3 = 2 AND l_tax = 0 THEN 'X' || CAST(l_orderkey AS VARCHAR) ELSE '' END AS alias FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 30 = 2),
+@query("id07_members", """WITH i AS (SELECT DISTINCT upper(p_brand) AS alias, CASE WHEN p_brand < 'Brand#2' THEN 'lnc' ELSE 'gene' END AS kind, CASE WHEN p_brand < 'Brand#4' THEN p_brand ELSE p_type END AS id FROM part), m AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS position, CASE l_linenumber % 3 WHEN 0 THEN 'lnc:' || p_brand WHEN 1 THEN 'GENE:' || p_brand ELSE p_brand || CASE WHEN l_tax = 0 THEN 'x' || CAST(l_orderkey AS VARCHAR) ELSE '' END END AS member, CASE l_linenumber % 3 WHEN 0 THEN 'LNC' WHEN 1 THEN 'GENE' ELSE '' END AS forced, upper(p_brand) || CASE WHEN l_linenumber % 3 = 2 AND l_tax = 0 THEN 'X' || CAST(l_orderkey AS VARCHAR) ELSE '' END AS alias FROM lineitem JOIN part ON l_partkey = p_partkey),
 h AS (SELECT position, count(DISTINCT id) AS n, min(kind) AS kind, member FROM m JOIN i USING (alias) WHERE forced = '' OR upper(kind) = forced GROUP BY position, member) SELECT m.position AS position, m.member AS member, CASE WHEN row_number() OVER (PARTITION BY alias ORDER BY m.position) > 1 THEN 'duplicate' WHEN n IS NULL THEN 'unmapped' WHEN n > 1 THEN 'ambiguous' ELSE kind END AS state FROM m LEFT JOIN h ON m.position = h.position AND m.member = h.member""")
 def _(t):
-    i = t.part.where("p_brand < 'Brand#4' and p_size in (3, 30)").select(F.upper("p_brand").alias("alias"), F.when(F.col("p_size") < 25, "lnc").otherwise("gene").alias("kind"), F.col("p_type").alias("id")).distinct()
+    i = t.part.select(F.upper("p_brand").alias("alias"), F.when(F.col("p_brand") < "Brand#2", "lnc").otherwise("gene").alias("kind"), F.when(F.col("p_brand") < "Brand#4", F.col("p_brand")).otherwise(F.col("p_type")).alias("id")).distinct()
     k = F.col("l_linenumber") % 3
     name = F.when(k == 0, F.concat(F.lit("lnc:"), "p_brand")).when(k == 1, F.concat(F.lit("GENE:"), "p_brand")).otherwise(F.concat("p_brand", F.when(F.col("l_tax") == 0, F.concat(F.lit("x"), F.col("l_orderkey").cast("string"))).otherwise("")))
-    m = t.lineitem.where("l_orderkey % 30 = 2").join(t.part, F.col("l_partkey") == F.col("p_partkey")).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("position"), name.alias("member")).distinct()
+    m = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("position"), name.alias("member")).distinct()
     return I.classify_members(m, i)
