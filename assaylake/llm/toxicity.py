@@ -30,6 +30,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +41,8 @@ EXAMPLES, INDEXED, REMEMBERED = 24_000, 3_000, 300_000
 K, BLOCK, SOFT, PRIOR, CUT, FLOOR = 16, 64, 0.05, 1.0, 0.7, 0.02
 WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (5,)
+#: Columns of the examples; a table's keys may have another type.
+EXAMPLE = {"key": pa.int64(), "toxic": pa.int32(), "text_hash": pa.int64(), "terms": pa.list_(pa.string()), "counts": pa.list_(pa.int32())}
 
 
 def terms_of(word: str) -> list[str]:
@@ -65,20 +68,28 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class Index:
     """Block-max inverted index of the examples' unit vectors.
 
-    vocabulary: weight of each term. examples: (key, label, text digest, terms, counts), in the order of keys."""
+    vocabulary: weight of each term. examples: rows or an Arrow table of key, toxic, text_hash, terms, counts in the
+    order of keys; the terms of a table stay Arrow and numpy arrays, so the driver holds no Python object a posting."""
 
-    def __init__(self, vocabulary: dict[str, float], examples: list[tuple], base: float):
+    def __init__(self, vocabulary: dict[str, float], examples: pa.Table | list[tuple], base: float):
         self.base, self.knots = base, None
         self.ids = {t: i for i, t in enumerate(vocabulary)}
         self.term_weights = np.fromiter(vocabulary.values(), float, len(vocabulary))
-        self.docs = [e[0] for e in examples]
-        self.labels = np.array([e[1] for e in examples], np.int64)
-        self.digests = np.array([e[2] for e in examples], np.int64)
-        vectors = [self.vector(dict(zip(e[3], e[4]))) for e in examples]
-        terms_ = np.concatenate([np.zeros(0, np.int64), *(v[0] for v in vectors)])
+        if not isinstance(examples, pa.Table):
+            examples = pa.table({c: pa.array([e[i] for e in examples], t) for i, (c, t) in enumerate(EXAMPLE.items())})
+        column = lambda name: examples.column(name).combine_chunks()
+        self.docs = column("key").to_pylist()
+        self.labels, self.digests = (column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("toxic", "text_hash"))
+        sizes = pc.list_value_length(column("terms")).to_numpy(zero_copy_only=False).astype(np.int64)
+        found = pc.index_in(pc.list_flatten(column("terms")), value_set=pa.array(list(vocabulary), pa.string()))
+        known = pc.is_valid(found).to_numpy(zero_copy_only=False)
+        terms_ = pc.fill_null(found, 0).to_numpy(zero_copy_only=False)[known]
+        rows = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[known]
+        weights = (1 + np.log(pc.list_flatten(column("counts")).to_numpy(zero_copy_only=False)[known])) * self.term_weights[terms_]
+        lengths = np.sqrt(np.bincount(rows, weights * weights, len(sizes)))
+        weights /= np.where(lengths > 0, lengths, 1.0)[rows]
         order = np.argsort(terms_, kind="stable")
-        self.rows = np.repeat(np.arange(len(vectors)), [len(v[0]) for v in vectors]).astype(np.int32)[order]
-        self.weights = np.concatenate([np.zeros(0), *(v[1] for v in vectors)])[order]
+        self.rows, self.weights = rows[order], weights[order]
         count = np.bincount(terms_, minlength=len(vocabulary))
         self.at = np.concatenate([[0], np.cumsum(count)])  # where each term's postings begin
         blocks = -(-count // BLOCK)
@@ -230,7 +241,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", bound: int = EX
     weight = np.log((1 + texts) / held) * (FLOOR + np.maximum(0.0, (low - base) / (1 - base)))
     vocabulary = dict(zip(stats.column("term").to_pylist(), weight.tolist()))
     taken = shown.select("key", "toxic", "text_hash", "terms", "counts").orderBy("key", "text_hash").toArrow()
-    index = Index(vocabulary, list(zip(*(taken.column(c).to_pylist() for c in taken.column_names))), base)
+    del stats
+    index = Index(vocabulary, taken, base)
+    del taken, vocabulary
     # Each indexed example is judged by the others.
     shared = spark.sparkContext.broadcast(index)
 
