@@ -3,8 +3,9 @@
 Labelled rows (a bounded sample, EXAMPLES on average) give the statistics of terms: words, and the
 beginnings of longer words. INDEXED of them, toxic and clean ones as they come, become unit vectors over
 all of their terms in an inverted index that is cut into blocks, each with its largest weight. A document
-searches it for the exact K nearest examples by cosine: terms are taken by the most they can add, and once
-what is left can't lift an example among the best K, only blocks that hold candidates are read.
+searches it for the exact K nearest examples by cosine: common terms, whose postings are blocks of full
+length, first, the others by the most they can add; and once what is left can't lift an example among the
+best K, only blocks that hold candidates are read.
 
 A term's weight is (1 + log tf) * idf * (FLOOR + gain). idf is log(examples / examples with the term). gain
 is how far the toxic share of the examples with the term surely (at the lower end of its 95 % interval) lies
@@ -27,6 +28,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,16 +39,22 @@ from pyspark.sql import functions as F
 
 from assaylake.llm.common import arrow, crc_of_id, discard, sampled, saved, table
 
-EXAMPLES, INDEXED, REMEMBERED = 24_000, 3_000, 300_000
+EXAMPLES, INDEXED = 24_000, 3_000
 K, BLOCK, SOFT, PRIOR, CUT, FLOOR = 16, 64, 0.05, 1.0, 0.7, 0.02
 WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (5,)
+#: Terms that more than one in COMMON examples has are blocks of full length; TOGETHER texts meet them in one product.
+COMMON, TOGETHER = 16, 64
+#: ASCII characters that are no letters end words in any text.
+ENDS = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
 #: Columns of the examples; a table's keys may have another type.
 EXAMPLE = {"key": pa.int64(), "toxic": pa.int32(), "text_hash": pa.int64(), "terms": pa.list_(pa.string()), "counts": pa.list_(pa.int32())}
 
 
 def terms_of(word: str) -> list[str]:
     """The word, and its beginnings as `term*` where it is longer."""
+    if len(word) <= BEGINNINGS[0]:
+        return [word]
     return [word, *(word[:k] + "*" for k in BEGINNINGS if len(word) > k)]
 
 
@@ -89,8 +97,16 @@ class Index:
         lengths = np.sqrt(np.bincount(rows, weights * weights, len(sizes)))
         weights /= np.where(lengths > 0, lengths, 1.0)[rows]
         order = np.argsort(terms_, kind="stable")
-        self.rows, self.weights = rows[order], weights[order]
+        rows, terms_, weights = rows[order], terms_[order], weights[order]
         count = np.bincount(terms_, minlength=len(vocabulary))
+        often = np.flatnonzero(count * COMMON > max(len(sizes), 1))
+        self.place = np.full(len(vocabulary), -1, np.int32)  # a common term's row of full
+        self.place[often] = np.arange(len(often))
+        self.full = np.zeros((len(often), len(sizes)))
+        seldom = self.place[terms_] < 0
+        self.full[self.place[terms_[~seldom]], rows[~seldom]] = weights[~seldom]
+        self.rows, self.weights = rows[seldom], weights[seldom]
+        count[often] = 0
         self.at = np.concatenate([[0], np.cumsum(count)])  # where each term's postings begin
         blocks = -(-count // BLOCK)
         self.block_at = np.concatenate([[0], np.cumsum(blocks)])
@@ -107,41 +123,53 @@ class Index:
         return self._weighed(np.array([k[0] for k in known], np.int64), np.array([k[1] for k in known], np.int64))
 
     def vector_of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """The same of a whole text; remembers the term numbers of words."""
-        memo = self.__dict__.setdefault("memo", {})
-        if len(memo) > REMEMBERED:
-            memo.clear()
-        ids: list[int] = []
-        counts: list[int] = []
-        for w, n in Counter(WORD.findall((text or "").lower())).items():
-            own = memo.get(w)
-            if own is None:
-                own = memo[w] = tuple(i for t in terms_of(w) if (i := self.ids.get(t)) is not None)
-            if own:
-                ids += own
-                counts += (n,) * len(own)
-        return self._weighed(np.array(ids, np.int64), np.array(counts, np.int64))
+        """The same of a whole text; remembers the term numbers of tokens that are terms, no more than the vocabulary."""
+        memo, ids = self.__dict__.setdefault("memo", {}), self.ids
+        found = Counter((text or "").lower().encode("utf-8", "replace").translate(ENDS).split())
+        own = []
+        for token in found:
+            numbers = memo.get(token)
+            if numbers is None:
+                word = token.decode()
+                parts = (word,) if token.isascii() else WORD.findall(word)
+                numbers = [ids[t] for part in parts for t in terms_of(part) if t in ids]
+                if word in ids:
+                    memo[token] = numbers
+            own.append(numbers)
+        sizes = np.fromiter(map(len, own), np.int64, len(own))
+        return self._weighed(np.fromiter(chain.from_iterable(own), np.int64, int(sizes.sum())), np.repeat(np.fromiter(found.values(), np.int64, len(own)), sizes))
 
     def _weighed(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ids, of = np.unique(ids, return_inverse=True)
         weights = (1 + np.log(np.bincount(of, counts, len(ids)))) * self.term_weights[ids]
         return ids, weights / (math.sqrt(float(weights @ weights)) or 1.0)
 
-    def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int = K, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cosines of the k nearest examples with a positive cosine; without: rows that don't count."""
+    def common(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What common terms add to the cosine of each text with each example."""
+        asked = np.zeros((len(vectors), len(self.full)))
+        for i, (ids, weights) in enumerate(vectors):
+            at = self.place[ids]
+            asked[i, at[at >= 0]] = weights[at >= 0]
+        return asked @ self.full
+
+    def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int = K, without: np.ndarray | None = None, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and cosines of the k nearest examples with a positive cosine; without: rows that don't count; common: a row of common()."""
         n = len(self.docs)
+        scores = self.common([(ids, weights)])[0] if common is None else common.copy()
+        seldom = self.place[ids] < 0
+        ids, weights = ids[seldom], weights[seldom]
         bound = weights * self.most[ids]
         order = np.argsort(-bound, kind="stable")
         ids, weights, bound = ids[order], weights[order], bound[order]
         rest = np.concatenate([np.cumsum(bound[::-1])[::-1], [0.0]])  # the most that terms from i on can add
-        scores, i, step, least = np.zeros(n), 0, 16, 0.0
+        i, step, least = 0, 128, 0.0
         out = np.zeros(n) if without is None else np.where(without, -np.inf, 0.0)
         while i < len(ids) and not (least and rest[i] < least - 1e-9):
             some, w = ids[i : i + step], weights[i : i + step]
             sizes = self.at[some + 1] - self.at[some]
             at = _ranges(self.at[some], sizes)
             scores += np.bincount(self.rows[at], self.weights[at] * np.repeat(w, sizes), n)
-            i, step = i + step, step * 2
+            i, step = i + step, step * 4
             if n > k:
                 least = max(least, float(np.partition(scores + out, n - k)[n - k]))
         if i < len(ids):
@@ -166,17 +194,16 @@ class Index:
         best = found[np.lexsort((found, -np.round(scores[found], 12)))[:k]]
         return best, scores[best]
 
-    def votes(self, text: str | None, alone: bool = False) -> tuple[float, list[tuple]]:
-        """The share of toxic votes and the evidence; alone: examples with the same text don't vote."""
-        ids, weights = self.vector_of(text)
+    def votes(self, text: str | None, alone: bool = False, vector: tuple | None = None, common: np.ndarray | None = None) -> tuple[float, tuple]:
+        """The share of toxic votes and the evidence: rows and cosines; alone: examples with the same text don't vote."""
+        ids, weights = vector or self.vector_of(text)
         without = self.digests == digest(text) if alone else None
-        rows, near = self.nearest(ids, weights, without=without) if len(ids) and len(self.docs) else (np.zeros(0, int), np.zeros(0))
+        rows, near = self.nearest(ids, weights, without=without, common=common) if len(ids) and len(self.docs) else (np.zeros(0, np.int64), np.zeros(0))
         if not len(rows):
-            return self.base, []
+            return self.base, (rows, near)
         votes = 1 / (np.maximum(0.0, 1 - near) + SOFT)
         own = PRIOR / (1 + SOFT)
-        value = (float(votes @ self.labels[rows]) + own * self.base) / (float(votes.sum()) + own)
-        return value, list(zip([self.docs[r] for r in rows.tolist()], near.tolist(), self.labels[rows].tolist()))
+        return (float(votes @ self.labels[rows]) + own * self.base) / (float(votes.sum()) + own), (rows, near)
 
     def calibrate(self, shares: np.ndarray, labels: np.ndarray) -> None:
         """Fits the increasing step function: shares of votes to shares of toxic examples, pooled where they would fall."""
@@ -191,11 +218,19 @@ class Index:
         rates = np.maximum.accumulate(rates).tolist()
         self.knots = ([x for p in pools for x in p[2:]], [r for r in rates for _ in (0, 1)])
 
-    def score(self, text: str | None) -> tuple[float, list[tuple]]:
-        value, evidence = self.votes(text)
-        if evidence and self.knots:
-            value = float(np.interp(value, *self.knots))
-        return value, evidence
+    def score(self, text: str | None) -> tuple[float, tuple]:
+        return self.scores([text])[0]
+
+    def scores(self, texts: list[str | None]) -> list[tuple[float, tuple]]:
+        """The calibrated score and the evidence of each text."""
+        out = []
+        for at in range(0, len(texts), TOGETHER):
+            some = texts[at : at + TOGETHER]
+            vectors = [self.vector_of(t) for t in some]
+            for text, vector, common in zip(some, vectors, self.common(vectors)):
+                value, evidence = self.votes(text, vector=vector, common=common)
+                out.append((float(np.interp(value, *self.knots)) if len(evidence[0]) and self.knots else value, evidence))
+        return out
 
 
 def digest(text: str | None) -> int:
@@ -265,16 +300,18 @@ def score(docs: DataFrame, index: Index, key: str = "doc_id", cut: float = CUT)
     arrow(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(index)
     kind = docs.schema[key].dataType.simpleString()
-    evidence = pa.list_(pa.struct([("example", pa.string()), ("cosine", pa.float64()), ("label", pa.int32())]))
 
     def judge(batches):
         index = shared.value
+        names = pa.array([str(d) for d in index.docs], pa.string())
         for b in batches:
-            got = [index.score(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([g[0] for g in got], pa.float64()), pa.array([int(g[0] >= cut) for g in got], pa.int32()), pa.array([[{"example": str(e), "cosine": c, "label": v} for e, c, v in g[1]] for g in got], evidence)],
-                [key, "score", "predicted", "evidence"],
-            )
+            got = index.scores(b.column(1).to_pylist())
+            found = np.array([s for s, _ in got])
+            rows = np.concatenate([np.zeros(0, np.int64), *(e[0] for _, e in got)])
+            parts = [names.take(pa.array(rows)), pa.array(np.concatenate([np.zeros(0), *(e[1] for _, e in got)])), pa.array(index.labels[rows].astype(np.int32))]
+            ends = np.cumsum([0, *(len(e[0]) for _, e in got)]).astype(np.int32)
+            evidence = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(parts, ["example", "cosine", "label"]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.float64()), pa.array((found >= cut).astype(np.int32)), evidence], [key, "score", "predicted", "evidence"])
 
     return docs.select(key, "text").mapInArrow(judge, f"{key} {kind}, score double, predicted int, evidence array<struct<example:string,cosine:double,label:int>>")
 
@@ -288,7 +325,7 @@ def filtered(docs: DataFrame, index: Index, cut: float = CUT) -> DataFrame:
     def keep(batches):
         index = shared.value
         for b in batches:
-            yield b.filter(pa.array([index.score(t)[0] < cut for t in b.column(at).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([s < cut for s, _ in index.scores(b.column(at).to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
 
