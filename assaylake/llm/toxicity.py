@@ -91,21 +91,24 @@ class Index:
         sizes = pc.list_value_length(column("terms")).to_numpy(zero_copy_only=False).astype(np.int64)
         found = pc.index_in(pc.list_flatten(column("terms")), value_set=pa.array(list(vocabulary), pa.string()))
         known = pc.is_valid(found).to_numpy(zero_copy_only=False)
-        terms_ = pc.fill_null(found, 0).to_numpy(zero_copy_only=False)[known]
+        terms_ = pc.fill_null(found, 0).to_numpy(zero_copy_only=False)[known].astype(np.int32)
         rows = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[known]
         weights = (1 + np.log(pc.list_flatten(column("counts")).to_numpy(zero_copy_only=False)[known])) * self.term_weights[terms_]
         lengths = np.sqrt(np.bincount(rows, weights * weights, len(sizes)))
         weights /= np.where(lengths > 0, lengths, 1.0)[rows]
         order = np.argsort(terms_, kind="stable")
+        del found, known, examples, column
         rows, terms_, weights = rows[order], terms_[order], weights[order]
+        del order
         count = np.bincount(terms_, minlength=len(vocabulary))
         often = np.flatnonzero(count * COMMON > max(len(sizes), 1))
         self.place = np.full(len(vocabulary), -1, np.int32)  # a common term's row of full
         self.place[often] = np.arange(len(often))
-        self.full = np.zeros((len(often), len(sizes)))
         seldom = self.place[terms_] < 0
-        self.full[self.place[terms_[~seldom]], rows[~seldom]] = weights[~seldom]
+        self.often = (self.place[terms_[~seldom]], rows[~seldom], weights[~seldom], len(often))
         self.rows, self.weights = rows[seldom], weights[seldom]
+        del rows, terms_, weights, seldom
+        pa.default_memory_pool().release_unused()
         count[often] = 0
         self.at = np.concatenate([[0], np.cumsum(count)])  # where each term's postings begin
         blocks = -(-count // BLOCK)
@@ -144,9 +147,19 @@ class Index:
         weights = (1 + np.log(np.bincount(of, counts, len(ids)))) * self.term_weights[ids]
         return ids, weights / (math.sqrt(float(weights @ weights)) or 1.0)
 
+    @property
+    def full(self) -> np.ndarray:
+        """Blocks of full length of the common terms, made where they are first asked for."""
+        made = self.__dict__.get("full_")
+        if made is None:
+            at, rows, weights, n = self.often
+            made = self.full_ = np.zeros((n, len(self.docs)))
+            made[at, rows] = weights
+        return made
+
     def common(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """What common terms add to the cosine of each text with each example."""
-        asked = np.zeros((len(vectors), len(self.full)))
+        asked = np.zeros((len(vectors), self.often[-1]))
         for i, (ids, weights) in enumerate(vectors):
             at = self.place[ids]
             asked[i, at[at >= 0]] = weights[at >= 0]
@@ -275,8 +288,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", bound: int = EX
     low = (share + z2 / 2 / held - 1.96 * np.sqrt(share * (1 - share) / held + z2 / 4 / held / held)) / (1 + z2 / held)
     weight = np.log((1 + texts) / held) * (FLOOR + np.maximum(0.0, (low - base) / (1 - base)))
     vocabulary = dict(zip(stats.column("term").to_pylist(), weight.tolist()))
-    taken = shown.select("key", "toxic", "text_hash", "terms", "counts").orderBy("key", "text_hash").toArrow()
     del stats
+    del held, toxic, share, low, weight
+    taken = shown.select("key", "toxic", "text_hash", "terms", "counts").orderBy("key", "text_hash").toArrow()
     index = Index(vocabulary, taken, base)
     del taken, vocabulary
     # Each indexed example is judged by the others.
