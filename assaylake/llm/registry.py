@@ -1,6 +1,6 @@
 """Queries of this subpackage, and their SQL where SQL can express them."""
 
-from assaylake.llm import bwt_dedup, decontamination, language_id, mixing, progressive_jpeg, sharding, simhash, substring_dedup, token_files, toxicity
+from assaylake.llm import bwt_dedup, decontamination, language_id, mixing, prefix_trie, progressive_jpeg, sharding, simhash, substring_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -13,5 +13,6 @@ QUERIES = {
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op4_bwt_dedup": bwt_dedup.op4_bwt_dedup,
     "op10_sharding": sharding.op10_sharding,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
-ORACLE_SQL = {"op6_mixing": mixing.op6_sql(), "op10_sharding": sharding.op10_sql()}
+ORACLE_SQL = {"op6_mixing": mixing.op6_sql(), "op10_sharding": sharding.op10_sql(), "op13_prefix_trie": prefix_trie.op13_sql()}
