@@ -1,6 +1,6 @@
 """Queries of this subpackage, and their SQL where SQL can express them."""
 
-from assaylake.llm import bwt_dedup, decontamination, language_id, mixing, prefix_trie, progressive_jpeg, ranked_search, sharding, simhash, substring_dedup, token_files, toxicity
+from assaylake.llm import bwt_dedup, decontamination, language_id, mixing, ngram_join, prefix_trie, progressive_jpeg, ranked_search, sharding, simhash, substring_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -13,6 +13,7 @@ QUERIES = {
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op4_bwt_dedup": bwt_dedup.op4_bwt_dedup,
     "op10_sharding": sharding.op10_sharding,
+    "op11_ngram_join": ngram_join.op11_ngram_join,
     "op12_ranked_search": ranked_search.op12_ranked_search,
     "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }

@@ -4,6 +4,7 @@ import pytest
 
 import corpus_pipeline
 from assaylake.llm import near_copies as N
+from assaylake.llm import ngram_join
 
 
 def shingles(text):
@@ -45,10 +46,10 @@ def cases():
     return list(enumerate(docs))
 
 
-@pytest.mark.parametrize("leaders, hot", [(N.LEADERS, N.HOT), (0, 10**9)])
-def test_groups_against_all_pairs(spark, monkeypatch, leaders, hot):
-    monkeypatch.setattr(N, "LEADERS", leaders)
-    monkeypatch.setattr(N, "HOT", hot)
+@pytest.mark.parametrize("leaders, hot, bound", [(ngram_join.LEADERS, ngram_join.HOT, ngram_join.BOUND), (ngram_join.LEADERS, ngram_join.HOT, 0), (0, 10**9, 0), (1, 10**9, 3000)])
+def test_groups_against_all_pairs(spark, monkeypatch, leaders, hot, bound):
+    for name, value in (("LEADERS", leaders), ("HOT", hot), ("BOUND", bound)):
+        monkeypatch.setattr(ngram_join, name, value)
     docs = cases()
     want = brute(docs)
     got = {r.k: r.root for r in N.group(spark.createDataFrame(docs, "k long, text string").repartition(3), "k").collect()}
