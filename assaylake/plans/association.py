@@ -4,10 +4,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from assaylake.operators import activity as A
+from assaylake.operators import blocks as B
 from assaylake.operators import filters as L
 from assaylake.operators import genesets as G
 from assaylake.operators import stats as S
 from assaylake.operators import windows as W
+from assaylake.operators.windows import average_rank
 from assaylake.plans.binding import MEASUREMENTS, MEMBERSHIP, query
 from assaylake.plans.shape import FOLDS
 
@@ -77,6 +79,13 @@ def _(t):
 
 
 FAMILY = "p_type"
+def t_tail(rho: str, df: str) -> str:
+    """SQL for the two-sided tail of Student's t of a correlation: the finite series in powers of 1 - rho^2."""
+    return f"""greatest(0, 1 - CASE WHEN {df} % 2 = 0
+THEN abs({rho}) * list_sum(list_transform(range(0, CAST({df} // 2 AS BIGINT)), lambda k: exp(lgamma(2 * k + 1) - 2 * lgamma(k + 1) - 2 * k * ln(2.0)) * pow(1 - {rho} * {rho}, k)))
+ELSE 2 / pi() * (asin(abs({rho})) + abs({rho}) * sqrt(1 - {rho} * {rho}) * coalesce(list_sum(list_transform(range(0, CAST(({df} - 1) // 2 AS BIGINT)), lambda k: exp(2 * k * ln(2.0) + 2 * lgamma(k + 1) - lgamma(2 * k + 2)) * pow(1 - {rho} * {rho}, k))), 0)) END)"""
+
+
 DENSE = f"""{MEASUREMENTS}, fam AS (SELECT DISTINCT sample, cohort FROM m), ent AS (SELECT DISTINCT entity FROM m),
 x AS (SELECT fam.cohort, fam.sample, ent.entity, coalesce(m.value, 0) AS value FROM fam CROSS JOIN ent LEFT JOIN m ON m.sample = fam.sample AND m.entity = ent.entity),
 rx AS (SELECT cohort, sample, entity, rank() OVER (PARTITION BY cohort, entity ORDER BY value) + (count(*) OVER (PARTITION BY cohort, entity, value) - 1) / 2.0 AS rx FROM x),
@@ -85,24 +94,22 @@ y AS (SELECT fam.cohort, fam.sample, tg.target, coalesce(q, 0) AS score FROM fam
 ry AS (SELECT cohort, sample, target, rank() OVER (PARTITION BY cohort, target ORDER BY score) + (count(*) OVER (PARTITION BY cohort, target, score) - 1) / 2.0 AS ry FROM y)"""
 
 
-def dense(t):
-    """Measurements and target quantities of every sample: no purchase is a true zero here."""
-    m = t.measurements()
-    samples = m.select("cohort", "sample").distinct()
-    x = samples.join(F.broadcast(m.select("entity").distinct())).join(m, ["cohort", "sample", "entity"], "left").fillna(0.0, ["value"])
-    y0 = t.sales().groupBy(F.col("c_custkey").alias("sample"), F.col("p_type").alias("target")).agg(F.sum(F.col("l_quantity").cast("long")).alias("score"))
-    y = samples.join(F.broadcast(y0.select("target").distinct())).join(y0, ["sample", "target"], "left").fillna(0, ["score"])
-    return x, y
+def sparse(t):
+    """Measurements and target quantities that are there, and all samples with the covariates: no purchase is a true zero."""
+    x = t.measurements()
+    y = t.sales().groupBy(F.col("n_name").alias("cohort"), F.col("c_custkey").alias("sample"), F.col("p_type").alias("target")).agg(F.sum(F.col("l_quantity").cast("long")).alias("score"))
+    z = t.customer.select(F.col("c_custkey").alias("sample"), F.col("c_acctbal").alias("a"), (F.col("c_custkey") % 17).cast("double").alias("b"), F.col("c_mktsegment").alias("segment"))
+    return x, y, x.select("cohort", "sample").distinct().join(z, "sample")
 
 
-def pairs(t):
-    x, y = dense(t)
-    return S.rank_pairs(x, y, ["cohort"], "sample", ("entity", "value"), ("target", "score"))
+def pairs(t, samples=None, tested=False, **how):
+    x, y, known = sparse(t)
+    return B.associate(x, y, known if samples is None else samples(known), ["cohort"], "sample", ("entity", "value"), ("target", "score"), tested=tested, **how)
 
 
 @query("sta01_spearman", f"WITH {DENSE} SELECT cohort, entity, target, count(*) AS n, round(corr(rx, ry), 6) AS rho FROM rx JOIN ry USING (cohort, sample) GROUP BY ALL")
 def _(t):
-    return pairs(t).withColumn("rho", F.round("rho", 6))
+    return pairs(t).select("cohort", "entity", "target", "n", F.round("rho", 6).alias("rho"))
 
 
 PARTIAL = f"""WITH {DENSE}, cov AS (SELECT n_name AS cohort, c_custkey AS sample, c_acctbal AS a, CAST(c_custkey % 17 AS DOUBLE) AS b FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey IN (SELECT sample FROM fam)),
@@ -113,15 +120,33 @@ p AS (SELECT cohort, entity, target, n, xy AS rho, (pxy - pxa * pya) / sqrt((1 -
 
 
 def adjusted(t):
-    x, y = dense(t)
-    samples = x.select("cohort", "sample").distinct()
-    z = samples.join(t.customer.select(F.col("c_custkey").alias("sample"), F.col("c_acctbal").alias("a"), (F.col("c_custkey") % 17).cast("double").alias("b")), "sample")
-    return S.partial_rank_pairs(x, y, z, ["cohort"], "sample", ("entity", "value"), ("target", "score"), ["a", "b"])
+    """Adjusted for the ranks of two covariates."""
+    ranked_ = lambda z: z.select("cohort", "sample", *[average_rank(c, ["cohort"]).alias(c) for c in ("a", "b")])
+    return pairs(t, ranked_, numbers=["a", "b"])
 
 
 @query("sta02_partial", PARTIAL + " SELECT cohort, entity, target, n, round(rho, 6) AS rho, round(adj, 6) AS rho_adjusted FROM p")
 def _(t):
-    return adjusted(t).withColumns({"rho": F.round("rho", 6), "rho_adjusted": F.round("rho_adjusted", 6)})
+    return adjusted(t).select("cohort", "entity", "target", "n", F.round("rho", 6).alias("rho"), F.round("rho_adjusted", 6).alias("rho_adjusted"))
+
+
+#: Ranks adjusted for a number and categories: means within categories go first, then the number. df is n less the design's rank and one.
+DESIGN = f"""WITH {DENSE}, cov AS (SELECT n_name AS cohort, c_custkey AS sample, c_acctbal AS a, c_mktsegment AS g FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey IN (SELECT sample FROM fam)),
+za AS (SELECT cohort, sample, g, a - avg(a) OVER (PARTITION BY cohort, g) AS za FROM cov),
+dx AS (SELECT cohort, sample, entity, rx, g, za, rx - avg(rx) OVER (PARTITION BY cohort, entity, g) AS x FROM rx JOIN za USING (cohort, sample)),
+dy AS (SELECT cohort, sample, target, ry, ry - avg(ry) OVER (PARTITION BY cohort, target, g) AS y FROM ry JOIN za USING (cohort, sample)),
+s AS (SELECT cohort, entity, target, count(*) AS n, count(DISTINCT g) AS k, corr(rx, ry) AS rho, sum(x * y) AS xy, sum(x * za) AS xa, sum(y * za) AS ya, sum(za * za) AS aa, sum(x * x) AS xx, sum(y * y) AS yy FROM dx JOIN dy USING (cohort, sample) GROUP BY ALL),
+d AS (SELECT cohort, entity, target, n, rho, n - k - 2 AS df, CASE WHEN n - k - 2 > 0 AND xx - xa * xa / aa > 1e-9 AND yy - ya * ya / aa > 1e-9 THEN (xy - xa * ya / aa) / sqrt((xx - xa * xa / aa) * (yy - ya * ya / aa)) END AS adj FROM s),
+p AS (SELECT *, {t_tail("adj", "df")} AS p FROM d WHERE adj IS NOT NULL)"""
+
+
+def designed(t, **how):
+    return pairs(t, tested=True, numbers=["a"], categories=["segment"], **how)
+
+
+@query("sta02_design", DESIGN + " SELECT cohort, entity, target, n, round(rho, 6) AS rho, round(adj, 6) AS rho_adjusted, df, round(p, 9) AS p FROM p")
+def _(t):
+    return designed(t).where("rho_adjusted is not null").select("cohort", "entity", "target", "n", F.round("rho", 6).alias("rho"), F.round("rho_adjusted", 6).alias("rho_adjusted"), "df", F.round("p", 9).alias("p"))
 
 
 @query("sta04_impact", PARTIAL + " SELECT cohort, entity, target, CASE WHEN abs(rho) < 0.15 THEN 'weak_before' WHEN sign(rho) <> sign(adj) THEN 'sign_flip' WHEN abs(adj) < 0.9 * abs(rho) THEN CASE WHEN abs(adj) < 0.15 THEN 'lost' ELSE 'attenuated' END ELSE 'retained' END AS impact FROM p WHERE rho IS NOT NULL AND adj IS NOT NULL")
@@ -129,25 +154,49 @@ def _(t):
     return adjusted(t).where("rho is not null and rho_adjusted is not null").select("cohort", "entity", "target", S.impact(F.col("rho"), F.col("rho_adjusted"), 0.15, 0.9).alias("impact"))
 
 
-def tested(t):
-    """Associations with t, two-sided p, adjusted p and labels."""
-    from assaylake.functions.scalars import t_two_sided
+@query("sta05_tested_associations", f"""WITH {DENSE}, c AS (SELECT cohort, entity, target, count(*) AS n, corr(rx, ry) AS rho FROM rx JOIN ry USING (cohort, sample) GROUP BY ALL), p AS (SELECT *, CASE WHEN n > 2 THEN {t_tail("rho", "(n - 2)")} END AS p FROM c),
+k AS (SELECT cohort, p, sum(count(*)) OVER (PARTITION BY cohort ORDER BY p) AS rank, sum(count(*)) OVER (PARTITION BY cohort) AS m FROM p WHERE p IS NOT NULL GROUP BY cohort, p), q AS (SELECT cohort, p, least(1, min(p * m / rank) OVER (PARTITION BY cohort ORDER BY p DESC)) AS q FROM k)
+SELECT cohort, entity, target, n, round(rho, 6) AS rho, round(p, 8) AS p, round(q, 8) AS q, CASE WHEN q <= 0.05 AND abs(rho) >= 0.2 THEN 'strong' WHEN q <= 0.10 AND abs(rho) >= 0.15 THEN 'weak' ELSE 'unlabeled' END AS label FROM p LEFT JOIN q USING (cohort, p)""")
+def _(t):
+    """Associations with two-sided p, p adjusted within the cohort, and labels."""
+    r = B.adjusted_p(pairs(t, tested=True), "p", ["cohort"])
+    label = F.coalesce(L.association_label(F.col("q"), F.col("rho")), F.lit("unlabeled"))
+    return r.select("cohort", "entity", "target", "n", F.round("rho", 6).alias("rho"), F.round("p", 8).alias("p"), F.round("q", 8).alias("q"), label.alias("label"))
+
+
+#: What each entity of a cohort is tested against; a vector is constant if all its values are, those of samples without a row included.
+AVAILABLE = f"""vx AS (SELECT cohort, entity, max(rx) > min(rx) AS v FROM rx GROUP BY ALL), vy AS (SELECT cohort, count(*) AS targets FROM (SELECT cohort, target FROM ry GROUP BY ALL HAVING max(ry) > min(ry)) GROUP BY 1),
+sz AS (SELECT cohort, count(*) AS n, count(*) - count(DISTINCT g) - 2 AS df FROM cov GROUP BY 1),
+av AS (SELECT cohort, entity, n, df, CASE WHEN n < 12 THEN 'too_few_samples' WHEN df <= 0 THEN 'no_degrees_of_freedom' WHEN NOT v THEN 'constant_entity' ELSE 'tested' END AS status, targets FROM vx JOIN sz USING (cohort) JOIN vy USING (cohort) WHERE (cohort, entity) IN (SELECT (cohort, entity) FROM m))"""
 
-    r = pairs(t).withColumn("p", t_two_sided(S.t_of(F.col("rho"), F.col("n")), F.col("n") - 2))
-    q = W.benjamini_hochberg(r, "p", ["cohort"], ["entity", "target"])
-    return q.withColumn("label", L.association_label(F.col("q"), F.col("rho")))
+
+def available(t):
+    x, y, known = sparse(t)
+    return B.availability(x, y, known, ["cohort"], ("entity", "value"), ("target", "score"), ["a"], ["segment"], 0.0, 12)
+
+
+@query("sta05_availability", DESIGN + f", {AVAILABLE} SELECT cohort, entity, n, df, CASE WHEN status = 'tested' THEN targets ELSE 0 END AS tests, status FROM av")
+def _(t):
+    return available(t)
 
 
-@query("sta05_tested_associations")
+@query("sta05_edges", DESIGN + f""", {AVAILABLE}, tot AS (SELECT CAST(sum(targets) FILTER (status = 'tested') AS BIGINT) AS total FROM av), c AS (SELECT cohort, entity, target, n, df, adj, p FROM p WHERE n >= 12 AND p <= 0.25 AND abs(adj) >= 0.25),
+k AS (SELECT p, sum(count(*)) OVER (ORDER BY p) AS rank FROM c GROUP BY p), q AS (SELECT p, least(1, min(p * total / rank) OVER (ORDER BY p DESC)) AS q FROM k, tot), e AS (SELECT *, CASE WHEN adj > 0 THEN 'positive' ELSE 'negative' END AS direction FROM c JOIN q USING (p) WHERE q <= 0.5)
+SELECT cohort, entity, target, n, df, round(adj, 6) AS rho_adjusted, round(p, 8) AS p, round(q, 8) AS q, direction, total FROM e, tot QUALIFY row_number() OVER (PARTITION BY cohort, entity, direction ORDER BY round(abs(adj), 9) DESC, target) <= 5""")
 def _(t):
-    return tested(t).select("cohort", "entity", "target", "n", F.round("rho", 6).alias("rho"), F.round("p", 9).alias("p"), F.round("q", 9).alias("q"), "label")
+    """Coexpression edges: effect filter, p adjusted over the declared number of all tests of all cohorts, five edges an entity and direction."""
+    total = available(t).agg(F.sum("tests").alias("total"))
+    found = designed(t, least=0.25, min_n=12).where("p <= 0.25").join(F.broadcast(total))
+    edges = B.adjusted_p(found, "p", [], "total").where("q <= 0.5").withColumn("direction", F.when(F.col("rho_adjusted") > 0, "positive").otherwise("negative"))
+    best = W.top_k(edges, ["cohort", "entity", "direction"], [F.desc(F.round(F.abs("rho_adjusted"), 9)), F.col("target")], 5)
+    return best.select("cohort", "entity", "target", "n", "df", F.round("rho_adjusted", 6).alias("rho_adjusted"), F.round("p", 8).alias("p"), F.round("q", 8).alias("q"), "direction", "total")
 
 
 @query("assoc_ranked_sets", f"""WITH {DENSE}, c AS (SELECT cohort, entity, target, corr(rx, ry) AS rho FROM rx JOIN ry USING (cohort, sample) GROUP BY ALL), k AS (SELECT cohort, target, CASE WHEN rho > 0 THEN 'positive' ELSE 'negative' END AS direction, entity, rho FROM c WHERE abs(rho) >= 0.05),
 w AS (SELECT *, row_number() OVER (PARTITION BY cohort, target, direction ORDER BY round(abs(rho), 9) DESC, entity) AS rank, count(*) OVER (PARTITION BY cohort, target, direction) AS n FROM k)
 SELECT cohort, target, direction, 'set:' || substr(sha256(cohort || '|' || target || '|' || direction), 1, 20) AS set_id, entity, rank, least(n, 20) AS size FROM w WHERE n >= 5 AND rank <= 20""")
 def _(t):
-    r = pairs(t).where("abs(rho) >= 0.05").withColumn("direction", F.when(F.col("rho") > 0, "positive").otherwise("negative"))
+    r = pairs(t, least=0.05).withColumn("direction", F.when(F.col("rho") > 0, "positive").otherwise("negative"))
     return G.ranked_sets(r, ["cohort", "target", "direction"], "entity", [F.desc(F.round(F.abs("rho"), 9)), F.col("entity")], 5, 20)
 
 

@@ -3,9 +3,11 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from assaylake.operators import blocks as B
 from assaylake.operators import extended as X
 from assaylake.operators import stats as S
-from assaylake.plans.association import DENSE, dense, query_members, ranked
+from assaylake.operators import windows as W
+from assaylake.plans.association import DENSE, pairs, query_members, ranked
 from assaylake.plans.binding import MEASUREMENTS, query
 
 
@@ -62,13 +64,33 @@ def _(t):
     return X.conditions(t.lineitem, ["l_suppkey"], ["l_returnflag"], "l_linenumber", "l_extendedprice", "l_tax", 30).withColumns({"rho": F.round("rho", 6), "agreement": F.round("agreement", 6)})
 
 
+def order_values(t):
+    o = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    return o.groupBy(F.col("n_name").alias("cohort"), F.col("c_custkey").alias("sample"), F.col("o_orderpriority").alias("target")).agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).cast("double").alias("score"))
+
+
 @query("sta03_masked", f"""WITH {MEASUREMENTS}, y AS (SELECT n_name AS cohort, c_custkey AS sample, o_orderpriority AS target, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) AS score FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
 p AS (SELECT cohort, entity, target, value, score FROM m JOIN y USING (cohort, sample)), r AS (SELECT cohort, entity, target, rank() OVER (PARTITION BY cohort, entity, target ORDER BY value) + (count(*) OVER (PARTITION BY cohort, entity, target, value) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY cohort, entity, target ORDER BY score) + (count(*) OVER (PARTITION BY cohort, entity, target, score) - 1) / 2.0 AS ry FROM p)
 SELECT cohort, entity, target, count(*) AS n, round(corr(rx, ry), 6) + 0.0 AS rho FROM r GROUP BY ALL HAVING count(*) >= 12""")
 def _(t):
-    o = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))
-    y = o.groupBy(F.col("n_name").alias("cohort"), F.col("c_custkey").alias("sample"), F.col("o_orderpriority").alias("target")).agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).cast("double").alias("score"))
-    return X.masked_pairs(t.measurements(), y, ["cohort"], "sample", ("entity", "value"), ("target", "score"), 12).withColumn("rho", F.round("rho", 6))
+    m, y = t.measurements(), order_values(t)
+    r = B.associate(m, y, m.select("cohort", "sample").distinct(), ["cohort"], "sample", ("entity", "value"), ("target", "score"), fill=None, min_n=12, tested=False)
+    return r.where("n >= 12").select("cohort", "entity", "target", "n", F.round("rho", 6).alias("rho"))
+
+
+@query("sta03_nuisance", """WITH m AS (SELECT n_name AS cohort, c_custkey AS sample, p_brand AS entity, ln(1 + sum(CAST(round(l_extendedprice * 100) AS BIGINT)) / 100.0) AS value, CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS own FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+y AS (SELECT n_name AS cohort, c_custkey AS sample, o_orderpriority AS target, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) AS score FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
+j AS (SELECT cohort, entity, target, own, c_acctbal AS a, rank() OVER w1 + (count(*) OVER (PARTITION BY cohort, entity, target, value) - 1) / 2.0 AS x, rank() OVER w2 + (count(*) OVER (PARTITION BY cohort, entity, target, score) - 1) / 2.0 AS y FROM m JOIN y USING (cohort, sample) JOIN customer ON sample = c_custkey WINDOW w1 AS (PARTITION BY cohort, entity, target ORDER BY value), w2 AS (PARTITION BY cohort, entity, target ORDER BY score)),
+s AS (SELECT cohort, entity, target, count(*) AS n, count(*) * var_pop(a) AS aa, count(*) * covar_pop(x, a) AS xa, count(*) * covar_pop(y, a) AS ya, count(*) * covar_pop(own, a) AS ca, count(*) * var_pop(x) AS xx, count(*) * var_pop(y) AS yy, count(*) * var_pop(own) AS cc, count(*) * covar_pop(x, y) AS xy, count(*) * covar_pop(x, own) AS xc, count(*) * covar_pop(y, own) AS yc FROM j GROUP BY ALL HAVING count(*) >= 12),
+r AS (SELECT cohort, entity, target, n, xx - xa * xa / aa AS xx, yy - ya * ya / aa AS yy, cc - ca * ca / aa AS cc, xy - xa * ya / aa AS xy, xc - xa * ca / aa AS xc, yc - ya * ca / aa AS yc FROM s)
+SELECT cohort, entity, target, n, round((xy - xc * yc / cc) / sqrt((xx - xc * xc / cc) * yy), 6) AS rho_adjusted, n - 4 AS df FROM r""")
+def _(t):
+    """Spending against order value, over the samples that have both; quantity is the entity's own nuisance, the balance a covariate."""
+    cents = F.sum(F.round(F.col("l_extendedprice") * 100).cast("long"))
+    m = t.sales().groupBy(F.col("n_name").alias("cohort"), F.col("c_custkey").alias("sample"), F.col("p_brand").alias("entity")).agg(F.log1p(cents / 100.0).alias("value"), F.sum(F.col("l_quantity").cast("long")).cast("double").alias("own"))
+    samples = t.patients().join(t.customer.select(F.col("c_custkey").alias("sample"), F.col("c_acctbal").alias("a")), "sample")
+    r = B.associate(m, order_values(t), samples, ["cohort"], "sample", ("entity", "value"), ("target", "score"), numbers=["a"], fill=None, nuisance="own", min_n=12, tested=False)
+    return r.where("n >= 12").select("cohort", "entity", "target", "n", F.round("rho_adjusted", 6).alias("rho_adjusted"), "df")
 
 
 @query("sta16_fusion", """WITH a AS (SELECT x.p_brand AS a, y.p_brand AS b, count(DISTINCT x.p_type) / 150.0 AS s FROM part x JOIN part y ON x.p_type = y.p_type AND x.p_brand < y.p_brand  GROUP BY ALL), b AS (SELECT x.p_brand AS a, y.p_brand AS b, count(DISTINCT x.p_size) / 50.0 AS s FROM part x JOIN part y ON x.p_size = y.p_size AND x.p_brand < y.p_brand GROUP BY ALL)
@@ -105,8 +127,8 @@ def _(t):
 
 @query("ml03_screen", f"WITH {DENSE}, c AS (SELECT cohort, target, entity, corr(rx, ry) AS rho, count(*) AS n FROM rx JOIN ry USING (cohort, sample) GROUP BY ALL) SELECT cohort, target, entity, n, round(rho, 6) AS rho, row_number() OVER (PARTITION BY cohort, target ORDER BY round(abs(rho), 9) DESC, entity) AS rank FROM c WHERE abs(rho) >= 0.1 QUALIFY rank <= 5")
 def _(t):
-    x, y = dense(t)
-    return X.lasso_screen(x, y, ["cohort"], "sample", ("entity", "value"), ("target", "score"), 0.1, 5).withColumn("rho", F.round("rho", 6))
+    r = pairs(t, least=0.1)
+    return W.top_k(r, ["cohort", "target"], [F.desc(F.round(F.abs("rho"), 9)), F.col("entity")], 5).select("cohort", "target", "entity", "n", F.round("rho", 6).alias("rho"), "rank")
 
 
 @query("ml08_experts")

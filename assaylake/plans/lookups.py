@@ -3,13 +3,13 @@
 from pyspark.sql import functions as F
 
 from assaylake.functions.scalars import safe_corr, stable_id
-from assaylake.functions.scalars import t_two_sided
 from assaylake.operators import graph as G
 from assaylake.operators import joins as J
 from assaylake.operators import stats as S
 from assaylake.operators import survival as U
 from assaylake.operators import windows as W
-from assaylake.plans.association import DENSE, dense
+from assaylake.operators.blocks import adjusted_p
+from assaylake.plans.association import DENSE, pairs, t_tail
 from assaylake.plans.binding import MEASUREMENTS, query
 from assaylake.plans.evidence import SURV, survival
 from assaylake.plans.shape import NEAR, near
@@ -66,18 +66,10 @@ def _(t):
     return rows.groupBy(F.col("p_type").alias("family"), F.col("l_returnflag").alias("state")).agg(F.round(F.sum(F.col("p_size") * (F.col("l_discount") - 0.0431)) / F.sum("p_size"), 6).alias("effect"), F.min("l_tax").alias("min_fdr"), F.count("*").alias("edges"))
 
 
-#: Two-sided tail of Student's t with n - 2 degrees of freedom, for a correlation rho of n pairs: the finite series in powers of 1 - rho^2.
-T_TAIL = """greatest(0, 1 - CASE WHEN n % 2 = 0
-THEN abs(rho) * list_sum(list_transform(range(0, n // 2 - 1), lambda k: exp(lgamma(2 * k + 1) - 2 * lgamma(k + 1) - 2 * k * ln(2.0)) * pow(1 - rho * rho, k)))
-ELSE 2 / pi() * (asin(abs(rho)) + abs(rho) * sqrt(1 - rho * rho) * list_sum(list_transform(range(0, (n - 3) // 2), lambda k: exp(2 * k * ln(2.0) + 2 * lgamma(k + 1) - lgamma(2 * k + 2)) * pow(1 - rho * rho, k)))) END)"""
-
-
-@query("sc02_context_associations", f"WITH {DENSE}, k AS (SELECT cohort, entity, target, corr(rx, ry) AS rho, count(*) AS n FROM rx JOIN ry USING (cohort, sample) GROUP BY ALL HAVING count(*) >= 55), p AS (SELECT *, {T_TAIL} AS p FROM k WHERE rho IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY cohort ORDER BY p, entity, target) AS r, count(*) OVER (PARTITION BY cohort) AS m FROM p) SELECT cohort, entity, target, n, round(rho, 6) + 0.0 AS rho, round(least(1, min(p * m / r) OVER (PARTITION BY cohort ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS q FROM r")
+@query("sc02_context_associations", f"WITH {DENSE}, k AS (SELECT cohort, entity, target, corr(rx, ry) AS rho, count(*) AS n FROM rx JOIN ry USING (cohort, sample) GROUP BY ALL HAVING count(*) >= 55), p AS (SELECT *, {t_tail("rho", "(n - 2)")} AS p FROM k WHERE rho IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY cohort ORDER BY p, entity, target) AS r, count(*) OVER (PARTITION BY cohort) AS m FROM p) SELECT cohort, entity, target, n, round(rho, 6) + 0.0 AS rho, round(least(1, min(p * m / r) OVER (PARTITION BY cohort ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS q FROM r")
 def _(t):
-    x, y = dense(t)
-    r = S.rank_pairs(x, y, ["cohort"], "sample", ("entity", "value"), ("target", "score")).where("n >= 55 and rho is not null")
-    r = r.withColumn("p", t_two_sided(S.t_of(F.col("rho"), F.col("n")), F.col("n") - 2))
-    return W.benjamini_hochberg(r, "p", ["cohort"], ["entity", "target"]).select("cohort", "entity", "target", "n", F.round("rho", 6).alias("rho"), F.round("q", 6).alias("q"))
+    r = pairs(t, tested=True, min_n=55).where("rho is not null")
+    return adjusted_p(r, "p", ["cohort"]).select("cohort", "entity", "target", "n", F.round("rho", 6).alias("rho"), F.round("q", 6).alias("q"))
 
 
 @query("sur07_fold_scan", f"""WITH {SURV.replace("PARTITION BY entity", "PARTITION BY entity, fold").replace("SELECT entity, time, sum(event) AS d", "SELECT entity, sample % 3 AS fold, time, sum(event) AS d")}, z AS (SELECT entity, fold, sum(xd - d * xr / n) AS u, sum(d * (xxr / n - (xr / n) * (xr / n))) AS i FROM rk WHERE d > 0 GROUP BY ALL), b AS (SELECT entity, u / i AS b, 1 / sqrt(i) AS s FROM z WHERE i > 1e-12),
