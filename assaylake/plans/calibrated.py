@@ -3,7 +3,11 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from assaylake.operators import blocks as B
 from assaylake.operators import nulls as N
+from assaylake.operators import screen as SC
+from assaylake.operators import subtypes as ST
+from assaylake.plans.association import DENSE, pairs, sparse, t_tail
 from assaylake.plans.binding import query
 
 
@@ -21,3 +25,46 @@ def _(t):
     both = own.join(other, "l_partkey").where("line < b").groupBy(F.col("line").alias("a"), "b").agg(F.count("*").alias("n"), F.corr("p", "q").alias("rho"))
     found = N.empirical_fisher(own, both.where("n >= 100"), "l_partkey", "line", "assay", "p", 20_000)
     return found.select("l_partkey", "k", F.round("p", 9).alias("p"), "method")
+
+
+def brand_profiles(t):
+    """Part types are pathways, nations of suppliers cohorts, brands members with their line counts."""
+    s = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    return s.groupBy(F.col("p_type").alias("pathway"), F.col("n_name").alias("cohort"), F.col("p_brand").alias("member")).agg(F.count("*").cast("double").alias("weight"))
+
+
+GATE = ("silhouette", "ari", "similarity", "low", "high")
+
+
+@query("gst04_subtypes")
+def _(t):
+    found, _ = ST.pathway_subtypes(brand_profiles(t), "pathway", "cohort", "member", "weight")
+    return found.select("pathway", "cohort", "subtype", "status", "k", "proposed", *[F.round(c, 9).alias(c) for c in GATE])
+
+
+@query("gst05_programs")
+def _(t):
+    found, near = ST.pathway_subtypes(brand_profiles(t), "pathway", "cohort", "member", "weight")
+    families = t.part.select(F.col("p_type").alias("pathway"), F.split("p_type", " ")[0].alias("family")).distinct()
+    programs, _ = ST.program_subtypes(found, near, families, "pathway", "cohort", "family")
+    return programs.select("cohort", "subtype", "status", "k", "proposed", F.round("silhouette", 9).alias("silhouette"), F.round("ari", 9).alias("ari"))
+
+
+SCREEN = ("mean_rho", "meta_rho", "agreement", "p")
+
+
+@query("sc03_exact_effects", f"""WITH {DENSE}, c AS (SELECT cohort, entity, target, corr(rx, ry) AS rho FROM rx JOIN ry USING (cohort, sample) GROUP BY ALL HAVING count(*) >= 3), z AS (SELECT *, atanh(greatest(least(rho, 0.999999), -0.999999)) AS z FROM c WHERE rho IS NOT NULL AND NOT isnan(rho)),
+g AS (SELECT entity, target, count(*) AS sources, avg(rho) AS mean_rho, tanh(avg(z)) AS meta_rho, greatest(count(*) FILTER (rho > 0), count(*) FILTER (rho <= 0)) / count(*) AS agreement, avg(z) AS m, stddev_samp(z) AS sd FROM z GROUP BY ALL HAVING count(*) >= 3 AND abs(tanh(avg(z))) >= 0.02),
+r AS (SELECT *, sources - 1 AS df, m / (sd / sqrt(sources)) / sqrt(pow(m / (sd / sqrt(sources)), 2) + sources - 1) AS q FROM g)
+SELECT entity, target, sources, round(mean_rho, 6) AS mean_rho, round(meta_rho, 6) AS meta_rho, round(agreement, 6) AS agreement, round({t_tail("q", "df")}, 6) AS p, row_number() OVER (PARTITION BY entity ORDER BY round(abs(meta_rho), 9) DESC, round(agreement, 9) DESC, target) AS rank FROM r QUALIFY rank <= 25""")
+def _(t):
+    found = SC.combined(pairs(t, min_n=3), "entity", "target", least=0.02)
+    return found.select("entity", "target", "sources", *[F.round(c, 6).alias(c) for c in SCREEN], "rank")
+
+
+@query("sc03_screened_effects")
+def _(t):
+    """As sc03_exact_effects, for the pairs that sketches propose."""
+    x, y, samples = sparse(t)
+    found = SC.screened_pairs(x, y, samples, "cohort", "sample", ("entity", "value"), ("target", "score"), least=0.02)
+    return found.select("entity", "target", "sources", *[F.round(c, 6).alias(c) for c in SCREEN], "rank")

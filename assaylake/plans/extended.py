@@ -7,7 +7,7 @@ from assaylake.operators import blocks as B
 from assaylake.operators import extended as X
 from assaylake.operators import stats as S
 from assaylake.operators import windows as W
-from assaylake.plans.association import DENSE, pairs, query_members, ranked
+from assaylake.plans.association import DENSE, RANKED, pairs, query_members, ranked
 from assaylake.plans.binding import MEASUREMENTS, query
 
 
@@ -117,14 +117,6 @@ def _(t):
     return X.residualised(x, ["entity"], "value", "c_acctbal", F.col("sample") % 5 > 0).select("sample", "entity", F.round("residual", 6).alias("residual"))
 
 
-@query("gst04_subtypes")
-def _(t):
-    s = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(F.broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey")).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
-    g = s.groupBy(F.col("p_type").alias("pathway"), F.col("n_name").alias("cohort"), F.col("p_brand").alias("member")).agg(F.count("*").cast("double").alias("weight"))
-    g = g.withColumn("rank", F.row_number().over(Window.partitionBy("pathway", "cohort").orderBy(F.desc("weight"), "member")))
-    return X.context_subtypes(g, "pathway", "cohort", "member", "weight")
-
-
 @query("ml03_screen", f"WITH {DENSE}, c AS (SELECT cohort, target, entity, corr(rx, ry) AS rho, count(*) AS n FROM rx JOIN ry USING (cohort, sample) GROUP BY ALL) SELECT cohort, target, entity, n, round(rho, 6) AS rho, row_number() OVER (PARTITION BY cohort, target ORDER BY round(abs(rho), 9) DESC, entity) AS rank FROM c WHERE abs(rho) >= 0.1 QUALIFY rank <= 5")
 def _(t):
     r = pairs(t, least=0.1)
@@ -151,7 +143,8 @@ def _(t):
     return X.mixed_channels(genes, entities, "target", 100).withColumns({c: F.round(c, 6) for c in ("gene_score", "entity_score", "score")})
 
 
-@query("gst05_program_similarity")
+@query("gst05_program_similarity", f"""WITH {RANKED}, w AS (SELECT member % 4 AS family, name, member, 1.0 / rank AS w FROM rk), t AS (SELECT family, name, sum(w) AS t FROM w GROUP BY ALL), l AS (SELECT x.family AS family, x.name AS a, y.name AS b, sum(least(x.w, y.w)) AS low FROM w x JOIN w y ON x.family = y.family AND x.member = y.member AND x.name < y.name GROUP BY ALL),
+s AS (SELECT a.name AS a, b.name AS b, coalesce(low, 0) / (a.t + b.t - coalesce(low, 0)) AS s FROM t a JOIN t b ON a.family = b.family AND a.name < b.name LEFT JOIN l ON l.family = a.family AND l.a = a.name AND l.b = b.name) SELECT a, b, round(avg(s), 6) AS similarity, count(*) AS families FROM s GROUP BY ALL""")
 def _(t):
     from assaylake.operators.genesets import weighted_jaccard
 
