@@ -142,9 +142,9 @@ def _numbered(samples: DataFrame, by: list[str], sample: str, numbers: list[str]
     return own.select(*by, sample, "at_"), own.groupBy(*by).agg(listed.alias("z_"))
 
 
-def _packed(values: DataFrame, place: DataFrame, groups: DataFrame, by: list[str], sample: str, name: str, columns: list[str], fill, shape: tuple[int, int], tag: str) -> DataFrame:
-    """by, {tag}names, {tag}plain, {tag}adjusted, {tag}rank: blocks of vectors; without fill plain has the numbers of all columns,
-    else unit ranks, and adjusted those off the design. A group's design travels ahead of its vectors, once for each of SALTS."""
+def _packed(values: DataFrame, place: DataFrame, groups: DataFrame, by: list[str], sample: str, name: str, columns: list[str], fill, shape: tuple[int, int], tag: str, raw: bool | None = None) -> DataFrame:
+    """by, {tag}names, {tag}plain, {tag}adjusted, {tag}rank: blocks of vectors; raw (so without fill) plain has the numbers of all
+    columns, else unit ranks, and adjusted those off the design. A group's design travels ahead of its vectors, once for each of SALTS."""
     cells = F.collect_list(F.struct("at_", *[F.col(c).cast("double").alias(f"v{k}_") for k, c in enumerate(columns)]))
     vectors = values.join(place, [*by, sample]).groupBy(*by, name).agg(cells.alias("cells_")).withColumn("salt_", F.pmod(F.xxhash64(name), F.lit(SALTS)).cast("int"))
     designs = groups.select(*by, "z_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt_"))
@@ -152,13 +152,13 @@ def _packed(values: DataFrame, place: DataFrame, groups: DataFrame, by: list[str
     rows = rows.sortWithinPartitions(*by, "vector_").select(*by, name, "cells_", "z_", "vector_")
     nb, fields = len(by), values.select(*by, name).schema
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields[:nb]), f"{tag}names array<{fields[nb].dataType.simpleString()}>", f"{tag}plain binary, {tag}adjusted binary, {tag}rank int"])
-    raw, covariates = fill is None, sum(shape) > 0
+    raw, covariates = fill is None if raw is None else raw, sum(shape) > 0
 
     def pack(batches):
         key, names, parts, z, kinds, q = None, [], [], [], [], None
 
         def block():
-            m = np.full((len(columns), len(z), len(names)), np.nan if raw else float(fill))
+            m = np.full((len(columns), len(z), len(names)), np.nan if fill is None else float(fill))
             for j, (at, vs) in enumerate(parts):
                 for k, v in enumerate(vs):
                     m[k, at, j] = v

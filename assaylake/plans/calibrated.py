@@ -3,8 +3,8 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from assaylake.operators import blocks as B
 from assaylake.operators import nulls as N
+from assaylake.operators import penalised as P
 from assaylake.operators import screen as SC
 from assaylake.operators import subtypes as ST
 from assaylake.plans.association import DENSE, pairs, sparse, t_tail
@@ -68,3 +68,37 @@ def _(t):
     x, y, samples = sparse(t)
     found = SC.screened_pairs(x, y, samples, "cohort", "sample", ("entity", "value"), ("target", "score"), least=0.02)
     return found.select("entity", "target", "sources", *[F.round(c, 6).alias(c) for c in SCREEN], "rank")
+
+
+def folded(samples):
+    """Five folds by a checksum of the sample."""
+    return samples.select("cohort", "sample", (F.crc32(F.col("sample").cast("string").cast("binary")) % 5).cast("int").alias("fold"))
+
+
+def ridge_of(x, y, samples):
+    return P.ridge(x, y, folded(samples), ["cohort"], "sample", "fold", ("entity", "value"), ("target", "score"))
+
+
+@query("ml02_spectral_ridge")
+def _(t):
+    """Out-of-fold predictions of all targets from all entities, penalty by the next fold."""
+    x, y, samples = sparse(t)
+    return ridge_of(x, y, samples).select("cohort", "sample", "target", "fold", "observed", F.round("predicted", 6).alias("predicted"), F.round("baseline", 6).alias("baseline"), "penalty")
+
+
+@query("ml03_lasso_weights")
+def _(t):
+    """Weights and selection frequency of the entities that screened Lasso models of the folds use."""
+    x, y, samples = sparse(t)
+    w = P.screened_lasso(x, y, folded(samples), ["cohort"], "sample", "fold", ("entity", "value"), ("target", "score"), fdr=0.25)
+    return P.selection(w, ["cohort"], "target", "entity").select("cohort", "target", "entity", "folds", "frequency", F.round("weight", 6).alias("weight"), "same_sign")
+
+
+@query("ml04_fitted_arms")
+def _(t):
+    """Three arms on the same held-out rows: spending by brand, quantity by part size, both."""
+    x, y, samples = sparse(t)
+    sizes = t.sales().groupBy(F.col("n_name").alias("cohort"), F.col("c_custkey").alias("sample"), F.concat(F.lit("size:"), F.col("p_size")).alias("entity")).agg(F.sum(F.col("l_quantity").cast("long")).cast("double").alias("value"))
+    arms = {name: ridge_of(features, y, samples) for name, features in (("one", x), ("two", sizes), ("both", x.unionByName(sizes)))}
+    found = P.arms_compared(arms, ["cohort", "sample", "target"], ["target"])
+    return found.select("target", "arm", "n", *[F.round(c, 6).alias(c) for c in ("rmse", "r2", "skill")])
