@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assaylake.sources.lines import read_lines, variants
+
 
 def scan(spark: SparkSession, path: str, columns: list[str] | None = None, where=None) -> DataFrame:
     """A Parquet file or partitioned folder; columns and filters reach the scan."""
@@ -58,9 +60,9 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
 
 def maf(spark: SparkSession, path: str, authority: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Accepted and quarantined variants of a tab-separated file: chrom, start, end, ref, alt, barcode. authority: patient."""
-    raw = delimited(spark, path, "chrom string, start long, end long, ref string, alt string, barcode string").withColumn("source_row", F.concat_ws("#", F.col("_metadata.file_name"), F.monotonically_increasing_id().cast("string")))
-    ident = F.concat(F.lit("var:"), F.substring(F.sha2(F.concat_ws(":", "chrom", "start", "end", "ref", "alt"), 256), 1, 20))
-    rows = raw.withColumns({"variant_id": ident, "patient": F.substring("barcode", 1, 12)}).join(authority.select("patient", F.lit(True).alias("known_")).distinct(), "patient", "left")
+    raw = variants(read_lines(spark, path))
+    source = F.concat_ws("#", "source_file", F.col("source_line").cast("string"))
+    rows = raw.withColumns({"source_row": source, "patient": F.substring("barcode", 1, 12)}).join(authority.select("patient", F.lit(True).alias("known_")).distinct(), "patient", "left")
     reason = F.when((F.col("start") < 1) | (F.col("end") < F.col("start")) | F.col("start").isNull(), "bad_interval").when(F.col("known_").isNull(), "unknown_patient")
     rows = rows.withColumn("reason", reason).drop("known_")
     return rows.where("reason is null").drop("reason"), rows.where("reason is not null")
