@@ -1,8 +1,10 @@
 """Jaccard join of five-word shingle sets by prefix trees: documents whose sets have a similarity of 0.8 or more.
 
-Documents of equal sets are one node. Of a node's set, ordered by hash with shingles last that a sample finds common, the first
-n - ceil(0.8 n) + 1 meet those of any set it can link with; nodes that share such a shingle are in one cluster, found by star
-contraction over one edge a node and shingle. A pair that can link is in one cluster, whatever the sample says.
+Documents of equal sets are one node. Shingles are ordered by hash. The first n - ceil(0.8 n) + 1 of a node's set, its prefix,
+meet the prefix of any set it can link with. All its shingles below a fixed hash, about CLASS of them, are sampled as well: of
+those, no more than a fifth of the set may be in no other set, else it can't link with any; this leaves out documents that share
+passages and no more. It is applied twice, the second time among what the first has left. Nodes that then share a shingle of
+their prefixes are in one cluster, found by star contraction over one edge a node and shingle; so a pair that can link is in one.
 
 A cluster of up to BOUND shingles is joined by one task, and its sets are fetched once. There shingles are ordered by how many
 of the cluster's sets have them, commonest first; those of a single set count for its size only. The sets are stored in a trie
@@ -15,7 +17,7 @@ with a row a member. Only shingles whose members aren't connected then stay, and
 over BOUND compare the members of a shingle pair by pair, but for pairs that two bounds exclude: what is left after the first
 common shingle, and the parities of shingles by residue. So no pair is missed at any size, and none is cut off.
 
-Shingles are XXH64 values; two of a pair of documents of 20,000 words meet by chance once in 4e10 pairs of documents. A null or
+Shingles are 64-bit numbers; two of a pair of documents of 20,000 words meet by chance once in 4e10 pairs of documents. A null or
 wordless text has an empty set, which links with nothing. Ids may repeat or be null: rows are told apart by their texts, and a
 component is named by the smallest id that isn't null.
 """
@@ -29,27 +31,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assaylake.llm import simhash
-from assaylake.llm.common import arrow, discard, sampled, saved, table
+from assaylake.llm.common import arrow, discard, saved, table
 from assaylake.llm.components import components
 
-SHINGLE, SEED = 5, 42
+SHINGLE = 5
 #: The least similarity is ABOVE / BELOW.
 ABOVE, BELOW = 4, 5
-SAMPLE, HOT, HOT_LIST, LEADERS = 20_000, 8, 200_000, 3
+LEADERS = 3
 #: Shingles of a cluster that one task joins.
 BOUND = 1 << 21
+#: Longs of a set's parities; the share of hashes that is sampled.
+WORDS, CLASS = 16, 0.36
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers in which every bit depends on all (splitmix64)."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+#: Odd factors of a shingle's words by place.
+_PLACES = _mixed(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def hashes(text: bytes | None) -> np.ndarray:
-    """XXH64 of each shingle in text order; a text of fewer words is one shingle, one without words has none."""
+    """A 64-bit number for each shingle in text order, from the XXH64 of its words and their places; a text of fewer words is one
+    shingle, one without words has none."""
     words = (text or b"").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    joined, n = b" ".join(words), max(1, len(words) - SHINGLE + 1)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.concatenate([[0], ends[:-1]])
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), (ends[-n:] - 1).tolist())), np.uint64, n)
+    own = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    n = max(1, len(words) - SHINGLE + 1)
+    h = np.full(n, min(len(words), SHINGLE), np.uint64)
+    for k in range(min(len(words), SHINGLE)):
+        h += own[k : k + n] * _PLACES[k]
+    return _mixed(h)
 
 
 def fingerprint(found: np.ndarray) -> int:
@@ -60,21 +77,15 @@ def fingerprint(found: np.ndarray) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(found)).tobytes(), "big")
 
 
-def prefix(members: np.ndarray, hot: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first shingles of a sorted set that any set of the least similarity shares one of; hot: sorted, with counts."""
-    n = len(members)
-    if not n:
-        return members
-    size = n - -(-n * ABOVE // BELOW) + 1
-    if len(hot):
-        at = np.minimum(np.searchsorted(hot, members), len(hot) - 1)
-        members = members[np.argsort(np.where(hot[at] == members, counts[at], 0), kind="stable")]
-    return members[:size]
+def prefix_size(n: int) -> int:
+    """How many of the first shingles of a set any set of the least similarity shares one of."""
+    return n - -(-n * ABOVE // BELOW) + 1 if n else 0
 
 
-def parities(members: np.ndarray) -> int:
-    """Bit r: whether the number of members with residue r by 64 is odd."""
-    return int(np.bitwise_xor.reduce(np.uint64(1) << (members & np.uint64(63)), initial=np.uint64(0)))
+def parities(members: np.ndarray) -> np.ndarray:
+    """Bit r of WORDS longs: whether the number of members with residue r by their bits is odd."""
+    odd = np.bincount((members & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 class Trie:
@@ -174,29 +185,11 @@ def tied(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _hot(docs: DataFrame, key: str) -> tuple[np.ndarray, np.ndarray]:
-    """Common shingles of a sample, sorted, and their counts."""
-
-    def listed(batches):
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(hashes(t)).view(np.int64))], ["h"])
-
-    drawn = sampled(docs.select("text", F.xxhash64(key, "text").alias("by_")), "by_", SAMPLE)
-    some = drawn.select(F.col("text").cast("binary").alias("t")).mapInArrow(listed, "h long")
-    often = saved(some.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= HOT), "near-hot")
-    top = often.orderBy(F.desc("n"), "h").limit(HOT_LIST).toPandas()
-    discard(often)
-    h, n = top.h.to_numpy(np.int64).view(np.uint64), top.n.to_numpy(np.int64)
-    order = np.argsort(h)
-    return h[order], n[order]
-
-
 def _fits(x: str, y: str):
-    """Whether two members of a prefix group (structs of n, i, w) that first meet here can be similar enough."""
+    """Whether two members of a prefix group (structs of n, i) that first meet here can be similar enough."""
     at = lambda name: (F.col(f"{x}.{name}"), F.col(f"{y}.{name}"))
-    (n, m), (i, j), (w, v) = at("n"), at("i"), at("w")
-    return ((ABOVE + BELOW) * F.least(n - i, m - j) >= ABOVE * (n + m)) & ((ABOVE + BELOW) * F.bit_count(w.bitwiseXOR(v)) <= (BELOW - ABOVE) * (n + m))
+    (n, m), (i, j) = at("n"), at("i")
+    return (ABOVE + BELOW) * F.least(n - i, m - j) >= ABOVE * (n + m)
 
 
 def _first(i, n):
@@ -204,10 +197,13 @@ def _first(i, n):
     return (ABOVE + BELOW) * i <= (BELOW - ABOVE) * n
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs a, b of nodes that are similar enough, as a written table of u, v."""
-    pairs = pairs.distinct()
-    met = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+def _verified(pairs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of the pairs a, b of nodes that are similar enough, as a written table of u, v. Parities go first: where they
+    differ, the sets do, in (1 - ABOVE / BELOW) of their union at most."""
+    at = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("w").alias(f"w_{c}"))
+    differ = F.aggregate(F.zip_with("w_a", "w_b", lambda v, w: F.bit_count(v.bitwiseXOR(w))), F.lit(0), lambda s, c: s + c)
+    near = pairs.distinct().join(at("a"), "a").join(at("b"), "b").where((ABOVE + BELOW) * differ <= (BELOW - ABOVE) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    met = near.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return saved(met.where((ABOVE + BELOW) * shared >= ABOVE * (F.size("sa") + F.size("sb"))).select(F.col("a").alias("u"), F.col("b").alias("v")), "near-links")
 
@@ -248,17 +244,17 @@ def _joined(sets: DataFrame) -> DataFrame:
 
 
 def _large(opened: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links that connect what is similar in clusters over the bound; opened: h, node, n, i, w of their nodes."""
+    """Links that connect what is similar in clusters over the bound; opened: h, node, n, i of their nodes."""
     cores = None
     for round_ in range(LEADERS + 1):
         tied_ = opened.withColumn("core", F.col("node")) if cores is None else opened.join(cores, "node", "left").withColumn("core", F.coalesce("root", "node"))
-        now = tied_.select("h", F.struct("node", "n", "i", "w", "core").alias("x"))
+        now = tied_.select("h", F.struct("node", "n", "i", "core").alias("x"))
         turn = F.struct(~_first(F.col("x.i"), F.col("x.n")), F.xxhash64(F.lit(round_), "x.node"), "x.node")
         open_ = now.groupBy("h").agg(F.min("x.core").alias("low"), F.max("x.core").alias("high"), F.min_by("x", turn).alias("y")).where("low < high")
         if round_ == LEADERS:
             break
         pairs = now.join(open_.select("h", "y"), "h").where("x.core <> y.core").where(_fits("x", "y"))
-        more = _verified(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")), sets)
+        more = _verified(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")), sets, nodes)
         if more.isEmpty():
             discard(more)
             continue
@@ -271,7 +267,7 @@ def _large(opened: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
     still = left.join(again.where("large").select(F.col("node").alias("in_")), F.col("x.node") == F.col("in_"), "left_semi")
     y = still.where(_first(F.col("x.i"), F.col("x.n"))).select("h", F.col("x").alias("y"))
     pairs = still.join(y, "h").where("x.core <> y.core and (y.n < x.n or (y.n = x.n and y.node < x.node))").where(_fits("x", "y"))
-    rest = _verified(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")), sets)
+    rest = _verified(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")), sets, nodes)
     out = found.unionAll(rest)
     if cores is not None:
         out = out.unionAll(cores.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")))
@@ -285,30 +281,38 @@ def group(docs: DataFrame, key: str, balls: bool = False) -> DataFrame:
     it is in (null where no row of the group has one). With balls, SimHash fingerprints within three bits are candidates too."""
     spark, kind = docs.sparkSession, docs.schema[key].dataType.simpleString()
     arrow(spark)
-    shared = spark.sparkContext.broadcast(_hot(docs, key))
+    limit = int(CLASS * 2**63)
 
     def described(batches):
-        hot, counts = shared.value
         for b in batches:
-            sigs, sizes, fps, words, prefixes = [], [], [], [], []
+            sigs, sizes, fps, words, firsts = [], [], [], [], []
             for t in b.column(2):
                 found = hashes(t.as_py())
-                members = np.unique(found)
+                members = np.unique(found >> np.uint64(1))
                 sigs.append(xxhash.xxh3_128_digest(members.tobytes()))
                 sizes.append(len(members))
                 fps.append(simhash._signed(fingerprint(found)) if balls else 0)
-                words.append(simhash._signed(parities(members)))
-                prefixes.append(prefix(members, hot, counts).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64()), pa.array(fps, pa.int64()), pa.array(words, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["key", "th", "sig", "n", "fp", "w", "p"])
+                words.append(parities(members))
+                firsts.append(members[: max(prefix_size(len(members)), int(np.searchsorted(members, limit)))].view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64()), pa.array(fps, pa.int64()), pa.array(words, pa.list_(pa.int64())), pa.array(firsts, pa.list_(pa.int64()))], ["key", "th", "sig", "n", "fp", "w", "p"])
 
     texts = docs.select(F.col(key).alias("key"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("t"))
-    rows = saved(texts.mapInArrow(described, f"key {kind}, th long, sig binary, n long, fp long, w long, p array<long>"), "near-rows")
+    rows = saved(texts.mapInArrow(described, f"key {kind}, th long, sig binary, n long, fp long, w array<long>, p array<long>"), "near-rows")
     one = rows.where("n > 0").groupBy("sig").agg(F.min("key").alias("least"), F.min(F.struct("key", "th")).alias("pick"), *(F.first(c).alias(c) for c in ("n", "fp", "w", "p")))
     nodes = saved(one.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
     named = saved(rows.select("key", "sig", "n"), "near-named")
     discard(rows)
 
-    opened = nodes.select("node", "n", "w", F.posexplode("p").alias("i", "h"))
+    opened = nodes.select("node", "n", F.posexplode("p").alias("i", "h"))
+    for turn in range(2):
+        often = opened.groupBy("h").agg(F.count("*").alias("with")).where("with > 1").select("h")
+        known = opened.where(F.col("h") < limit).join(often, "h", "left_semi").groupBy("node").agg(F.count("*").alias("shared"))
+        sampled = nodes.select("node", "n", F.size(F.filter("p", lambda h: h < limit)).alias("all")).join(known, "node", "left")
+        fit = saved(sampled.where(BELOW * (F.col("all") - F.coalesce("shared", F.lit(0))) <= (BELOW - ABOVE) * F.col("n")).select("node"), "near-fit")
+        before = opened if turn else None
+        kept = opened = saved(opened.join(fit, "node", "left_semi"), "near-opened")
+        discard(fit, *([before] if turn else []))
+    opened = opened.where(F.col("i") < F.col("n") - F.ceil(F.col("n") * ABOVE / BELOW) + 1)
     often = saved(opened.groupBy("h").agg(F.count("*").alias("with"), F.bool_or(_first(F.col("i"), F.col("n"))).alias("first"), F.min("node").alias("lead")).where("with > 1 and first").select("h", "lead"), "near-often")
     edges = opened.join(often, "h").where("node <> lead").select(F.col("node").alias("u"), F.col("lead").alias("v"))
     if balls:
@@ -324,7 +328,7 @@ def group(docs: DataFrame, key: str, balls: bool = False) -> DataFrame:
         for b in batches:
             out = []
             for node, sig, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                if node not in seen and xxhash.xxh3_128_digest((members := np.unique(hashes(t.as_py()))).tobytes()) == sig:
+                if node not in seen and xxhash.xxh3_128_digest((members := np.unique(hashes(t.as_py()) >> np.uint64(1))).tobytes()) == sig:
                     seen.add(node)
                     out.append((node, members.view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.list_(pa.int64()))], ["node", "s"])
@@ -334,11 +338,11 @@ def group(docs: DataFrame, key: str, balls: bool = False) -> DataFrame:
     sets = saved(fetched.dropDuplicates(["node"]).join(clusters, "node"), "near-sets")
     links = _joined(sets.where("not large"))
     if not clusters.where("large").isEmpty():
-        big = saved(opened.join(often, "h", "left_semi").join(clusters.where("large"), "node", "left_semi"), "near-opened")
+        big = saved(opened.join(often, "h", "left_semi").join(clusters.where("large"), "node", "left_semi"), "near-large")
         links = links.unionAll(_large(big, sets.where("large"), nodes))
         discard(big)
     cores = saved(components(links), "near-cores")
-    discard(often, clusters, sets)
+    discard(often, clusters, sets, kept, *([first] if balls else []))
     members = nodes.join(cores, "node", "left").select("sig", "least", F.coalesce("root", "node").alias("root"))
     least = members.groupBy("root").agg(F.min("least").alias("least"))
     by_sig = saved(members.drop("least").join(least, "root").select("sig", "least"), "near-groups")
