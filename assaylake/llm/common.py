@@ -72,6 +72,13 @@ def numbered_rows(rows: DataFrame, key: str, text: str, name: str) -> DataFrame:
     return own.withColumn(name, F.monotonically_increasing_id()).drop("by_")
 
 
+def free(name: str, df: DataFrame) -> str:
+    """name, or name with underscores added until df has no such column."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -12,8 +12,8 @@ whose edges are runs of shingles. Each set in turn descends, a level at a time:
 sets below it, and a subtree is left where the overlap so far and what remains of either side can't reach the least similarity
 for its smallest set, or where its sizes don't fit. A set that ends on a reached node has its exact overlap.
 
-Larger clusters: LEADERS rounds tie the members of each shared shingle to one of them if they are similar, which connects copies
-with a row a member. Only shingles whose members aren't connected then stay, and clusters are formed by these alone. Those still
+Larger clusters: in each of LEADERS rounds every shared shingle has one of its members as leader, and a set is compared with the
+leader that it shares most with, which connects copies with a row a member. Only shingles whose members aren't connected then stay, and clusters are formed by these alone. Those still
 over BOUND compare the members of a shingle pair by pair, but for pairs that two bounds exclude: what is left after the first
 common shingle, and the parities of shingles by residue. So no pair is missed at any size, and none is cut off.
 
@@ -37,7 +37,7 @@ from assaylake.llm.components import components
 SHINGLE = 5
 #: The least similarity is ABOVE / BELOW.
 ABOVE, BELOW = 4, 5
-LEADERS = 3
+LEADERS = 4
 #: Shingles of a cluster that one task joins.
 BOUND = 1 << 21
 #: Longs of a set's parities; the share of hashes that is sampled.
@@ -253,8 +253,9 @@ def _large(opened: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
         open_ = now.groupBy("h").agg(F.min("x.core").alias("low"), F.max("x.core").alias("high"), F.min_by("x", turn).alias("y")).where("low < high")
         if round_ == LEADERS:
             break
-        pairs = now.join(open_.select("h", "y"), "h").where("x.core <> y.core").where(_fits("x", "y"))
-        more = _verified(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")), sets, nodes)
+        pairs = now.join(open_.select("h", "y"), "h").where("x.core <> y.core").where(_fits("x", "y")).groupBy("x.node", F.col("y.node").alias("lead")).agg(F.count("*").alias("c"))
+        likely = pairs.groupBy("node").agg(F.max_by("lead", F.struct("c", F.xxhash64("lead"))).alias("lead"))
+        more = _verified(likely.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")), sets, nodes)
         if more.isEmpty():
             discard(more)
             continue
