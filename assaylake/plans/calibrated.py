@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from assaylake.operators import grouping as GR
 from assaylake.operators import nulls as N
 from assaylake.operators import penalised as P
 from assaylake.operators import screen as SC
@@ -102,3 +103,13 @@ def _(t):
     arms = {name: ridge_of(features, y, samples) for name, features in (("one", x), ("two", sizes), ("both", x.unionByName(sizes)))}
     found = P.arms_compared(arms, ["cohort", "sample", "target"], ["target"])
     return found.select("target", "arm", "n", *[F.round(c, 6).alias(c) for c in ("rmse", "r2", "skill")])
+
+
+@query("sc05_metacell_groups")
+def _(t):
+    """Vectors are cells, labels types, a vector's number by seven its donor; donors 0 to 4 fit the space and the radius."""
+    cells = t.embeddings.select("vec_id", "label", (F.col("vec_id") % 7).alias("donor"), "embedding")
+    train = F.col("donor") < 5
+    space = GR.local_space(cells, "embedding", train, 8)
+    found, _ = GR.disjoint_groups(space, ["donor", "label"], "vec_id", "z", train)
+    return found.select("donor", "label", "vec_id", "seed")
