@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from assaylake.operators import grouping as GR
+from assaylake.operators import interaction as I
 from assaylake.operators import nulls as N
 from assaylake.operators import penalised as P
 from assaylake.operators import screen as SC
@@ -113,3 +114,11 @@ def _(t):
     space = GR.local_space(cells, "embedding", train, 8)
     found, _ = GR.disjoint_groups(space, ["donor", "label"], "vec_id", "z", train)
     return found.select("donor", "label", "vec_id", "seed")
+
+
+@query("sta13_hc3")
+def _(t):
+    """Price on quantity, returned lines against others, with discount and tax as covariates, by brand."""
+    rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select("p_brand", "l_extendedprice", "l_quantity", (F.col("l_returnflag") == "R").cast("int").alias("returned"), "l_discount", "l_tax")
+    found = I.interaction(rows, ["p_brand"], "l_extendedprice", "l_quantity", "returned", ["l_discount", "l_tax"])
+    return found.select("p_brand", "n", "n_0", "n_1", "unknown", "reason", *[F.round(c, 4).alias(c) for c in ("slope_0", "slope_1", "difference", "difference_se", "difference_low", "difference_high")], F.round("p", 8).alias("p"), F.round("q", 8).alias("q"))
