@@ -197,12 +197,16 @@ def _first(i, n):
     return (ABOVE + BELOW) * i <= (BELOW - ABOVE) * n
 
 
+def _alike(w: str, v: str, total):
+    """Whether parities allow the least similarity: where they differ, the sets do, in (1 - ABOVE / BELOW) of their union at most."""
+    differ = F.aggregate(F.zip_with(w, v, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, c: s + c)
+    return (ABOVE + BELOW) * differ <= (BELOW - ABOVE) * total
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Those of the pairs a, b of nodes that are similar enough, as a written table of u, v. Parities go first: where they
-    differ, the sets do, in (1 - ABOVE / BELOW) of their union at most."""
+    """Those of the pairs a, b of nodes that are similar enough, as a written table of u, v. Parities go first."""
     at = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("w").alias(f"w_{c}"))
-    differ = F.aggregate(F.zip_with("w_a", "w_b", lambda v, w: F.bit_count(v.bitwiseXOR(w))), F.lit(0), lambda s, c: s + c)
-    near = pairs.distinct().join(at("a"), "a").join(at("b"), "b").where((ABOVE + BELOW) * differ <= (BELOW - ABOVE) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    near = pairs.distinct().join(at("a"), "a").join(at("b"), "b").where(_alike("w_a", "w_b", F.col("n_a") + F.col("n_b"))).select("a", "b")
     met = near.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return saved(met.where((ABOVE + BELOW) * shared >= ABOVE * (F.size("sa") + F.size("sb"))).select(F.col("a").alias("u"), F.col("b").alias("v")), "near-links")
@@ -266,8 +270,9 @@ def _large(opened: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
     again = _clusters(left.select(F.col("x.node").alias("u"), F.col("lead").alias("v")).where("u <> v"), nodes)
     found = _joined(sets.drop("root", "large").join(again.where("not large"), "node"))
     still = left.join(again.where("large").select(F.col("node").alias("in_")), F.col("x.node") == F.col("in_"), "left_semi")
-    y = still.where(_first(F.col("x.i"), F.col("x.n"))).select("h", F.col("x").alias("y"))
-    pairs = still.join(y, "h").where("x.core <> y.core and (y.n < x.n or (y.n = x.n and y.node < x.node))").where(_fits("x", "y"))
+    still = still.join(nodes.select(F.col("node").alias("w_of"), "w"), F.col("x.node") == F.col("w_of")).select("h", "x", "w")
+    y = still.where(_first(F.col("x.i"), F.col("x.n"))).select("h", F.col("x").alias("y"), F.col("w").alias("v"))
+    pairs = still.join(y, "h").where("x.core <> y.core and (y.n < x.n or (y.n = x.n and y.node < x.node))").where(_fits("x", "y")).where(_alike("w", "v", F.col("x.n") + F.col("y.n")))
     rest = _verified(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")), sets, nodes)
     out = found.unionAll(rest)
     if cores is not None:
