@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assaylake.operators.joins import binned, lift, validated
+from assaylake.operators.windows import merged_intervals
+
 
 def segment_calls(mapped: DataFrame, by: list[str], value: str, gain: float, loss: float) -> DataFrame:
     """Unsigned burden, event and callability, signed mean and gain / loss flags of the segments mapped to an entity."""
@@ -32,3 +35,59 @@ def preference(counts: DataFrame, profile: DataFrame, key: str) -> DataFrame:
     """Count-weighted mean log2 enrichment of a sequence's k-mers, and how many of them have one."""
     met = counts.join(profile, "kmer", "left")
     return met.groupBy(key).agg((F.sum(F.col("n") * F.col("log2_enrichment")) / F.sum(F.when(F.col("log2_enrichment").isNotNull(), F.col("n")))).alias("score"), F.sum("n").alias("kmers"), F.sum(F.when(F.col("log2_enrichment").isNotNull(), F.col("n")).otherwise(0)).alias("known"))
+
+
+def probe_regions(probes: DataFrame, promoters: DataFrame, links: DataFrame, peaks: DataFrame, width: int) -> DataFrame:
+    """probe, entity, region: promoter where a probe meets the entity's promoter, distal where it meets a peak linked to it; both if both.
+
+    probes(probe, chrom, start, end), promoters(entity, chrom, start, end), links(entity, peak), peaks(peak, chrom, start, end), all
+    half-open. Repeated rows count once; a link to a peak that isn't there, or a peak with two places, is a ValueError.
+    """
+    named = links.select("entity", "peak").distinct()
+    known = peaks.select("peak", "chrom", "start", "end").distinct()
+    if not named.join(known, "peak", "left_anti").isEmpty():
+        raise ValueError("links name peaks that are not in the peak set")
+    place = lambda df, kind: df.select("chrom", "entity", F.lit(kind).alias("region"), F.col("start").alias("rs_"), F.col("end").alias("re_"))
+    regions = place(promoters, "promoter").unionByName(place(validated(named, known, ["peak"]), "distal")).where("rs_ < re_").distinct()
+    return binned(probes.select("probe", "chrom", "start", "end"), regions, ["chrom"], ("start", "end"), ("rs_", "re_"), width).select("probe", "entity", "region").distinct()
+
+
+def exon_unions(exons: DataFrame, declared: DataFrame) -> DataFrame:
+    """entity, chrom, start, end: exons(entity, release, chrom, start, end) of the release each entity declares, overlapping or
+    touching ones united, so that no base of two transcripts counts twice."""
+    own = validated(exons, declared.select("entity", "release"), ["entity", "release"], "inner")
+    return merged_intervals(own.select("entity", "chrom", "start", "end"), ["entity", "chrom"], "start", "end")
+
+
+def reproducible_peaks(peaks: DataFrame, by: list[str], replicate: str, passed, replicates: int, width: int) -> DataFrame:
+    """by, start, end, peaks, best: unions of the peaks that pass, kept where `replicates` different replicates have part in one.
+    by has chrom; peaks have start, end and signal; `passed` is a condition on a peak's row, null counts as not passed."""
+    good = peaks.where(passed)
+    unions = merged_intervals(good.select(*by, "start", "end"), by, "start", "end").withColumnsRenamed({"start": "us_", "end": "ue_"})
+    met = binned(good, unions, by, ("start", "end"), ("us_", "ue_"), width)
+    found = met.groupBy(*by, "us_", "ue_").agg(F.count("*").alias("peaks"), F.max("signal").alias("best"), F.count_distinct(replicate).alias("r_"))
+    return found.where(F.col("r_") >= replicates).drop("r_").withColumnsRenamed({"us_": "start", "ue_": "end"})
+
+
+def binding_rows(peaks: DataFrame, blocks: DataFrame, regions: DataFrame, mapping: DataFrame, by: list[str], width: int, experimental: float = 1.0) -> DataFrame:
+    """by, entity, protein_id, peaks, exonic, best, weight: peaks lifted to the annotation's assembly and met with the entities' regions.
+
+    peaks: by, protein, chrom, start, end, best (as `reproducible_peaks` gives). regions: entity, kind (exon or gene), chrom, start,
+    end on the target. mapping: protein, protein_id; one protein's ids share the weight. Peaks without one whole aligned block,
+    and proteins without an id, give no row. An exon that lies in a gene counts as exonic once.
+    """
+    keyed = peaks.withColumn("peak_", F.struct(*by, "protein", "chrom", "start", "end")).withColumn("first_", F.col("start") + 1)
+    lifted = lift(keyed, blocks, "peak_", "chrom", "first_", "end", width).where("status = 'lifted'")
+    on = lifted.select(*by, "protein", "peak_", "best", F.col("lifted_chrom").alias("on_"), (F.col("lifted_start") - 1).alias("ls_"), F.col("lifted_end").alias("le_"))
+    at = regions.select("entity", "kind", F.col("chrom").alias("on_"), F.col("start").alias("rs_"), F.col("end").alias("re_"))
+    met = binned(on, at, ["on_"], ("ls_", "le_"), ("rs_", "re_"), width)
+    each = met.groupBy(*by, "protein", "entity", "peak_").agg(F.max("best").alias("best"), F.bool_or(F.col("kind") == "exon").alias("exon_"))
+    held = each.groupBy(*by, "protein", "entity").agg(F.count("*").alias("peaks"), F.count_if("exon_").alias("exonic"), F.max("best").alias("best"))
+    ids = mapping.select("protein", "protein_id").where("protein_id is not null").distinct()
+    share = ids.groupBy("protein").agg(F.count("*").alias("ids_"))
+    return held.join(ids, "protein").join(share, "protein").select(*by, "entity", "protein", "protein_id", "peaks", "exonic", "best", (F.lit(experimental) / F.col("ids_")).alias("weight"))
+
+
+def threshold_table(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by, links, entities, proteins, exonic_links: how many binding rows each setting of the thresholds leaves."""
+    return rows.groupBy(*by).agg(F.count("*").alias("links"), F.count_distinct("entity").alias("entities"), F.count_distinct("protein_id").alias("proteins"), F.count_if(F.col("exonic") > 0).alias("exonic_links"))
