@@ -76,7 +76,7 @@ def by_rules(text: Column, rules: list[tuple[str, str]], default: str) -> Column
     low, out = F.lower(F.coalesce(text, F.lit(""))), None
     for pattern, label in rules:
         out = F.when(low.rlike(pattern), label) if out is None else out.when(low.rlike(pattern), label)
-    return out.otherwise(default)
+    return F.lit(default) if out is None else out.otherwise(default)
 
 
 def endpoints(rows: DataFrame, key: list[str], pairs: dict[str, tuple[str, str]]) -> DataFrame:
