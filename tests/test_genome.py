@@ -42,3 +42,12 @@ def test_peaks_to_binding_rows(spark):
     assert sorted(tuple(r)[1:] for r in got.collect()) == [("g", "P", "u1", 1, 1, 9.0, 0.5), ("g", "P", "u2", 1, 1, 9.0, 0.5), ("g", "Q", "u3", 1, 1, 3.0, 1.0), ("i", "P", "u1", 1, 0, 9.0, 0.5), ("i", "P", "u2", 1, 0, 9.0, 0.5)]
     assert [tuple(r) for r in N.threshold_table(got, ["cut"]).collect()] == [(1, 5, 2, 3, 3)]
     assert N.binding_rows(kept.limit(0).withColumn("cut", F.lit(1)), blocks, regions, mapping, ["cut"], 16).count() == 0
+
+
+def test_reproducible_peaks_do_not_depend_on_the_order_of_equal_intervals(spark):
+    """Equal intervals that open an island, whichever of them comes first."""
+    rows = [("p", "c", 0, 10, 14, 5.0), ("p", "c", 1, 10, 14, 6.0), ("p", "c", 0, 20, 24, 7.0), ("p", "c", 1, 20, 24, 8.0), ("p", "c", 1, 20, 24, 8.0)]
+    for order in (rows, rows[::-1], rows[2:] + rows[:2]):
+        peaks = spark.createDataFrame(order, "protein string, chrom string, rep int, start int, end int, signal double").repartition(3)
+        got = N.reproducible_peaks(peaks, ["protein", "chrom"], "rep", F.lit(True), 2, 8).orderBy("start").collect()
+        assert [(r.start, r.end, r.peaks, r.best) for r in got] == [(10, 14, 2, 6.0), (20, 24, 3, 8.0)]
