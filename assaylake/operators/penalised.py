@@ -4,9 +4,12 @@ Samples have a fold from 0 to k - 1. For each fold the next one picks the penalt
 fitted again on all k - 1; nothing of a fold's own outcomes or features enters. Values are complete (samples without a row have
 a given one); features are standardised on the rows that fit a model, and those without variance there are left out.
 
-Ridge: blocks of entities give their share of the sample kernel Z Z' for every fold and phase, and a fold's shares are added up
-one at a time by one task, which decomposes the sum once. Every block of targets then reads all its targets and penalties off
-that decomposition. What a task holds is samples squared.
+Ridge: where a group has no more entities than samples, pieces of its samples give centred sums of products by fold, which are
+merged pair by pair; one decomposition of the features' correlations serves all targets and penalties, models on some of the
+entities (arms) are read off the same sums, and predictions are made piece by piece. What a task holds is a group's entities times
+entities and targets, whatever the number of samples. With more entities than samples, blocks of entities give their share of the
+sample kernel Z Z' for every fold and phase, a fold's shares are added up one at a time by one task, which decomposes the sum
+once, and every block of targets reads all its targets and penalties off that. What a task holds then is samples squared.
 
 Lasso: entities are screened by rank correlation on the rows that fit a model. A target's screened entities meet in one task,
 which keeps sums and products by fold; training moments are sums of those, the path over penalties is coordinate descent on
@@ -15,6 +18,8 @@ them, and so is the validation error. What a task holds is a target's screened e
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,6 +29,8 @@ from assaylake.operators import blocks as B
 
 PENALTIES = tuple(10.0**k for k in range(3, -4, -1))
 RATIOS = tuple(float(x) for x in np.geomspace(1, 1e-3, 16))
+#: A group's samples are dealt to this many pieces.
+PIECES = 16
 
 
 def _phases(fold: np.ndarray, f: int, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -43,6 +50,208 @@ def _share(x: np.ndarray, fit: np.ndarray, ask: np.ndarray) -> tuple[int, np.nda
 def ridge(x: DataFrame, y: DataFrame, samples: DataFrame, by: list[str], sample: str, fold: str, xs: tuple[str, str], ys: tuple[str, str], *, folds: int = 5, fill: float = 0.0, penalties: tuple[float, ...] = PENALTIES, least: int = 3) -> DataFrame:
     """by, sample, target, fold, observed, predicted, baseline, penalty for every sample and target. baseline is the mean of the
     rows that fit; a null penalty: the intercept alone, which wins ties. Groups where a phase has fewer than `least` rows have no rows."""
+    own = x.select(*by, sample, *xs, F.lit("").alias("kind_"))
+    return ridge_arms(own, y, samples, by, sample, fold, xs, ys, "kind_", {"": [""]}, folds=folds, fill=fill, penalties=penalties, least=least).drop("arm")
+
+
+def ridge_arms(x: DataFrame, y: DataFrame, samples: DataFrame, by: list[str], sample: str, fold: str, xs: tuple[str, str], ys: tuple[str, str], kind: str, arms: dict[str, list[str]], *, folds: int = 5, fill: float = 0.0, penalties: tuple[float, ...] = PENALTIES, least: int = 3) -> DataFrame:
+    """As ridge, with arm: models on the entities whose `kind` is in the arm's list, all arms on the same rows of the same pass."""
+    sizes = x.select(*by, xs[0]).distinct().groupBy(*by).agg(F.count("*").alias("entities_")).join(samples.select(*by, sample).distinct().groupBy(*by).agg(F.count("*").alias("n_")), by)
+    sizes = sizes.select(*by, (F.col("entities_") <= F.col("n_")).alias("tall_"))
+    tall, wide = sizes.agg(F.coalesce(F.bool_or("tall_"), F.lit(True)), F.coalesce(F.bool_or(~F.col("tall_")), F.lit(False))).first()
+    how = {"folds": folds, "fill": fill, "penalties": penalties, "least": least}
+    some = lambda flag: x if not (tall and wide) else x.join(sizes.where("tall_" if flag else "not tall_").select(*by), by, "left_semi")
+    parts = [_by_moments(some(True), y, samples, by, sample, fold, xs, ys, kind, arms, **how)] if tall else []
+    if wide:
+        parts += [_by_kernel(some(False).where(F.col(kind).isin(kinds)), y, samples, by, sample, fold, xs, ys, **how).withColumn("arm", F.lit(arm)) for arm, kinds in arms.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+class Centred:
+    """Rows counted, and their means, centred products of features with features and outcomes, squares of outcomes, and ranges of
+    features; sums of two such are exact up to rounding whatever the means are."""
+
+    def __init__(self, n, mean, products, squares, low, high):
+        self.n, self.mean, self.products, self.squares, self.low, self.high = n, mean, products, squares, low, high
+
+    @classmethod
+    def of(cls, x: np.ndarray, y: np.ndarray) -> Centred:
+        mx, my = x.mean(0), y.mean(0)
+        zx, zy = x - mx, y - my
+        return cls(len(x), np.concatenate([mx, my]), zx.T @ np.hstack([zx, zy]), (zy * zy).sum(0), x.min(0), x.max(0))
+
+    @classmethod
+    def read(cls, cells: bytes, p: int, q: int) -> Centred:
+        v, ends = np.frombuffer(cells, float), np.cumsum([1, p + q, p * (p + q), q, p])
+        n, mean, products, squares, low, high = np.split(v, ends)
+        return cls(int(n[0]), mean, products.reshape(p, p + q), squares, low, high)
+
+    def written(self) -> bytes:
+        return np.concatenate([[self.n], self.mean, self.products.ravel(), self.squares, self.low, self.high]).tobytes()
+
+    def __add__(self, other: Centred) -> Centred:
+        n, p, gap = self.n + other.n, len(self.low), other.mean - self.mean
+        share = self.n * other.n / n
+        return Centred(n, self.mean + gap * (other.n / n), self.products + other.products + np.outer(gap[:p], gap) * share, self.squares + other.squares + gap[p:] ** 2 * share, np.minimum(self.low, other.low), np.maximum(self.high, other.high))
+
+
+def _models(fit: Centred, columns: np.ndarray):
+    """A function of penalties (a number, or one a target; infinite: no feature) that gives intercepts and coefficients of all features."""
+    p = len(fit.low)
+    sd = np.sqrt(np.diag(fit.products[:, :p]) / fit.n)
+    keep = columns[(sd[columns] > 1e-12) & (fit.high[columns] > fit.low[columns])]
+    d, u = np.linalg.eigh(fit.products[np.ix_(keep, keep)] / fit.n / np.outer(sd[keep], sd[keep]))
+    turned, d = u.T @ (fit.products[keep, p:] / fit.n / sd[keep, None]), np.maximum(d, 0)
+
+    def model(penalty):
+        b = np.zeros((p, fit.products.shape[1] - p))
+        b[keep] = u @ (turned / (d[:, None] + penalty * (len(keep) / fit.n))) / sd[keep, None]
+        return fit.mean[p:] - fit.mean[:p] @ b, b
+
+    return model
+
+
+def _chosen(parts: list[Centred | None], f: int, columns: np.ndarray, grid: np.ndarray, least: int):
+    """Intercepts, coefficients, baseline and penalty of the models that predict fold f; None where a phase has too few rows."""
+    k = len(parts)
+    some = lambda out: [m for g, m in enumerate(parts) if g not in out and m is not None]
+    total = lambda out: reduce(lambda a, b: a + b, some(out)) if some(out) else None
+    inner, after, rest, own = total({f, (f + 1) % k}), parts[(f + 1) % k], total({f}), parts[f]
+    if any(m is None or m.n < least for m in (inner, after, rest, own)):
+        return None
+    p = len(after.low)
+    covariance, squares = after.products / after.n, after.squares / after.n
+    model, best = _models(inner, columns), (inner.mean[p:] - after.mean[p:]) ** 2 + squares
+    chosen = np.full(len(squares), np.inf)
+    for penalty in grid:
+        start, b = model(penalty)
+        error = (start + after.mean[:p] @ b - after.mean[p:]) ** 2 + squares + (b * (covariance[:, :p] @ b)).sum(0) - 2 * (b * covariance[:, p:]).sum(0)
+        better = error < best - 1e-12 * np.maximum(1, best)
+        chosen[better], best[better] = penalty, error[better]
+    start, b = _models(rest, columns)(chosen)
+    return start, b, rest.mean[p:], np.where(np.isinf(chosen), np.nan, chosen)
+
+
+def _by_moments(x: DataFrame, y: DataFrame, samples: DataFrame, by: list[str], sample: str, fold: str, xs: tuple[str, str], ys: tuple[str, str], kind: str, arms: dict[str, list[str]], *, folds: int, fill: float, penalties: tuple[float, ...], least: int) -> DataFrame:
+    """ridge_arms for groups of no more entities than samples."""
+    nb, grid = len(by), np.array(sorted(penalties, reverse=True))
+    key_fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in x.select(*by).schema)
+    piece = F.pmod(F.xxhash64(sample), F.lit(PIECES)).cast("int").alias("piece_")
+    cell = lambda pair: F.struct(F.col(pair[0]).alias("k"), F.col(pair[1]).cast("double").alias("v"))
+    known = samples.where(F.col(sample).isNotNull()).select(*by, piece, sample, F.col(fold).cast("int").alias("f_"))
+    rows = known.unionByName(x.select(*by, piece, sample, cell(xs).alias("x_")), allowMissingColumns=True).unionByName(y.select(*by, piece, sample, cell(ys).alias("y_")), allowMissingColumns=True)
+    names = x.groupBy(*by).agg(F.array_sort(F.collect_set(F.struct(F.col(xs[0]).alias("k"), F.col(kind).alias("kind")))).alias("names_"))
+    heads = names.join(y.groupBy(*by).agg(F.array_sort(F.collect_set(ys[0])).alias("targets_")), by)
+
+    def dealt(heads):
+        """A row a sample with its cells, after a row with the head of its group: by, sample, f_, x_, y_ and the head's columns."""
+        extra = [c for c in heads.columns if c not in by]
+        every = heads.withColumn("piece_", F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1))))
+        one = rows.unionByName(every, allowMissingColumns=True).repartition(*by, "piece_").groupBy(*by, "piece_", sample)
+        own = one.agg(F.max("f_").alias("f_"), F.collect_list("x_").alias("x_"), F.collect_list("y_").alias("y_"), *[F.first(c, ignorenulls=True).alias(c) for c in extra])
+        return own.sortWithinPartitions(*by, "piece_", F.col(sample).asc_nulls_first()).select(*by, sample, "f_", "x_", "y_", *extra)
+
+    def chunks(batches, size):
+        """key, head, samples, folds, x, y of runs of rows of one group; head: the batch and row of the head."""
+        key, head, xi, yi, run = None, None, {}, {}, []
+
+        def made():
+            m, other = np.full((len(run), len(xi)), float(fill)), np.full((len(run), len(yi)), float(fill))
+            for i, (*_, xc, yc) in enumerate(run):
+                for at, names_, cells in ((m, xi, xc), (other, yi, yc)):
+                    for c in cells:
+                        at[i, names_[c["k"]]] = c["v"]
+            return key, head, [r[0] for r in run], np.array([r[1] for r in run]), m, other
+
+        for b in batches:
+            keys, who, f_of = list(zip(*(b.column(j).to_pylist() for j in range(nb)))), b.column(nb).to_pylist(), b.column(nb + 1).to_pylist()
+            for i in range(b.num_rows):
+                if run and (keys[i] != key or len(run) >= size(xi, yi)):
+                    yield made()
+                    run = []
+                if who[i] is None:
+                    if keys[i] != key:
+                        key, head = keys[i], b.slice(i, 1)
+                        xi = {s["k"]: j for j, s in enumerate(b.column(nb + 4)[i].as_py() or [])}
+                        yi = {t: j for j, t in enumerate(b.column(nb + 5)[i].as_py() or [])}
+                elif f_of[i] is not None and keys[i] == key and xi and yi:
+                    run.append((who[i], f_of[i], b.column(nb + 2)[i].as_py(), b.column(nb + 3)[i].as_py()))
+        if run:
+            yield made()
+
+    def sums(batches):
+        key, head, parts = None, None, {}
+
+        def out():
+            kinds = [s["kind"] for s in head.column(nb + 4)[0].as_py()]
+            for f, m in sorted(parts.items()):
+                yield pa.RecordBatch.from_arrays([*(head.column(j) for j in range(nb)), pa.array([f], pa.int32()), pa.array([kinds], pa.list_(pa.string())), pa.array([len(m.squares)], pa.int32()), pa.array([m.written()], pa.binary())], [*by, "f_", "kinds", "targets", "cells"])
+
+        for own, new, _, f_of, m, other in chunks(batches, lambda xi, yi: max(1, B.CELLS // (len(xi) + len(yi)))):
+            if key is not None and own != key:
+                yield from out()
+                parts = {}
+            key, head = own, new
+            for f in set(f_of.tolist()):
+                part = Centred.of(m[f_of == f], other[f_of == f])
+                parts[f] = parts[f] + part if f in parts else part
+        if key is not None:
+            yield from out()
+
+    parts = dealt(heads).mapInArrow(sums, f"{key_fields}, f_ int, kinds array<string>, targets int, cells binary")
+    gathered = parts.repartition(*by).sortWithinPartitions(*by, "f_")
+
+    def solved(batches):
+        key, group, kinds, parts = None, None, None, {}
+
+        def out():
+            for arm, chosen in arms.items():
+                columns = np.flatnonzero([k in chosen for k in kinds])
+                for f in range(folds):
+                    model = _chosen([parts.get(g) for g in range(folds)], f, columns, grid, least)
+                    if model is not None:
+                        yield pa.RecordBatch.from_arrays([*group, pa.array([arm]), pa.array([f], pa.int32()), pa.array([np.concatenate([m.ravel() for m in model]).tobytes()], pa.binary())], [*by, "arm", "f", "cells"])
+
+        for b in batches:
+            for i in range(b.num_rows):
+                own = tuple(b.column(j)[i].as_py() for j in range(nb))
+                if key is not None and own != key:
+                    yield from out()
+                    parts = {}
+                key, group, kinds = own, [b.column(j).slice(i, 1) for j in range(nb)], b.column(nb + 1)[i].as_py()
+                f, m = b.column(nb)[i].as_py(), Centred.read(b.column(nb + 3)[i].as_py(), len(kinds), b.column(nb + 2)[i].as_py())
+                parts[f] = parts[f] + m if f in parts else m
+        if key is not None:
+            yield from out()
+
+    models = gathered.mapInArrow(solved, f"{key_fields}, arm string, f int, cells binary")
+    listed = models.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("arm", "f", "cells"))).alias("models_"))
+    kinds_of = [x.schema[sample].dataType.simpleString(), y.schema[ys[0]].dataType.simpleString()]
+
+    def predicted(batches):
+        last, tools, names_ = None, {}, None
+        for key, head, who, f_of, m, other in chunks(batches, lambda xi, yi: max(1, B.ROWS // len(yi))):
+            p, q = m.shape[1], other.shape[1]
+            if key != last:
+                last, tools, names_ = key, {}, head.column(nb + 5)[0].values
+                for s in head.column(nb + 6)[0].as_py() or []:
+                    v = np.frombuffer(s["cells"], float)
+                    tools.setdefault(s["f"], []).append((s["arm"], v[:q], v[q : q + p * q].reshape(p, q), v[q + p * q : 2 * q + p * q], v[2 * q + p * q :]))
+            samples_ = pa.array(who)
+            for f, models_ in tools.items():
+                at = np.flatnonzero(f_of == f)
+                for arm, start, b, mean, penalty in models_ if len(at) else []:
+                    row, size = np.repeat(at, q), len(at) * q
+                    group = [pa.array([key[j]] * size, head.column(j).type) for j in range(nb)]
+                    numbers = [pa.array(v, from_pandas=True) for v in (other[at].ravel(), (m[at] @ b + start).ravel(), np.tile(mean, len(at)), np.tile(penalty, len(at)))]
+                    yield pa.RecordBatch.from_arrays([*group, samples_.take(pa.array(row)), names_.take(pa.array(np.tile(np.arange(q), len(at)))), pa.array(np.full(size, f, np.int32)), pa.array([arm] * size), *numbers], [*by, sample, ys[0], "fold", "arm", "observed", "predicted", "baseline", "penalty"])
+
+    asked = dealt(heads.join(listed, by))
+    return asked.mapInArrow(predicted, f"{key_fields}, `{sample}` {kinds_of[0]}, `{ys[0]}` {kinds_of[1]}, fold int, arm string, observed double, predicted double, baseline double, penalty double").select(*by, sample, ys[0], "fold", "arm", "observed", "predicted", "baseline", "penalty")
+
+
+def _by_kernel(x: DataFrame, y: DataFrame, samples: DataFrame, by: list[str], sample: str, fold: str, xs: tuple[str, str], ys: tuple[str, str], *, folds: int, fill: float, penalties: tuple[float, ...], least: int) -> DataFrame:
+    """ridge for groups of more entities than samples."""
     place, groups = B._numbered(samples, by, sample, [fold], [])
     left = B._packed(x, place, groups, by, sample, xs[0], [xs[1]], fill, (1, 0), "x", raw=True)
     right = B._packed(y, place, groups, by, sample, ys[0], [ys[1]], fill, (1, 0), "y", raw=True)
@@ -277,10 +486,12 @@ def arms_compared(arms: dict[str, DataFrame], key: list[str], by: list[str]) ->
         odd = first.join(other, key, "full_outer").where("observed is null or o_ is null or abs(observed - o_) > 1e-9 * (1 + abs(o_)) or abs(baseline - b_) > 1e-9 * (1 + abs(b_))")
         if not odd.isEmpty():
             raise ValueError(f"arm {name} doesn't hold the same held-out rows")
-    out = None
-    for name, df in arms.items():
-        e, base = F.col("observed") - F.col("predicted"), F.col("observed") - F.col("baseline")
-        sst = F.var_pop("observed") * F.count("*")
-        part = df.groupBy(*by).agg(F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.when(sst > 1e-12, 1 - F.sum(e * e) / sst).alias("r2"), F.when(F.sum(base * base) > 1e-12, 1 - F.sum(e * e) / F.sum(base * base)).alias("skill")).withColumn("arm", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return arm_metrics(reduce(lambda a, b: a.unionByName(b), [df.select(*by, "observed", "predicted", "baseline", F.lit(name).alias("arm")) for name, df in arms.items()]), by)
+
+
+def arm_metrics(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by, arm, n, rmse, r2, skill of rows with an arm, as ridge_arms gives them."""
+    e, base = F.col("observed") - F.col("predicted"), F.col("observed") - F.col("baseline")
+    sst = F.var_pop("observed") * F.count("*")
+    found = rows.groupBy(*by, "arm").agg(F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.when(sst > 1e-12, 1 - F.sum(e * e) / sst).alias("r2"), F.when(F.sum(base * base) > 1e-12, 1 - F.sum(e * e) / F.sum(base * base)).alias("skill"))
+    return found.select(*by, "n", "rmse", "r2", "skill", "arm")

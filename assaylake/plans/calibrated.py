@@ -101,8 +101,9 @@ def _(t):
     """Three arms on the same held-out rows: spending by brand, quantity by part size, both."""
     x, y, samples = sparse(t)
     sizes = t.sales().groupBy(F.col("n_name").alias("cohort"), F.col("c_custkey").alias("sample"), F.concat(F.lit("size:"), F.col("p_size")).alias("entity")).agg(F.sum(F.col("l_quantity").cast("long")).cast("double").alias("value"))
-    arms = {name: ridge_of(features, y, samples) for name, features in (("one", x), ("two", sizes), ("both", x.unionByName(sizes)))}
-    found = P.arms_compared(arms, ["cohort", "sample", "target"], ["target"])
+    features = x.withColumn("kind", F.lit("brand")).unionByName(sizes.withColumn("kind", F.lit("size")))
+    arms = {"one": ["brand"], "two": ["size"], "both": ["brand", "size"]}
+    found = P.arm_metrics(P.ridge_arms(features, y, folded(samples), ["cohort"], "sample", "fold", ("entity", "value"), ("target", "score"), "kind", arms), ["target"])
     return found.select("target", "arm", "n", *[F.round(c, 6).alias(c) for c in ("rmse", "r2", "skill")])
 
 

@@ -150,3 +150,42 @@ def test_arms_must_hold_the_same_rows(spark):
     for bad in (rows[1:], [(i, o + (i == 3), p, b) for i, o, p, b in rows]):
         with pytest.raises(ValueError):
             P.arms_compared({"one": arm(rows), "two": arm(bad)}, ["i"], ["g"])
+
+
+def test_ridge_of_few_entities_makes_no_matrix_of_samples_and_agrees_with_kernels(spark, monkeypatch):
+    x, y, fold = data(9, 80, 12, 4)
+    x[:, 5] = 0.1
+    monkeypatch.setattr(B, "CELLS", 150)
+    tables, names, how = frames(spark, x, y, fold), (["c"], "s", "fold", ("e", "v"), ("t", "w")), {"folds": 5, "fill": 0.0, "penalties": (10.0, 0.1), "least": 3}
+    rows = lambda df: {(r.s, r.t): (r.fold, r.observed, r.predicted, r.baseline, r.penalty or -1) for r in df.collect()}
+    slow = rows(P._by_kernel(*tables, *names, **how))
+
+    def no_kernel(*_, **__):
+        raise AssertionError("a kernel of samples for fewer entities than samples")
+
+    monkeypatch.setattr(P, "_by_kernel", no_kernel)
+    fast = rows(P.ridge(*tables, *names, **how))
+    assert fast.keys() == slow.keys() and len(fast) == y.size
+    assert all(fast[k] == pytest.approx(slow[k], abs=1e-9) for k in slow)
+
+
+def test_arms_of_one_pass_equal_models_of_their_own(spark):
+    x, y, fold = data(10, 60, 10, 3)
+    tx, ty, ts = frames(spark, x, y, fold)
+    names, rows = (["c"], "s", "fold", ("e", "v"), ("t", "w")), lambda df: {(r.s, r.t): (r.observed, r.predicted, r.baseline, r.penalty or -1) for r in df.collect()}
+    kind = F.when(F.col("e") < "e04", "a").otherwise("b")
+    got = P.ridge_arms(tx.withColumn("k", kind), ty, ts, *names[:3], *names[3:], "k", {"one": ["a"], "both": ["a", "b"]}).persist()
+    for arm, some in (("one", tx.where("e < 'e04'")), ("both", tx)):
+        one, other = rows(got.where(F.col("arm") == arm)), rows(P.ridge(some, ty, ts, *names))
+        assert one.keys() == other.keys() and all(one[k] == pytest.approx(other[k], abs=1e-9) for k in other)
+
+
+def test_ridge_takes_groups_of_few_and_of_many_entities_together(spark):
+    few, many = data(11, 50, 8, 2), data(12, 30, 45, 2)
+    tables = [a.unionByName(b) for a, b in zip(frames(spark, *few, "few"), frames(spark, *many, "many"))]
+    rows = lambda df: {(r.c, r.s, r.t): (r.predicted, r.penalty or -1) for r in df.collect()}
+    names = (["c"], "s", "fold", ("e", "v"), ("t", "w"))
+    got, alone = rows(P.ridge(*tables, *names)), {}
+    for d, name in ((few, "few"), (many, "many")):
+        alone |= rows(P._by_kernel(*frames(spark, *d, name), *names, folds=5, fill=0.0, penalties=P.PENALTIES, least=3))
+    assert got.keys() == alone.keys() and all(got[k] == pytest.approx(alone[k], abs=1e-7) for k in got)
