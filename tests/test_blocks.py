@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from assaylake.operators import blocks as B
 
@@ -114,3 +115,21 @@ def test_availability(spark):
     z = spark.createDataFrame([("a", f"s{i}", float(i), "g") for i in range(9)] + [("b", "q", 1.0, "g")], "c string, s string, a double, g string")
     got = {(r.c, r.e): (r.n, r.df, r.tests, r.status) for r in B.availability(x, y, z, ["c"], ("e", "v"), ("t", "w"), ["a"], ["g"], 0.0, 3).collect()}
     assert got == {("a", "flat"): (9, 6, 0, "constant_entity"), ("a", "e"): (9, 6, 1, "tested"), ("b", "e"): (1, -1, 0, "too_few_samples")}
+
+
+def test_adjusted_p_works_its_rows_out_once(spark):
+    """p that differ in their last bits from one run of a step to the next (here: drawn anew) still meet their q."""
+    df = spark.range(300).select("id", (F.rand() * 0.9 + 0.05).alias("p")).repartition(3)
+    draw = F.udf(lambda i: __import__("random").random(), "double").asNondeterministic()
+    got = B.adjusted_p(df.withColumn("p", draw("id")), "p", []).collect()
+    assert len(got) == 300 and all(r.q is not None and r.p <= r.q <= 1 for r in got)
+
+
+def test_a_group_of_few_vectors_ships_its_design_once(spark, monkeypatch):
+    samples = spark.range(40).select(F.lit("c").alias("c"), F.col("id").alias("s"), F.col("id").cast("double").alias("a"))
+    values = samples.crossJoin(spark.range(6).select(F.col("id").alias("e"))).withColumn("v", F.rand(1))
+    place, groups = B._numbered(samples, ["c"], "s", ["a"], [])
+    monkeypatch.setattr(B, "SALTS", 1 << 30)  # a design for every salt would not end
+    packed = B._packed(values, place, groups, ["c"], "s", "e", ["v"], 0.0, (1, 0), "x")
+    assert [len(r.xnames) for r in packed.collect()] == [6]
+    assert B._numbered(samples, ["c"], "s", [], [])[1].first().z_ is None
