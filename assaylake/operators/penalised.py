@@ -398,22 +398,47 @@ def fitted(m: Moments, train: list[int], columns: np.ndarray, ratios: np.ndarray
     return mean[-1] - coefficient[:, columns] @ mean[:-1] if len(columns) else np.full(len(ratios), mean[-1]), coefficient
 
 
+def _screened(x: DataFrame, y: DataFrame, place: DataFrame, groups: DataFrame, by: list[str], sample: str, fold: str, xs: tuple[str, str], ys: tuple[str, str], folds: int, fill: float, cut: float, min_n: int = 10) -> DataFrame:
+    """by, f_, inner_, entity, target, rho, p: rank correlations of `cut` or more over the rows that fit each fold's two models; a
+    vector is collected once and ranked again for each model, no row of it is copied for one."""
+    left = B._packed(x, place, groups, by, sample, xs[0], [xs[1]], fill, (1, 0), "x", raw=True)
+    right = B._packed(y, place, groups, by, sample, ys[0], [ys[1]], fill, (1, 0), "y", raw=True)
+    assigned = groups.select(*by, F.transform("z_", lambda s: s[fold].cast("int")).alias("folds_"))
+    met = left.select(*by, "xnames", "xplain").join(right.select(*by, "ynames", "yplain"), by).join(assigned, by).select(*by, "xnames", "xplain", "ynames", "yplain", "folds_")
+    nb, fields = len(by), [*(f"`{f.name}` {f.dataType.simpleString()}" for f in x.select(*by).schema)]
+
+    def products(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                who, whom, f_of = b.column(nb)[i].values, b.column(nb + 2)[i].values, np.array(b.column(nb + 4)[i].as_py())
+                m, other = (np.frombuffer(b.column(nb + c)[i].as_py(), float).reshape(len(f_of), len(names)) for c, names in ((1, who), (3, whom)))
+                for f, inner in ((f, inner) for f in range(folds) for inner in (True, False)):
+                    fit = np.flatnonzero((f_of != f) & (~np.bool_(inner) | (f_of != (f + 1) % folds)))
+                    if len(fit) < min_n:
+                        continue
+                    one = np.full((len(fit), 1), len(fit) ** -0.5)
+                    rho = np.clip(B.unit(B.ranks(m[fit]), one).T @ B.unit(B.ranks(other[fit]), one), -1, 1)
+                    row, column = np.nonzero(np.abs(rho) >= cut)
+                    some, size = rho[row, column], len(row)
+                    group = [pa.array([b.column(j)[i].as_py()] * size, b.column(j).type) for j in range(nb)]
+                    numbers = [pa.array(v, from_pandas=True) for v in (some, B.p_of(some, np.full(size, len(fit) - 2)))]
+                    yield pa.RecordBatch.from_arrays([*group, pa.array([f] * size, pa.int32()), pa.array([inner] * size, pa.bool_()), who.take(pa.array(row)), whom.take(pa.array(column)), *numbers], [*by, "f_", "inner_", xs[0], ys[0], "rho", "p"])
+
+    names = [f"`{pair[0]}` {df.schema[pair[0]].dataType.simpleString()}" for df, pair in ((x, xs), (y, ys))]
+    return met.mapInArrow(products, ", ".join([*fields, "f_ int, inner_ boolean", *names, "rho double, p double"]))
+
+
 def screened_lasso(x: DataFrame, y: DataFrame, samples: DataFrame, by: list[str], sample: str, fold: str, xs: tuple[str, str], ys: tuple[str, str], *, folds: int = 5, fill: float = 0.0, cut: float = 0.2, fdr: float = 0.05, ratios: tuple[float, ...] = RATIOS) -> DataFrame:
     """by, target, entity, fold, weight, ratio, validation_mse, screened: a row an entity with a weight in a fold's model, and one
     with a null entity for each fold: the intercept. Entities are screened within the rows that fit: |rho| of `cut` or more and
     an adjusted p (over all entities) of `fdr` or less. The penalty is a ratio of the least one that leaves nothing; ties take the larger."""
-    known = samples.select(*by, sample, fold).distinct()
-    phases = [F.struct(F.lit(f).alias("f"), F.lit(inner).alias("inner")) for f in range(folds) for inner in (True, False)]
-    dealt = known.withColumn("p_", F.explode(F.array(*phases))).where((F.col(fold) != F.col("p_.f")) & (~F.col("p_.inner") | (F.col(fold) != (F.col("p_.f") + 1) % folds)))
-    dealt = dealt.select(*by, sample, F.col("p_.f").alias("f_"), F.col("p_.inner").alias("inner_"))
-    wide = lambda df: df.join(dealt, [*by, sample])
+    place, groups = B._numbered(samples, by, sample, [fold], [])
+    rho = _screened(x, y, place, groups, by, sample, fold, xs, ys, folds, fill, cut)
     own = [*by, "f_", "inner_"]
-    rho = B.associate(wide(x), wide(y), dealt, own, sample, xs, ys, fill=fill, min_n=10)
     total = x.select(*by, xs[0]).distinct().groupBy(*by).agg(F.count("*").alias("total_"))
-    passed = B.adjusted_p(rho.where(F.abs("rho") >= cut).join(total, by), "p", [*own, ys[0]], "total_").where(F.col("q") <= fdr)
+    passed = B.adjusted_p(rho.join(total, by), "p", [*own, ys[0]], "total_").where(F.col("q") <= fdr)
     lists = passed.groupBy(*by, ys[0], xs[0]).agg(F.collect_set(F.struct("f_", "inner_")).alias("uses_"))
 
-    place, groups = B._numbered(samples, by, sample, [fold], [])
     cells = lambda df, pair: df.join(place, [*by, sample]).groupBy(*by, pair[0]).agg(F.collect_list(F.struct("at_", F.col(pair[1]).cast("double").alias("v_"))).alias("cells_"))
     entities = lists.join(cells(x, xs), [*by, xs[0]]).select(*by, ys[0], F.col(xs[0]).alias("e_"), "uses_", "cells_")
     targets = cells(y, ys).join(groups, by).select(*by, ys[0], "cells_", F.transform("z_", lambda s: s[fold].cast("int")).alias("folds_"))
