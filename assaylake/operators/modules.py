@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from assaylake.operators.graph import _written
+
 SEEDS = 4096  #: entities, least by hash, among which the first centers are chosen
 
 
@@ -20,7 +22,7 @@ def profile_space(edges: DataFrame, entity: str, target: str, weight: str, compo
     from pyspark.mllib.linalg import Vectors
     from pyspark.mllib.linalg.distributed import RowMatrix
 
-    e = edges.groupBy(F.col(entity).alias("e_"), F.col(target).alias("t_")).agg(F.sum(F.col(weight).cast("double")).alias("w_"))
+    e = _written(edges.groupBy(F.col(entity).alias("e_"), F.col(target).alias("t_")).agg(F.sum(F.col(weight).cast("double")).alias("w_")), "profile-edges")
     names = [r.t_ for r in e.select("t_").distinct().orderBy("t_").collect()]
     spark, n = edges.sparkSession, len(names)
     if not n:
@@ -52,6 +54,7 @@ def assigned(space: DataFrame, entity: str, k: int, rounds: int = 50) -> DataFra
     from pyspark.mllib.clustering import KMeans, KMeansModel
     from pyspark.mllib.linalg import Vectors
 
+    space = _written(space, "profile-space")
     first = space.orderBy(F.xxhash64(entity), entity).limit(SEEDS).select("z").collect()
     start = spread_centers(np.array([r.z for r in first]), k)
     points = space.select("z").rdd.map(lambda r: Vectors.dense(r.z))
@@ -62,6 +65,23 @@ def assigned(space: DataFrame, entity: str, k: int, rounds: int = 50) -> DataFra
     return space.select(entity, (F.array_position(near, F.array_min(near)) - 1).cast("int").alias("label"))
 
 
+def medians(rows: DataFrame, by: str, value: str, bins: int = 255) -> DataFrame:
+    """by, median: the exact median of a group's values. Values are cut into bins by quantiles of all; only the bins that hold a
+    group's middle are numbered, so no group is sorted, or held, by one task. rows are read three times."""
+    rows = rows.select(by, F.col(value).cast("double").alias("v_")).where("v_ is not null")
+    edges = sorted(set(rows.agg(F.percentile_approx("v_", F.array(*[F.lit((i + 1) / (bins + 1)) for i in range(bins)]), F.lit(10_000))).first()[0] or []))
+    bin_ = F.size(F.filter(F.array(*[F.lit(float(x)) for x in edges]), lambda x: x < F.col("v_"))) if edges else F.lit(0)
+    counts = rows.withColumn("bin_", bin_).groupBy(by, "bin_", "v_").agg(F.count("*").alias("c_"))
+    sizes = counts.groupBy(by, "bin_").agg(F.sum("c_").alias("in_"))
+    up = Window.partitionBy(by).orderBy("bin_")
+    sizes = sizes.withColumns({"before_": F.sum("in_").over(up) - F.col("in_"), "n_": F.sum("in_").over(Window.partitionBy(by))})
+    low, high = F.floor((F.col("n_") + 1) / 2), F.floor(F.col("n_") / 2) + 1
+    holds = sizes.where((low > F.col("before_")) & (low <= F.col("before_") + F.col("in_")) | (high > F.col("before_")) & (high <= F.col("before_") + F.col("in_")))
+    placed = counts.join(holds, [by, "bin_"]).withColumn("to_", F.col("before_") + F.sum("c_").over(Window.partitionBy(by, "bin_").orderBy("v_")))
+    takes = lambda at: F.max(F.when((at <= F.col("to_")) & (at > F.col("to_") - F.col("c_")), F.col("v_")))
+    return placed.groupBy(by).agg(((takes(low) + takes(high)) / 2).alias("median"))
+
+
 def modules(edges: DataFrame, entity: str, target: str, weight: str, components: int = 32, most: int = 40) -> tuple[DataFrame, DataFrame]:
     """Members and summary of modules of entities with like signed profiles; null ends or weights are no edges.
 
@@ -70,23 +90,38 @@ def modules(edges: DataFrame, entity: str, target: str, weight: str, components:
     There are sqrt(n / 2) modules, 2 to `most`. A module's representative is its strongest member (ties: the least); modules are
     numbered in the order of their representatives, so numbers don't depend on the order of rows.
     """
+    e, named = labelled_members(edges, entity, target, weight, components, most)
+    return ranked_members(named, entity), module_summary(e, named, entity, target, weight)
+
+
+def labelled_members(edges: DataFrame, entity: str, target: str, weight: str, components: int = 32, most: int = 40) -> tuple[DataFrame, DataFrame]:
+    """The edges without nulls, and every entity with its module, that module's head_ and what its own edges sum up to."""
     e = edges.where(F.col(entity).isNotNull() & F.col(target).isNotNull() & F.col(weight).isNotNull()).select(entity, target, weight)
+    e = _written(e, "module-edges")
     strength = e.groupBy(entity).agg(F.sum(F.abs(weight)).alias("strength"), F.count("*").alias("n_edges"), F.count_if(F.col(weight) > 0).alias("positive"), F.count_if(F.col(weight) < 0).alias("negative"))
     n = strength.count()
     if n < 2:
         labelled = strength.select(entity, F.lit(0).alias("label"))
     else:
         labelled = assigned(profile_space(e, entity, target, weight, min(components, n)), entity, min(most, n, max(2, round(math.sqrt(n / 2)))))
-    joined = labelled.join(strength, entity)
+    joined = _written(labelled.join(strength, entity), "module-labels")
     order = F.struct((-F.round("strength", 9)).alias("s"), F.col(entity).alias("name"))
     heads = joined.groupBy("label").agg(F.min(order).getField("name").alias("head_"))
     heads = heads.withColumn("module", F.row_number().over(Window.orderBy("head_")))  # at most `most` rows
-    named = joined.join(F.broadcast(heads), "label")
+    return e, _written(joined.join(F.broadcast(heads), "label"), "module-members")
+
+
+def ranked_members(named: DataFrame, entity: str) -> DataFrame:
     ranked = F.row_number().over(Window.partitionBy("module").orderBy(F.desc(F.round("strength", 9)), entity))
-    members = named.select(entity, "module", ranked.alias("member_rank"), "strength", "n_edges", "positive", "negative", (F.col(entity) == F.col("head_")).alias("representative"))
-    inside = e.join(named.select(entity, "module", "head_"), entity).withColumn("abs_", F.abs(weight))
-    summary = inside.groupBy("module").agg(F.count_distinct(entity).alias("members"), F.count_distinct(target).alias("targets"), F.count("*").alias("n_edges"), F.avg("abs_").alias("mean_abs"), F.median("abs_").alias("median_abs"), F.min("head_").alias("representative"))
-    sums = inside.groupBy("module", target).agg(F.round(F.sum("abs_"), 9).alias("s_"))
+    return named.select(entity, "module", ranked.alias("member_rank"), "strength", "n_edges", "positive", "negative", (F.col(entity) == F.col("head_")).alias("representative"))
+
+
+def module_summary(e: DataFrame, named: DataFrame, entity: str, target: str, weight: str) -> DataFrame:
+    inside = e.join(named.select(entity, "module"), entity).select("module", target, F.abs(weight).alias("abs_"))
+    sums = _written(inside.groupBy("module", target).agg(F.round(F.sum("abs_"), 9).alias("s_")), "module-targets")
+    own = named.groupBy("module").agg(F.count("*").alias("members"), F.sum("n_edges").alias("n_edges"), (F.sum("strength") / F.sum("n_edges")).alias("mean_abs"), F.min("head_").alias("representative"))
+    targets, middle = sums.groupBy("module").agg(F.count("*").alias("targets")), medians(inside, "module", "abs_").withColumnRenamed("median", "median_abs")
+    summary = own.join(targets, "module").join(middle, "module").select("module", "members", "targets", "n_edges", "mean_abs", "median_abs", "representative")
     top = sums.withColumn("r_", F.row_number().over(Window.partitionBy("module").orderBy(F.desc("s_"), target))).where("r_ <= 25")
     tops = top.groupBy("module").agg(F.array_sort(F.collect_list(F.struct("r_", F.col(target).alias("t")))).getField("t").alias("top_targets"))
-    return members, summary.join(tops, "module")
+    return summary.join(tops, "module")

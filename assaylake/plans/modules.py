@@ -3,13 +3,14 @@
 from pyspark.sql import functions as F
 
 from assaylake.operators import modules as M
+from assaylake.operators.graph import _written
 from assaylake.plans.binding import query
 
 
 def edges(t):
     """Parts are entities; targets are buyers' nations by return flag; the weight is the log of a part's quantity there against
     the quantity that the part's and the target's totals make expected."""
-    q = t.sales().groupBy("p_partkey", F.concat_ws("|", "n_name", "l_returnflag").alias("place")).agg(F.sum(F.col("l_quantity").cast("long")).alias("q"))
+    q = _written(t.sales().groupBy("p_partkey", F.concat_ws("|", "n_name", "l_returnflag").alias("place")).agg(F.sum(F.col("l_quantity").cast("long")).alias("q")), "module-quantities")
     part, place, whole = q.groupBy("p_partkey").agg(F.sum("q").alias("qp")), q.groupBy("place").agg(F.sum("q").alias("qt")), q.agg(F.sum("q").alias("qa"))
     met = q.join(part, "p_partkey").join(place, "place").join(F.broadcast(whole))
     return met.select("p_partkey", "place", F.log(F.col("q") * F.col("qa") / (F.col("qp") * F.col("qt"))).alias("w"))
@@ -17,8 +18,8 @@ def edges(t):
 
 @query("ml06_profile_modules")
 def _(t):
-    members, _ = M.modules(edges(t), "p_partkey", "place", "w")
-    return members.withColumn("strength", F.round("strength", 6))
+    _, named = M.labelled_members(edges(t), "p_partkey", "place", "w")
+    return M.ranked_members(named, "p_partkey").withColumn("strength", F.round("strength", 6))
 
 
 @query("ml06_module_summary")

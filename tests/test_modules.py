@@ -52,3 +52,25 @@ def test_few_rows(spark):
     assert [tuple(r) for r in one[0].collect()] == [("a", 1, 1, 3.0, 2, 1, 1, True)] and one[1].first().top_targets == ["x", "y"]
     flat = M.modules(spark.createDataFrame([("a", "x", 0.0), ("b", "x", 0.0), ("b", "y", 1.0)], none.schema), "e", "t", "w")[0]
     assert {(r.e, r.module) for r in flat.collect()} == {("a", 1), ("b", 2)}
+
+
+@pytest.mark.parametrize("bins", [1, 3, 255])
+def test_medians_equal_a_sort(spark, bins):
+    rng = random.Random(bins)
+    rows = [(g, rng.choice([rng.random(), 0.25, 0.5])) for g in "abcd" for _ in range(rng.randrange(1, 60))] + [("one", 2.0), ("two", 1.0), ("two", 4.0), ("one", None)]
+    got = {r.g: r.median for r in M.medians(spark.createDataFrame(rows, "g string, v double"), "g", "v", bins).collect()}
+    assert got == {g: pytest.approx(statistics.median(v for h, v in rows if h == g and v is not None)) for g in {g for g, _ in rows}}
+
+
+def test_edges_are_worked_out_once(spark):
+    """The rows of the edges come from a step that counts how often it runs."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def row(r):
+        seen.add(1)
+        return r
+
+    rows = planted(3)
+    edges = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(row), "e string, t string, w double")
+    members, summary = M.modules(edges, "e", "t", "w", 8)
+    assert members.count() == 40 and summary.count() == 4 and seen.value == len(rows)
