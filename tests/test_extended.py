@@ -74,3 +74,34 @@ def test_one_class_has_no_auroc(spark):
     df = spark.createDataFrame([("g", 1, 0.5), ("g", 1, 0.7), ("h", 1, 0.9), ("h", 0, 0.9)], "g string, y int, s double")
     got = {r.g: r for r in S.binary_metrics(df, ["g"], "y", "s").collect()}
     assert got["g"].auroc is None and got["h"].auroc == 0.5 and got["h"].n == 2
+
+
+def test_components_of_paths_stars_and_loops_with_fewer_edges_each_round(spark, monkeypatch):
+    from assaylake.operators import graph
+
+    rng, sizes = random.Random(8), []
+    written = graph._written
+
+    def counted(df, name):
+        out = written(df, name)
+        if name == "component-edges":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "_written", counted)
+    path = [(i, i + 1) for i in range(100, 160)]
+    star = [(999, i) for i in range(200, 230)]
+    bipartite = [(rng.randrange(300, 400), -rng.randrange(1, 40)) for _ in range(200)]
+    pairs = path + star + bipartite + [(500, 500), (600, 601), (601, 600)]
+    root = {n: n for p in pairs for n in p}
+    changed = True
+    while changed:
+        changed = False
+        for u, v in pairs:
+            least = min(root[u], root[v])
+            changed |= root[u] != least or root[v] != least
+            root[u] = root[v] = least
+    rows = graph.components(spark.createDataFrame(pairs, "u long, v long")).collect()
+    assert {(r.node, r.component) for r in rows} == set(root.items()) and len(rows) == len(root)
+    assert len(sizes) > 2 and all(b < a for a, b in zip(sizes, sizes[1:])) and sizes[-1] == 0
+    assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
