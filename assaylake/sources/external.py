@@ -47,6 +47,13 @@ def stacked(databases: list[tuple[DataFrame, Database]]) -> DataFrame:
     return reduce(DataFrame.unionByName, [standardised(rows, base) for rows, base in databases])
 
 
+def _met(rows: DataFrame, side: DataFrame, key: str) -> DataFrame:
+    """Left join on key. Rows without one meet nothing; they are spread by their record, so that no task gets all of them."""
+    spread = F.when(F.col(key).isNotNull(), 0).otherwise(1 + F.pmod(F.xxhash64("record", "entity_raw"), F.lit(4096))).cast("int")
+    nought = F.pmod(F.xxhash64(key), F.lit(1)).cast("int")
+    return rows.withColumn("spread_", spread).join(side.withColumn("spread_", nought), [key, "spread_"], "left").drop("spread_")
+
+
 def mapped(rows: DataFrame, names: DataFrame, cohorts: DataFrame, trained: DataFrame) -> DataFrame:
     """Adds entity, entity_status, cohort, context_status, trained_pmid, role and two eligibility flags.
 
@@ -59,7 +66,7 @@ def mapped(rows: DataFrame, names: DataFrame, cohorts: DataFrame, trained: DataF
     index = index.groupBy("alias_").agg(F.count_distinct("entity").alias("n_"), F.min("entity").alias("one_"))
     first, second = index.withColumnsRenamed({"alias_": "key_", "n_": "n1_", "one_": "e1_"}), index.withColumnsRenamed({"alias_": "short_", "n_": "n2_", "one_": "e2_"})
     cut = F.when(F.col("suffix").isNotNull(), canonical(F.expr("regexp_replace(entity_raw, suffix, '')")))
-    tried = rows.withColumns({"key_": canonical(F.col("entity_raw")), "short_": cut}).join(first, "key_", "left").join(second, "short_", "left")
+    tried = _met(_met(rows.withColumns({"key_": canonical(F.col("entity_raw")), "short_": cut}), first, "key_"), second, "short_")
     n, one = F.coalesce("n1_", "n2_"), F.when(F.col("n1_").isNotNull(), F.col("e1_")).otherwise(F.col("e2_"))
     status = F.when(F.col("key_").isNull(), "unnamed").when(n.isNull(), "unmapped").when(n > 1, "ambiguous").when(F.col("n1_").isNull(), "mapped_short").otherwise("mapped")
     named = tried.withColumn("entity_status", status).withColumn("entity", F.when(n == 1, one)).drop("key_", "short_", "n1_", "n2_", "e1_", "e2_")
@@ -67,7 +74,7 @@ def mapped(rows: DataFrame, names: DataFrame, cohorts: DataFrame, trained: DataF
     spelled = cohorts.select(plain.alias("alias"), "cohort").where("alias <> ''").distinct()
     placed = contexts(named, spelled, "context_raw").withColumnRenamed("cohort_", "cohort")
     used = trained.select("pmid").where("pmid is not null").distinct().withColumn("trained_pmid", F.lit(True))
-    out = placed.join(used, "pmid", "left").fillna(False, ["trained_pmid"])
+    out = _met(placed, used, "pmid").fillna(False, ["trained_pmid"])
     return out.drop("suffix").withColumns(_roles(F.col("entity").isNotNull() & F.col("cohort").isNotNull()))
 
 

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from assaylake.sources import external as X
 
 A = X.Database("a", {"record": ["id"], "entity_raw": ["gene name"], "context_raw": ["disease"], "method_raw": ["method"], "pmid_raw": ["pubmed id"], "direction_raw": ["trend"]}, ("unclear", "other"), [("predict", "model", "predicted"), ("blot", "assay", "experimental")])
@@ -46,3 +48,19 @@ def test_eligibility_needs_all(spark):
 def test_empty_databases(spark):
     none = X.stacked([(spark.createDataFrame([], "ID string"), A), (spark.createDataFrame([], "z int"), B)])
     assert none.count() == 0 and set(X.FIELDS) <= set(none.columns)
+
+
+def test_rows_without_a_key_are_spread_over_tasks(spark):
+    rows = spark.range(4000).select(F.col("id").cast("string").alias("record"), F.lit("x").alias("entity_raw"), F.when(F.col("id") < 5, F.col("id")).alias("pmid"))
+    side = spark.createDataFrame([(0, True), (3, True), (9, True)], "pmid long, hit boolean")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        got = X._met(rows, side, "pmid")
+        sizes = got.groupBy(F.spark_partition_id()).count().collect()
+        assert got.count() == 4000 and {r.pmid for r in got.where("hit").collect()} == {0, 3}
+        assert max(r["count"] for r in sizes) < 2000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
