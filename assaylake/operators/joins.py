@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: How much wider each coarser bin of binned() is.
+STEP = 8
+
 
 def repeated_keys(df: DataFrame, key: list[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
@@ -47,23 +50,47 @@ def key_drift(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
     return seen.agg(F.coalesce(F.sum(F.when(F.col("r") == 0, 1).otherwise(0)), F.lit(0)).alias("left_only"), F.coalesce(F.sum(F.when(F.col("l") == 0, 1).otherwise(0)), F.lit(0)).alias("right_only"), F.coalesce(F.sum(F.col("l") * F.col("r")), F.lit(0)).alias("both"))
 
 
-def binned(left: DataFrame, right: DataFrame, by: list[str], l_span: tuple[str, str], r_span: tuple[str, str], width: int, within: int = 0) -> DataFrame:
+def binned(left: DataFrame, right: DataFrame, by: list[str], l_span: tuple[str, str], r_span: tuple[str, str], width: int, within: int = 0, coarser: int = 0) -> DataFrame:
     """Pairs of half-open intervals that overlap, or lie within a distance: equi-join on bins. A pair meets in several bins, and
-    is taken in the first of them only, so nothing has to be deduplicated."""
+    is taken in the first of them only, so nothing has to be deduplicated.
+
+    coarser: this many more widths, each STEP times the one before. A pair meets in bins of the least width that holds the length
+    of its longer interval, so a long interval is not cut into many rows; short ones have rows for each width a longer one may have."""
     (ls, le), (rs, re) = l_span, r_span
-    bin_ = lambda c: F.floor(c / width).cast("long")
-    a = left.withColumn("bin_", F.explode(F.sequence(bin_(F.col(ls) - within), bin_(F.col(le) - 1 + within))))
-    b = right.withColumn("bin_", F.explode(F.sequence(bin_(F.col(rs)), bin_(F.col(re) - 1))))
-    pairs = a.join(b, [*by, "bin_"]).where((F.col(ls) - within < F.col(re)) & (F.col(rs) < F.col(le) + within))
-    first = F.greatest(bin_(F.col(ls) - within), bin_(F.col(rs)))
-    return pairs.where(F.col("bin_") == first).drop("bin_")
+    start, end, ways = F.col(ls) - within, F.col(le) + within, 2 * (coarser + 1)
+    bin_ = lambda c, k: F.floor(c / (width * STEP**k)).cast("long")
+
+    def places(s, e, even, odd):
+        """A place is a bin and a turn: 2 k where the left interval is the longer one and has width k, 2 k + 1 where the right is."""
+        own, out = F.lit(coarser), []
+        for k in reversed(range(coarser)):
+            own = F.when(e - s <= width * STEP**k, F.lit(k)).otherwise(own)
+        for turn in range(ways):
+            k = turn // 2
+            if turn != 1:  # nothing is longer than an interval of the least width and has it
+                low = bin_(s, k)
+                out.append(F.when((odd if turn % 2 else even)(own, k), F.sequence(low * ways + turn, F.greatest(low, bin_(e - 1, k)) * ways + turn, F.lit(ways).cast("long"))).otherwise(F.array().cast("array<bigint>")))
+        return F.when((s + e).isNotNull(), F.concat(*out))
+
+    a = left.withColumn("place_", F.explode(places(start, end, lambda own, k: own == k, lambda own, k: own < k)))
+    b = right.withColumn("place_", F.explode(places(F.col(rs), F.col(re), lambda own, k: own <= k, lambda own, k: own == k)))
+    pairs = a.join(b, [*by, "place_"]).where((start < F.col(re)) & (F.col(rs) < end))
+    turn = F.pmod("place_", F.lit(ways))
+    first = F.greatest(bin_(start, coarser), bin_(F.col(rs), coarser))
+    for k in reversed(range(coarser)):
+        first = F.when(turn < 2 * k + 2, F.greatest(bin_(start, k), bin_(F.col(rs), k))).otherwise(first)
+    return pairs.where(F.col("place_") == first * ways + turn).drop("place_")
 
 
 def lift(points: DataFrame, blocks: DataFrame, ident: str, chrom: str, start: str, end: str, width: int = 1 << 16) -> DataFrame:
     """1-based closed intervals through aligned 0-based half-open blocks (chrom, block_start, block_end, target_chrom,
     target_start, target_size, strand). Adds lifted_chrom, lifted_start, lifted_end, status; nulls unless one block holds all."""
     p = points.withColumns({"s_": F.col(start) - 1, "e_": F.col(end)})
-    met = binned(p, blocks, [chrom], ("s_", "e_"), ("block_start", "block_end"), width).where("s_ >= block_start and e_ <= block_end")
+    # The block that holds an interval holds its first base: only blocks are cut into bins.
+    bin_ = lambda c: F.floor(c / width).cast("long")
+    at = p.select(ident, chrom, "s_", "e_", bin_(F.col("s_")).alias("bin_"))
+    cut = blocks.where("block_start < block_end").withColumn("bin_", F.explode(F.sequence(bin_(F.col("block_start")), bin_(F.col("block_end") - 1))))
+    met = at.join(cut, [chrom, "bin_"]).where("s_ >= block_start and e_ <= block_end and s_ < block_end and block_start < e_")
     offset = F.col("s_") - F.col("block_start")
     plus = F.col("strand") == "+"
     at = F.when(plus, F.col("target_start") + offset).otherwise(F.col("target_size") - (F.col("target_start") + offset + F.col("e_") - F.col("s_")))

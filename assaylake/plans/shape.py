@@ -249,14 +249,14 @@ def near(t):
 @query("joi09_distance", f"WITH {NEAR} SELECT l_orderkey, l_linenumber, bo, bl, greatest(bs - e, s - be, 0) AS distance FROM a JOIN b USING (chrom) WHERE s - 30 < be AND bs < e + 30 AND NOT (s < be AND bs < e)")
 def _(t):
     a, b = near(t)
-    out = J.binned(a, b, ["chrom"], ("s", "e"), ("bs", "be"), 64, within=30).where("not (s < be and bs < e)")
+    out = J.binned(a, b, ["chrom"], ("s", "e"), ("bs", "be"), 64, within=30, coarser=2).where("not (s < be and bs < e)")
     return out.select("l_orderkey", "l_linenumber", "bo", "bl", F.greatest(F.col("bs") - F.col("e"), F.col("s") - F.col("be"), F.lit(0)).alias("distance"))
 
 
 @query("joi10_overlap", f"WITH {NEAR} SELECT l_orderkey, l_linenumber, count(*) AS n, CAST(sum(least(e, be) - greatest(s, bs)) AS BIGINT) AS bp FROM a JOIN b USING (chrom) WHERE s < be AND bs < e GROUP BY ALL")
 def _(t):
     a, b = near(t)
-    return J.binned(a, b, ["chrom"], ("s", "e"), ("bs", "be"), 64).groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"), F.sum(F.least("e", "be") - F.greatest("s", "bs")).alias("bp"))
+    return J.binned(a, b, ["chrom"], ("s", "e"), ("bs", "be"), 64, coarser=2).groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"), F.sum(F.least("e", "be") - F.greatest("s", "bs")).alias("bp"))
 
 
 @query("joi11_routes", f"""WITH {MEMBERSHIP}, ev AS (SELECT l_orderkey * 10 + l_linenumber AS event, CASE WHEN l_linenumber % 2 = 0 THEN p_type ELSE p_brand END AS partner FROM lineitem JOIN part ON l_partkey = p_partkey)

@@ -84,6 +84,31 @@ def test_binned_join_is_the_plain_one(spark):
         assert got == sorted((x[0], y[0]) for x in a for y in b if x[2] - within < y[3] and y[2] < x[3] + within)
 
 
+def test_binned_join_with_coarser_bins_is_the_plain_one_in_fewer_rows(spark):
+    rng = random.Random(15)
+    span = lambda: (lambda s: (s, s + rng.choice([0, 1, 7, 31, 32, 33, 200, 256, 257, 1500, 2048, 2049, 9000])))(rng.randrange(-4000, 6000))
+    a, b = [(i, "x", *span()) for i in range(150)], [(i, "x", *span()) for i in range(150)]
+    da, db = spark.createDataFrame([*a, (-1, "x", None, 5)], "i int, c string, s long, e long"), spark.createDataFrame([*b, (-1, None, 0, 5)], "j int, c string, bs long, be long")
+    for within in (0, 17):
+        for coarser in (0, 1, 2):
+            got = sorted((r.i, r.j) for r in J.binned(da, db, ["c"], ("s", "e"), ("bs", "be"), 32, within, coarser).collect())
+            assert got == sorted((x[0], y[0]) for x in a for y in b if x[2] - within < y[3] and y[2] < x[3] + within)
+
+
+def test_lift_of_long_intervals_needs_one_whole_block(spark):
+    rng = random.Random(16)
+    points = [(i, "c", s, s + rng.choice([-1, 0, 5, 300, 900])) for i, s in enumerate(rng.randrange(-500, 2000) for _ in range(120))]
+    blocks = [("c", s, s + rng.randrange(1, 1200), "T", 10 * k, 100_000, "+") for k, s in enumerate(rng.randrange(-600, 2000) for _ in range(25))]
+    kinds = "chrom string, block_start long, block_end long, target_chrom string, target_start long, target_size long, strand string"
+    lifted = J.lift(spark.createDataFrame(points, "i int, chrom string, start long, end long"), spark.createDataFrame(blocks, kinds), "i", "chrom", "start", "end", 64)
+    assert lifted._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1  # of the blocks
+    got = {r.i: (r.status, r.lifted_start) for r in lifted.collect()}
+    for i, _, start, end in points:
+        hit = [b for b in blocks if b[1] <= start - 1 < b[2] and b[1] < end <= b[2]]
+        want = ("no_complete_aligned_block", None) if not hit else ("ambiguous_complete_block", None) if len(hit) > 1 else ("lifted", hit[0][4] + start - hit[0][1])
+        assert got[i] == want
+
+
 def test_as_of_against_a_loop(spark):
     rng = random.Random(6)
     points = [(i, "g", rng.randrange(100)) for i in range(50)]
