@@ -236,7 +236,7 @@ SELECT source, target, m1, m2, length, row_number() OVER (PARTITION BY source, t
 def _(t):
     f = t.lineitem.select(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("m1")).distinct()
     mid = t.part.select(F.col("p_partkey").alias("m1"), (F.col("p_partkey") + 1).alias("m2"))
-    return G.layered_paths(f, mid, t.part.select(F.col("p_partkey").alias("m2"), F.col("p_brand").alias("target")), 3)
+    return G.layered_paths(f, mid, t.part.select(F.col("p_partkey").alias("m2"), F.col("p_brand").alias("target")), 3, t.parts("lineitem"))
 
 
 @query("gr04_best_paths")
