@@ -16,12 +16,18 @@ from assaylake.operators.stats import rank_pairs
 
 def typed_binding(facts: DataFrame, by_gene: DataFrame, by_accession: DataFrame, mapped: float = 1.0, loose: float = 0.4) -> DataFrame:
     """facts: entity, gene, accession, cohort, assay, exact. by_*: lookup, protein, weight. One edge per entity, protein, cohort and
-    assay; the weight of an exact fact is `mapped`, of another `loose`, times the mapping's; the routes that led there."""
-    base = facts.withColumn("base_", F.when(F.col("exact"), mapped).otherwise(loose))
-    a = base.join(by_gene, F.col("gene") == F.col("lookup")).withColumn("route", F.lit("gene"))
-    b = base.join(by_accession, F.col("accession") == F.col("lookup")).withColumn("route", F.lit("accession"))
-    both = a.unionByName(b)
-    return both.groupBy("entity", "protein", "cohort", "assay").agg(F.max(F.col("base_") * F.col("weight")).alias("weight"), F.array_join(F.array_sort(F.collect_set("route")), ";").alias("routes"))
+    assay; the weight of an exact fact is `mapped`, of another `loose`, times the mapping's; the routes that led there.
+
+    An accession may name many proteins, so its facts are put together before they meet them: the largest and the least weight
+    give the largest product, whatever the mapping's sign."""
+    by = ["entity", "protein", "cohort", "assay"]
+    base, route = F.when(F.col("exact"), mapped).otherwise(loose), lambda r: F.lit(r).alias("accession_")
+    gene = facts.join(by_gene, F.col("gene") == F.col("lookup")).select(*by, (base * F.col("weight")).alias("weight"), route(False))
+    held = facts.groupBy("entity", F.col("accession").alias("lookup"), "cohort", "assay").agg(F.max(base).alias("high_"), F.min(base).alias("low_"))
+    product = F.greatest(F.col("high_") * F.col("weight"), F.col("low_") * F.col("weight"))
+    both = gene.unionByName(held.join(by_accession, "lookup").select(*by, product.alias("weight"), route(True)))
+    named = F.concat_ws(";", F.when(F.bool_or("accession_"), "accession"), F.when(~F.bool_and("accession_"), "gene"))
+    return both.groupBy(*by).agg(F.max("weight").alias("weight"), named.alias("routes"))
 
 
 def relation_counts(df: DataFrame, by: list[str], label: str, bits: str) -> DataFrame:
@@ -147,8 +153,9 @@ def similarity_fusion(views: dict[str, tuple[DataFrame, float]], a: str = "a", b
 
 def paired_arms(a: DataFrame, b: DataFrame, key: list[str], by: list[str], label: str, score: str) -> DataFrame:
     """Squared-error difference of two arms on the same rows and labels, and the sign test's counts; unequal keys raise."""
-    odd = a.select(*key, label).exceptAll(b.select(*key, label)).limit(1).count() + b.select(*key, label).exceptAll(a.select(*key, label)).limit(1).count()
-    if odd:
+    own = lambda df, n: df.select(*key, label, F.lit(n).alias("n_"))
+    odd = own(a, 1).unionByName(own(b, -1)).groupBy(*key, label).agg(F.sum("n_").alias("n_")).where("n_ <> 0")
+    if not odd.isEmpty():
         raise ValueError("the arms don't hold the same rows and labels")
     both = a.select(*key, *by, label, F.col(score).alias("sa")).join(b.select(*key, F.col(score).alias("sb")), key)
     d = F.pow(F.col("sa") - F.col(label), 2) - F.pow(F.col("sb") - F.col(label), 2)

@@ -105,8 +105,9 @@ def _(t):
 
 @query("sta22_paired_arms", "WITH r AS (SELECT l_returnflag, pow(l_discount * 9 - y, 2) - pow(l_tax * 11 - y, 2) AS d FROM (SELECT *, CASE WHEN l_linestatus = 'O' THEN 1.0 ELSE 0.0 END AS y FROM lineitem) QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1) SELECT l_returnflag, count(*) AS n, round(avg(d), 6) AS difference, count(*) FILTER (WHERE d < 0) AS a_better, count(*) FILTER (WHERE d > 0) AS b_better FROM r GROUP BY 1")
 def _(t):
-    once = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("c")).where("c = 1")
-    rows = t.lineitem.join(once, ["l_orderkey", "l_linenumber"]).withColumn("y", (F.col("l_linestatus") == "O").cast("double"))
+    key, values = ["l_orderkey", "l_linenumber"], ["l_returnflag", "l_linestatus", "l_discount", "l_tax"]
+    once = t.lineitem.repartition(t.parts("lineitem"), *key).groupBy(*key).agg(F.count("*").alias("c"), *[F.min(c).alias(c) for c in values]).where("c = 1")
+    rows = once.withColumn("y", (F.col("l_linestatus") == "O").cast("double"))
     arm = lambda s: rows.select("l_orderkey", "l_linenumber", "l_returnflag", "y", s.alias("s"))
     return X.paired_arms(arm(F.col("l_discount") * 9), arm(F.col("l_tax") * 11), ["l_orderkey", "l_linenumber"], ["l_returnflag"], "y", "s").withColumn("difference", F.round("difference", 6))
 
