@@ -23,17 +23,19 @@ def validated(left: DataFrame, right: DataFrame, key: list[str], how: str = "lef
     return left.join(right, key, how)
 
 
-def merge_components(parts: list[tuple[DataFrame, list[str]]], key: list[str], fill: dict) -> DataFrame:
+def merge_components(parts: list[tuple[DataFrame, list[str]]], key: list[str], fill: dict, tasks: int | None = None) -> DataFrame:
     """Outer merge of components: those with the whole key are stacked and summed up in one shuffle; those with a coarser key
-    are joined to the result. fill: column to the value of a missing one."""
+    are joined to the result. fill: column to the value of a missing one; repeated keys give their largest values; tasks: how many
+    the rows are dealt to."""
     whole = [df for df, k in parts if set(k) == set(key)]
     values = lambda df, k: [c for c in df.columns if c not in k]
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), whole)
     names = [c for df in whole for c in values(df, key)]
-    out = stacked.groupBy(*key).agg(*[F.max(c).alias(c) for c in names])
+    dealt = lambda df, by: df.repartition(tasks, *by) if tasks else df
+    out = dealt(stacked, key).groupBy(*key).agg(*[F.max(c).alias(c) for c in names])
     for df, k in parts:
         if set(k) != set(key):
-            out = out.join(df, k, "left")
+            out = dealt(out, k).join(df, k, "left")
     return out.fillna(fill)
 
 

@@ -186,9 +186,9 @@ def _(t):
 @query("joi02_components", """WITH a AS (SELECT l_suppkey AS s, l_partkey AS p, max(l_discount) AS da FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL), b AS (SELECT l_suppkey AS s, l_partkey AS p, max(l_tax) AS tb FROM lineitem WHERE l_returnflag = 'A' GROUP BY ALL), c AS (SELECT l_suppkey AS s, max(l_quantity) AS qc FROM lineitem GROUP BY 1)
 SELECT s, p, coalesce(da, 0) AS da, coalesce(tb, 0) AS tb, coalesce(qc, 0) AS qc FROM a FULL JOIN b USING (s, p) LEFT JOIN c USING (s)""")
 def _(t):
-    part = lambda flag, col, name: t.lineitem.where(F.col("l_returnflag") == flag).groupBy(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).agg(F.max(col).alias(name))
+    part = lambda flag, col, name: t.lineitem.where(F.col("l_returnflag") == flag).select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p"), F.col(col).alias(name))
     coarse = t.lineitem.groupBy(F.col("l_suppkey").alias("s")).agg(F.max("l_quantity").alias("qc"))
-    return J.merge_components([(part("R", "l_discount", "da"), ["s", "p"]), (part("A", "l_tax", "tb"), ["s", "p"]), (coarse, ["s"])], ["s", "p"], {"da": 0, "tb": 0, "qc": 0})
+    return J.merge_components([(part("R", "l_discount", "da"), ["s", "p"]), (part("A", "l_tax", "tb"), ["s", "p"]), (coarse, ["s"])], ["s", "p"], {"da": 0, "tb": 0, "qc": 0}, t.parts("lineitem"))
 
 
 @query("joi03_universe", "WITH u AS (SELECT s_suppkey AS s, r_regionkey AS r FROM supplier, region), v AS (SELECT l_suppkey AS s, n_regionkey AS r, sum(CAST(l_quantity AS BIGINT)) AS qty FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL) SELECT s, r, CAST(qty AS BIGINT) AS qty, CASE WHEN qty IS NULL THEN 'not_observed' END AS reason FROM u LEFT JOIN v USING (s, r)")
