@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assaylake.operators.graph import _written
+
 SLICES = 64
 CUTS = 64
 
@@ -31,8 +33,10 @@ def _numbered(targets: DataFrame, b: str, seed: str) -> DataFrame:
     return t.withColumn("own_", own).join(starts, ["stratum", "slice_"]).select(b, "stratum", (F.col("start_") + F.col("own_")).alias("place"))
 
 
-def candidates(edges: DataFrame, a: str, b: str, per_stratum: int, seed: str = "negatives") -> DataFrame:
+def candidates(edges: DataFrame, a: str, b: str, per_stratum: int, seed: str = "negatives", of_a: DataFrame | None = None, of_b: DataFrame | None = None) -> DataFrame:
     """a, b, held_out: every held-out edge, and for each entity `per_stratum` draws of targets from each stratum of train degree.
+    of_a, of_b: tables of a or b (one row each) whose other columns are added, null where they have no row; they meet entities and
+    targets before the draws, so that pairs need not move for them.
 
     edges: a, b and split (train or test, one row a pair). A draw is a hash of entity, stratum and number, so it does not depend
     on partitioning; draws that meet a train edge are left out, those that meet a held-out edge are that edge. Pairs grow with
@@ -40,15 +44,21 @@ def candidates(edges: DataFrame, a: str, b: str, per_stratum: int, seed: str = "
     """
     known = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     degree = known.groupBy(b).agg(F.count_if(F.col("split") == "train").alias("degree_"))
+    xs, ys = ([] if of is None else [c for c in of.columns if c != key] for of, key in ((of_a, a), (of_b, b)))
     targets = _numbered(degree.select(b, _stratum("degree_").alias("stratum")), b, seed)
     sizes = targets.groupBy("stratum").agg(F.count("*").alias("size_"))
     strata = sizes.agg(F.collect_list(F.struct("stratum", "size_")).alias("strata_"))  # one row of at most 65 strata
-    draws = known.select(a).distinct().join(F.broadcast(strata)).select(a, F.explode("strata_").alias("s_"))
-    draws = draws.select(a, F.col("s_.stratum").alias("stratum"), F.col("s_.size_").alias("size_"), F.explode(F.sequence(F.lit(1), F.lit(per_stratum))).alias("draw_"))
-    drawn = draws.withColumn("place", _digest(seed, a, F.col("stratum"), F.col("draw_")) % F.col("size_")).join(targets, ["stratum", "place"]).select(a, b)
-    marks = drawn.select(a, b, F.lit(False).alias("train_"), F.lit(False).alias("held_"))
-    marks = marks.unionByName(known.select(a, b, (F.col("split") == "train").alias("train_"), (F.col("split") != "train").alias("held_")))
-    met = marks.groupBy(a, b).agg(F.bool_or("train_").alias("train_"), F.bool_or("held_").alias("held_out"))
+    tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few entities make many draws
+    entities = (known.select(a).distinct() if of_a is None else known.select(a).distinct().join(of_a, a, "left")).repartition(tasks, a)
+    draws = entities.join(F.broadcast(strata)).select(a, *xs, F.explode("strata_").alias("s_"))
+    draws = draws.select(a, *xs, F.col("s_.stratum").alias("stratum"), F.col("s_.size_").alias("size_"), F.explode(F.sequence(F.lit(1), F.lit(per_stratum))).alias("draw_"))
+    places = targets if of_b is None else targets.join(of_b, b, "left")
+    drawn = draws.withColumn("place", _digest(seed, a, F.col("stratum"), F.col("draw_")) % F.col("size_")).join(places, ["stratum", "place"])
+    marks = drawn.select(a, b, *xs, *ys, F.lit(False).alias("train_"), F.lit(False).alias("held_"))
+    seen = known if of_a is None else known.join(of_a, a, "left")
+    seen = seen if of_b is None else seen.join(of_b, b, "left")
+    marks = marks.unionByName(seen.select(a, b, *xs, *ys, (F.col("split") == "train").alias("train_"), (F.col("split") != "train").alias("held_")))
+    met = marks.groupBy(a, b, *xs, *ys).agg(F.bool_or("train_").alias("train_"), F.bool_or("held_").alias("held_out"))
     return met.where("not train_").drop("train_")
 
 
@@ -78,6 +88,7 @@ def budget_metrics(rows: DataFrame, by: list[str], score: str, label: str, budge
     summed beside. Groups without a positive have null recall and average precision.
     """
     blocks = rows.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("score_")).agg(F.count("*").alias("n_"), F.count_if(F.col(label)).alias("p_"))
+    blocks = _written(blocks, "score-blocks")
     cuts = blocks.groupBy(*by).agg(F.percentile_approx("score_", F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)]), F.lit(10_000)).alias("cuts_"))
     binned = blocks.join(cuts, by) if by else blocks.join(F.broadcast(cuts))
     binned = binned.withColumn("bin_", F.size(F.filter("cuts_", lambda c: c < F.col("score_")))).drop("cuts_")

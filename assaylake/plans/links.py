@@ -13,13 +13,16 @@ WEIGHTS = {"affinity": 1.0, "reach": 0.5, "spread": 0.5}
 def scored(t):
     """Suppliers and parts: four fifths of their links are known; affinity counts known links of the supplier's nation and the
     part's brand, reach and spread those of each end. Pairs whose nation and brand have none lack affinity."""
-    e = G.split_known(t.lineitem.select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")).distinct(), "a", "b", 0.8)
+    e = G._written(G.split_known(t.lineitem.select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")).distinct(), "a", "b", 0.8), "link-edges")
     train = e.where("split = 'train'")
     nation, brand = t.supplier.select(F.col("s_suppkey").alias("a"), "s_nationkey"), t.part.select(F.col("p_partkey").alias("b"), "p_brand")
     met = train.join(nation, "a").join(brand, "b").groupBy("s_nationkey", "p_brand").agg(F.log1p(F.count("*")).alias("affinity"))
-    pairs = L.candidates(e, "a", "b", 100).join(nation, "a", "left").join(brand, "b", "left").join(met, ["s_nationkey", "p_brand"], "left")
-    prior = G.degree_prior(train, pairs, "a", "b").withColumnRenamed("score", "prior")
-    rows = prior.select("a", "b", "held_out", F.col("prior").cast("double").alias("prior"), "affinity", F.log1p("da").alias("reach"), F.log1p("db").alias("spread"))
+    da, db = train.groupBy("a").agg(F.count("*").alias("da")), train.groupBy("b").agg(F.count("*").alias("db"))
+    pairs = L.candidates(e, "a", "b", 100, of_a=da.join(nation, "a", "full"), of_b=db.join(brand, "b", "full")).fillna(0, ["da", "db"])
+    rows = pairs.join(met, ["s_nationkey", "p_brand"], "left").select(
+        "a", "b", "held_out", (F.col("da") * F.col("db")).cast("double").alias("prior"), "affinity", F.log1p("da").alias("reach"), F.log1p("db").alias("spread")
+    )
+    rows = G._written(rows, "link-candidates")  # moments and scores read them, and nothing is drawn twice
     return L.additive_score(rows, WEIGHTS, L.moments(rows, list(WEIGHTS))).withColumn("score", F.round("score", 6))
 
 

@@ -36,6 +36,14 @@ def test_candidates_equal_plain_draws(spark, partitions):
     assert any(got.values()) and not all(got.values())
 
 
+def test_columns_of_the_ends_travel_with_the_draws(spark):
+    edges = spark.createDataFrame([(a, b, "train" if (a + b) % 3 else "test") for a in range(6) for b in range(8) if (a * b) % 4 < 2], "a int, b int, split string")
+    of_a, of_b = spark.createDataFrame([(a, f"x{a}") for a in range(4)], "a int, x string"), spark.createDataFrame([(b, 10 * b) for b in range(1, 9)], "b int, y int")
+    plain = L.candidates(edges, "a", "b", 3)
+    want = sorted(map(str, plain.join(of_a, "a", "left").join(of_b, "b", "left").select("a", "b", "x", "y", "held_out").collect()))
+    assert want == sorted(map(str, L.candidates(edges, "a", "b", 3, of_a=of_a, of_b=of_b).select("a", "b", "x", "y", "held_out").collect()))
+
+
 def test_no_edges_no_candidates(spark):
     none = spark.createDataFrame([], "a int, b int, split string")
     assert L.candidates(none, "a", "b", 2).count() == 0
