@@ -248,8 +248,9 @@ def _joined(sets: DataFrame) -> DataFrame:
 
 
 def _large(opened: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links that connect what is similar in clusters over the bound; opened: h, node, n, i of their nodes."""
-    cores = None
+    """Links that connect what is similar in clusters over the bound; opened: h, node, n, i of their nodes. A shingle whose members
+    are connected stays so: a round writes the rows of open ones with their leaders, and the next reads no others."""
+    cores, before_met = None, None
     for round_ in range(LEADERS + 1):
         tied_ = opened.withColumn("core", F.col("node")) if cores is None else opened.join(cores, "node", "left").withColumn("core", F.coalesce("root", "node"))
         now = tied_.select("h", F.struct("node", "n", "i", "core").alias("x"))
@@ -257,7 +258,11 @@ def _large(opened: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
         open_ = now.groupBy("h").agg(F.min("x.core").alias("low"), F.max("x.core").alias("high"), F.min_by("x", turn).alias("y")).where("low < high")
         if round_ == LEADERS:
             break
-        pairs = now.join(open_.select("h", "y"), "h").where("x.core <> y.core").where(_fits("x", "y")).groupBy("x.node", F.col("y.node").alias("lead")).agg(F.count("*").alias("c"))
+        met = saved(now.join(open_.select("h", "y"), "h"), "near-met")
+        opened = met.select("h", "x.node", "x.n", "x.i")
+        discard(*([before_met] if before_met else []))
+        before_met = met
+        pairs = met.where("x.core <> y.core").where(_fits("x", "y")).groupBy("x.node", F.col("y.node").alias("lead")).agg(F.count("*").alias("c"))
         likely = pairs.groupBy("node").agg(F.max_by("lead", F.struct("c", F.xxhash64("lead"))).alias("lead"))
         more = _verified(likely.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")), sets, nodes)
         if more.isEmpty():
@@ -278,7 +283,7 @@ def _large(opened: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
     if cores is not None:
         out = out.unionAll(cores.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")))
     links = saved(out, "near-links")
-    discard(left, again, rest, *([cores] if cores is not None else []))
+    discard(left, *([before_met] if before_met else []), again, rest, *([cores] if cores is not None else []))
     return links
 
 
