@@ -12,7 +12,13 @@ whose edges are runs of shingles. Each set in turn descends, a level at a time:
 sets below it, and a subtree is left where the overlap so far and what remains of either side can't reach the least similarity
 for its smallest set, or where its sizes don't fit. A set that ends on a reached node has its exact overlap.
 
-Larger clusters: in each of LEADERS rounds every shared shingle has one of its members as leader, and a set is compared with the
+Larger clusters are first cut by runs: the range of hashes is cut in as many runs as a set of the class of sizes has shingles for
+two to four a run. Sets that link differ in a ninth of both sizes at most, and so in no more runs. A set that has fewer of its runs
+in common with any others is left out. A set's runs of two or more shingles, taken until they are one more than can differ,
+hold one that is equal in the other set: members of an equal run are tied, as members of a shingle are above. A run must be equal as
+a whole, so a passage that many sets share ties few of them. Sets of few runs are tied by their shingles as well. What is still larger is cut again by runs of another order.
+
+Those that are still larger: in each of LEADERS rounds every shared shingle has one of its members as leader, and a set is compared with the
 leader that it shares most with, which connects copies with a row a member. Only shingles whose members aren't connected then stay, and clusters are formed by these alone. Those still
 over BOUND compare the members of a shingle pair by pair, but for pairs that two bounds exclude: what is left after the first
 common shingle, and the parities of shingles by residue. So no pair is missed at any size, and none is cut off.
@@ -27,7 +33,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaylake.llm import simhash
@@ -40,6 +46,10 @@ ABOVE, BELOW = 4, 5
 LEADERS = 4
 #: Shingles of a cluster that one task joins.
 BOUND = 1 << 21
+#: Shingles a run of the least set of a class of sizes; each class is twice the one before.
+RUN = 1.8
+#: How often a cluster over the bound is cut by equal runs.
+CUTS = 3
 #: Longs of a set's parities; the share of hashes that is sampled.
 WORDS, CLASS = 16, 0.36
 
@@ -88,6 +98,28 @@ def parities(members: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def equal_runs(members: np.ndarray, turn: int = 0) -> list[tuple[int, np.ndarray, np.ndarray, int]]:
+    """For each class that a set of sorted members can meet another of the least similarity in: the class, numbers of its runs, which
+    of them tie, and how many of the runs it has in common with any such set at least. Of two such sets, those runs that tie have one
+    in common, unless the last figure is below 1 for one of them. Other turns order the members otherwise."""
+    n, out = len(members), []
+    if turn:
+        members = np.sort(_mixed(members + np.uint64(turn)) >> np.uint64(1))
+    most = n * BELOW // ABOVE
+    for k in range(n.bit_length() - 1, most.bit_length()) if n else ():  # a pair meets in the class of its larger set
+        cuts = -int(-(1 << k) // RUN)
+        at = ((members >> np.uint64(31)) * np.uint64(cuts)) >> np.uint64(32)
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        run = np.add.reduceat(_mixed(members), first) + _mixed(at[first] * np.uint64(64) + np.uint64(k))
+        differ = (n + min(most, (2 << k) - 1)) * (BELOW - ABOVE) // (ABOVE + BELOW)
+        ties, strong = np.ones(len(run), bool), np.flatnonzero(np.diff(np.append(first, n)) > 1)
+        if len(strong) > differ:
+            ties[:] = False
+            ties[strong[: differ + 1]] = True
+        out.append((k, run.view(np.int64), ties, len(run) - differ))
+    return out
+
+
 class Trie:
     """Sorted token runs of a cluster's sets: nodes with the run of the edge that leads to each, the sets that end there, and
     the least size, largest size and longest run below."""
@@ -247,9 +279,61 @@ def _joined(sets: DataFrame) -> DataFrame:
     return sets.select("node", "root", "s").repartition("root").sortWithinPartitions("root", "node").mapInArrow(batches_of, "u long, v long")
 
 
+def _ties(rows: DataFrame, by: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """Rows u, v: members (node) of a value of `by` and the least of them, and the written table that they are read from."""
+    shared = saved(rows.groupBy(by).agg(F.min("node").alias("lead"), F.max("node").alias("high")).where("lead < high").select(by, "lead"), name)
+    return rows.join(shared, by).where("node <> lead").select(F.col("node").alias("u"), F.col("lead").alias("v")), shared
+
+
+def _cut(opened: DataFrame, sets: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
+    """node, root, large: clusters (written) of the nodes of sets that have an equal run, of members of one root; opened as of _large."""
+
+    def runs_of(batches):
+        for b in batches:
+            values, at = b.column(2).values.to_numpy().view(np.uint64), b.column(2).offsets.to_numpy()
+            roots = _mixed(b.column(1).to_numpy().view(np.uint64)).view(np.int64)
+            found = [(node, *f, roots[i]) for i, node in enumerate(b.column(0).to_pylist()) for f in equal_runs(values[at[i] : at[i + 1]], turn)]
+            if found:
+                nodes, k, run, ties, least, root = zip(*found)
+                size = list(map(len, run))
+                own = [pa.array(np.repeat(np.array(c), size), t) for c, t in ((nodes, pa.int64()), (k, pa.int32()), (least, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.concatenate(run) + np.repeat(np.array(root), size)), pa.array(np.concatenate(ties))], ["node", "k", "least", "run", "ties"])
+
+    runs = saved(sets.select("node", "root", "s").mapInArrow(runs_of, "node long, k int, least int, run long, ties boolean"), "near-runs")
+    unsure = saved(runs.where("least < 1").select("node").distinct(), "near-unsure")
+    often = runs.withColumn("with", F.count("*").over(Window.partitionBy("run"))).where("with > 1")
+    fit = saved(often.groupBy("node", "k").agg(F.count("*").alias("c"), F.max("least").alias("least")).where("c >= least").select("node", "k"), "near-fit")
+    edges, shared = _ties(runs.where("ties").join(fit, ["node", "k"], "left_semi"), "run", "near-equal")
+    weak = opened.join(unsure, "node", "left_semi").select("h").distinct()
+    tied_, met = _ties(opened.join(weak, "h", "left_semi"), "h", "near-weak")
+    out = _clusters(edges.unionAll(tied_), nodes)
+    discard(runs, unsure, fit, shared, met)
+    return out
+
+
 def _large(opened: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links that connect what is similar in clusters over the bound; opened: h, node, n, i of their nodes. A shingle whose members
-    are connected stays so: a round writes the rows of open ones with their leaders, and the next reads no others."""
+    """Links that connect what is similar in clusters over the bound; opened: h, node, n, i of their nodes, written. They are cut
+    by equal runs, those over the bound then again by others; what is over the bound at last is left to rounds of leaders."""
+    links, old = None, []
+    for turn in range(CUTS):
+        again = _cut(opened, sets, nodes, turn)
+        found = saved(_joined(sets.drop("root", "large").join(again.where("not large"), "node")), "near-links")
+        links = found if links is None else links.unionAll(found)
+        large = again.where("large")
+        if large.isEmpty():
+            discard(again, *old)
+            return links
+        opened, sets = saved(opened.join(large, "node", "left_semi"), "near-rest"), saved(sets.drop("root", "large").join(large, "node"), "near-sets")
+        discard(again, *old)
+        old = [opened, sets]
+    links = links.unionAll(_led(opened, sets, nodes))
+    discard(*old)
+    return links
+
+
+def _led(opened: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links that connect what is similar in clusters that equal runs don't cut; opened as of _large. A shingle whose members are
+    connected stays so: a round writes the rows of open ones with their leaders, and the next reads no others."""
     cores, before_met = None, None
     for round_ in range(LEADERS + 1):
         tied_ = opened.withColumn("core", F.col("node")) if cores is None else opened.join(cores, "node", "left").withColumn("core", F.coalesce("root", "node"))

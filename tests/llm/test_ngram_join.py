@@ -85,3 +85,21 @@ def test_trie_against_all_pairs(seed):
                 a, b = sorted((root[i], root[j]))
                 root = [a if r == b else r for r in root]
     assert J.tied(sets).tolist() == root
+
+
+def test_equal_runs_of_sets_of_the_least_similarity():
+    """Such sets share the runs that each must have in common, and a run that ties."""
+    rng = np.random.default_rng(4)
+    for turn in range(3):
+        for n in [*range(1, 40), *rng.integers(40, 900, 160).tolist()]:
+            m = int(rng.integers(-(-4 * n // 5), 5 * n // 4 + 1))
+            shared = -(-4 * (n + m) // 9)
+            if shared > min(n, m):
+                continue
+            drawn = rng.integers(0, 1 << 63, n + m, dtype=np.uint64)
+            x, y = np.sort(drawn[:n]), np.sort(np.concatenate([drawn[:shared], drawn[n : n + m - shared]]))
+            of_x, of_y = ({k: rest for k, *rest in J.equal_runs(s, turn)} for s in (x, y))
+            k = max(n, m).bit_length() - 1
+            (a, ties_a, least_a), (b, ties_b, least_b) = of_x[k], of_y[k]
+            assert len(np.intersect1d(a, b)) >= max(least_a, least_b)
+            assert min(least_a, least_b) < 1 or len(np.intersect1d(a[ties_a], b[ties_b]))
