@@ -59,7 +59,7 @@ def nearest(cells: DataFrame, context: list[str], cell: str, z: str, k: int) ->
 
     ready = cells.select(*context, cell, F.col(z).cast("array<double>").alias("z_")).repartition(*context, F.pmod(F.xxhash64(cell), F.lit(64))).sortWithinPartitions(*context)
     blocks = ready.mapInArrow(pack, f"{keys}, names array<{kind}>, rows binary")
-    met = blocks.join(blocks.withColumnsRenamed({"names": "others", "rows": "other_rows"}), context).select(*context, "names", "others", "rows", "other_rows")
+    met = blocks.join(blocks.withColumnsRenamed({"names": "others", "rows": "other_rows"}).hint("merge"), context).select(*context, "names", "others", "rows", "other_rows")
 
     def near(batches):
         for b in batches:
@@ -83,28 +83,28 @@ def nearest(cells: DataFrame, context: list[str], cell: str, z: str, k: int) ->
 def disjoint_groups(cells: DataFrame, context: list[str], cell: str, z: str, train: Column, *, size: int = 5, smallest: int = 3, quantile: float = 0.9, multiplier: int = 4) -> tuple[DataFrame, float]:
     """context, cell, seed (null: in no group) and the radius. cell: unique, not null; train: the rows of training donors."""
     near = _written(nearest(cells, context, cell, z, size * multiplier), "group-near")
-    fitted = near.where(F.col("place") == size).join(cells.where(train).select(cell), cell, "left_semi")
+    fitted = near.where(F.col("place") == size).join(cells.where(train).select(cell).hint("merge"), cell, "left_semi")
     radius = fitted.agg(F.percentile("distance", quantile)).first()[0]
     if radius is None:
         raise ValueError("no training context has a full group's cells")
     wanted = near.where((F.col("distance") <= max(radius, 1e-12)) | (F.col("place") == 1))
     counts = wanted.groupBy(cell).agg(F.count("*").alias("c_"))
     turn = F.struct("c_", F.col(cell).alias("seed")).alias("turn")
-    live = _written(wanted.join(counts, cell).select(turn, F.col("other").alias("cell_"), "place"), "group-live")
+    live = _written(wanted.join(counts.hint("merge"), cell).select(turn, F.col("other").alias("cell_"), "place"), "group-live")
     taken = None
     while not live.isEmpty():
-        first = live.groupBy("cell_").agg(F.min("turn").alias("first_"))
+        first = live.groupBy("cell_").agg(F.min("turn").alias("first_")).hint("merge")  # a round sends no table to the driver
         ready = live.join(first, "cell_").groupBy("turn").agg(F.min((F.col("turn") == F.col("first_")).cast("int")).alias("ready"), F.count("*").alias("free")).where("ready = 1")
-        chosen = live.join(ready, "turn").withColumn("at_", F.row_number().over(Window.partitionBy("turn").orderBy("place"))).where((F.col("at_") <= size) & (F.col("free") >= smallest))
+        chosen = live.join(ready.hint("merge"), "turn").withColumn("at_", F.row_number().over(Window.partitionBy("turn").orderBy("place"))).where((F.col("at_") <= size) & (F.col("free") >= smallest))
         chosen = _written(chosen.select("cell_", F.col("turn.seed").alias("seed")), "group-chosen")
         taken = chosen if taken is None else taken.unionAll(chosen)
-        rest = live.join(ready.select("turn"), "turn", "left_anti")
-        used = chosen.select(F.col("cell_").alias("used_"))
+        rest = live.join(ready.select("turn").hint("merge"), "turn", "left_anti")
+        used = chosen.select(F.col("cell_").alias("used_")).hint("merge")
         rest = rest.join(used, rest["cell_"] == used["used_"], "left_anti")
         # A seed that is used itself is out.
-        gone = chosen.select(F.col("cell_").alias("gone_"))
+        gone = chosen.select(F.col("cell_").alias("gone_")).hint("merge")
         live = _written(rest.join(gone, rest["turn.seed"] == gone["gone_"], "left_anti"), "group-live")
     own = cells.select(*context, cell)
     if taken is None:
         return own.withColumn("seed", F.lit(None).cast(cells.schema[cell].dataType)), radius
-    return own.join(taken, own[cell] == taken["cell_"], "left").drop("cell_"), radius
+    return own.join(taken.hint("merge"), own[cell] == taken["cell_"], "left").drop("cell_"), radius

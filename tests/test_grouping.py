@@ -59,3 +59,13 @@ def test_space_is_fitted_on_training_rows_only(spark):
     rows = [("q" if i > 39 else "t", i, rng.normal(size=4).tolist()) for i in range(60)]
     z = lambda rows: {r.cell: r.z for r in G.local_space(spark.createDataFrame(rows, "d string, cell long, v array<double>"), "v", F.col("d") == "t", 2).where("d = 't'").collect()}
     assert z(rows) == z([(d, i, v if d == "t" else [x * 1e4 for x in v]) for d, i, v in rows])
+
+
+def test_no_round_sends_a_table_to_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([("a", i, rng.normal(size=2).tolist()) for i in range(40)], "donor string, cell long, z array<double>")
+    plans, written = [], G._written
+    monkeypatch.setattr(G, "_written", lambda t, name: plans.append(t._jdf.queryExecution().executedPlan().toString()) or written(t, name))
+    out, _ = G.disjoint_groups(df, ["donor"], "cell", "z", F.col("donor") == "a")
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 4 and not any("Broadcast" in p for p in plans)
