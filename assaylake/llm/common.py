@@ -7,6 +7,7 @@ import uuid
 from contextlib import contextmanager
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +67,23 @@ def arrow(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def gathered(df: DataFrame) -> pa.Table:
+    """The rows of df, which must be bounded, on the driver and in their order. They travel as compressed Arrow batches, so the
+    driver's JVM, which holds results until Python has them, holds a part of their size."""
+    arrow(df.sparkSession)
+
+    def packed(batches):
+        for b in batches:
+            if b.num_rows:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(b)
+                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["batch"])
+
+    parts = [pa.ipc.open_stream(b.as_buffer()).read_all() for b in df.mapInArrow(packed, "batch binary").toArrow().column("batch")]
+    return pa.concat_tables(parts) if parts else df.limit(0).toArrow()
+
+
 def numbered_rows(rows: DataFrame, key: str, text: str, name: str) -> DataFrame:
     """rows with a unique number in the order of key and text, also where a key repeats; equal rows are alike, so the numbers don't depend on how rows lie."""
     own = rows.withColumn("by_", F.xxhash64(text)).repartitionByRange(F.col(key), F.col("by_")).sortWithinPartitions(key, "by_", text)

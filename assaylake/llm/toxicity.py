@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaylake.llm.common import arrow, crc_of_id, discard, sampled, saved, table
+from assaylake.llm.common import arrow, crc_of_id, discard, gathered, sampled, saved, table
 
 EXAMPLES, INDEXED = 24_000, 3_000
 K, BLOCK, SOFT, PRIOR, CUT, FLOOR = 16, 64, 0.05, 1.0, 0.7, 0.02
@@ -76,20 +76,23 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class Index:
     """Block-max inverted index of the examples' unit vectors.
 
-    vocabulary: weight of each term. examples: rows or an Arrow table of key, toxic, text_hash, terms, counts in the
-    order of keys; the terms of a table stay Arrow and numpy arrays, so the driver holds no Python object a posting."""
+    vocabulary: weight of each term, or an Arrow table of term and weight. examples: rows or an Arrow table of key, toxic,
+    text_hash, terms, counts in the order of keys; the terms of tables stay Arrow and numpy arrays, so the driver holds no
+    Python object a term or posting."""
 
-    def __init__(self, vocabulary: dict[str, float], examples: pa.Table | list[tuple], base: float):
+    def __init__(self, vocabulary: dict[str, float] | pa.Table, examples: pa.Table | list[tuple], base: float):
         self.base, self.knots = base, None
-        self.ids = {t: i for i, t in enumerate(vocabulary)}
-        self.term_weights = np.fromiter(vocabulary.values(), float, len(vocabulary))
+        if not isinstance(vocabulary, pa.Table):
+            vocabulary = pa.table({"term": pa.array(list(vocabulary), pa.string()), "weight": pa.array(list(vocabulary.values()), pa.float64())})
+        self.terms = vocabulary.column("term").combine_chunks()
+        self.term_weights = vocabulary.column("weight").to_numpy()
         if not isinstance(examples, pa.Table):
             examples = pa.table({c: pa.array([e[i] for e in examples], t) for i, (c, t) in enumerate(EXAMPLE.items())})
         column = lambda name: examples.column(name).combine_chunks()
         self.docs = column("key").to_pylist()
         self.labels, self.digests = (column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("toxic", "text_hash"))
         sizes = pc.list_value_length(column("terms")).to_numpy(zero_copy_only=False).astype(np.int64)
-        found = pc.index_in(pc.list_flatten(column("terms")), value_set=pa.array(list(vocabulary), pa.string()))
+        found = pc.index_in(pc.list_flatten(column("terms")), value_set=self.terms)
         known = pc.is_valid(found).to_numpy(zero_copy_only=False)
         terms_ = pc.fill_null(found, 0).to_numpy(zero_copy_only=False)[known].astype(np.int32)
         rows = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[known]
@@ -100,9 +103,9 @@ class Index:
         del found, known, examples, column
         rows, terms_, weights = rows[order], terms_[order], weights[order]
         del order
-        count = np.bincount(terms_, minlength=len(vocabulary))
+        count = np.bincount(terms_, minlength=len(self.terms))
         often = np.flatnonzero(count * COMMON > max(len(sizes), 1))
-        self.place = np.full(len(vocabulary), -1, np.int32)  # a common term's row of full
+        self.place = np.full(len(self.terms), -1, np.int32)  # a common term's row of full
         self.place[often] = np.arange(len(often))
         seldom = self.place[terms_] < 0
         self.often = (self.place[terms_[~seldom]], rows[~seldom], weights[~seldom], len(often))
@@ -117,9 +120,17 @@ class Index:
         self.block_from = np.repeat(self.at[:-1], blocks) + inner * BLOCK
         self.block_to = np.minimum(self.block_from + BLOCK, np.repeat(self.at[1:], blocks))
         self.tops = np.maximum.reduceat(self.weights, self.block_from) if len(self.weights) else np.zeros(0)
-        self.most = np.zeros(len(vocabulary))
+        self.most = np.zeros(len(self.terms))
         np.maximum.at(self.most, np.repeat(np.arange(len(blocks)), blocks), self.tops)
 
+    @property
+    def ids(self) -> dict[str, int]:
+        """The number of each term, made where it is first asked for: in the tasks, not on the driver."""
+        made = self.__dict__.get("ids_")
+        if made is None:
+            made = self.ids_ = {t: i for i, t in enumerate(self.terms.to_pylist())}
+        return made
+
     def vector(self, found: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers and weights of a text with these terms."""
         known = [(i, n) for t, n in found.items() if (i := self.ids.get(t)) is not None]
@@ -282,15 +293,16 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", bound: int = EX
     texts = different.count()
     there = shown.select(F.explode("terms").alias("term")).distinct()
     n = different.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("toxic").alias("a"))
-    stats = n.join(there, "term", "left_semi").orderBy("term").toArrow()
+    stats = n.join(there, "term", "left_semi")
+    stats = gathered(stats.withColumns({c: F.col(c).cast("int") for c in ("n", "a")}).orderBy("term"))
     held, toxic = (stats.column(c).to_numpy().astype(float) for c in ("n", "a"))
     share, z2 = toxic / held, 1.96**2
     low = (share + z2 / 2 / held - 1.96 * np.sqrt(share * (1 - share) / held + z2 / 4 / held / held)) / (1 + z2 / held)
     weight = np.log((1 + texts) / held) * (FLOOR + np.maximum(0.0, (low - base) / (1 - base)))
-    vocabulary = dict(zip(stats.column("term").to_pylist(), weight.tolist()))
+    vocabulary = pa.table({"term": stats.column("term").combine_chunks(), "weight": weight})
     del stats
     del held, toxic, share, low, weight
-    taken = shown.select("key", "toxic", "text_hash", "terms", "counts").orderBy("key", "text_hash").toArrow()
+    taken = gathered(shown.select("key", "toxic", "text_hash", "terms", "counts").orderBy("key", "text_hash"))
     index = Index(vocabulary, taken, base)
     del taken, vocabulary
     # Each indexed example is judged by the others.
@@ -303,7 +315,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", bound: int = EX
 
     own = docs.select(F.col(key).alias("key"), "text").join(shown.select("key", "toxic").distinct(), "key").select("toxic", "text").repartition(spark.sparkContext.defaultParallelism)
     got = own.mapInArrow(judge, "share double, toxic int").toArrow()
-    shared.unpersist()
+    shared.destroy()  # also the driver's blocks
     index.calibrate(got.column("share").to_numpy(), got.column("toxic").to_numpy())
     discard(rows)
     return index

@@ -112,3 +112,21 @@ def test_text_keys_and_one_label_only(spark):
     assert T.score(d, T.fit(d, lab)).count() == 60
     assert {r.score for r in T.score(d, T.fit(d, lab.where("toxic = 0"))).collect()} == {0.0}
     assert T.score(d, T.fit(d.limit(0), lab)).count() == 60 and T.score(d.limit(0), T.fit(d, lab)).count() == 0
+
+
+def test_driver_holds_no_object_a_term(spark):
+    """The fitted index has its terms as one Arrow array; numbers of terms are made where a text is scored."""
+    docs, labels = make(120, 3)
+    d = spark.createDataFrame(docs, "doc_id long, text string, toxic string")
+    index = T.fit(d, spark.createDataFrame([x[:2] for x in labels], "doc_id long, toxic int"))
+    n = len(index.term_weights)
+    assert n > 30 and not any(isinstance(v, (dict, list)) and len(v) == n for v in vars(index).values())
+    assert index.terms.to_pylist() == sorted({t for _, text, _ in docs for t in T.terms(text)})
+    assert index.score(docs[0][1])[0] > 0.5 and len(index.ids) == n
+
+
+def test_gathered_rows_come_compressed_and_in_order(spark):
+    rows = spark.range(30_000).selectExpr("30000 - id AS id", "concat('a rather long text ', id % 7) AS t", "array(id, null) AS a").repartition(5).orderBy("id")
+    got = T.gathered(rows)
+    assert got.to_pylist() == [{"id": 30_000 - i, "t": f"a rather long text {i % 7}", "a": [i, None]} for i in range(29_999, -1, -1)]
+    assert T.gathered(rows.limit(0)).num_rows == 0 and T.gathered(rows.limit(0)).column_names == ["id", "t", "a"]
