@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from assaylake.operators.graph import _written
 from assaylake.operators.joins import binned, lift, validated
 from assaylake.operators.windows import merged_intervals
 
@@ -42,14 +45,29 @@ def probe_regions(probes: DataFrame, promoters: DataFrame, links: DataFrame, pea
 
     probes(probe, chrom, start, end), promoters(entity, chrom, start, end), links(entity, peak), peaks(peak, chrom, start, end), all
     half-open. Repeated rows count once; a link to a peak that isn't there, or a peak with two places, is a ValueError.
+
+    No row is paired twice, so the pairs, many more than the rows, are not shuffled to be made distinct: a probe with one place is
+    one row, and of an entity's regions of a kind only the first that a probe meets pairs with it. Only pairs of probes with several
+    places are made distinct.
     """
-    named = links.select("entity", "peak").distinct()
-    known = peaks.select("peak", "chrom", "start", "end").distinct()
-    if not named.join(known, "peak", "left_anti").isEmpty():
-        raise ValueError("links name peaks that are not in the peak set")
-    place = lambda df, kind: df.select("chrom", "entity", F.lit(kind).alias("region"), F.col("start").alias("rs_"), F.col("end").alias("re_"))
-    regions = place(promoters, "promoter").unionByName(place(validated(named, known, ["peak"]), "distal")).where("rs_ < re_").distinct()
-    return binned(probes.select("probe", "chrom", "start", "end"), regions, ["chrom"], ("start", "end"), ("rs_", "re_"), width).select("probe", "entity", "region").distinct()
+    at = ("chrom", "start", "end")
+    one = lambda c: (F.min(c).eqNullSafe(F.max(c))) & F.count(c).isin(F.lit(0), F.count("*"))
+    spots = peaks.groupBy("peak").agg(*[F.min(c).alias(c) for c in at], reduce(lambda a, b: a & b, map(one, at)).alias("one_"))
+    linked = _written(links.select("entity", "peak", F.lit(True).alias("linked_")).join(spots, "peak", "full").drop("peak"), "probe-peaks")
+    if not linked.where("one_ is null or not one_").isEmpty():
+        raise ValueError("links name peaks that are not in the peak set, or peaks have two places")
+    place = lambda df, distal: df.select("chrom", "entity", F.lit(distal).alias("distal_"), F.col("start").alias("rs_"), F.col("end").alias("re_")).where("rs_ < re_")
+    before = Window.partitionBy("entity", "chrom", "distal_").orderBy("rs_", "re_").rowsBetween(Window.unboundedPreceding, -1)
+    regions = place(promoters, False).unionByName(place(linked.where("linked_"), True)).withColumn("reach_", F.max("re_").over(before)).where("reach_ is null or reach_ < re_")
+
+    def met(rows):
+        pairs = binned(rows, regions, ["chrom"], ("start", "end"), ("rs_", "re_"), width).where("reach_ is null or reach_ <= start")
+        return pairs.select("probe", "entity", F.when(F.col("distal_"), "distal").otherwise("promoter").alias("region"))
+
+    rows = probes.select("probe", *at).dropna(subset=list(at)).repartition("probe").distinct()
+    rows = _written(rows.withColumn("several_", F.count("*").over(Window.partitionBy("probe")) > 1), "probe-places")
+    out, several = met(rows.where("not several_")), rows.where("several_")
+    return out if several.isEmpty() else out.unionByName(met(several).distinct())
 
 
 def exon_unions(exons: DataFrame, declared: DataFrame) -> DataFrame:

@@ -23,6 +23,33 @@ def test_probe_regions_equal_all_pairs(spark):
         N.probe_regions(args[0], args[1], args[2], args[3].where("peak <> 'p3'").where(F.col("peak") != links[0][1]), 16)
 
 
+def test_probe_regions_shuffle_no_pairs(spark):
+    """Regions of one entity that overlap, touch, hold one another or are equal, probes with several places, and nulls: every pair
+    once, though no plan of probes with one place makes the pairs distinct."""
+    rng = random.Random(5)
+    df = lambda r, n: spark.createDataFrame(r, f"{n}, chrom string, start int, end int")
+    span = lambda most: ((s := rng.randrange(300)), s + rng.randrange(most))
+    probes = [(i, rng.choice("xy"), *span(4)) for i in range(90)] + [(900, "x", 5, None), (901, None, 5, 9)]
+    promoters = [(rng.choice([None, "a", "b"]), rng.choice("xy"), *span(60)) for _ in range(60)]
+    peaks = [(f"p{i}", rng.choice("xy"), *span(90)) for i in range(30)]
+    links = [(rng.choice("ab"), f"p{rng.randrange(30)}") for _ in range(40)]
+    spots = {p: r for p, *r in peaks}
+    regions = [("promoter", *r) for r in promoters] + [("distal", e, *spots[p]) for e, p in links]
+    meets = lambda rows: {(p, e, k) for p, c, s, t in rows if None not in (c, t) for k, e, rc, rs, re in regions if rs < re and c == rc and s < re and rs < t}
+    rest = df(promoters, "entity string"), spark.createDataFrame(links, "entity string, peak string"), df(peaks + peaks, "peak string")
+    found = N.probe_regions(df(probes + probes, "probe int"), *rest, 16)
+    pairs = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [probe" not in pairs and "Deduplicate" not in pairs
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == meets(probes)
+    many = probes + [(i, rng.choice("xy"), *span(4)) for i in range(30)] + [(None, "x", 20, 24), (None, "y", 30, 33)]
+    got = [tuple(r) for r in N.probe_regions(df(many, "probe int"), *rest, 16).collect()]
+    assert len(got) == len(set(got)) and set(got) == meets(many)
+    for wrong in (peaks + [("p3", "z", 1, 2)], peaks + [("alone", "x", 1, 2), ("alone", "x", 1, 3)], [p for p in peaks if p[0] != links[0][1]]):
+        with pytest.raises(ValueError):
+            N.probe_regions(df(probes, "probe int"), *rest[:2], df(wrong, "peak string"), 16)
+
+
 def test_exons_of_the_declared_release_only(spark):
     exons = spark.createDataFrame([("a", "new", "x", 0, 10), ("a", "new", "x", 10, 12), ("a", "new", "x", 20, 25), ("a", "old", "x", 0, 99), ("b", "old", "x", 3, 4), ("c", "new", "x", 1, 2), ("a", "new", "y", 2, 3)], "entity string, release string, chrom string, start int, end int")
     declared = spark.createDataFrame([("a", "new"), ("b", "old"), ("d", "new")], "entity string, release string")
