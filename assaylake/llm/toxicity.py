@@ -88,7 +88,7 @@ class Index:
         self.term_weights = vocabulary.column("weight").to_numpy()
         if not isinstance(examples, pa.Table):
             examples = pa.table({c: pa.array([e[i] for e in examples], t) for i, (c, t) in enumerate(EXAMPLE.items())})
-        column = lambda name: examples.column(name).combine_chunks()
+        column = examples.column  # in chunks: to put them together would copy every string
         self.docs = column("key").to_pylist()
         self.labels, self.digests = (column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("toxic", "text_hash"))
         sizes = pc.list_value_length(column("terms")).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -96,12 +96,17 @@ class Index:
         known = pc.is_valid(found).to_numpy(zero_copy_only=False)
         terms_ = pc.fill_null(found, 0).to_numpy(zero_copy_only=False)[known].astype(np.int32)
         rows = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[known]
-        weights = (1 + np.log(pc.list_flatten(column("counts")).to_numpy(zero_copy_only=False)[known])) * self.term_weights[terms_]
+        weights = pc.list_flatten(column("counts")).to_numpy(zero_copy_only=False)[known].astype(float)
+        np.log(weights, out=weights)
+        weights += 1
+        weights *= self.term_weights[terms_]
         lengths = np.sqrt(np.bincount(rows, weights * weights, len(sizes)))
         weights /= np.where(lengths > 0, lengths, 1.0)[rows]
         order = np.argsort(terms_, kind="stable")
         del found, known, examples, column
-        rows, terms_, weights = rows[order], terms_[order], weights[order]
+        rows = rows[order]
+        terms_ = terms_[order]
+        weights = weights[order]
         del order
         count = np.bincount(terms_, minlength=len(self.terms))
         often = np.flatnonzero(count * COMMON > max(len(sizes), 1))
@@ -305,6 +310,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", bound: int = EX
     taken = gathered(shown.select("key", "toxic", "text_hash", "terms", "counts").orderBy("key", "text_hash"))
     index = Index(vocabulary, taken, base)
     del taken, vocabulary
+    pa.default_memory_pool().release_unused()
     # Each indexed example is judged by the others.
     shared = spark.sparkContext.broadcast(index)
 
