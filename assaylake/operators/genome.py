@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from assaylake.operators.graph import _written
 from assaylake.operators.joins import binned, lift, validated
-from assaylake.operators.windows import merged_intervals
+from assaylake.operators.windows import islands, merged_intervals
 
 
 def segment_calls(mapped: DataFrame, by: list[str], value: str, gain: float, loss: float) -> DataFrame:
@@ -77,28 +77,33 @@ def exon_unions(exons: DataFrame, declared: DataFrame) -> DataFrame:
     return merged_intervals(own.select("entity", "chrom", "start", "end"), ["entity", "chrom"], "start", "end")
 
 
-def reproducible_peaks(peaks: DataFrame, by: list[str], replicate: str, passed, replicates: int, width: int) -> DataFrame:
+def reproducible_peaks(peaks: DataFrame, by: list[str], replicate: str, passed, replicates: int, width: int | None = None) -> DataFrame:
     """by, start, end, peaks, best: unions of the peaks that pass, kept where `replicates` different replicates have part in one.
-    by has chrom; peaks have start, end and signal; `passed` is a condition on a peak's row, null counts as not passed."""
-    good = peaks.where(passed)
-    unions = merged_intervals(good.select(*by, "start", "end"), by, "start", "end").withColumnsRenamed({"start": "us_", "end": "ue_"})
-    met = binned(good, unions, by, ("start", "end"), ("us_", "ue_"), width)
-    found = met.groupBy(*by, "us_", "ue_").agg(F.count("*").alias("peaks"), F.max("signal").alias("best"), F.count_distinct(replicate).alias("r_"))
+    by has chrom; peaks have start, end and signal; `passed` is a condition on a peak's row, null counts as not passed. Peaks stay
+    in their union's task: rows already dealt by columns of `by` are not shuffled. width has no effect any more."""
+    good = peaks.where(passed).dropna(subset=[*by, "start", "end"])
+    placed, union = islands(good, by, "start", "end"), Window.partitionBy(*by, "island_")
+    if replicates > 1:  # a peak alone in its union leaves before unions are sorted and counted
+        near = Window.partitionBy(*by).orderBy("start", "end")
+        placed = placed.withColumns({"last_": F.lag("island_").over(near), "next_": F.lead("island_").over(near)}).where("island_ = last_ or island_ = next_")
+    placed = placed.withColumns({"us_": F.min("start").over(union), "ue_": F.max("end").over(union)})
+    found = placed.where("start < ue_ and us_ < end").groupBy(*by, "us_", "ue_").agg(F.count("*").alias("peaks"), F.max("signal").alias("best"), F.count_distinct(replicate).alias("r_"))
     return found.where(F.col("r_") >= replicates).drop("r_").withColumnsRenamed({"us_": "start", "ue_": "end"})
 
 
-def binding_rows(peaks: DataFrame, blocks: DataFrame, regions: DataFrame, mapping: DataFrame, by: list[str], width: int, experimental: float = 1.0) -> DataFrame:
+def binding_rows(peaks: DataFrame, blocks: DataFrame, regions: DataFrame, mapping: DataFrame, by: list[str], width: int, experimental: float = 1.0, parts: int | None = None) -> DataFrame:
     """by, entity, protein_id, peaks, exonic, best, weight: peaks lifted to the annotation's assembly and met with the entities' regions.
 
     peaks: by, protein, chrom, start, end, best (as `reproducible_peaks` gives). regions: entity, kind (exon or gene), chrom, start,
     end on the target. mapping: protein, protein_id; one protein's ids share the weight. Peaks without one whole aligned block,
-    and proteins without an id, give no row. An exon that lies in a gene counts as exonic once.
+    and proteins without an id, give no row. An exon that lies in a gene counts as exonic once. parts: how many tasks the regions
+    are dealt to; the peaks, which the lift reads twice, are written once.
     """
-    keyed = peaks.withColumn("peak_", F.struct(*by, "protein", "chrom", "start", "end")).withColumn("first_", F.col("start") + 1)
+    keyed = _written(peaks, "binding-peaks").withColumn("peak_", F.struct(*by, "protein", "chrom", "start", "end")).withColumn("first_", F.col("start") + 1)
     lifted = lift(keyed, blocks, "peak_", "chrom", "first_", "end", width).where("status = 'lifted'")
     on = lifted.select(*by, "protein", "peak_", "best", F.col("lifted_chrom").alias("on_"), (F.col("lifted_start") - 1).alias("ls_"), F.col("lifted_end").alias("le_"))
     at = regions.select("entity", "kind", F.col("chrom").alias("on_"), F.col("start").alias("rs_"), F.col("end").alias("re_"))
-    met = binned(on, at, ["on_"], ("ls_", "le_"), ("rs_", "re_"), width)
+    met = binned(on, at, ["on_"], ("ls_", "le_"), ("rs_", "re_"), width, parts=parts)
     each = met.groupBy(*by, "protein", "entity", "peak_").agg(F.max("best").alias("best"), F.bool_or(F.col("kind") == "exon").alias("exon_"))
     held = each.groupBy(*by, "protein", "entity").agg(F.count("*").alias("peaks"), F.count_if("exon_").alias("exonic"), F.max("best").alias("best"))
     ids = mapping.select("protein", "protein_id").where("protein_id is not null").distinct()

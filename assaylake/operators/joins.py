@@ -52,12 +52,14 @@ def key_drift(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
     return seen.agg(F.coalesce(F.sum(F.when(F.col("r") == 0, 1).otherwise(0)), F.lit(0)).alias("left_only"), F.coalesce(F.sum(F.when(F.col("l") == 0, 1).otherwise(0)), F.lit(0)).alias("right_only"), F.coalesce(F.sum(F.col("l") * F.col("r")), F.lit(0)).alias("both"))
 
 
-def binned(left: DataFrame, right: DataFrame, by: list[str], l_span: tuple[str, str], r_span: tuple[str, str], width: int, within: int = 0, coarser: int = 0) -> DataFrame:
+def binned(left: DataFrame, right: DataFrame, by: list[str], l_span: tuple[str, str], r_span: tuple[str, str], width: int, within: int = 0, coarser: int = 0, parts: int | None = None) -> DataFrame:
     """Pairs of half-open intervals that overlap, or lie within a distance: equi-join on bins. A pair meets in several bins, and
     is taken in the first of them only, so nothing has to be deduplicated.
 
     coarser: this many more widths, each STEP times the one before. A pair meets in bins of the least width that holds the length
-    of its longer interval, so a long interval is not cut into many rows; short ones have rows for each width a longer one may have."""
+    of its longer interval, so a long interval is not cut into many rows; short ones have rows for each width a longer one may have.
+
+    parts: how many tasks both sides are dealt to."""
     (ls, le), (rs, re) = l_span, r_span
     start, end, ways = F.col(ls) - within, F.col(le) + within, 2 * (coarser + 1)
     bin_ = lambda c, k: F.floor(c / (width * STEP**k)).cast("long")
@@ -76,7 +78,8 @@ def binned(left: DataFrame, right: DataFrame, by: list[str], l_span: tuple[str,
 
     a = left.withColumn("place_", F.explode(places(start, end, lambda own, k: own == k, lambda own, k: own < k)))
     b = right.withColumn("place_", F.explode(places(F.col(rs), F.col(re), lambda own, k: own <= k, lambda own, k: own == k)))
-    pairs = a.join(b, [*by, "place_"]).where((start < F.col(re)) & (F.col(rs) < end))
+    dealt = lambda df: df.repartition(parts, *by, "place_") if parts else df
+    pairs = dealt(a).join(dealt(b), [*by, "place_"]).where((start < F.col(re)) & (F.col(rs) < end))
     turn = F.pmod("place_", F.lit(ways))
     first = F.greatest(bin_(start, coarser), bin_(F.col(rs), coarser))
     for k in reversed(range(coarser)):

@@ -72,12 +72,16 @@ def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> Dat
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
-def merged_intervals(df: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
-    """by, start, end of the unions of overlapping or touching half-open intervals."""
+def islands(df: DataFrame, by: list[str], start: str, end: str, out: str = "island_") -> DataFrame:
+    """Adds the number, within by, of the union of overlapping or touching half-open intervals that a row has part in."""
     before = F.max(end).over(Window.partitionBy(*by).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1))
     fresh = df.withColumn("new_", F.when(before.isNull() | (F.col(start) > before), 1).otherwise(0))
-    island = fresh.withColumn("island_", F.sum("new_").over(Window.partitionBy(*by).orderBy(start, end).rowsBetween(Window.unboundedPreceding, 0)))
-    return island.groupBy(*by, "island_").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("island_")
+    return fresh.withColumn(out, F.sum("new_").over(Window.partitionBy(*by).orderBy(start, end).rowsBetween(Window.unboundedPreceding, 0))).drop("new_")
+
+
+def merged_intervals(df: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
+    """by, start, end of the unions of overlapping or touching half-open intervals."""
+    return islands(df, by, start, end).groupBy(*by, "island_").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("island_")
 
 
 def reliability(df: DataFrame, probability: str, label: str, bins: int = 10) -> DataFrame:

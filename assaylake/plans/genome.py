@@ -1,5 +1,8 @@
 """Probe and exon maps, binding evidence from peaks, over the driver tables."""
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import functions as F
 
 from assaylake.operators import genome as N
@@ -46,28 +49,33 @@ mp AS (SELECT DISTINCT p_brand AS protein, 'U:' || p_type AS protein_id FROM par
 br AS (SELECT least_signal, least_p, entity, protein, protein_id, peaks, exonic, best, 1.0 / ids AS weight FROM he JOIN mp USING (protein) JOIN sh USING (protein))"""
 
 
-def bound(t):
+def bound(t, settings):
     """Brands are proteins on suppliers' time lines; two replicates by the line's parity; parts are entities on the other assembly."""
-    d, odd = day("l_shipdate"), F.col("l_suppkey") % 2 == 1
-    grid = F.explode(F.array(*[F.struct(F.lit(s).alias("least_signal"), F.lit(p).alias("least_p")) for s, p in GRID]))
-    x = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
-    peaks = x.select(F.col("p_brand").alias("protein"), F.col("l_suppkey").alias("chrom"), (F.col("l_linenumber") % 2).alias("rep"), d.alias("start"), (d + 4).alias("end"), F.col("l_quantity").alias("signal"), F.round(F.col("l_discount") * 100).alias("log_p"), grid.alias("g")).select("*", "g.*").drop("g")
-    by = ["least_signal", "least_p"]
-    kept = N.reproducible_peaks(peaks, [*by, "protein", "chrom"], "rep", (F.col("signal") >= F.col("least_signal")) & (F.col("log_p") >= F.col("least_p")), 2, 64)
+    d, odd, n = day("l_shipdate"), F.col("l_suppkey") % 2 == 1, t.parts("lineitem")
+    strong = lambda s, p: (F.col("signal") >= s) & (F.col("log_p") >= p)
+    lines = t.lineitem.select("l_partkey", F.col("l_suppkey").alias("chrom"), (F.col("l_linenumber") % 2).alias("rep"), d.alias("start"), F.col("l_quantity").alias("signal"), F.round(F.col("l_discount") * 100).alias("log_p"))
+    lines = lines.where(reduce(or_, [strong(*g) for g in settings]))
+    # Each setting's peaks are made where a protein's lines on a chromosome are, so that lines move once, not once a setting.
+    x = lines.repartition(n, "l_partkey").join(t.part.repartition(n, "p_partkey"), F.col("l_partkey") == F.col("p_partkey"))
+    x = x.select(F.col("p_brand").alias("protein"), "chrom", "rep", "start", (F.col("start") + 4).alias("end"), "signal", "log_p").repartition(n, "protein", "chrom")
+    grid = F.explode(F.array(*[F.struct(F.lit(s).alias("least_signal"), F.lit(p).alias("least_p")) for s, p in settings]))
+    peaks, by = x.withColumn("g", grid).select("*", "g.*").drop("g"), ["least_signal", "least_p"]
+    kept = N.reproducible_peaks(peaks, ["chrom", "protein", *by], "rep", strong(F.col("least_signal"), F.col("least_p")), 2)
     lo = d - d % 400
     blocks = t.lineitem.select(F.col("l_suppkey").alias("chrom"), lo.alias("block_start"), (lo + 400).alias("block_end"), F.concat(F.lit("T"), "l_suppkey").alias("target_chrom"), (lo + 1000).alias("target_start"), F.lit(5000).alias("target_size"), F.when(odd, "-").otherwise("+").alias("strand")).distinct()
-    exons = t.lineitem.select(F.col("l_partkey").alias("entity"), F.lit("exon").alias("kind"), F.concat(F.lit("T"), "l_suppkey").alias("chrom"), (d + 1000).alias("start"), (d + 1005).alias("end")).distinct()
-    genes = exons.groupBy("entity", F.lit("gene").alias("kind"), "chrom").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    exons = t.lineitem.select(F.col("l_partkey").alias("entity"), F.lit("exon").alias("kind"), F.concat(F.lit("T"), "l_suppkey").alias("chrom"), (d + 1000).alias("start"), (d + 1005).alias("end"))
+    # A gene of one exon is that exon: whatever meets it meets the exon.
+    genes = exons.repartition(n, "entity", "chrom").groupBy("entity", F.lit("gene").alias("kind"), "chrom").agg(F.min("start").alias("start"), F.max("end").alias("end")).where(F.col("end") - F.col("start") > 5)
     mapping = t.part.select(F.col("p_brand").alias("protein"), F.concat(F.lit("U:"), "p_type").alias("protein_id"))
-    return N.binding_rows(kept, blocks, exons.unionByName(genes), mapping, by, 64), by
+    return N.binding_rows(kept, blocks, exons.unionByName(genes), mapping, by, 64, parts=n), by
 
 
 @query("gen05_binding", f"WITH {BOUND} SELECT entity, protein, protein_id, peaks, exonic, best, round(weight, 6) AS weight FROM br WHERE least_signal = 20")
 def _(t):
-    rows, _ = bound(t)
+    rows, _ = bound(t, [g for g in GRID if g[0] == 20])
     return rows.where("least_signal = 20").select("entity", "protein", "protein_id", "peaks", "exonic", "best", F.round("weight", 6).alias("weight"))
 
 
 @query("gen05_thresholds", f"WITH {BOUND} SELECT CAST(least_signal AS INT) AS least_signal, CAST(least_p AS INT) AS least_p, count(*) AS links, count(DISTINCT entity) AS entities, count(DISTINCT protein_id) AS proteins, count(*) FILTER (exonic > 0) AS exonic_links FROM br GROUP BY ALL")
 def _(t):
-    return N.threshold_table(*bound(t))
+    return N.threshold_table(*bound(t, GRID))

@@ -78,3 +78,51 @@ def test_reproducible_peaks_do_not_depend_on_the_order_of_equal_intervals(spark)
         peaks = spark.createDataFrame(order, "protein string, chrom string, rep int, start int, end int, signal double").repartition(3)
         got = N.reproducible_peaks(peaks, ["protein", "chrom"], "rep", F.lit(True), 2, 8).orderBy("start").collect()
         assert [(r.start, r.end, r.peaks, r.best) for r in got] == [(10, 14, 2, 6.0), (20, 24, 3, 8.0)]
+
+
+def test_reproducible_peaks_equal_plain_unions_and_stay_in_their_tasks(spark):
+    """Short, long, touching, equal and empty peaks, nulls and settings, against a loop; rows dealt by protein and chrom move once."""
+    rng = random.Random(11)
+    rows = [(rng.choice("pq"), rng.choice("xy"), rng.randrange(4), s := rng.randrange(400), s + rng.choice([0, 1, 3, 9]), float(rng.randrange(9))) for _ in range(220)]
+    rows += [("p", "x", 0, None, 5, 1.0), ("p", None, 0, 3, 5, 1.0), (None, "x", 1, 3, 5, 1.0), ("p", "x", 1, 3, None, 1.0), ("q", "y", None, 7, 9, 8.0)]
+    peaks = spark.createDataFrame(rows, "protein string, chrom string, rep int, start int, end int, signal double").repartition(4, "protein", "chrom")
+    peaks = peaks.withColumn("least", F.explode(F.array(F.lit(0), F.lit(3), F.lit(6))))
+    for replicates in (1, 2, 3):
+        want = []
+        for least in (0, 3, 6):
+            for by in ((p, c) for p in "pq" for c in "xy"):
+                own, unions = sorted((s, e, sig, rep) for p, c, rep, s, e, sig in rows if (p, c) == by and None not in (s, e) and sig >= least and rep is not None), []
+                own = sorted(own + [(s, e, sig, None) for p, c, rep, s, e, sig in rows if (p, c) == by and rep is None and sig >= least], key=lambda r: r[:3])
+                for s, e, *_ in own:
+                    if unions and s <= unions[-1][1]:
+                        unions[-1][1] = max(unions[-1][1], e)
+                    else:
+                        unions.append([s, e])
+                for us, ue in unions:
+                    held = [r for r in own if us <= r[0] and r[1] <= ue and r[0] < ue and us < r[1]]
+                    if len({r[3] for r in held} - {None}) >= replicates:
+                        want.append((least, *by, us, ue, len(held), max(r[2] for r in held)))
+        found = N.reproducible_peaks(peaks, ["least", "protein", "chrom"], "rep", F.col("signal") >= F.col("least"), replicates, 8)
+        got = [tuple(r[c] for c in ("least", "protein", "chrom", "start", "end", "peaks", "best")) for r in found.collect()]
+        assert sorted(got) == sorted(want) and len(want) > 10
+        assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
+
+
+def test_binding_lines_move_once_for_all_settings(spark, tmp_path):
+    """Plan of the query over the tables: peaks are written before they are lifted, and a gene of one exon is not a row of its own."""
+    from assaylake.plans import genome as P
+    from assaylake.plans.binding import Tables
+
+    met = {}
+    kept, rows = N.reproducible_peaks, N.binding_rows
+    try:
+        N.reproducible_peaks = lambda *a, **k: met.setdefault("kept", kept(*a, **k))
+        N.binding_rows = lambda *a, **k: met.setdefault("regions", a[2]) and rows(*a, **k)
+        out, _ = P.bound(Tables(spark, "/root/testdata/sf0.001"), P.GRID)
+    finally:
+        N.reproducible_peaks, N.binding_rows = kept, rows
+    moved = met["kept"]._jdf.queryExecution().optimizedPlan().toString()
+    assert moved.index("Generate explode") < moved.index("RepartitionByExpression [protein")
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    genes = met["regions"].where("kind = 'gene'").join(met["regions"].where("kind = 'exon'"), ["entity", "chrom", "start", "end"], "left_semi")
+    assert met["regions"].where("kind = 'gene'").count() > 0 and genes.count() == 0
